@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from steadyield.llm import benchmark_leaks, feistel_shards, html_text, quality_rules, secret_scan, source_mix, url_filter, warc
+from steadyield.llm import benchmark_leaks, feistel_shards, html_text, near_dedup, quality_rules, secret_scan, source_mix, url_filter, warc
 from steadyield.llm.lineage import new_path
 
 
@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
 def op2_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_leaks.benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -57,6 +61,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_benchmark_leaks": op2_benchmark_leaks,
     "op3_quality_rules": op3_quality_rules,
     "op4_source_mix": op4_source_mix,
