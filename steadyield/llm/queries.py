@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from steadyield.llm import benchmark_leaks, feistel_shards, html_text, near_dedup, quality_rules, secret_scan, source_mix, url_filter, warc
+from steadyield.llm import benchmark_leaks, feistel_shards, html_text, lm_score, near_dedup, quality_rules, secret_scan, source_mix, url_filter, warc
 from steadyield.llm.lineage import new_path
 
 
@@ -38,6 +38,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, folder, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_texts(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op7_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_source_mix": op4_source_mix,
     "op5_warc": op5_warc,
+    "op6_lm_score": op6_lm_score,
     "op7_feistel_shards": op7_feistel_shards,
     "op8_url_filter": op8_url_filter,
     "op9_html_text": op9_html_text,
