@@ -59,13 +59,13 @@ def numbered(rows: DataFrame, *order: Column | str, name: str = "row_number") ->
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    local = cut(placed.withColumn("_part", F.spark_partition_id()).withColumn("_local", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "numbered")
-    sums = local.groupBy("_part").count()
-    before = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = cut(sums.select("_part", "count", before.alias("_before")), "starts")  # a row for each partition
+    local = cut(placed.withColumn("__part", F.spark_partition_id()).withColumn("__local", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "numbered")
+    sums = local.groupBy("__part").count()
+    before = F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = cut(sums.select("__part", "count", before.alias("__before")), "starts")  # a row for each partition
     total = starts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
-    out = local.join(F.broadcast(starts.drop("count")), "_part").withColumn(name, F.col("_before") + F.col("_local"))
-    return out.drop("_part", "_local", "_before"), int(total)
+    out = local.join(F.broadcast(starts.drop("count")), "__part").withColumn(name, F.col("__before") + F.col("__local"))
+    return out.drop("__part", "__local", "__before"), int(total)
 
 
 def shard_rows(rows: DataFrame, *order: Column | str, shards: int = SHARDS) -> DataFrame:
@@ -76,5 +76,5 @@ def shard_rows(rows: DataFrame, *order: Column | str, shards: int = SHARDS) -> D
     def moved(number: pa.Array) -> pa.Array:
         return pa.array(permute(np.asarray(number), total))
 
-    p = with_number.withColumn("_p", moved("row_number"))
-    return p.withColumn("shard", (F.col("_p") % shards).cast("int")).withColumn("slot", F.floor(F.col("_p") / shards).cast("long")).drop("_p")
+    p = with_number.withColumn("__p", moved("row_number"))
+    return p.withColumn("shard", (F.col("__p") % shards).cast("int")).withColumn("slot", F.floor(F.col("__p") / shards).cast("long")).drop("__p")

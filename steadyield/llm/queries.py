@@ -76,3 +76,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_text": op9_html_text,
     "op10_secret_scan": op10_secret_scan,
 }
+
+SQL: dict[str, str] = {}

@@ -90,7 +90,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     return rows.withColumn("copies", copies).select(F.col("id").alias(id_col), *carry, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"), F.try_divide(F.col("upto"), F.col("target")).alias("finish"))
 
 
-def queue(served: DataFrame) -> DataFrame:
-    """One row for each serving of a document, in global order of finish time; needs the result of mix_sources."""
+def queue(served: DataFrame, ordered: bool = True) -> DataFrame:
+    """One row for each serving of a document with its finish time, in global order if asked for; needs the result of mix_sources."""
     passes = served.filter("copies > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    return passes.withColumn("finish", F.col("finish") + F.col("pass") * F.col("source_size") / F.col("target")).orderBy("finish")
+    passes = passes.withColumn("finish", F.col("finish") + F.col("pass") * F.col("source_size") / F.col("target"))
+    return passes.orderBy("finish") if ordered else passes
