@@ -7,8 +7,10 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from steadyield.functions.text import action, day, number, ratio_factor, security_code
 
@@ -26,7 +28,12 @@ def filing_facts(spark: SparkSession, folder: str, encoding: str = "UTF-16") ->
 
 def pending_rights(spark: SparkSession, path: str) -> DataFrame:
     """Pending rights from six-column text files in code page 932; a line of another width is an error, blank ones are skipped."""
-    lines = spark.read.format("binaryFile").load(path).select("path", F.explode(F.split(F.decode("content", "windows-31j"), "\r\n|\n")).alias("line"))
+
+    @F.arrow_udf(StringType())
+    def decoded(content: pa.Array) -> pa.Array:
+        return pa.array([c.decode("cp932") for c in content.to_pylist()], pa.string())
+
+    lines = spark.read.format("binaryFile").load(path).select("path", F.explode(F.split(decoded("content"), "\r\n|\n")).alias("line"))
     cells = F.split("line", ",", -1)
     rows = lines.filter(F.regexp_replace("line", "[,\\s]", "") != "")
     rows = rows.withColumn("cells", F.when(F.size(cells) == 6, cells).otherwise(F.raise_error(F.lit("a line has not six columns")).cast("array<string>")))
