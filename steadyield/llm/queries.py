@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from steadyield.llm import benchmark_leaks, feistel_shards, html_text, lm_score, near_dedup, quality_rules, secret_scan, source_mix, url_filter, warc
 from steadyield.llm.lineage import new_path
+from steadyield.llm.queries_sql import SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,4 +78,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_scan": op10_secret_scan,
 }
 
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
