@@ -23,6 +23,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from steadyield.llm.lineage import cut
 from steadyield.llm.textops import slices, texts_of, words_of
@@ -33,7 +34,7 @@ BUCKET_DIGITS = 3
 SEED = "mix-1"
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(LongType())
 def word_count(text: pa.Array) -> pa.Array:
     """Words of each text; null counts as empty."""
     batch = pa.RecordBatch.from_arrays([text], names=["t"])
