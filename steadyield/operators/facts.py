@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from steadyield.functions.text import compact, number
-from steadyield.operators.screener import latest_per
 
 
 @dataclass(frozen=True)
@@ -79,8 +78,8 @@ def filing_traits(facts: DataFrame) -> DataFrame:
     return told.groupBy("doc_id").agg(first(standard).alias("standard"), first(consolidated).alias("is_consolidated"))
 
 
-def match_and_score(facts: DataFrame, m: Metric) -> DataFrame:
-    """The facts that count for a metric with value and score; facts carry the filing's traits."""
+def entry(m: Metric) -> Column:
+    """What a fact offers a metric, as a struct of metric, amount, score and element, or null; facts carry the filing's traits."""
     suffix, label, context = F.element_at(F.split("element_id", ":"), -1), F.coalesce("label", F.lit("")), F.coalesce("context_id", F.lit(""))
     year, side, unit = F.coalesce("relative_year", F.lit("")), F.coalesce("consolidated", F.lit("")), F.coalesce("unit", F.lit(""))
     exact = suffix.isin(*m.elements)
@@ -94,9 +93,12 @@ def match_and_score(facts: DataFrame, m: Metric) -> DataFrame:
     unit_fits = unit == (m.unit or "円")
     if m.needs_unit:
         named &= unit_fits
-    value = number("value")
+    amount = F.col("amount")
     if m.dash_is_zero:
-        value = F.coalesce(value, F.when(F.trim("value").isin(*DASHES), F.lit(0.0)))
+        amount = F.coalesce(amount, F.when(F.trim("value").isin(*DASHES), F.lit(0.0)))
+    named &= amount.isNotNull()
+    if m.least is not None:
+        named &= amount >= m.least
     consolidated_points = [(side == "連結", 45), (side == "個別", -20), (context.contains("ConsolidatedMember"), 20), (context.contains("NonConsolidatedMember"), -15)] if m.prefers_consolidated else [(side == "個別", 15)]
     exact_label = label.isin(*m.labels)
     score = points(
@@ -105,17 +107,18 @@ def match_and_score(facts: DataFrame, m: Metric) -> DataFrame:
         (context.contains("CurrentYearDuration"), 80), (context.contains("CurrentYearInstant"), 80), (suffix.endswith("SummaryOfBusinessResults"), 70), (context.contains("Quarter"), -300), (context.contains("Interim"), -300),
         (scope == F.col("standard"), 250), (unit_fits, 20), *consolidated_points,
     )
-    out = facts.filter(named).select("doc_id", "row_no", F.lit(m.name).alias("metric"), value.alias("amount"), score.alias("score"), "element_id")
-    return out.filter(F.col("amount").isNotNull() & (F.lit(True) if m.least is None else F.col("amount") >= m.least))
+    return F.when(named, F.struct(F.lit(m.name).alias("metric"), amount.alias("amount"), score.alias("score"), F.col("element_id").alias("element")))
 
 
 def extract_metrics(facts: DataFrame, metrics: tuple[Metric, ...] = METRICS) -> DataFrame:
-    """One row for each filing: every metric, the element it came from, and how many were found."""
-    known = facts.join(filing_traits(facts), "doc_id", "left")
-    scored = reduce(DataFrame.unionByName, [match_and_score(known, m) for m in metrics])
-    best = latest_per(scored.withColumn("__key", F.struct("doc_id", "metric")), "__key", F.desc("score"), F.asc(F.col("row_no").cast("long")))
+    """One row for each filing: every metric, the element it came from, and how many were found. Facts are read once for all metrics."""
+    known = facts.join(filing_traits(facts), "doc_id", "left").withColumn("amount", number("value"))
+    offers = known.select("doc_id", F.col("row_no").cast("long").alias("row_no"), F.explode(F.array_compact(F.array(*map(entry, metrics)))).alias("o"))
+    # highest score, then first in the file
+    best = offers.groupBy("doc_id", "o.metric").agg(F.max_by("o", F.struct(F.col("o.score"), -F.col("row_no"))).alias("best"))
+    of = lambda n, field: F.max(F.when(F.col("metric") == n, F.col(f"best.{field}")))
     names = [m.name for m in metrics]
-    wide = best.groupBy("doc_id").agg(*(F.max(F.when(F.col("metric") == n, F.col("amount"))).alias(n) for n in names), *(F.max(F.when(F.col("metric") == n, F.col("element_id"))).alias(f"{n}_element") for n in names), F.count(F.lit(1)).alias("n_found"))
+    wide = best.groupBy("doc_id").agg(*(of(n, "amount").alias(n) for n in names), *(of(n, "element").alias(f"{n}_element") for n in names), F.count(F.lit(1)).alias("n_found"))
     return facts.select("doc_id").distinct().join(wide, "doc_id", "left").withColumn("n_found", F.coalesce("n_found", F.lit(0)))
 
 
