@@ -63,8 +63,10 @@ def standard_of(value: Column) -> Column:
 
 
 def scope_of(element: Column, label: Column) -> Column:
-    """The standard that a fact belongs to, or neutral."""
-    return F.when(element.contains("IFRS") | label.contains("IFRS"), "IFRS").when(any_of(element, ("USGAAP", "UsGaap")) | label.contains("米国基準"), "US GAAP").when(element.startswith("jppfs"), "Japan GAAP").otherwise("neutral")
+    """The standard that a fact belongs to, or neutral; a business summary that names none is of Japan's."""
+    low, space = F.lower(element), F.lower(F.split_part(element, F.lit(":"), F.lit(1)))
+    marked = F.upper(compact(F.concat_ws(" ", element, label)))
+    return F.when(marked.contains("USGAAP"), "US GAAP").when(low.contains("ifrs") | space.contains("jpigp"), "IFRS").when(space.contains("jppfs") | low.contains("summaryofbusinessresults"), "Japan GAAP").otherwise("neutral")
 
 
 def filing_traits(facts: DataFrame) -> DataFrame:
@@ -78,42 +80,43 @@ def filing_traits(facts: DataFrame) -> DataFrame:
     return told.groupBy("doc_id").agg(first(standard).alias("standard"), first(consolidated).alias("is_consolidated"))
 
 
+def prepared(facts: DataFrame) -> DataFrame:
+    """The facts with their filing's traits and what all metrics look at: parts of the names, amount, scope and common points."""
+    text = {"suffix": F.element_at(F.split("element_id", ":"), -1), **{c: F.coalesce(c, F.lit("")) for c in ("label", "context_id", "relative_year", "consolidated", "unit")}}
+    known = facts.join(filing_traits(facts), "doc_id", "left").withColumns(text | {"amount": number("value"), "is_dash": F.trim("value").isin(*DASHES), "at": F.col("row_no").cast("long")})
+    context, year = F.col("context_id"), F.col("relative_year")
+    known = known.withColumn("scope", scope_of(F.col("element_id"), F.col("label")))
+    common = points(
+        (any_of(year, CURRENT_YEAR), 60), (any_of(year, PAST_YEAR), -200),
+        (context.contains("CurrentYear"), 50), (context.contains("Current"), 15), (context.contains("Prior") | context.contains("Previous"), -200), (context.contains("Segment"), -80),
+        (context.contains("CurrentYearDuration"), 80), (context.contains("CurrentYearInstant"), 80), (F.col("suffix").endswith("SummaryOfBusinessResults"), 70), (context.contains("Quarter"), -300), (context.contains("Interim"), -300),
+        (F.col("standard").isin("IFRS", "Japan GAAP") & (F.col("scope") == F.col("standard")), 250),
+    )
+    side = points((F.col("consolidated") == "連結", 45), (F.col("consolidated") == "個別", -20), (context.contains("ConsolidatedMember"), 20), (context.contains("NonConsolidatedMember"), -15))
+    fits = F.col("standard").isNull() | (F.col("scope") == "neutral") | (F.col("standard").isin("IFRS", "Japan GAAP", "US GAAP") & (F.col("scope") == F.col("standard")))
+    fits &= ~(F.coalesce(F.col("is_consolidated"), F.lit(False)) & (F.col("consolidated") == "個別"))
+    return known.withColumns({"common": common, "side": side, "fits": fits})
+
+
 def entry(m: Metric) -> Column:
-    """What a fact offers a metric, as a struct of metric, amount, score and element, or null; facts carry the filing's traits."""
-    suffix, label, context = F.element_at(F.split("element_id", ":"), -1), F.coalesce("label", F.lit("")), F.coalesce("context_id", F.lit(""))
-    year, side, unit = F.coalesce("relative_year", F.lit("")), F.coalesce("consolidated", F.lit("")), F.coalesce("unit", F.lit(""))
-    exact = suffix.isin(*m.elements)
-    named = exact | label.isin(*m.labels) | (any_of(label, m.required) if m.required else F.lit(False))
-    if m.excluded:
-        named &= ~any_of(label, m.excluded)
-    scope = scope_of(suffix, label)
-    named &= (scope == "neutral") | F.col("standard").isNull() | (scope == F.col("standard"))
-    if m.prefers_consolidated:
-        named &= ~(F.coalesce(F.col("is_consolidated"), F.lit(False)) & (side == "個別"))
-    unit_fits = unit == (m.unit or "円")
+    """What a prepared fact offers a metric, as a struct of metric, amount, score and element, or null."""
+    label, unit_fits = F.col("label"), F.col("unit") == (m.unit or "円")
+    exact, exact_label = F.col("suffix").isin(*m.elements), label.isin(*m.labels)
+    named = exact | exact_label | (any_of(label, m.required) & ~any_of(label, m.excluded)) if m.required else exact | exact_label
+    if m.prefers_consolidated:  # such figures depend on the accounting standard and the scope
+        named &= F.col("fits")
     if m.needs_unit:
         named &= unit_fits
-    amount = F.col("amount")
-    if m.dash_is_zero:
-        amount = F.coalesce(amount, F.when(F.trim("value").isin(*DASHES), F.lit(0.0)))
-    named &= amount.isNotNull()
-    if m.least is not None:
-        named &= amount >= m.least
-    consolidated_points = [(side == "連結", 45), (side == "個別", -20), (context.contains("ConsolidatedMember"), 20), (context.contains("NonConsolidatedMember"), -15)] if m.prefers_consolidated else [(side == "個別", 15)]
-    exact_label = label.isin(*m.labels)
-    score = points(
-        (exact, 200 + 500), (exact_label, 140), (~exact_label & any_of(label, m.labels), 80), (any_of(year, CURRENT_YEAR), 60), (any_of(year, PAST_YEAR), -200),
-        (context.contains("CurrentYear"), 50), (context.contains("Current"), 15), (context.contains("Prior") | context.contains("Previous"), -200), (context.contains("Segment"), -80),
-        (context.contains("CurrentYearDuration"), 80), (context.contains("CurrentYearInstant"), 80), (suffix.endswith("SummaryOfBusinessResults"), 70), (context.contains("Quarter"), -300), (context.contains("Interim"), -300),
-        (scope == F.col("standard"), 250), (unit_fits, 20), *consolidated_points,
-    )
+    amount = F.coalesce("amount", F.when(F.col("is_dash"), 0.0)) if m.dash_is_zero else F.col("amount")
+    named &= amount.isNotNull() if m.least is None else amount >= m.least
+    score = points((exact, 200 + 500), (exact_label, 140), (~exact_label & any_of(label, m.labels), 80), (unit_fits, 20)) + F.col("common")
+    score += F.col("side") if m.prefers_consolidated else points((F.col("consolidated") == "個別", 15))
     return F.when(named, F.struct(F.lit(m.name).alias("metric"), amount.alias("amount"), score.alias("score"), F.col("element_id").alias("element")))
 
 
 def extract_metrics(facts: DataFrame, metrics: tuple[Metric, ...] = METRICS) -> DataFrame:
     """One row for each filing: every metric, the element it came from, and how many were found. Facts are read once for all metrics."""
-    known = facts.join(filing_traits(facts), "doc_id", "left").withColumn("amount", number("value"))
-    offers = known.select("doc_id", F.col("row_no").cast("long").alias("row_no"), F.explode(F.array_compact(F.array(*map(entry, metrics)))).alias("o"))
+    offers = prepared(facts).select("doc_id", F.col("at").alias("row_no"), F.explode(F.array_compact(F.array(*map(entry, metrics)))).alias("o"))
     # highest score, then first in the file
     best = offers.groupBy("doc_id", "o.metric").agg(F.max_by("o", F.struct(F.col("o.score"), -F.col("row_no"))).alias("best"))
     of = lambda n, field: F.max(F.when(F.col("metric") == n, F.col(f"best.{field}")))

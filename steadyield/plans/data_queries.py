@@ -239,7 +239,33 @@ def _number(c: str) -> str:
     return f"TRY_CAST(replace(replace({c}, '△', '-'), ',', '') AS DOUBLE)"
 
 
+def _offer(m: fact_ops.Metric) -> str:
+    """A fact's offer to one metric."""
+    among = lambda c, words: f"{c} IN ({', '.join(repr(w) for w in words)})" if words else "false"
+    exact, label = among("suffix", m.elements), among("label", m.labels)
+    own = "((standard IS NULL OR scope = 'neutral' OR scope = standard) AND NOT (coalesce(is_consolidated, false) AND consolidated = '個別'))" if m.prefers_consolidated else "true"
+    unit = f"unit = '{m.unit or '円'}'"
+    amount = "coalesce(amount, CASE WHEN value = '－' THEN 0 END)" if m.dash_is_zero else "amount"
+    least = f"AND {amount} >= {m.least}" if m.least is not None else ""
+    side = "CASE consolidated WHEN '連結' THEN 45 WHEN '個別' THEN -20 ELSE 0 END" if m.prefers_consolidated else "CASE consolidated WHEN '個別' THEN 15 ELSE 0 END"
+    return f"""SELECT doc_id, row_no, '{m.name}' AS metric, {amount} AS amount, element_id,
+      CASE WHEN {exact} THEN 700 ELSE 0 END + CASE WHEN {label} THEN 140 WHEN {_like('label', m.labels)} THEN 80 ELSE 0 END + common + CASE WHEN {unit} THEN 20 ELSE 0 END + {side} AS score
+    FROM known WHERE ({exact} OR {label}) AND {own} AND {amount} IS NOT NULL {least} {'AND ' + unit if m.needs_unit else ''}"""
+
+
+_METRIC_NAMES = ("revenue", "total_assets", "net_assets", "treasury_shares", "dividend_per_share")
+
 SQL = {
+    "filing_metrics": f"""WITH facts AS ({FACTS}), parted AS (SELECT *, split_part(element_id, ':', 2) AS suffix, TRY_CAST(value AS DOUBLE) AS amount FROM facts),
+      traits AS (SELECT doc_id, min_by(value, row_no) AS standard, CAST(NULL AS BOOLEAN) AS is_consolidated FROM parted WHERE suffix = 'AccountingStandardsDEI' GROUP BY doc_id),
+      scoped AS (SELECT p.*, t.standard, t.is_consolidated, CASE WHEN contains(lower(element_id), 'ifrs') THEN 'IFRS' WHEN contains(element_id, 'jppfs') OR contains(element_id, 'SummaryOfBusinessResults') THEN 'Japan GAAP' ELSE 'neutral' END AS scope FROM parted p LEFT JOIN traits t USING (doc_id)),
+      known AS (SELECT *, CASE relative_year WHEN '当期' THEN 60 WHEN '前期' THEN -200 ELSE 0 END
+        + CASE context_id WHEN 'CurrentYearDuration' THEN 145 WHEN 'CurrentYearInstant' THEN 145 WHEN 'Prior1YearDuration' THEN -200 WHEN 'CurrentQuarterInstant' THEN -285 ELSE 0 END
+        + CASE WHEN suffix LIKE '%SummaryOfBusinessResults' THEN 70 ELSE 0 END + CASE WHEN scope = standard THEN 250 ELSE 0 END AS common FROM scoped),
+      offers AS ({' UNION ALL '.join(_offer(m) for m in fact_ops.METRICS)}),
+      best AS (SELECT * FROM offers QUALIFY row_number() OVER (PARTITION BY doc_id, metric ORDER BY score DESC, row_no) = 1)
+      SELECT d.doc_id, {', '.join(f"max(amount) FILTER (metric = '{n}') AS {n}, max(element_id) FILTER (metric = '{n}') AS {n}_element" for n in _METRIC_NAMES)}, count(metric) AS n_found
+      FROM (SELECT DISTINCT doc_id FROM facts) d LEFT JOIN best b ON b.doc_id = d.doc_id GROUP BY d.doc_id""",
     "disclosure_titles": f"""WITH {_LINES}
       SELECT doc_id, page_no, CASE WHEN {_like('upper(text)', _UPPER)} THEN 'policy' WHEN {_like('text', WORDS.cut)} THEN 'cut' WHEN {_like('text', WORDS.rise)} THEN 'rise' WHEN {_like('text', WORDS.forecast)} THEN 'forecast' WHEN {_like('text', WORDS.plan)} THEN 'plan' WHEN {_like('text', WORDS.briefing)} THEN 'briefing' ELSE 'other' END AS category,
         {_like('upper(text)', _UPPER)} OR {_like('text', WORDS.plan)} OR {_like('text', WORDS.briefing)} AS is_policy_candidate,
