@@ -90,3 +90,17 @@ def indicator_report(combined: DataFrame) -> DataFrame:
         *(F.round(c, 2).alias(c) for c in ratios),
         "progressive_dividend_status_5y", history_text("fiscal_periods_5y", "annual_dividends_yen_5y").alias("dividend_history"),
     )
+
+
+def match_rate(matched: DataFrame) -> float:
+    """Share of rows with a price; an empty table counts as none."""
+    return matched.agg(F.avg(F.when(F.col("status") == "matched", 1.0).otherwise(0.0))).first()[0] or 0.0
+
+
+def match_prices(securities: DataFrame, prices: DataFrame, least: float = 0.8) -> DataFrame:
+    """Active securities with their latest close and whether they have one; a rate below least is an error at once."""
+    price = latest_prices(prices).select("security_code", "trading_date", "close_price")
+    matched = securities.filter("is_active").select("security_code").join(price, "security_code", "left").withColumn("status", F.when(F.col("close_price").isNotNull(), "matched").otherwise("no_price"))
+    if (rate := match_rate(matched)) < least:
+        raise ValueError(f"only {rate:.1%} of the securities have a price")
+    return matched

@@ -112,7 +112,11 @@ def fetch_range(x: Inputs) -> DataFrame:
     return adjust.fetch_range(x.financials, status, x.securities)
 
 
-QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {f.__name__: f for f in (screener_base, sheet_indicators, raw_dividends, adjustment_coverage, adjusted_dividends, single_adjustments, candidate_list, eligible_cache, search_by_growth, candidate_changes, exclusion_reasons, reason_breakdown, share_changes, unsupported_actions, indicator_report, fetch_range)}
+def price_matches(x: Inputs) -> DataFrame:
+    return screener.match_prices(x.securities, x.prices, least=0.5)
+
+
+QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {f.__name__: f for f in (screener_base, sheet_indicators, raw_dividends, adjustment_coverage, adjusted_dividends, single_adjustments, candidate_list, eligible_cache, search_by_growth, candidate_changes, exclusion_reasons, reason_breakdown, share_changes, unsupported_actions, indicator_report, fetch_range, price_matches)}
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

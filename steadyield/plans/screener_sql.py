@@ -206,6 +206,7 @@ SQL = {
       FROM actions a JOIN securities s ON s.security_code = a.security_code AND s.is_active LEFT JOIN adjusted d ON d.security_code = a.security_code
       WHERE ex_right_type IS DISTINCT FROM '1' AND ex_right_type IS DISTINCT FROM '2' AND adjustment_factor <> 1""",
     "indicator_report": _COMBINED + " SELECT security_code, company_name, trading_date, close_price, progressive_dividend_status_5y, " + ", ".join(f"round(CAST({c} AS DOUBLE) / 10000) / 100 AS {c.replace('_jpy', '_million_yen')}" for c in _MILLIONS) + ", " + ", ".join(f"round({c}, 2) + 0 AS {c}" for c in _SHORT) + " FROM combined WHERE annual_financial_id IS NOT NULL AND close_price IS NOT NULL",
+    "price_matches": with_stand_ins("securities", "financials", "prices") + "," + _LATEST + " SELECT s.security_code, trading_date, close_price, CASE WHEN close_price IS NULL THEN 'no_price' ELSE 'matched' END AS status FROM securities s LEFT JOIN price USING (security_code) WHERE is_active",
     "fetch_range": with_stand_ins("securities", "financials")
     + """, ends AS (SELECT security_code, fiscal_period_end, row_number() OVER (PARTITION BY security_code ORDER BY fiscal_period_end DESC) AS k FROM (SELECT DISTINCT security_code, fiscal_period_end FROM financials)),
       done AS (SELECT min(c) AS covered_to, count(*) FILTER (c IS NULL) AS open FROM (SELECT CASE WHEN CAST(security_code AS BIGINT) % 7 <> 0 THEN DATE '2001-03-31' END AS c FROM securities WHERE is_active))
