@@ -115,7 +115,7 @@ def texts_of(column: pa.Array) -> Texts:
     return Texts(data, offsets - offsets[0])
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Cuts a batch between rows so that each piece has about max_bytes of text; one longer text stays whole."""
     offsets = texts_of(batch.column(column)).offsets
     at = 0
