@@ -12,7 +12,8 @@ def found(df):
 
 
 @pytest.mark.parametrize("width", [2, 5])
-def test_components_equal_those_of_all_pairs(spark, width):
+def test_components_equal_those_of_all_pairs(spark, width, monkeypatch):
+    monkeypatch.setattr(near_dedup, "TILE", 8)
     rng = random.Random(width)
     texts = [(k, " ".join(prose(rng, rng.randrange(5, 120)))) for k in range(60)]
     base = prose(rng, 200)
@@ -50,3 +51,23 @@ def test_estimate_is_close():
             r = near_dedup.sketch(sets, np.array([0, n]))
             errors.append(near_dedup.estimate(r[:1], r[1:], np.array([n]), np.array([n]))[0] - cut / (2 * n - cut))
         assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.05
+
+
+@pytest.mark.parametrize("rounds", [0, 1])
+def test_tiles_alone_find_all_links(spark, rounds, monkeypatch):
+    """Without the rounds that join parts early, the tiles must find what is left."""
+    monkeypatch.setattr(near_dedup, "TILE", 5)
+    monkeypatch.setattr(near_dedup, "JOIN_ROUNDS", rounds)
+    rng = random.Random(9)
+    base = prose(rng, 150)
+    texts = [(k, " ".join(edited(rng, base, 0.05 + 0.001 * (k % 20)))) for k in range(60)]
+    got = found(near_dedup.near_duplicates(rows(spark, texts), width=2))
+    assert {i: r.component_id for i, r in got.items()} == groups(texts, 2)
+
+
+def test_intersections():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50))).astype(np.uint64) for _ in range(9)]
+    value, row = np.concatenate(sets), np.repeat(np.arange(9), [len(s) for s in sets])
+    got = near_dedup.intersections(value, row, 4, 9, step=7)
+    assert got.tolist() == [[len(np.intersect1d(sets[x], sets[y])) for y in range(4, 9)] for x in range(4)]
