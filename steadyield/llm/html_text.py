@@ -1,12 +1,12 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines, one for each block of the page. Lines of
-navigation, notices, adverts and other marked surroundings are left out, text
-inside links weighs nothing, and where the page marks its article only lines
-inside it weigh anything. The weights are summed over a window that slides down
-the lines: text surges where the sum rises over a threshold and dives where it
-falls to nothing. The lines between the surge and the dive with the most text
-are the article.
+navigation, notices, adverts and other marked surroundings are left out. Where
+the page marks its article, the lines inside it are the text, linked ones too.
+Elsewhere text inside links weighs nothing. The weights are summed over a
+window that slides down the lines: text surges where the sum rises over a
+threshold and dives where it falls to nothing. All lines between a surge and
+its dive are kept, those of every surge.
 
 Defined results: a null or empty page, or one without text, gives the empty
 string; cut-off pages and unclosed tags are read as far as they go; equal
@@ -61,8 +61,8 @@ def _closings(tags: list[tuple[bool, str, str]]) -> list[int]:
     return ends
 
 
-def lines_of(html: str) -> list[tuple[str, int]]:
-    """The page's lines outside its marked surroundings: text and weight."""
+def lines_of(html: str) -> tuple[list[tuple[str, int]], bool]:
+    """The page's lines outside its marked surroundings, text and weight, and whether they are those of marked articles."""
     found = list(_TOKEN.finditer(html))
     tags = [(m[2] == "/", m[3].lower(), m[4]) if m[3] else (True, "", "") for m in found]
     ends = _closings(tags)
@@ -89,7 +89,7 @@ def lines_of(html: str) -> list[tuple[str, int]]:
         if until < 0 and m.start() > at:
             text = unescape(html[at : m.start()])
             parts.append(text)
-            if inside and not links:
+            if inside and (articles or not links):
                 weight += len(text.strip())
         at = m.end()
         closing, name, attributes = tags[k]
@@ -116,17 +116,19 @@ def lines_of(html: str) -> list[tuple[str, int]]:
     if until < 0 and at < len(html):
         text = unescape(html[at:])
         parts.append(text)
-        if inside and not links:
+        if inside and (articles or not links):
             weight += len(text.strip())
     end_line()
-    return lines
+    if articles and any(w for _, w in lines):
+        return [x for x in lines if x[1]], True
+    return lines, False
 
 
 def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
-    """The lines between the surge and the dive with the most text, joined by spaces."""
-    lines = lines_of(html or "")
-    if not lines:
-        return ""
+    """The lines of the marked articles, or else those between each surge and its dive, joined by spaces."""
+    lines, marked = lines_of(html or "")
+    if marked:
+        return " ".join(text for text, _ in lines)
     weights = [w for _, w in lines]
     n = len(lines)
     sums = [0] * n
@@ -134,26 +136,24 @@ def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     for i in range(n - 1, -1, -1):
         running += weights[i] - (weights[i + window] if i + window < n else 0)
         sums[i] = running
-    best, best_weight, i = None, 0, 0
+    least = min(surge, max(sums, default=0) // 4)
+    kept: list[str] = []
+    done = i = 0
     while i < n:
-        if sums[i] <= min(surge, max(sums) // 4):
+        if sums[i] <= least:
             i += 1
             continue
         start = i
         while start < n and not weights[start]:
             start += 1
-        while start and weights[start - 1]:
+        while start > done and weights[start - 1]:
             start -= 1
         end = i
         while end < n and sums[end]:
             end += 1
-        total = sum(weights[start:end])
-        if total > best_weight:
-            best, best_weight = (start, end), total
-        i = max(end, i + 1)
-    if best is None:
-        return ""
-    return " ".join(text for text, w in lines[best[0] : best[1]] if w)
+        kept += [text for text, _ in lines[start:end]]
+        done = i = max(end, i + 1)
+    return " ".join(kept)
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -27,3 +27,17 @@ def test_table(spark, sf):
     assert [(r[0], r[3]) for r in got] == [(1, 0), (2, 0), (3, 33), (3, 33), (4, 999_999)]
     assert extract_text(pages.limit(0)).count() == 0
     assert extract_text(spark.read.parquet(f"{sf}/pages.parquet")).filter("n_chars = 0").count() == 0
+
+
+LINKS = "".join(f"<li><a href={k}>Chapter number {k} of the book</a></li>" for k in range(4))
+NAMES = " ".join(f"Chapter number {k} of the book" for k in range(4))
+
+
+def test_lines_beyond_links_are_kept():
+    """Link-only lines inside an article, several articles, and several runs of text without a marked article."""
+    first, second = "First text that is long enough to be a run of its own.", "Second and shorter text, again a run of its own."
+    assert main_text(PAGE % f"<article><p>{first}</p><ul>{LINKS}</ul><p>{second}</p></article>") == f"{first} {NAMES} {second}"
+    assert main_text(PAGE % f"<article><h2><a href=x>Linked heading</a></h2><p>{first}</p></article>") == f"Linked heading {first}"
+    assert main_text(PAGE % f"<article><p>{first}</p></article><ul>{LINKS}</ul><article><p>{second}</p></article>") == f"{first} {second}"
+    assert main_text(PAGE % f"<div><p>{first}</p><ul>{LINKS}</ul><p>{second}</p></div>") == f"{first} {second}"
+    assert main_text(PAGE % f"<div><p>{first}</p><p><a href=x>Linked line</a></p><p>{second}</p></div>") == f"{first} Linked line {second}"
