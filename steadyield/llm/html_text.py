@@ -37,17 +37,22 @@ _AROUND = frozenset("nav footer aside form header menu dialog".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
-# Words in a class, id or role that mark what surrounds an article.
+# Classes, ids and roles that name what surrounds an article, alone or with what they belong to or consist of.
 _MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banner|promo|promotion|sponsor(?:ed)?|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-bar|aside|complementary|footer|contentinfo|site-header|page-header|masthead|topbar|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|search|share|sharing|social|related|recommended|recommendations|trending|comments?|commentlist|respond|replies|disqus|pagination|pager|widget|toolbar|skip-link|paywall)(?:$|[\s_-])",
+    r"(?:(?:site|page|main|global|local|top|bottom|left|right|primary|secondary|header|footer|cookie|gdpr|social|user|post|article|entry|related|sticky|mobile)[_-])*"
+    r"(?:ads?|adverts?|advertisements?|advertising|banner|promo|promotion|sponsor(?:ed)?|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-bar|aside|complementary|footer|contentinfo|site-header|page-header|masthead|topbar|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|search|share|sharing|social|related|recommended|recommendations|trending|comments?|comment-?list|respond|replies|disqus|pagination|pager|widget|toolbar|skip-link|paywall)"
+    r"(?:[_-](?:area|bar|banner|block|box|buttons?|container|form|inner|links?|list|menu|message|notice|overlay|popup|posts?|section|slot|stories|unit|widget|wrapper|wrap|[0-9]+))*",
     re.I,
 )
 
 
-def _marked(name: str, attributes: str) -> bool:
-    if not attributes:
-        return False
-    return any(_MARKS.search(m.strip("\"'")) for m in _NAMES.findall(attributes)) or bool(_HIDDEN.search(attributes))
+def _named(attributes: str) -> bool:
+    """Does a whole class, id, role or label name surroundings?"""
+    for m in _NAMES.finditer(attributes):
+        value = m[1].strip("\"'").split()
+        if any(map(_MARKS.fullmatch, ["-".join(value)] if m[0][:4].lower() == "aria" else value)):
+            return True
+    return False
 
 
 def _closings(tags: list[tuple[bool, str, str]]) -> list[int]:
@@ -61,14 +66,26 @@ def _closings(tags: list[tuple[bool, str, str]]) -> list[int]:
     return ends
 
 
-def lines_of(html: str) -> tuple[list[tuple[str, int]], bool]:
-    """The page's lines outside its marked surroundings, text and weight, and whether they are those of marked articles."""
+def lines_of(html: str, by_name: bool = True) -> tuple[list[tuple[str, int]], bool]:
+    """The page's lines outside its marked surroundings, text and weight, and whether they are those of marked articles.
+
+    An article, a main element and what encloses all of the page's are not dropped by their names.
+    """
     found = list(_TOKEN.finditer(html))
     tags = [(m[2] == "/", m[3].lower(), m[4]) if m[3] else (True, "", "") for m in found]
     ends = _closings(tags)
-    articles = [(k, ends[k] if ends[k] >= 0 else len(tags)) for k, (closing, name, a) in enumerate(tags) if name in ("article", "main") and not closing and not _marked(name, a)]
+    hidden = [not closing and bool(a) and bool(_HIDDEN.search(a)) for closing, _, a in tags]
+    around = [not closing and ends[k] > k and name not in _VOID and name not in ("html", "body", "article", "main") and (name in _AROUND or (by_name and bool(a) and _named(a))) for k, (closing, name, a) in enumerate(tags)]
+    found_articles = [(k, ends[k] if ends[k] >= 0 else len(tags)) for k, (closing, name, _) in enumerate(tags) if name in ("article", "main") and not closing and not hidden[k]]
+    away = [(k, ends[k]) for k, x in enumerate(around) if x]
+    free = [x for x in found_articles if not any(k < x[0] < end for k, end in away)]
+    articles = free or found_articles
     if any(tags[k][1] == "article" for k, _ in articles):
         articles = [x for x in articles if tags[x[0]][1] == "article"]
+    if not free:
+        for k, end in away:
+            if any(k < x[0] < end for x in articles):
+                around[k] = False
     lines: list[tuple[str, int]] = []
     parts: list[str] = []
     weight = links = at = k = 0
@@ -104,7 +121,7 @@ def lines_of(html: str) -> tuple[list[tuple[str, int]], bool]:
             continue
         if not name:
             continue
-        if not closing and ends[k] > k and name not in _VOID and name not in ("html", "body") and not (name == "article" and (k in bounds)) and (name in _AROUND and not (name == "header" and articles and inside) or _marked(name, attributes)):
+        if (hidden[k] and ends[k] > k and name not in _VOID and name not in ("html", "body")) or (around[k] and not (name == "header" and articles and inside and not _named(attributes))):
             end_line()
             until = ends[k]
             continue
@@ -127,6 +144,8 @@ def lines_of(html: str) -> tuple[list[tuple[str, int]], bool]:
 def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The lines of the marked articles, or else those between each surge and its dive, joined by spaces."""
     lines, marked = lines_of(html or "")
+    if not any(w for _, w in lines):  # names would leave the page without text
+        lines, marked = lines_of(html or "", by_name=False)
     if marked:
         return " ".join(text for text, _ in lines)
     weights = [w for _, w in lines]

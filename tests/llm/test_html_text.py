@@ -41,3 +41,15 @@ def test_lines_beyond_links_are_kept():
     assert main_text(PAGE % f"<article><p>{first}</p></article><ul>{LINKS}</ul><article><p>{second}</p></article>") == f"{first} {second}"
     assert main_text(PAGE % f"<div><p>{first}</p><ul>{LINKS}</ul><p>{second}</p></div>") == f"{first} {second}"
     assert main_text(PAGE % f"<div><p>{first}</p><p><a href=x>Linked line</a></p><p>{second}</p></div>") == f"{first} Linked line {second}"
+
+
+def test_articles_are_not_dropped_by_names():
+    text = "Text of an article that goes on for quite a while here."
+    for tag in ('article class="post no-comments"', 'main class="has-sidebar"', 'div class="layout with-sidebar"', 'article id="social-policy"', "article class=comments", "main class=sidebar", "section class=widget"):
+        name = tag.split()[0]
+        assert main_text(f"<{tag}><p>{text}</p></{name}>") == text
+        assert main_text(f"<{tag}><article><p>{text}</p></article></{name}>") == text
+        assert main_text(f'<{tag}><article><p>{text}</p></article></{name}><div class="cookie-banner">We use cookies to make this page better.</div>') == text
+    assert main_text(f"<form class=search><article><p>{text}</p></article></form>") == text
+    assert main_text(f"<article><p>{text}</p></article><section class=comments><article><p>What a fine article this is.</p></article></section>") == text
+    assert main_text(f'<div><p>{text}</p></div><div aria-label="Main navigation"><p>Many words about where to go from here.</p></div>') == text
