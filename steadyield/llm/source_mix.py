@@ -76,23 +76,29 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_pas
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", max_passes: int = MAX_PASSES, seed: str = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Each document's id, size, source_size, target, copies taken, taken words and the finish time of its first pass."""
-    sized = cut(docs.select(F.col(id_col).alias("id"), *carry, F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), place(id_col, seed).alias("place")), "mix-sizes")
-    sized = sized.withColumn("bucket", F.substring("place", 1, BUCKET_DIGITS))
-    sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    earlier = F.sum("bucket_size").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    sums = sums.withColumn("earlier", F.coalesce(earlier, F.lit(0))).alias("s").join(source_targets(sized, max_passes=max_passes).alias("t"), F.expr("s.source <=> t.source")).select("s.source", "s.bucket", "earlier", "source_size", "target")
-    rows = sized.alias("d").join(sums.alias("s"), F.expr("d.source <=> s.source AND d.bucket = s.bucket")).select("d.*", "earlier", "source_size", "target")
-    within = Window.partitionBy("source", "bucket").orderBy("place", "id", "size", *carry).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upto = F.col("earlier") + F.sum("size").over(within)
-    rows = rows.withColumn("upto", upto)
-    served = lambda k: ((2 * (k * F.col("source_size") + F.col("upto")) - F.col("size")).cast("double") < 2 * F.col("target")) & (F.col("size") > 0)
+    """Each document's id, the carried columns, size, source_size, target, copies taken, taken words and the finish time of its first pass.
+
+    A carried column keeps its name whatever it is, unless it is that of the id or of a result, which then stands for it.
+    """
+    results = ("size", "source_size", "target", "copies", "taken", "finish")
+    carried = {name: f"__carry{k}" for k, name in enumerate(carry) if name not in (id_col, *results)}
+    kept = [F.col(name).alias(inner) for name, inner in carried.items()]
+    lean = docs.select(F.col(id_col).alias("__id"), *kept, F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), place(id_col, seed).alias("__place"))
+    sized = cut(lean, "mix-sizes").withColumn("__bucket", F.substring("__place", 1, BUCKET_DIGITS))
+    sums = sized.groupBy("source", "__bucket").agg(F.sum("size").alias("bucket_size"))
+    earlier = F.sum("bucket_size").over(Window.partitionBy("source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.withColumn("__earlier", F.coalesce(earlier, F.lit(0))).alias("s").join(source_targets(sized, max_passes=max_passes).alias("t"), F.expr("s.source <=> t.source")).select("s.source", "s.__bucket", "__earlier", "source_size", "target")
+    rows = sized.alias("d").join(sums.alias("s"), F.expr("d.source <=> s.source AND d.__bucket = s.__bucket")).select("d.*", "__earlier", "source_size", "target")
+    within = Window.partitionBy("source", "__bucket").orderBy("__place", "__id", "size", *carried.values()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("__upto", F.col("__earlier") + F.sum("size").over(within))
+    served = lambda k: ((2 * (k * F.col("source_size") + F.col("__upto")) - F.col("size")).cast("double") < 2 * F.col("target")) & (F.col("size") > 0)
     copies = sum((F.when(served(k), 1).otherwise(0) for k in range(1, max_passes)), F.when(served(0), 1).otherwise(0))
-    return rows.withColumn("copies", copies).select(F.col("id").alias(id_col), *carry, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"), F.try_divide(F.col("upto"), F.col("target")).alias("finish"))
+    out = rows.withColumn("copies", copies).withColumn("taken", (F.col("copies") * F.col("size")).cast("long")).withColumn("finish", F.try_divide(F.col("__upto"), F.col("target")))
+    return out.select(F.col("__id").alias(id_col), *(F.col(inner).alias(name) for name, inner in carried.items()), *results)
 
 
 def queue(served: DataFrame, ordered: bool = True) -> DataFrame:
     """One row for each serving of a document with its finish time, in global order if asked for; needs the result of mix_sources."""
-    passes = served.filter("copies > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    passes = passes.withColumn("finish", F.col("finish") + F.col("pass") * F.col("source_size") / F.col("target"))
+    passes = served.filter("copies > 0").withColumn("__pass", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    passes = passes.withColumn("finish", F.col("finish") + F.col("__pass") * F.col("source_size") / F.col("target")).drop("__pass")
     return passes.orderBy("finish") if ordered else passes

@@ -4,7 +4,7 @@ import random
 import re
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, start string, id string"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, start string, id string, size string, place string, bucket string, shard string, slot string, row_number long, target double, n long, t string"
 
 
 def words(text):
@@ -50,7 +50,7 @@ def edited(rng, base, share):
 
 def rows(spark, pairs, sources=("a",)):
     """Documents with extra columns whose names clash with what operators use inside."""
-    data = [(i, t, "en", sources[k % len(sources)], None if t is None else len(t), "x", None) for k, (i, t) in enumerate(pairs)]
+    data = [(i, t, "en", sources[k % len(sources)], None if t is None else len(t), "x", None, "s", "p", "b", "keep", "o", 9, 0.5, 7, "t") for k, (i, t) in enumerate(pairs)]
     return spark.createDataFrame(data, DOCS)
 
 
