@@ -9,7 +9,8 @@ and both can be computed for any row number without a shuffle of the texts.
 
 Defined results: null ids are numbered first; rows with equal id, size and
 checksum are interchangeable and get neighbouring numbers; a null text has no
-bytes and the checksum 0; an empty table gives an empty result. The law is
+bytes and the checksum 0; an empty table gives an empty result; columns called
+shard and slot give way to the new ones, all others stay. The law is
 rows, so copies of one text may lie in different shards.
 """
 
@@ -69,12 +70,12 @@ def numbered(rows: DataFrame, *order: Column | str, name: str = "row_number") ->
 
 
 def shard_rows(rows: DataFrame, *order: Column | str, shards: int = SHARDS) -> DataFrame:
-    """The rows with shard and slot, of equal counts by at most one; order must tell apart all rows that differ."""
-    with_number, total = numbered(rows, *order)
+    """The rows with shard and slot in place of any such columns, of equal counts by at most one; order must tell apart all rows that differ."""
+    with_number, total = numbered(rows.drop("shard", "slot"), *order, name="__number")
 
     @F.arrow_udf("long")
     def moved(number: pa.Array) -> pa.Array:
         return pa.array(permute(np.asarray(number), total))
 
-    p = with_number.withColumn("__p", moved("row_number"))
-    return p.withColumn("shard", (F.col("__p") % shards).cast("int")).withColumn("slot", F.floor(F.col("__p") / shards).cast("long")).drop("__p")
+    p = with_number.withColumn("__p", moved("__number"))
+    return p.withColumn("shard", (F.col("__p") % shards).cast("int")).withColumn("slot", F.floor(F.col("__p") / shards).cast("long")).drop("__p", "__number")

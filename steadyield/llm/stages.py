@@ -41,6 +41,6 @@ def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows with their shard and slot."""
+    """All rows with their shard and slot, which take the place of columns with these names."""
     tie = F.xxhash64(*docs.columns)
-    return feistel_shards.shard_rows(docs.withColumn("__tie", tie), "doc_id", "__tie").drop("__tie", "row_number")
+    return feistel_shards.shard_rows(docs.withColumn("__tie", tie), "doc_id", "__tie").drop("__tie")
