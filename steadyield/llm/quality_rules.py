@@ -55,6 +55,26 @@ class Measures:
             self._kept[name] = make()
         return self._kept[name]
 
+    def copy(self) -> Measures:
+        other = Measures(self.texts)
+        other._kept = dict(self._kept)
+        return other
+
+    def at(self, rows: np.ndarray) -> Measures:
+        """Measures of some of the documents; what is known of them stays known."""
+        part = Measures(self.texts.take(rows))
+        for name, known in self._kept.items():
+            if isinstance(known, Words):
+                to = np.full(len(self.texts), -1)
+                to[rows] = np.arange(len(rows))
+                doc = to[known.doc]
+                here = doc >= 0
+                doc, moved = doc[here], self.texts.offsets[:-1][rows] - part.texts.offsets[:-1]
+                part._kept[name] = Words(known.starts[here] - moved[doc], doc, known.hashes[here], np.searchsorted(doc, np.arange(len(rows) + 1)))
+            else:
+                part._kept[name] = tuple(x[rows] for x in known) if isinstance(known, tuple) else known[rows]
+        return part
+
     @property
     def words(self) -> Words:
         return self._once("words", lambda: words_of(self.texts))
@@ -146,59 +166,52 @@ def production_rules() -> list[Rule]:
     ]
 
 
-def plan_cascade(docs: DataFrame, rules: list[Rule], text_col: str = "text", sample_rows: int = 1000, sample_fraction: float = 0.02) -> list[str]:
+BASE_MEASURES = ("n_words", "word_chars", "n_symbols", "lines", "n_repeat_words")
+
+
+def plan_cascade(docs: DataFrame, rules: list[Rule], text_col: str = "text", known: tuple[str, ...] = (), sample_rows: int = 1000, sample_fraction: float = 0.02) -> list[str]:
     """Names of the rules, most rejections per second of cost first.
 
-    The sample is a random sample of the rows, cut at sample_rows rows and at
+    A rule's cost and rejections are those on what the rules before it leave of
+    the sample, with their measures and those named in known at hand. The
+    sample is a random sample of the rows, cut at sample_rows rows and at
     20,000 characters of each text. It decides the order and nothing else.
     """
     sample = docs.select(F.substring(F.col(text_col), 1, 20_000).alias("t")).sample(sample_fraction, seed=7).limit(sample_rows).collect()  # reads as many partitions as it needs
-    texts = texts_of(pa.array([t or "" for (t,) in sample], pa.large_string()))
-    if not len(texts):
-        return [r.name for r in rules]
-    scored = []
-    for place, rule in enumerate(rules):
-        began = time.perf_counter()
-        rejected = int(np.count_nonzero(rule.rejects(Measures(texts))))
-        cost = max(time.perf_counter() - began, 1e-6)
-        scored.append((-(rejected + 0.5) / cost, place, rule.name))
-    return [name for _, _, name in sorted(scored)]
-
-
-def run_cascade(texts: Texts, rules: list[Rule], measured: Measures | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Which documents are kept, and for the others the position of the rule that rejected first (else -1)."""
-    alive = np.arange(len(texts))
-    by = np.full(len(texts), -1)
-    m = measured or Measures(texts)
+    m = Measures(texts_of(pa.array([t or "" for (t,) in sample], pa.large_string())))
+    for name in known:
+        getattr(m, name)
+    left, order = list(rules), []
+    while left and len(m.texts):
+        tried = []
+        for place, rule in enumerate(left):
+            trial, began = m.copy(), time.perf_counter()
+            bad = rule.rejects(trial)
+            cost = max(time.perf_counter() - began, 1e-6)
+            tried.append((-(np.count_nonzero(bad) + 0.5) / cost, place, bad, trial))
+        _, place, bad, m = min(tried, key=lambda t: t[:2])
+        order.append(left.pop(place).name)
+        m = m.at(np.flatnonzero(~bad))
+    return order + [r.name for r in left]
+
+
+def run_cascade(m: Measures, rules: list[Rule]) -> tuple[np.ndarray, np.ndarray]:
+    """Which documents are kept, and for the others the position of the rule that rejected first (else -1); a rule measures what is left alone."""
+    alive, by = np.arange(len(m.texts)), np.full(len(m.texts), -1)
     for k, rule in enumerate(rules):
         if not len(alive):
             break
         bad = rule.rejects(m)
         by[alive[bad]] = k
         if bad.any():
-            alive = alive[~bad]
-            if measured is None:  # what is measured from here on is measured on the rest alone
-                m = Measures(texts.take(alive))
-            else:
-                m = _Rows(measured, alive)
+            alive, m = alive[~bad], m.at(np.flatnonzero(~bad))
     return by < 0, by
 
 
-class _Rows:
-    """Measures that are known already, at some rows."""
-
-    def __init__(self, of: Measures, rows: np.ndarray):
-        self._of, self._rows = of, rows
-
-    def __getattr__(self, name: str):
-        got = getattr(self._of, name)
-        return tuple(x[self._rows] for x in got) if isinstance(got, tuple) else got[self._rows]
-
-
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] | None = None) -> DataFrame:
     """Measures and verdict of every document: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, rejected_by."""
     rules = production_rules() if rules is None else rules
-    order = plan_cascade(docs, rules, text_col)
+    order = plan_cascade(docs, rules, text_col, BASE_MEASURES)
     names = [r.name for r in sorted(rules, key=lambda r: order.index(r.name))]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,9 +219,10 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         ordered = [by_name[n] for n in names]
         for whole in batches:
             for batch in slices(whole, "t"):
-                texts = texts_of(batch.column("t"))
-                m = Measures(texts)
-                kept, by = run_cascade(texts, ordered, m)
+                m = Measures(texts_of(batch.column("t")))
+                for name in BASE_MEASURES:  # wanted of all rows
+                    getattr(m, name)
+                kept, by = run_cascade(m, ordered)
                 base = (m.n_words < MIN_WORDS) | (100 * m.n_repeat_words > MAX_REPEAT_PERCENT * m.n_words)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id"), *(pa.array(x, pa.int64()) for x in (m.n_words, m.word_chars, m.n_symbols, m.lines[1], m.n_repeat_words)), pa.array(base), pa.array(kept & ~base), pa.array([names[k] if k >= 0 else None for k in by], pa.string())],
@@ -229,7 +243,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", rules: list[Rule] | None
         ordered = sorted(rules, key=lambda r: order.index(r.name))
         for whole in batches:
             for batch in slices(whole, text_col):
-                kept, _ = run_cascade(texts_of(batch.column(text_col)), ordered)
+                kept, _ = run_cascade(Measures(texts_of(batch.column(text_col))), ordered)
                 yield batch.filter(pa.array(kept))
 
     return docs.mapInArrow(sift, docs.schema)
