@@ -59,7 +59,7 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = secret_scan.find_secrets(docs, secret_scan.scan_new_blobs(docs))
+    found = secret_scan.find_secrets(docs, secret_scan.update_ledger(docs, new_path(spark, "secret-ledger")))
     base = [r.kind for r in secret_scan.BASE_RULES]
     n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *map(n, base), F.sha2(secret_scan.joined(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"), secret_scan.joined("spans").alias("spans"))

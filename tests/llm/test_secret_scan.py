@@ -23,7 +23,7 @@ def spans(df):
 
 def test_base_spans_equal_plain_search(spark, sf):
     docs = rows(spark, list(enumerate(TEXTS)))
-    docs = docs.unionByName(spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id + 100 as doc_id", "text", "lang", "source", "n_chars", "lang as start", "lang as id"))
+    docs = docs.unionByName(spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id + 100 as doc_id", "text", "lang", "source", "n_chars", "lang as start", "lang as id"), allowMissingColumns=True)
     base = secret_scan.BASE_RULES
     got = find_secrets(docs, scan_new_blobs(docs, rules=base), rules=base)
     want = sorted((r.doc_id, ",".join(base_spans(r.text))) for r in docs.collect())
@@ -44,6 +44,21 @@ def test_ledger_scans_only_what_is_new(spark, tmp_path):
     assert len(again) == 2 and all(list(r.done) == ["pin@1"] for r in again)
 
 
+def test_ledger_is_kept_and_old_rule_versions_are_left_out(spark, tmp_path):
+    folder, docs = f"file://{tmp_path}/ledger", rows(spark, [(1, TEXTS[0]), (2, "pin 1234 and 987654")])
+    old, new = (SecretRule("pin", v, p) for v, p in ((1, "[0-9]{4}"), (2, "[0-9]{6}")))
+    assert secret_scan.update_ledger(docs, folder, rules=(old,)).count() == 2
+    ledger = secret_scan.update_ledger(docs, folder, rules=(new,))
+    assert ledger.count() == 4 and secret_scan.update_ledger(docs, folder, rules=(new,)).count() == 4
+    assert spans(find_secrets(docs, ledger, rules=(new,))) == [(1, ""), (2, "pin:13:19")]
+
+
+def test_blobs_that_many_hold(spark):
+    docs = rows(spark, [(k, TEXTS[1]) for k in range(300)] + [(1000 + k, f"{TEXTS[0]} {k}") for k in range(30)])
+    got = find_secrets(docs, scan_new_blobs(docs))
+    assert spans(got) == sorted((r.doc_id, ",".join(base_spans(r.text))) for r in docs.collect())
+
+
 def test_odd_texts_and_empty_table(spark):
     docs = rows(spark, odd_texts() + [(None, TEXTS[1]), (20, TEXTS[1]), (20, TEXTS[1])])
     got = [r for r in find_secrets(docs, scan_new_blobs(docs)).collect()]
