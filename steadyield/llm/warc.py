@@ -7,7 +7,8 @@ holds as well become revisit records without a body.
 
 Archives are written by the tasks into one shared folder under names that
 follow from the partition, and moved to their names when complete: a task that
-runs again replaces its own archives. They are read back with Spark's binary
+runs again writes its rows in the same order and replaces its own archives.
+Those that the index of the committed tasks names are read back with Spark's binary
 file reader, so any file system that Spark knows can hold them.
 
 Defined results: a null payload is the empty one; a null URL is written as an
@@ -31,6 +32,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from steadyield.llm.lineage import cut
+
 MIN_REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 32 << 20
 DICTIONARY_BYTES = 48 << 10
@@ -109,8 +112,19 @@ def with_record_types(pages: DataFrame, id_col: str = "page_id", url_col: str =
     """The pages with payload, digest and, for copies, the page that they refer to."""
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("n_bytes", F.octet_length("payload").cast("long")).withColumn("digest", F.sha1("payload"))
-    copied = rows.filter(F.col("n_bytes") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("newest"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    return rows.join(copied, "digest", "left").withColumn("refers_to", F.when(F.col("page_id").eqNullSafe(F.col("newest")), None).otherwise(F.col("newest"))).drop("newest")
+    many = rows.filter(F.col("n_bytes") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("newest"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    copied = cut(many, "copied")
+    # payloads that very many pages hold are joined in parts; there are fewer than HOT_SHARE of them
+    hot = F.broadcast(copied.filter(F.col("n") * HOT_SHARE > pages.count()).select("digest", F.lit(SPLITS).alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+    rows = rows.join(hot, "digest", "left").withColumn("part", F.pmod(F.monotonically_increasing_id(), parts).cast("int")).drop("parts")
+    copied = copied.join(hot, "digest", "left").select("digest", "newest", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    typed = rows.join(copied, ["digest", "part"], "left")
+    return typed.withColumn("refers_to", F.when(F.col("page_id").eqNullSafe(F.col("newest")), None).otherwise(F.col("newest"))).drop("newest", "part")
+
+
+HOT_SHARE = 1000
+SPLITS = 64
 
 
 def write_archives(typed: DataFrame, folder: str, archive_size: int = ARCHIVE_BYTES) -> DataFrame:
@@ -146,13 +160,15 @@ def write_archives(typed: DataFrame, folder: str, archive_size: int = ARCHIVE_BY
             yield flush()
 
     lean = typed.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(b"")))
-    index = lean.select("page_id", "url", "payload", "n_bytes", "digest", "refers_to").mapInArrow(write, "page_id long, archive string, record long")
+    # in a fixed order, so that a task that runs again writes the same archives
+    lean = lean.select("page_id", "url", "payload", "n_bytes", "digest", "refers_to").sortWithinPartitions("digest", "page_id", "url")
+    index = lean.mapInArrow(write, "page_id long, archive string, record long")
     index.write.mode("overwrite").parquet(f"{folder}/_index")
     return typed.sparkSession.read.schema(index.schema).parquet(f"{folder}/_index")
 
 
 def read_archives(spark: SparkSession, folder: str, with_payload: bool = True) -> DataFrame:
-    """Every record of the archives in a folder; payloads of responses are checked against their digests."""
+    """Every record of the archives that a folder's index names; payloads of responses are checked against their digests."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,5 +184,9 @@ def read_archives(spark: SparkSession, folder: str, with_payload: bool = True) -
                 kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in RECORD_SCHEMA.split(", ")])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).withColumn("archive", F.element_at(F.split("path", "/"), -1))
+    index = spark.read.schema("page_id long, archive string, record long").parquet(f"{folder}/_index")
+    stray = [r.archive for r in files.select("archive").join(index, "archive", "left_anti").collect()]  # of tasks that were lost, a few at most
+    if stray:
+        files = files.filter(~F.col("archive").isin(stray))
     return files.select("path", "content").mapInArrow(read, RECORD_SCHEMA)

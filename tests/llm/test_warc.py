@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 
@@ -39,6 +40,18 @@ def test_archive_form(tmp_path):
         list(warc.read_archive(b"\x00" * 20))
 
 
+def test_strays_long_payloads_and_payloads_that_many_hold(spark, tmp_path):
+    rng = random.Random(6)
+    long = " ".join(str(rng.random()) for _ in range(40_000))
+    data = [(k, "u", long if k == 0 else "<p>" + "many pages " * 100) for k in range(200)]
+    index, got = archive(spark, tmp_path, data, archive_size=100_000)
+    assert len(got) == 200 and {r.refers_to for r in got if r.record_type == "revisit"} == {199}
+    assert next(r for r in got if r.page_id == 0).payload == long.encode()
+    name = index.first().archive
+    (tmp_path / "a" / "part-000000-9999.warc.zst").write_bytes((tmp_path / "a" / name).read_bytes())
+    assert warc.read_archives(spark, f"file://{tmp_path}/a").count() == 200
+
+
 def test_repeated_rows_and_empty_table(spark, tmp_path):
     same = (7, "http://a.example/", "<p>" + "long text " * 200)
     _, got = archive(spark, tmp_path / "r", [same, same, (3, None, same[2]), (None, None, same[2])])
