@@ -5,7 +5,7 @@ size bounds what the driver holds. Features are the 3- to 5-grams of the host
 and of the path, hashed with the part they come from.
 
 Defined results: a null URL, or one without ://, has an empty host and path
-and is judged by the model alone, which allows it; equal URLs get equal
+and is judged by the model alone, which has no n-gram to go by and allows it; equal URLs get equal
 verdicts; an empty table gives an empty result.
 """
 
@@ -27,23 +27,22 @@ RULES = (
 )
 
 BLOCK_AT = 0.5
-BITS = 14
+BITS = 18
 GRAMS = (3, 4, 5)
-# What unwanted hosts are named after, and what ordinary ones are.
-UNWANTED = ("casino", "cheap", "pills", "spam", "farm", "ads", "track", "free-bets", "bets", "win", "poker", "jackpot", "viagra", "loan", "porn", "xxx", "click", "malware", "lottery", "discount")
-PAIRS = ("casino-win", "cheap-pills", "spam-farm", "ads-track", "free-bets", "poker-bonus", "loan-fast", "xxx-cams", "click-bait", "lottery-win")
-ORDINARY = ("news", "museum", "library", "garden", "thether", "river", "science", "weather", "kitchen", "history", "tionand", "school", "council", "music", "ererin", "theatre", "travel", "thened", "letters", "journal", "inganth", "theory", "anders", "herring", "estate", "ththan", "ndtion", "reading", "theron", "ononth")
+# General words in the names of unwanted hosts, and of ordinary ones.
+UNWANTED = ("casino", "poker", "jackpot", "slots", "roulette", "betting", "bets", "gambling", "lottery", "viagra", "pharmacy", "pills", "steroids", "payday", "loans", "porn", "xxx", "adult", "sexy", "cams", "escort", "dating", "malware", "virus", "crack", "warez", "torrent", "keygen", "spam", "phishing", "adserver", "ads", "popup", "tracker", "tracking", "clicks", "clickbait", "cheap", "discount", "replica", "free", "prizes", "farm", "seo", "traffic")
+ORDINARY = ("news", "museum", "library", "garden", "river", "science", "weather", "kitchen", "history", "school", "council", "music", "theatre", "travel", "letters", "journal", "theory", "estate", "reading", "bakery", "street", "mountain", "hospital", "church", "village", "research", "institute", "college", "sports", "football", "cycling", "recipes", "photos", "software", "forum", "wiki", "maps", "books", "paper", "energy", "nature", "birds", "animals", "health", "doctor", "law", "finance", "market", "shop", "home", "design", "studio", "radio", "today", "online", "world", "people", "family", "other", "thing", "father", "brother", "winter", "stories", "nation", "station", "motion", "bridge", "castle", "island", "forest", "valley", "harvest", "autumn", "spring", "summer", "silver", "golden", "copper", "wooden", "stone", "water", "coffee", "cheese", "bread", "honey", "apple", "cherry", "potato", "horse", "eagle", "salmon", "flower", "meadow", "railway", "airport", "bicycle", "engine", "bus", "ferry", "teacher", "student", "lawyer", "painter", "dancer", "singer", "writer", "farmer", "police", "parish", "county", "city", "region", "language", "grammar", "history", "physics", "biology", "chemistry", "astronomy", "mathematics", "philosophy", "gallery", "concert", "festival", "opera", "puzzle", "games", "tennis", "hockey", "skiing", "climbing", "hiking", "camping", "fishing", "sewing", "knitting", "quiet", "bright", "little", "ancient", "modern", "public", "private", "local", "heritage", "society", "union", "trust", "charity", "volunteer")
 
 
 def labelled_urls() -> list[tuple[str, str, int]]:
-    """Host, path and label (1: unwanted) of the training table: each name under ordinary domains and paths."""
+    """Host, path and label (1: unwanted) of the training table: names of one and two general words under ordinary domains and paths."""
     ends = ("example.com", "example.org", "example.net")
     paths = ("/en/12", "/de/305/", "/fr/77.html", "/es/940", "/")
     rows = []
-    for k, name in enumerate(UNWANTED + PAIRS):
-        rows += [(f"{sub}{name}.{ends[(k + j) % 3]}", paths[(k + j) % 5], 1) for j, sub in enumerate(("", "www.", "m."))]
-    for k, name in enumerate(ORDINARY):
-        rows += [(f"{sub}{name}.{ends[(k + j) % 3]}", paths[(k + j) % 5], 0) for j, sub in enumerate(("", "www.", "blog.", "m."))]
+    for label, names in ((1, UNWANTED), (0, ORDINARY)):
+        pairs = [f"{a}{'-' if k % 2 else ''}{b}" for k, (a, b) in enumerate(zip(names, names[7:] + names[:7], strict=True))]
+        for k, name in enumerate((*names, *pairs)):
+            rows += [(f"{sub}{name}.{ends[(k + j) % 3]}", paths[(k + j) % 5], label) for j, sub in enumerate(("", "www.", "blog.", "m."))]
     return rows
 
 
@@ -56,16 +55,18 @@ def features(host: str, path: str) -> np.ndarray:
     return np.fromiter(slots, np.int64, len(slots))
 
 
-def train(rows: list[tuple[str, str, int]], epochs: int = 40, rate: float = 0.5, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias by gradient steps over the small table, in a fixed order."""
+def train(rows: list[tuple[str, str, int]], epochs: int = 25, rate: float = 0.5, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias by gradient steps over the small table, in a fixed order; the rarer label counts more, by the root of the labels' ratio."""
     weights, bias = np.zeros(1 << BITS), 0.0
     known = [(features(h, p), y) for h, p, y in rows]
+    unwanted = sum(y for _, y in known)
+    weigh = (((len(known) - unwanted) / unwanted) ** 0.5, 1.0) if 0 < unwanted < len(known) else (1.0, 1.0)
     order = np.random.default_rng(1)
     for _ in range(epochs):
         for k in order.permutation(len(known)):
             at, y = known[k]
             z = bias + weights[at].sum() / np.sqrt(max(1, len(at)))
-            slope = 1 / (1 + np.exp(-z)) - y
+            slope = (1 / (1 + np.exp(-z)) - y) * weigh[1 - y]
             weights[at] -= rate * (slope / np.sqrt(max(1, len(at))) + decay * weights[at])
             bias -= 0.1 * rate * slope
     return weights, bias
@@ -91,7 +92,7 @@ def longest_rule(host: Column, path: Column, rules: tuple = RULES) -> Column:
 
 
 def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple = RULES, labelled: list[tuple[str, str, int]] | None = None) -> DataFrame:
-    """Each page's id, host, path, rule, score of the model and verdict."""
+    """Each page's id, host, path, rule, verdict, and the model's score where no rule fits."""
     weights, bias = train(labelled_urls() if labelled is None else labelled)
     weights = weights.astype(np.float32)
 
@@ -99,11 +100,14 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     def score(host: pa.Array, path: pa.Array) -> pa.Array:
         out = []
         for h, p in zip(host.to_pylist(), path.to_pylist(), strict=True):
+            if h is None:  # a rule decides
+                out.append(None)
+                continue
             at = features(h, p)
             out.append(1 / (1 + np.exp(-(bias + weights[at].sum() / np.sqrt(max(1, len(at)))))))
         return pa.array(out, pa.float64())
 
     split = pages.select(F.col(id_col), host_of(url_col).alias("host"), path_of(url_col).alias("path"))
-    judged = split.withColumn("_hit", longest_rule(F.col("host"), F.col("path"), rules)).withColumn("score", F.when(F.col("host") == "", F.lit(0.0)).otherwise(score("host", "path")))
+    judged = split.withColumn("_hit", longest_rule(F.col("host"), F.col("path"), rules)).withColumn("score", score(F.when(F.col("_hit").isNull(), F.col("host")), "path"))
     verdict = F.coalesce("_hit.verdict", F.when(F.col("score") >= BLOCK_AT, "block").otherwise("allow"))
     return judged.select(id_col, "host", "path", F.col("_hit.rule").alias("rule"), "score", verdict.alias("verdict"))
