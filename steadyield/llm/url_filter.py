@@ -27,7 +27,7 @@ RULES = (
 )
 
 BLOCK_AT = 0.5
-BITS = 18
+BITS = 14
 GRAMS = (3, 4, 5)
 # General words in the names of unwanted hosts, and of ordinary ones.
 UNWANTED = ("casino", "poker", "jackpot", "slots", "roulette", "betting", "bets", "gambling", "lottery", "viagra", "pharmacy", "pills", "steroids", "payday", "loans", "porn", "xxx", "adult", "sexy", "cams", "escort", "dating", "malware", "virus", "crack", "warez", "torrent", "keygen", "spam", "phishing", "adserver", "ads", "popup", "tracker", "tracking", "clicks", "clickbait", "cheap", "discount", "replica", "free", "prizes", "farm", "seo", "traffic")
