@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from steadyield.llm.textops import U64, Texts, slices, texts_of
 
@@ -90,7 +91,7 @@ class Index:
     kind: pa.DataType
 
 
-def build_index(ids: list, texts: list[str | None], edit_share: float = EDIT_SHARE) -> Index:
+def build_index(ids: list, texts: list[str | None], edit_share: float = EDIT_SHARE, kind: pa.DataType | None = None) -> Index:
     plain, _ = plain_form(texts_of(pa.array([t or "" for t in texts], pa.large_string())))
     items = [plain.data[a:b].tobytes().strip(b" ") for a, b in zip(plain.offsets[:-1], plain.offsets[1:], strict=True)]
     size = np.array([len(x) for x in items], dtype=np.int64)
@@ -103,7 +104,7 @@ def build_index(ids: list, texts: list[str | None], edit_share: float = EDIT_SHA
     unique, first = np.unique(flat[order], return_index=True)
     seen = np.zeros(1 << _FILTER_BITS, dtype=bool)
     seen[_slot(unique)] = True
-    return Index(ids, items, budget, size - Q + 1 - budget * Q, unique, np.append(first, len(flat)), item[order], place[order], seen, [k for k, s in enumerate(size) if 0 < s < Q], pa.array(ids).type if ids else pa.int64())
+    return Index(ids, items, budget, size - Q + 1 - budget * Q, unique, np.append(first, len(flat)), item[order], place[order], seen, [k for k, s in enumerate(size) if 0 < s < Q], kind or (pa.array(ids).type if ids else pa.int64()))
 
 
 def candidates(texts: Texts, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,12 +143,20 @@ def candidates(texts: Texts, index: Index) -> tuple[np.ndarray, np.ndarray, np.n
     return doc[enough], item[enough], half[enough] * (index.budget[item[enough]] + 1)
 
 
-def align(texts: Texts, index: Index, doc: np.ndarray, item: np.ndarray, low: np.ndarray, lanes: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Least edits of each item within its band of diagonals, and where that stretch ends in the document."""
+def align(texts: Texts, index: Index, doc: np.ndarray, item: np.ndarray, low: np.ndarray, cells: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Least edits of each item within its band of diagonals, and where that stretch ends in the document.
+
+    Items of like sizes are aligned side by side, at most 512 and as many as
+    their windows hold about so many cells.
+    """
     best, end = np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int64)
     size = np.array([len(x) for x in index.items], dtype=np.int64)
     by_size = np.argsort(size[item], kind="stable")
-    for part in (by_size[i : i + lanes] for i in range(0, len(doc), lanes)):
+    at = 0
+    while at < len(doc):
+        lanes = min(512, max(1, cells // (2 * int(size[item[by_size[at]]]) + 64)))
+        part = by_size[at : at + lanes]
+        at += lanes
         m, k = size[item[part]], index.budget[item[part]]
         width = int(3 * (k.max() + 1) + 1)
         rows = int(m.max())
@@ -202,11 +211,12 @@ def find(texts: Texts, index: Index) -> list[tuple[int, int, int, int, int]]:
 
 def benchmark_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[Index]:
     """The benchmark's index in blocks of items; the driver holds one block at a time, of block_bytes and one item at most."""
+    kind = to_arrow_type(benchmark.schema[id_col].dataType)
     sized = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).withColumn("b", F.coalesce(F.octet_length("t"), F.lit(0)))
     total = sized.agg(F.sum("b")).first()[0] or 0
     if total <= block_bytes:
         rows = sized.collect()
-        yield build_index([r.id for r in rows], [r.t for r in rows])
+        yield build_index([r.id for r in rows], [r.t for r in rows], kind=kind)
         return
     parts = -(-2 * total // block_bytes)
     hashed = sized.withColumn("part", F.pmod(F.xxhash64("id", "t"), F.lit(parts)))
@@ -214,7 +224,7 @@ def benchmark_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: st
     runs = hashed.groupBy("part").agg(F.sum("b").alias("b")).withColumn("block", F.floor(upto / block_bytes)).groupBy("block").agg(F.min("part").alias("a"), F.max("part").alias("z")).orderBy("block").collect()
     for run in runs:
         rows = hashed.filter(F.col("part").between(run.a, run.z)).collect()
-        yield build_index([r.id for r in rows], [r.t for r in rows])
+        yield build_index([r.id for r in rows], [r.t for r in rows], kind=kind)
 
 
 def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:

@@ -1,6 +1,7 @@
 import random
+import re
 
-from helpers import odd_texts, prose, rows
+from helpers import LOWER, odd_texts, prose, rows
 from steadyield.llm import benchmark_leaks
 
 
@@ -34,6 +35,48 @@ def test_finds_passages_with_edits_and_leaves_the_rest(spark):
     assert {r.doc_id for r in kept.collect()} == set(text) - {d for d, _ in want}
 
 
+def plain(text):
+    low = (text or "").translate(LOWER).encode()
+    return b" " + re.sub(rb" +", b" ", bytes(c if c > 127 or chr(c).isalnum() else 32 for c in low)).strip(b" ") + b" "
+
+
+def least_edits(item, text):
+    """Of an item against any stretch of a text, byte by byte."""
+    row = [0] * (len(text) + 1)
+    for k, c in enumerate(item):
+        last, row = row, [k + 1]
+        for j, d in enumerate(text):
+            row.append(min(last[j] + (c != d), last[j + 1] + 1, row[j] + 1))
+    return min(row)
+
+
+def test_equals_plain_edit_distances(spark):
+    rng = random.Random(12)
+    bench = [" ".join(prose(rng, n)) for n in (2, 4, 9, 15)] + ["é" * 9 + " ünd so weiter immer fort"]
+    texts = []
+    for k in range(60):
+        chars = list(rng.choice(bench))
+        for _ in range(rng.randrange(0, 1 + len(chars) // 6)):
+            at = rng.randrange(len(chars))
+            chars[at] = rng.choice(("", "z", chars[at] + "y"))
+        texts.append((k, " ".join(prose(rng, rng.randrange(12))) + " " + "".join(chars) + "! " + " ".join(prose(rng, rng.randrange(12)))))
+    size = [len(plain(b).strip(b" ")) for b in bench]
+    budget = [max(0, min(int(0.1 * n), (n - 8) // 8)) for n in size]
+    want = {(k, i) for k, t in texts for i, b in enumerate(bench) if least_edits(plain(b).strip(b" "), plain(t)) <= budget[i]}
+    got = benchmark_leaks.benchmark_leaks(rows(spark, texts), items(spark, bench)).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and 10 < len(want) < 200
+
+
+def test_ids_of_other_types_and_a_long_item(spark):
+    rng = random.Random(3)
+    long = " ".join(prose(rng, 1500))
+    cut_up = " ".join(w if k % 40 else "zz" for k, w in enumerate(long.split()))
+    docs = rows(spark, [(1, "start " + cut_up + " end"), (2, " ".join(prose(rng, 1500)))])
+    for kind in ("int", "string", "smallint"):
+        got = benchmark_leaks.benchmark_leaks(docs, items(spark, [long]).selectExpr(f"cast(item_id as {kind}) as item_id", "text"))
+        assert got.schema["item_id"].dataType.simpleString() == kind and [r.doc_id for r in got.collect()] == [1]
+
+
 def test_blocks_give_the_same(spark, sf, monkeypatch):
     docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     whole = sorted((r.doc_id, r.item_id) for r in benchmark_leaks.benchmark_leaks(docs, bench).collect())
