@@ -47,10 +47,13 @@ def security_code(value: str | Column) -> Column:
 
 def number(value: str | Column) -> Column:
     """Plain, grouped, bracketed or marked numbers; a dash means none."""
-    text = F.regexp_replace(narrow(F.col(value) if isinstance(value, str) else value), r"[,\s円株%倍]", "")
+    raw = F.col(value) if isinstance(value, str) else value
+    text = F.regexp_replace(narrow(raw), r"[,\s円株%倍]", "")
     text = F.regexp_replace(text, "^[△▲−‐-]", "-")
     text = F.regexp_replace(text, r"^\((.*)\)$", "-$1")
-    return F.when(text.rlike(r"^-?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), text.try_cast("double"))
+    marked = F.when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), text.try_cast("double"))
+    # most are plain and need none of the above
+    return F.when(raw.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), raw.try_cast("double")).otherwise(marked)
 
 
 def whole_number(value: str | Column) -> Column:

@@ -39,15 +39,13 @@ class Criteria:
     @staticmethod
     def from_settings(settings: DataFrame) -> Criteria:
         """From rows (name, value): unknown, repeated or blank names and values are errors, missing ones keep their defaults."""
-        rows = settings.select("name", "value").limit(100).collect()
-        names = [r.name for r in rows]
         known = {f.name: f.type for f in fields(Criteria)}
-        if len(set(names)) < len(names):
-            raise ValueError("a setting is given twice")
+        given = settings.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.first("value").alias("value"))
+        wrong = given.filter((F.col("n") > 1) | F.coalesce(~F.col("name").isin(*known), F.lit(True))).take(1)
+        if wrong:
+            raise ValueError(f"setting {wrong[0].name} is given twice" if wrong[0].n > 1 else f"unknown setting {wrong[0].name}")
         values = {}
-        for name, value in rows:
-            if name not in known:
-                raise ValueError(f"unknown setting {name}")
+        for name, _, value in given.collect():  # a row for each known name at most
             if value is None or not value.strip():
                 raise ValueError(f"setting {name} is blank")
             text = value.strip().lower()

@@ -35,9 +35,34 @@ class Metric:
 # The elements and labels that name each metric in filings.
 METRICS = (
     Metric("revenue", ("NetSales", "Revenue", "RevenueIFRS", "NetSalesIFRS", "OperatingRevenue1", "OperatingRevenue2", "OperatingRevenue"), ("売上高", "売上収益", "営業収益", "営業収入", "完成工事高")),
+    Metric("operating_income", ("OperatingIncome", "OperatingIncomeLoss", "OperatingIncomeLossSummaryOfBusinessResults", "OperatingProfitLoss", "OperatingProfitLossIFRS", "OperatingProfitLossIFRSSummaryOfBusinessResults"), ("営業利益", "営業損失", "営業利益又は営業損失", "営業利益又は営業損失（△）", "営業利益（△損失）", "営業利益（△損失）（IFRS）")),
     Metric("ordinary_income", ("OrdinaryIncome", "OrdinaryIncomeLoss", "OrdinaryIncomeLossSummaryOfBusinessResults"), ("経常利益", "経常損失", "経常利益又は経常損失", "経常利益又は経常損失（△）")),
+    Metric(
+        "net_income",
+        ("ProfitLoss", "ProfitLossSummaryOfBusinessResults", "ProfitLossIFRS", "ProfitLossIFRSSummaryOfBusinessResults", "ProfitLossAttributableToOwnersOfParent", "ProfitLossAttributableToOwnersOfParentSummaryOfBusinessResults", "ProfitLossAttributableToOwnersOfParentIFRS", "ProfitLossAttributableToOwnersOfParentIFRSSummaryOfBusinessResults", "NetIncome", "NetIncomeLoss", "NetIncomeLossSummaryOfBusinessResults"),
+        ("当期純利益", "当期純損失", "当期純利益又は当期純損失", "当期純利益又は当期純損失（△）", "親会社株主に帰属する当期純利益", "親会社株主に帰属する当期純損失", "親会社株主に帰属する当期純利益又は親会社株主に帰属する当期純損失", "親会社株主に帰属する当期純利益又は親会社株主に帰属する当期純損失（△）", "親会社の所有者に帰属する当期利益", "親会社の所有者に帰属する当期損失", "親会社の所有者に帰属する当期利益（△損失）"),
+        required=("当期純利益", "当期純損失", "親会社株主に帰属する当期純利益", "親会社株主に帰属する当期純損失", "親会社の所有者に帰属する当期利益", "親会社の所有者に帰属する当期損失"),
+        excluded=("1株当たり", "１株当たり", "潜在株式調整後", "希薄化後", "包括利益", "四半期", "中間期", "セグメント"),
+    ),
     Metric("total_assets", ("Assets", "AssetsIFRS", "TotalAssetsSummaryOfBusinessResults", "TotalAssetsIFRSSummaryOfBusinessResults"), ("資産合計", "総資産額", "総資産")),
     Metric("net_assets", ("NetAssets", "NetAssetsSummaryOfBusinessResults"), ("純資産合計", "純資産額", "純資産")),
+    Metric("equity", ("Equity", "EquityIFRS", "ShareholdersEquity", "EquityAttributableToOwnersOfParentIFRS", "EquityAttributableToOwnersOfParentIFRSSummaryOfBusinessResults"), ("自己資本", "株主資本", "親会社の所有者に帰属する持分")),
+    Metric("operating_cf", ("NetCashProvidedByUsedInOperatingActivities", "CashFlowsFromUsedInOperatingActivitiesIFRS"), ("営業活動によるキャッシュ・フロー", "営業活動によるキャッシュ・フロー（IFRS）")),
+    Metric("investing_cf", ("NetCashProvidedByUsedInInvestingActivities", "CashFlowsFromUsedInInvestingActivitiesIFRS"), ("投資活動によるキャッシュ・フロー", "投資活動によるキャッシュ・フロー（IFRS）")),
+    Metric("financing_cf", ("NetCashProvidedByUsedInFinancingActivities", "CashFlowsFromUsedInFinancingActivitiesIFRS"), ("財務活動によるキャッシュ・フロー", "財務活動によるキャッシュ・フロー（IFRS）")),
+    Metric("cash", ("CashAndCashEquivalents", "CashAndCashEquivalentsIFRS"), ("現金及び現金同等物の期末残高", "現金及び現金同等物")),
+    Metric(
+        "eps",
+        ("BasicEarningsLossPerShare", "BasicEarningsPerShare", "BasicEarningsLossPerShareIFRS", "BasicEarningsPerShareIFRS", "BasicEarningsLossPerShareSummaryOfBusinessResults", "BasicEarningsPerShareSummaryOfBusinessResults", "BasicEarningsLossPerShareIFRSSummaryOfBusinessResults", "BasicEarningsPerShareIFRSSummaryOfBusinessResults"),
+        ("1株当たり当期純利益", "１株当たり当期純利益", "1株当たり当期純損失", "１株当たり当期純損失", "1株当たり当期純利益又は1株当たり当期純損失", "１株当たり当期純利益又は１株当たり当期純損失", "1株当たり当期純利益又は1株当たり当期純損失（△）", "１株当たり当期純利益又は１株当たり当期純損失（△）", "基本的1株当たり当期利益", "基本的１株当たり当期利益", "基本的1株当たり当期利益（△損失）", "基本的１株当たり当期利益（△損失）"),
+        required=("1株当たり当期純利益", "１株当たり当期純利益", "1株当たり当期純損失", "１株当たり当期純損失", "基本的1株当たり当期利益", "基本的１株当たり当期利益"),
+        excluded=("潜在株式調整後", "希薄化後", "四半期", "中間期"),
+    ),
+    Metric("bps", ("NetAssetsPerShare", "NetAssetsPerShareSummaryOfBusinessResults", "EquityAttributableToOwnersOfParentPerShareIFRS", "EquityAttributableToOwnersOfParentPerShareIFRSSummaryOfBusinessResults"), ("1株当たり純資産額", "１株当たり純資産額", "1株当たり親会社所有者帰属持分", "１株当たり親会社所有者帰属持分")),
+    Metric("shares_issued", ("NumberOfIssuedSharesAsOfFiscalYearEndIssuedSharesTotalNumberOfSharesEtc", "TotalNumberOfIssuedSharesSummaryOfBusinessResults", "TotalNumberOfIssuedShares", "NumberOfIssuedShares"), ("発行済株式総数", "期末発行済株式数", "事業年度末現在発行数", "発行済株式数"), unit="shares", prefers_consolidated=False, required=("発行済株式総数", "期末発行済株式数", "事業年度末現在発行数"), excluded=("提出日現在", "潜在株式", "自己株式", "新株予約権")),
+    Metric("current_assets", ("CurrentAssets", "CurrentAssetsIFRS"), ("流動資産", "流動資産合計", "流動資産計")),
+    Metric("investment_securities", ("InvestmentSecurities", "InvestmentSecuritiesIFRS"), ("投資有価証券",)),
+    Metric("liabilities", ("Liabilities", "LiabilitiesIFRS"), ("負債合計", "負債の合計")),
     Metric("treasury_shares", ("TotalNumberOfSharesHeldTreasurySharesEtc",), ("所有株式数の合計",), unit="shares", needs_unit=True, prefers_consolidated=False, least=0),
     Metric("dividend_per_share", ("DividendPaidPerShareSummaryOfBusinessResults",), ("1株当たり配当額",), prefers_consolidated=False, dash_is_zero=True, least=0),
 )
@@ -89,7 +114,7 @@ def prepared(facts: DataFrame) -> DataFrame:
     common = points(
         (any_of(year, CURRENT_YEAR), 60), (any_of(year, PAST_YEAR), -200),
         (context.contains("CurrentYear"), 50), (context.contains("Current"), 15), (context.contains("Prior") | context.contains("Previous"), -200), (context.contains("Segment"), -80),
-        (context.contains("CurrentYearDuration"), 80), (context.contains("CurrentYearInstant"), 80), (F.col("suffix").endswith("SummaryOfBusinessResults"), 70), (context.contains("Quarter"), -300), (context.contains("Interim"), -300),
+        (context.contains("CurrentYearDuration"), 80), (context.contains("CurrentYearInstant"), 80), (F.col("suffix").contains("SummaryOfBusinessResults"), 70), (context.contains("Quarter"), -300), (context.contains("Interim"), -300),
         (F.col("standard").isin("IFRS", "Japan GAAP") & (F.col("scope") == F.col("standard")), 250),
     )
     side = points((F.col("consolidated") == "連結", 45), (F.col("consolidated") == "個別", -20), (context.contains("ConsolidatedMember"), 20), (context.contains("NonConsolidatedMember"), -15))

@@ -7,6 +7,8 @@ of rows with one key the highest wins.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,12 +35,20 @@ def upsert(old: DataFrame, batch: DataFrame, *keys: str, order: str = "batch_no"
     return old.join(new.select(*keys), list(keys), "left_anti").unionByName(new.select(old.columns))
 
 
-def upsert_master(old: DataFrame, listed: DataFrame, key: str = "security_code") -> DataFrame:
-    """The list overwrites and activates; what the list lacks stays, inactive; blanks are null."""
+def upsert_master(old: DataFrame, listed: DataFrame, key: str = "security_code", source: str | None = None) -> DataFrame:
+    """The list overwrites and activates; what the list lacks stays, inactive; blanks are null.
+
+    Where source names a column, only rows of sources that the list holds become inactive.
+    """
     new = blank_to_null(listed)
     m = side_by_side(old, new.select(*(c for c in old.columns if c != "is_active")), key)
     columns = [F.when(F.col("n").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in old.columns if c not in (key, "is_active")]
-    return m.select(key, *columns, F.col("n").isNotNull().alias("is_active"))
+    active = F.col("n").isNotNull()
+    if source is not None:
+        own = new.select(F.col(source).alias("__source")).filter("__source is not null").distinct()
+        m = m.join(own, F.col(f"o.{source}") == F.col("__source"), "left")
+        active |= F.coalesce(F.col("o.is_active"), F.lit(False)) & F.col("__source").isNull()
+    return m.select(key, *columns, active.alias("is_active"))
 
 
 def coalescing_upsert(old: DataFrame, batch: DataFrame, key: str, overwrite: tuple[str, ...] = (), order: str = "batch_no") -> DataFrame:
@@ -93,9 +103,9 @@ def append_new(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def swap_if_filled(table: DataFrame, folder: str, name: str) -> str:
-    """Writes the table beside the old one and returns its path; an empty table is an error and the old one stays."""
-    path = f"{folder}/{name}"
-    table.write.mode("overwrite").parquet(path)
-    if not table.sparkSession.read.parquet(path).take(1):
+    """Writes the table beside the old ones under a name of its own and returns its path; an empty table is an error. Old ones stay as they are."""
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    table.write.parquet(path)
+    if not table.sparkSession.read.schema(table.schema).parquet(path).take(1):
         raise ValueError("the new table is empty; the old one stays")
     return path

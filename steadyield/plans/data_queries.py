@@ -44,14 +44,21 @@ FROM customer
 # facts of an order's lines, in the shape of filings
 FACTS = """
 SELECT CAST(l_orderkey AS STRING) AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate, l_discount, l_tax) AS BIGINT) AS row_no,
-       CASE l_partkey % 7 WHEN 0 THEN 'jppfs_cor:NetSales' WHEN 1 THEN 'jpcrp_cor:RevenueIFRS' WHEN 2 THEN 'jppfs_cor:Assets' WHEN 3 THEN 'jpcrp_cor:NetAssetsSummaryOfBusinessResults'
-         WHEN 4 THEN 'jpcrp_cor:TotalNumberOfSharesHeldTreasurySharesEtc' WHEN 5 THEN 'jpdei_cor:AccountingStandardsDEI' ELSE 'jpcrp_cor:DividendPaidPerShareSummaryOfBusinessResults' END AS element_id,
+       CASE l_partkey % 23 WHEN 0 THEN 'jppfs_cor:NetSales' WHEN 1 THEN 'jpcrp_cor:RevenueIFRS' WHEN 2 THEN 'jppfs_cor:Assets'
+         WHEN 3 THEN 'jpcrp_cor:NetAssetsSummaryOfBusinessResults' WHEN 4 THEN 'jpcrp_cor:TotalNumberOfSharesHeldTreasurySharesEtc' WHEN 5 THEN 'jpdei_cor:AccountingStandardsDEI'
+         WHEN 6 THEN 'jpcrp_cor:DividendPaidPerShareSummaryOfBusinessResults' WHEN 7 THEN 'jppfs_cor:OperatingIncome' WHEN 8 THEN 'jppfs_cor:OrdinaryIncome'
+         WHEN 9 THEN 'jpcrp_cor:ProfitLossIFRSSummaryOfBusinessResults' WHEN 10 THEN 'jpcrp_cor:NetIncomeLossSummaryOfBusinessResults' WHEN 11 THEN 'jpigp_cor:EquityIFRS'
+         WHEN 12 THEN 'jppfs_cor:NetCashProvidedByUsedInOperatingActivities' WHEN 13 THEN 'jppfs_cor:NetCashProvidedByUsedInInvestingActivities' WHEN 14 THEN 'jppfs_cor:NetCashProvidedByUsedInFinancingActivities'
+         WHEN 15 THEN 'jppfs_cor:CashAndCashEquivalents' WHEN 16 THEN 'jpcrp_cor:BasicEarningsLossPerShareSummaryOfBusinessResults' WHEN 17 THEN 'jpcrp_cor:NetAssetsPerShareSummaryOfBusinessResults'
+         WHEN 18 THEN 'jpcrp_cor:TotalNumberOfIssuedSharesSummaryOfBusinessResults' WHEN 19 THEN 'jppfs_cor:CurrentAssets' WHEN 20 THEN 'jppfs_cor:InvestmentSecurities'
+         WHEN 21 THEN 'jppfs_cor:Liabilities'
+         ELSE 'jpdei_cor:WhetherConsolidatedFinancialStatementsArePreparedDEI' END AS element_id,
        CASE l_partkey % 5 WHEN 0 THEN '売上高' WHEN 1 THEN '資産合計' ELSE 'other' END AS label,
        CASE l_suppkey % 4 WHEN 0 THEN 'CurrentYearDuration' WHEN 1 THEN 'Prior1YearDuration' WHEN 2 THEN 'CurrentYearInstant' ELSE 'CurrentQuarterInstant' END AS context_id,
        CASE l_suppkey % 3 WHEN 0 THEN '当期' WHEN 1 THEN '前期' ELSE '' END AS relative_year,
        CASE l_linenumber % 3 WHEN 0 THEN '連結' WHEN 1 THEN '個別' ELSE '' END AS consolidated,
-       CASE WHEN l_partkey % 7 = 4 AND l_suppkey % 2 = 0 THEN 'shares' ELSE '円' END AS unit,
-       CASE WHEN l_partkey % 7 = 5 THEN (CASE WHEN l_orderkey % 2 = 0 THEN 'IFRS' ELSE 'Japan GAAP' END) WHEN l_suppkey % 11 = 0 THEN '－' ELSE CAST(CAST(floor(l_extendedprice) AS BIGINT) AS STRING) END AS value
+       CASE WHEN l_partkey % 23 IN (4, 18) AND l_suppkey % 2 = 0 THEN 'shares' ELSE '円' END AS unit,
+       CASE WHEN l_partkey % 23 = 5 THEN (CASE WHEN l_orderkey % 2 = 0 THEN 'IFRS' ELSE 'Japan GAAP' END) WHEN l_partkey % 23 = 22 THEN (CASE WHEN l_orderkey % 3 = 0 THEN 'false' ELSE 'true' END) WHEN l_suppkey % 11 = 0 THEN '－' ELSE CAST(CAST(floor(l_extendedprice) AS BIGINT) AS STRING) END AS value
 FROM lineitem
 """
 CELLS = """
@@ -197,7 +204,7 @@ def append_only_new(x: Inputs) -> DataFrame:
 
 
 def filing_metrics(x: Inputs) -> DataFrame:
-    names = ("revenue", "total_assets", "net_assets", "treasury_shares", "dividend_per_share")
+    names = [m.name for m in fact_ops.METRICS]
     return fact_ops.extract_metrics(x.sql(FACTS)).select("doc_id", *names, *(f"{n}_element" for n in names), "n_found")
 
 
@@ -243,6 +250,7 @@ def _offer(m: fact_ops.Metric) -> str:
     """A fact's offer to one metric."""
     among = lambda c, words: f"{c} IN ({', '.join(repr(w) for w in words)})" if words else "false"
     exact, label = among("suffix", m.elements), among("label", m.labels)
+    wider = f"({_like('label', m.required)} AND NOT {_like('label', m.excluded)})" if m.required else "false"
     own = "((standard IS NULL OR scope = 'neutral' OR scope = standard) AND NOT (coalesce(is_consolidated, false) AND consolidated = '個別'))" if m.prefers_consolidated else "true"
     unit = f"unit = '{m.unit or '円'}'"
     amount = "coalesce(amount, CASE WHEN value = '－' THEN 0 END)" if m.dash_is_zero else "amount"
@@ -250,18 +258,18 @@ def _offer(m: fact_ops.Metric) -> str:
     side = "CASE consolidated WHEN '連結' THEN 45 WHEN '個別' THEN -20 ELSE 0 END" if m.prefers_consolidated else "CASE consolidated WHEN '個別' THEN 15 ELSE 0 END"
     return f"""SELECT doc_id, row_no, '{m.name}' AS metric, {amount} AS amount, element_id,
       CASE WHEN {exact} THEN 700 ELSE 0 END + CASE WHEN {label} THEN 140 WHEN {_like('label', m.labels)} THEN 80 ELSE 0 END + common + CASE WHEN {unit} THEN 20 ELSE 0 END + {side} AS score
-    FROM known WHERE ({exact} OR {label}) AND {own} AND {amount} IS NOT NULL {least} {'AND ' + unit if m.needs_unit else ''}"""
+    FROM known WHERE ({exact} OR {label} OR {wider}) AND {own} AND {amount} IS NOT NULL {least} {'AND ' + unit if m.needs_unit else ''}"""
 
 
-_METRIC_NAMES = ("revenue", "total_assets", "net_assets", "treasury_shares", "dividend_per_share")
+_METRIC_NAMES = tuple(m.name for m in fact_ops.METRICS)
 
 SQL = {
     "filing_metrics": f"""WITH facts AS ({FACTS}), parted AS (SELECT *, split_part(element_id, ':', 2) AS suffix, TRY_CAST(value AS DOUBLE) AS amount FROM facts),
-      traits AS (SELECT doc_id, min_by(value, row_no) AS standard, CAST(NULL AS BOOLEAN) AS is_consolidated FROM parted WHERE suffix = 'AccountingStandardsDEI' GROUP BY doc_id),
-      scoped AS (SELECT p.*, t.standard, t.is_consolidated, CASE WHEN contains(lower(element_id), 'ifrs') THEN 'IFRS' WHEN contains(element_id, 'jppfs') OR contains(element_id, 'SummaryOfBusinessResults') THEN 'Japan GAAP' ELSE 'neutral' END AS scope FROM parted p LEFT JOIN traits t USING (doc_id)),
+      traits AS (SELECT doc_id, min_by(value, row_no) FILTER (suffix = 'AccountingStandardsDEI') AS standard, min_by(value = 'true', row_no) FILTER (suffix = 'WhetherConsolidatedFinancialStatementsArePreparedDEI') AS is_consolidated FROM parted WHERE suffix LIKE '%DEI' GROUP BY doc_id),
+      scoped AS (SELECT p.*, t.standard, t.is_consolidated, CASE WHEN contains(lower(element_id), 'ifrs') OR contains(element_id, 'jpigp') THEN 'IFRS' WHEN contains(element_id, 'jppfs') OR contains(element_id, 'SummaryOfBusinessResults') THEN 'Japan GAAP' ELSE 'neutral' END AS scope FROM parted p LEFT JOIN traits t USING (doc_id)),
       known AS (SELECT *, CASE relative_year WHEN '当期' THEN 60 WHEN '前期' THEN -200 ELSE 0 END
         + CASE context_id WHEN 'CurrentYearDuration' THEN 145 WHEN 'CurrentYearInstant' THEN 145 WHEN 'Prior1YearDuration' THEN -200 WHEN 'CurrentQuarterInstant' THEN -285 ELSE 0 END
-        + CASE WHEN suffix LIKE '%SummaryOfBusinessResults' THEN 70 ELSE 0 END + CASE WHEN scope = standard THEN 250 ELSE 0 END AS common FROM scoped),
+        + CASE WHEN suffix LIKE '%SummaryOfBusinessResults%' THEN 70 ELSE 0 END + CASE WHEN scope = standard THEN 250 ELSE 0 END AS common FROM scoped),
       offers AS ({' UNION ALL '.join(_offer(m) for m in fact_ops.METRICS)}),
       best AS (SELECT * FROM offers QUALIFY row_number() OVER (PARTITION BY doc_id, metric ORDER BY score DESC, row_no) = 1)
       SELECT d.doc_id, {', '.join(f"max(amount) FILTER (metric = '{n}') AS {n}, max(element_id) FILTER (metric = '{n}') AS {n}_element" for n in _METRIC_NAMES)}, count(metric) AS n_found

@@ -82,3 +82,11 @@ def test_evidence_only(spark):
     listed = candidates(rows, Criteria(max_candidates=1))
     got = sorted((r.security_code, r.part, r.evidence_url) for r in with_evidence_only(listed, rows, proof, Criteria(max_candidates=1)).collect())
     assert got == [("0", 1, "u0"), ("1", 2, "u1")]
+
+
+def test_all_settings_are_read(spark):
+    many = spark.createDataFrame([("min_roe_percent", "9")] + [(f"other_{k}", "1") for k in range(150)], "name string, value string")
+    with pytest.raises(ValueError, match="unknown"):
+        Criteria.from_settings(many)
+    with pytest.raises(ValueError, match="twice"):
+        Criteria.from_settings(spark.createDataFrame([("min_roe_percent", "9")] * 150, "name string, value string"))

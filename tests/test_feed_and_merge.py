@@ -65,3 +65,10 @@ def test_checks(spark):
     assert {r.name: (r.age_days, r.verdict) for r in quality.freshness(latest, "2024-01-07").collect()} == {"prices": (6, "warning"), "filings": (None, "warning"), "financials": (0, "ok")}
     metrics = spark.createDataFrame([(date(2024, 1, 2), date(2024, 1, 1), 0)], "latest_trading_date date, cache_trading_date date, open_analyses int")
     assert {r.name: r.verdict for r in quality.consistency(metrics).collect()} == {"cache": "warning", "analyses": "ok", "unsupported_actions": "ok"}
+
+
+def test_master_of_one_source_leaves_the_others_active(spark):
+    old = spark.createDataFrame([("1", "a", True), ("2", "a", True), ("3", "b", True), ("4", "b", False)], "security_code string, origin string, is_active boolean")
+    listed = spark.createDataFrame([("1", "a"), ("9", "a")], "security_code string, origin string")
+    got = {r.security_code: r.is_active for r in merge.upsert_master(old, listed, source="origin").collect()}
+    assert got == {"1": True, "9": True, "2": False, "3": True, "4": False}

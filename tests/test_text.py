@@ -58,3 +58,8 @@ def test_forms(spark):
 def test_filing_addresses(spark):
     got = read(spark, text.filing_id, "https://viewer.example/view/S100ABCD.pdf", "https://viewer.example/view?S100ABCD,,", "https://viewer.example/view", "S100ABCD")
     assert got == ["S100ABCD", "S100ABCD", None, None]
+
+
+def test_signed_numbers(spark):
+    got = spark.createDataFrame([(v,) for v in ("+5", "-5", "5.", " 7 ", "(3)", "12", "1.50", "+", "１２")], "v string").select(text.number("v").alias("n")).collect()
+    assert [r.n for r in got] == [5, -5, 5, 7, -3, 12, 1.5, None, 12]
