@@ -51,7 +51,7 @@ def number(value: str | Column) -> Column:
     text = F.regexp_replace(narrow(raw), r"[,\s円株%倍]", "")
     text = F.regexp_replace(text, "^[△▲−‐-]", "-")
     text = F.regexp_replace(text, r"^\((.*)\)$", "-$1")
-    marked = F.when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), text.try_cast("double"))
+    marked = F.regexp_extract(text, r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$", 0).try_cast("double")
     # most are plain and need none of the above
     return F.when(raw.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), raw.try_cast("double")).otherwise(marked)
 

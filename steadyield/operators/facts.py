@@ -123,25 +123,36 @@ def prepared(facts: DataFrame) -> DataFrame:
     return known.withColumns({"common": common, "side": side, "fits": fits})
 
 
-def entry(m: Metric) -> Column:
+def definitions(metrics: tuple[Metric, ...]) -> Column:
+    """The metrics as an array of structs."""
+    words = lambda ws: F.array(*map(F.lit, ws)) if ws else F.array().cast("array<string>")
+    return F.array(*(
+        F.struct(
+            F.lit(m.name).alias("name"), words(m.elements).alias("elements"), words(m.labels).alias("labels"), words(m.required).alias("required"), words(m.excluded).alias("excluded"), F.lit(m.unit or "円").alias("unit"),
+            F.lit(m.needs_unit).alias("needs_unit"), F.lit(m.prefers_consolidated).alias("prefers"), F.lit(m.dash_is_zero).alias("dash_is_zero"), F.lit(m.least).cast("double").alias("least"),
+        )
+        for m in metrics
+    ))
+
+
+def entry(m: Column) -> Column:
     """What a prepared fact offers a metric, as a struct of metric, amount, score and element, or null."""
-    label, unit_fits = F.col("label"), F.col("unit") == (m.unit or "円")
-    exact, exact_label = F.col("suffix").isin(*m.elements), label.isin(*m.labels)
-    named = exact | exact_label | (any_of(label, m.required) & ~any_of(label, m.excluded)) if m.required else exact | exact_label
-    if m.prefers_consolidated:  # such figures depend on the accounting standard and the scope
-        named &= F.col("fits")
-    if m.needs_unit:
-        named &= unit_fits
-    amount = F.coalesce("amount", F.when(F.col("is_dash"), 0.0)) if m.dash_is_zero else F.col("amount")
-    named &= amount.isNotNull() if m.least is None else amount >= m.least
-    score = points((exact, 200 + 500), (exact_label, 140), (~exact_label & any_of(label, m.labels), 80), (unit_fits, 20)) + F.col("common")
-    score += F.col("side") if m.prefers_consolidated else points((F.col("consolidated") == "個別", 15))
-    return F.when(named, F.struct(F.lit(m.name).alias("metric"), amount.alias("amount"), score.alias("score"), F.col("element_id").alias("element")))
+    label, unit_fits = F.col("label"), F.col("unit") == m.unit
+    among = lambda words: F.exists(words, lambda w: label.contains(w))
+    exact, exact_label = F.array_contains(m.elements, F.col("suffix")), F.array_contains(m.labels, label)
+    named = exact | exact_label | (among(m.required) & ~among(m.excluded))
+    # such figures depend on the accounting standard and the scope
+    named &= (~m.prefers | F.col("fits")) & (~m.needs_unit | unit_fits)
+    amount = F.coalesce("amount", F.when(m.dash_is_zero & F.col("is_dash"), 0.0))
+    named &= amount.isNotNull() & (m.least.isNull() | (amount >= m.least))
+    score = points((exact, 200 + 500), (exact_label, 140), (~exact_label & among(m.labels), 80), (unit_fits, 20)) + F.col("common")
+    score += F.when(m.prefers, F.col("side")).otherwise(points((F.col("consolidated") == "個別", 15)))
+    return F.when(named, F.struct(m["name"].alias("metric"), amount.alias("amount"), score.alias("score"), F.col("element_id").alias("element")))
 
 
 def extract_metrics(facts: DataFrame, metrics: tuple[Metric, ...] = METRICS) -> DataFrame:
     """One row for each filing: every metric, the element it came from, and how many were found. Facts are read once for all metrics."""
-    offers = prepared(facts).select("doc_id", F.col("at").alias("row_no"), F.explode(F.array_compact(F.array(*map(entry, metrics)))).alias("o"))
+    offers = prepared(facts).select("doc_id", F.col("at").alias("row_no"), F.explode(F.array_compact(F.transform(definitions(metrics), entry))).alias("o"))
     # highest score, then first in the file
     best = offers.groupBy("doc_id", "o.metric").agg(F.max_by("o", F.struct(F.col("o.score"), -F.col("row_no"))).alias("best"))
     of = lambda n, field: F.max(F.when(F.col("metric") == n, F.col(f"best.{field}")))

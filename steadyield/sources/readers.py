@@ -96,15 +96,15 @@ def listed_securities(rows: DataFrame, aliases: dict[str, tuple[str, ...]]) -> D
 
 def quotations(rows: DataFrame) -> DataFrame:
     """Day's prices from rows of 16 cells: morning and afternoon open, high, low and close, then change, average, volume and turnover."""
-    cell = lambda k: number(F.get("cells", F.lit(k)))
+    kept = [c for c in rows.columns if c != "cells"]
+    # numbers are read once, into an array that is used many times and so is not spelled out again in each column
+    read = rows.filter(F.size("cells") == 16).select(*kept, security_code(F.get("cells", F.lit(0))).alias("security_code"), F.transform(F.slice("cells", 3, 12), number).alias("__n"))
+    cell = lambda k: F.get("__n", F.lit(k - 2))
     first = lambda a, b: F.coalesce(cell(a), cell(b))
-    kept = rows.filter((F.size("cells") == 16) & security_code(F.get("cells", F.lit(0))).isNotNull())
-    close, change = first(9, 5), cell(10)
-    prices = kept.select(
-        *[c for c in rows.columns if c != "cells"],
-        security_code(F.get("cells", F.lit(0))).alias("security_code"),
-        first(2, 6).alias("open_price"), F.greatest(cell(3), cell(7)).alias("high_price"), F.least(cell(4), cell(8)).alias("low_price"), close.alias("close_price"),
-        (close - change).alias("previous_close"), cell(11).alias("vwap"), cell(12).alias("volume"), cell(13).alias("turnover"),
+    prices = read.filter("security_code is not null").select(
+        *kept, "security_code",
+        first(2, 6).alias("open_price"), F.greatest(cell(3), cell(7)).alias("high_price"), F.least(cell(4), cell(8)).alias("low_price"), first(9, 5).alias("close_price"),
+        (first(9, 5) - cell(10)).alias("previous_close"), cell(11).alias("vwap"), cell(12).alias("volume"), cell(13).alias("turnover"),
     )
     return prices.withColumn("change_percent", F.when(F.col("previous_close") > 0, (F.col("close_price") / F.col("previous_close") - 1) * 100))
 
