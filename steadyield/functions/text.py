@@ -111,3 +111,9 @@ def filing_id(url: str | Column) -> Column:
     path = F.regexp_extract(text, r"^https://[^/?#]+/[^?#]*/([A-Z][0-9A-Z]{7})\.pdf$", 1)
     query = F.regexp_extract(text, r"^https://[^/?#]+/[^?#]*\?(?:[^#]*&)?([A-Z][0-9A-Z]{7}),?(?:&[^#]*|,[^#]*)?$", 1)
     return F.coalesce(F.nullif(path, F.lit("")), F.nullif(query, F.lit("")))
+
+
+def filing_url(url: str | Column, folder: str) -> Column:
+    """The address of a filing's file in a folder; an address without an id stays as it is, none is blank."""
+    given = url if isinstance(url, Column) else F.col(url)
+    return F.coalesce(F.concat(F.lit(f"{folder}/"), filing_id(given), F.lit(".pdf")), given, F.lit(""))

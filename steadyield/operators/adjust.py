@@ -23,6 +23,18 @@ def unsupported(kind: Column, factor: Column) -> Column:
     return ~kind.eqNullSafe("1") & ~kind.eqNullSafe("2") & (factor != 1)
 
 
+def of_source(actions: DataFrame, source: str) -> DataFrame:
+    """Actions of one source; the same action may stand in another source's table with other values."""
+    return actions.filter(F.col("source") == source)
+
+
+def known_actions(actions: DataFrame, securities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Actions of listed securities, and a report of the codes without one: how many actions each loses."""
+    codes = securities.select("security_code").distinct()
+    lost = actions.join(codes, "security_code", "left_anti").groupBy("security_code").agg(F.count(F.lit(1)).alias("n_actions"))
+    return actions.join(codes, "security_code", "left_semi"), lost
+
+
 def months_between(start: Column, end: Column) -> Column:
     """First days of the months from start to end, none if they are out of order."""
     first, last = F.trunc(start, "MM"), F.trunc(end, "MM")

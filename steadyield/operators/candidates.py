@@ -60,13 +60,17 @@ class Criteria:
         return f"yield >= {self.min_dividend_yield_percent:g} %, payout <= {self.max_payout_ratio_percent:g} %, PER <= {self.max_per_ratio:g}, PBR <= {self.max_pbr_ratio:g}, ROE >= {self.min_roe_percent:g} %, {self.max_per_discount_years:g} years of profit at most, efficiency >= {self.min_investment_efficiency:g}{cash}"
 
     def condition(self) -> Column:
-        c = F.col
-        met = is_true(c("is_adjustment_coverage_complete")) & is_true(c("is_progressive_dividend_5y_adjusted"))
-        met &= (c("dividend_yield_percent") >= self.min_dividend_yield_percent) & c("payout_ratio_percent").between(0, self.max_payout_ratio_percent)
-        met &= (c("per_ratio") > 0) & (c("per_ratio") <= self.max_per_ratio) & (c("pbr_ratio") > 0) & (c("pbr_ratio") <= self.max_pbr_ratio)
-        met &= (c("roe_percent") >= self.min_roe_percent) & (c("per_undervaluation_years") <= self.max_per_discount_years)
-        met &= c("investment_efficiency_10y") >= self.min_investment_efficiency
-        return met & (c("free_cash_flow_jpy") > 0) if self.require_positive_free_cash_flow else met
+        return is_true(F.col("is_adjustment_coverage_complete")) & is_true(F.col("is_progressive_dividend_5y_adjusted")) & threshold_condition(self)
+
+
+def threshold_condition(k: Criteria | SearchRequest) -> Column:
+    """The thresholds that screen and search share."""
+    c = F.col
+    met = (c("dividend_yield_percent") >= k.min_dividend_yield_percent) & c("payout_ratio_percent").between(0, k.max_payout_ratio_percent)
+    met &= (c("per_ratio") > 0) & (c("per_ratio") <= k.max_per_ratio) & (c("pbr_ratio") > 0) & (c("pbr_ratio") <= k.max_pbr_ratio)
+    met &= (c("roe_percent") >= k.min_roe_percent) & (c("per_undervaluation_years") <= k.max_per_discount_years)
+    met &= c("investment_efficiency_10y") >= k.min_investment_efficiency
+    return met & (c("free_cash_flow_jpy") > 0) if k.require_positive_free_cash_flow else met
 
 
 def growth() -> Column:
@@ -97,46 +101,57 @@ def eligible(combined: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class SearchRequest:
-    """A search by a person: thresholds, sort column and how many rows to show."""
+    """A search by a person: the screen's thresholds, sort column and how many rows to show."""
 
-    min_dividend_yield_percent: float | None = None
-    max_payout_ratio_percent: float | None = None
-    max_per_ratio: float | None = None
+    min_dividend_yield_percent: float = 3.0
+    max_payout_ratio_percent: float = 70.0
+    max_per_ratio: float = 25.0
+    max_pbr_ratio: float = 3.0
+    min_roe_percent: float = 8.0
+    max_per_discount_years: float = 5.5
+    min_investment_efficiency: float = 1.7
+    require_positive_free_cash_flow: bool = True
     sort: str = "yield"
     limit: int = 10
 
     def __post_init__(self) -> None:
-        for name in ("min_dividend_yield_percent", "max_payout_ratio_percent", "max_per_ratio"):
-            value = getattr(self, name)
-            if value is not None and (not math.isfinite(value) or value < 0):
-                raise ValueError(f"{name} must be a finite number from 0 on")
-        if not 1 <= self.limit <= 20:
+        for f in fields(self):
+            value = getattr(self, f.name)
+            if f.type == "float" and (isinstance(value, bool) or not isinstance(value, (int, float)) or not math.isfinite(value)):
+                raise ValueError(f"{f.name} must be a finite number")
+        if self.min_dividend_yield_percent < 0:
+            raise ValueError("the least yield must not be negative")
+        if min(self.max_payout_ratio_percent, self.max_per_ratio, self.max_pbr_ratio) <= 0:
+            raise ValueError("the most of payout, PER and PBR must be above 0")
+        if not isinstance(self.require_positive_free_cash_flow, bool):
+            raise ValueError("require_positive_free_cash_flow must be true or false")
+        if isinstance(self.limit, bool) or not isinstance(self.limit, int) or not 1 <= self.limit <= 20:
             raise ValueError("1 to 20 rows can be shown")
         if self.sort not in ("yield", "cagr", "roe"):
             raise ValueError("sort by yield, cagr or roe")
 
+    def condition(self) -> Column:
+        return threshold_condition(self)
+
 
 def search(table: DataFrame, request: SearchRequest) -> DataFrame:
-    """One row more than asked for: if it comes, there are more."""
-    met = F.lit(True)
-    if request.min_dividend_yield_percent is not None:
-        met &= F.col("dividend_yield_percent") >= request.min_dividend_yield_percent
-    if request.max_payout_ratio_percent is not None:
-        met &= F.col("payout_ratio_percent").between(0, request.max_payout_ratio_percent)
-    if request.max_per_ratio is not None:
-        met &= (F.col("per_ratio") > 0) & (F.col("per_ratio") <= request.max_per_ratio)
+    """One row more than asked for: if it comes, there are more. The table holds eligible securities."""
     columns = {"yield": F.col("dividend_yield_percent"), "cagr": F.col("dividend_cagr_5y_adjusted_percent"), "roe": F.col("roe_percent")}
     order = [columns[request.sort], *(c for name, c in columns.items() if name != request.sort)]
     latest = F.when(F.size("adjusted_annual_dividends_yen_5y") > 0, F.element_at("adjusted_annual_dividends_yen_5y", -1))
-    return table.filter(met).withColumn("latest_adjusted_dividend_yen", latest).orderBy(*(c.desc_nulls_last() for c in order), "security_code").limit(request.limit + 1)
+    return table.filter(request.condition()).withColumn("latest_adjusted_dividend_yen", latest).orderBy(*(c.desc_nulls_last() for c in order), "security_code").limit(request.limit + 1)
+
 
+def changes(current: DataFrame, previous: DataFrame, version: str, first_run: bool | None = None) -> DataFrame:
+    """Securities that joined or left the list; a first run reports none. The id follows from both lists.
 
-def changes(current: DataFrame, previous: DataFrame, version: str) -> DataFrame:
-    """Securities that joined or left the list; a first run reports none. The id follows from both lists."""
+    Where first_run is not said, an empty previous list counts as one.
+    """
     now, before = current.select("security_code").distinct(), previous.select("security_code").distinct()
     moved = now.join(before, "security_code", "left_anti").withColumn("change", F.lit("added")).unionByName(before.join(now, "security_code", "left_anti").withColumn("change", F.lit("removed")))
     codes = now.agg(F.array_join(F.array_sort(F.collect_list("security_code")), ",").alias("codes"))  # a capped list
-    first = before.agg((F.count(F.lit(1)) == 0).alias("is_first"))
+    empty = F.count(F.lit(1)) == 0
+    first = before.agg((empty if first_run is None else F.coalesce(F.lit(first_run), empty)).alias("is_first"))
     stamp = F.substring(F.sha2(F.concat_ws("|", F.lit(version), F.col("codes")), 256), 1, 20)
     return moved.crossJoin(F.broadcast(codes)).crossJoin(F.broadcast(first)).filter("not is_first").select(F.concat_ws(":", stamp, "change", "security_code").alias("event_id"), "security_code", "change")
 

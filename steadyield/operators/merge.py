@@ -102,6 +102,24 @@ def append_new(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.unionByName(new.dropDuplicates([key]).join(old.select(key), key, "left_anti").select(old.columns))
 
 
+def merge_filings(old: DataFrame, fetched: DataFrame, key: str = "doc_id", order: str = "batch_no") -> DataFrame:
+    """The fetched filings over the old ones, with is_new for ids seen for the first time; rows without an id go."""
+    named = lambda df: df.filter(F.trim(key) != "")
+    before = named(old).withColumn("__fetched", F.lit(False))
+    new = last_of_batch(named(fetched), key, order=order).select(*old.columns).withColumn("__fetched", F.lit(True))
+    m = side_by_side(before, new, key)
+    columns = [F.when(F.col("n").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in old.columns if c != key]
+    return m.select(key, *columns, F.col("o").isNull().alias("is_new"))
+
+
+def preview(filings: DataFrame, when: str = "submitted_at", key: str = "doc_id", limit: int = 8) -> DataFrame:
+    """The newest filings with their place, and one row after them for how many more there are."""
+    newest = filings.orderBy(F.desc_nulls_last(when), key).limit(limit)
+    top = newest.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last(when), key)).cast("long")).withColumn("n_more", F.lit(None).cast("long"))
+    rest = filings.agg((F.count(F.lit(1)) - limit).alias("n_more")).filter("n_more > 0").withColumn("place", F.lit(limit + 1).cast("long"))
+    return top.unionByName(rest, allowMissingColumns=True)
+
+
 def swap_if_filled(table: DataFrame, folder: str, name: str) -> str:
     """Writes the table beside the old ones under a name of its own and returns its path; an empty table is an error. Old ones stay as they are."""
     path = f"{folder}/{name}-{uuid.uuid4().hex}"

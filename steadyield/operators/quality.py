@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from steadyield.operators.adjust import unsupported
 from steadyield.operators.dividends import one_record_per_period
 
 MAX_AGE_DAYS = {"prices": 5, "financials": 400, "filings": 4, "disclosures": 5}
@@ -42,6 +43,23 @@ def freshness(latest: DataFrame, as_of: str, max_age: dict[str, int] = MAX_AGE_D
     return latest.withColumn("age_days", age).withColumn("verdict", F.when(F.col("age_days").isNull() | (F.col("age_days") > limit), "warning").otherwise("ok"))
 
 
+def health_metrics(securities: DataFrame, prices: DataFrame, cache: DataFrame, financials: DataFrame, filings: DataFrame, results: DataFrame, actions: DataFrame) -> DataFrame:
+    """One row: what each table holds and how new it is, open analyses, and actions of active securities that are not adjusted for."""
+    n = F.count(F.lit(1))
+    active = securities.filter("is_active")
+    odd = actions.filter(unsupported(F.col("ex_right_type"), F.col("adjustment_factor"))).join(active.select("security_code"), "security_code")
+    parts = (
+        active.agg(n.alias("active_securities")),
+        prices.agg(F.max("trading_date").alias("latest_trading_date"), n.alias("price_rows")),
+        cache.agg(n.alias("cache_rows"), F.max("trading_date").alias("cache_trading_date")),
+        financials.agg(n.alias("financial_rows"), F.max("fiscal_period_end").alias("latest_fiscal_period_end")),
+        filings.agg(n.alias("filing_rows"), F.max("submitted_at").alias("latest_submitted_at")),
+        results.agg(F.count_if(F.col("status") != "completed").alias("open_analyses")),
+        odd.agg(n.alias("unsupported_actions")),
+    )  # each has one row
+    return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), parts)
+
+
 def consistency(metrics: DataFrame) -> DataFrame:
     """One-row metrics as checks: a cache older than the prices and open analyses warn, unsupported actions are only reported."""
     cache = F.when(F.col("latest_trading_date").isNull() | F.col("cache_trading_date").isNull() | (F.col("cache_trading_date") < F.col("latest_trading_date")), "warning").otherwise("ok")

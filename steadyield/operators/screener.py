@@ -29,6 +29,12 @@ def latest_financials(financials: DataFrame) -> DataFrame:
     return latest_per(financials, "security_code", F.desc("fiscal_period_end"), F.desc_nulls_last("submitted_at"), F.desc_nulls_last("extracted_at"), F.desc("annual_financial_id"))
 
 
+def with_submission(financials: DataFrame, filings: DataFrame) -> DataFrame:
+    """The financials with the time their filing was submitted; one whose filing is not listed has none."""
+    times = filings.select("doc_id", "submitted_at")
+    return financials.drop("submitted_at").join(times, "doc_id", "left")
+
+
 def ratio(above: Column, below: Column, where: Column, scale: float = 1.0) -> Column:
     value = above.cast("double") / below.cast("double")
     return F.when(where, value * scale if scale != 1.0 else value)

@@ -13,6 +13,8 @@ from steadyield.plans.standins import AS_OF, Inputs
 LOOSE = candidates.Criteria(min_dividend_yield_percent=3.0, max_payout_ratio_percent=95.0, max_per_ratio=25.0, max_pbr_ratio=3.0, min_roe_percent=2.0, max_per_discount_years=60.0, min_investment_efficiency=1.2, require_positive_free_cash_flow=False)
 TIGHT = candidates.Criteria(min_dividend_yield_percent=5.0, max_payout_ratio_percent=95.0, max_per_ratio=20.0, max_pbr_ratio=3.0, min_roe_percent=5.0, max_per_discount_years=40.0, min_investment_efficiency=1.7, require_positive_free_cash_flow=True)
 
+SEARCH = candidates.SearchRequest(min_dividend_yield_percent=2.0, max_payout_ratio_percent=120.0, max_per_ratio=30.0, max_pbr_ratio=4.0, min_roe_percent=1.0, max_per_discount_years=80.0, min_investment_efficiency=1.0, require_positive_free_cash_flow=True, sort="cagr", limit=20)
+
 RATIOS = ["market_capitalization_jpy", "market_capitalization_million_yen", "per_ratio", "pbr_ratio", "roe_percent", "roa_percent", "equity_ratio_percent", "operating_profit_margin_percent", "net_income_margin_percent", "dividend_yield_percent", "payout_ratio_percent", "free_cash_flow_jpy", "treasury_shares_ratio_percent", "net_cash_jpy", "per_undervaluation_years", "investment_efficiency_10y"]
 
 
@@ -78,7 +80,7 @@ def eligible_cache(x: Inputs) -> DataFrame:
 
 
 def search_by_growth(x: Inputs) -> DataFrame:
-    found = candidates.search(candidates.eligible(combined(x)), candidates.SearchRequest(min_dividend_yield_percent=2.0, max_per_ratio=30.0, sort="cagr", limit=20))
+    found = candidates.search(candidates.eligible(combined(x)), SEARCH)
     return rounded(found, "dividend_yield_percent", "roe_percent").select("security_code", "dividend_cagr_5y_adjusted_percent", "dividend_yield_percent", "roe_percent", "latest_adjusted_dividend_yen")
 
 
@@ -104,7 +106,7 @@ def unsupported_actions(x: Inputs) -> DataFrame:
 
 
 def indicator_report(x: Inputs) -> DataFrame:
-    return screener.indicator_report(combined(x)).drop("dividend_history")
+    return screener.indicator_report(combined(x))
 
 
 def fetch_range(x: Inputs) -> DataFrame:

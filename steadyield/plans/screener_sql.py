@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from steadyield.operators.candidates import Criteria
-from steadyield.plans.screener_queries import LOOSE, RATIOS, TIGHT
+from steadyield.operators.candidates import Criteria, SearchRequest
+from steadyield.plans.screener_queries import LOOSE, RATIOS, SEARCH, TIGHT
 from steadyield.plans.standins import AS_OF, with_stand_ins
 
 _LATEST = """
@@ -116,15 +116,19 @@ _COMBINED = _ALL + ",\ncombined AS (SELECT * FROM base LEFT JOIN raw USING (secu
 _GROWTH = "CASE WHEN is_adjustment_coverage_complete THEN dividend_cagr_5y_adjusted_percent ELSE dividend_cagr_5y_percent END"
 
 
-def _met(k: Criteria) -> str:
+def _thresholds(k: Criteria | SearchRequest) -> str:
     cash = " AND free_cash_flow_jpy > 0" if k.require_positive_free_cash_flow else ""
     return (
-        f"is_adjustment_coverage_complete IS TRUE AND is_progressive_dividend_5y_adjusted IS TRUE AND dividend_yield_percent >= {k.min_dividend_yield_percent} AND payout_ratio_percent BETWEEN 0 AND {k.max_payout_ratio_percent}"
+        f"dividend_yield_percent >= {k.min_dividend_yield_percent} AND payout_ratio_percent BETWEEN 0 AND {k.max_payout_ratio_percent}"
         f" AND per_ratio > 0 AND per_ratio <= {k.max_per_ratio} AND pbr_ratio > 0 AND pbr_ratio <= {k.max_pbr_ratio} AND roe_percent >= {k.min_roe_percent} AND per_undervaluation_years <= {k.max_per_discount_years}"
         f" AND investment_efficiency_10y >= {k.min_investment_efficiency}{cash}"
     )
 
 
+def _met(k: Criteria) -> str:
+    return f"is_adjustment_coverage_complete IS TRUE AND is_progressive_dividend_5y_adjusted IS TRUE AND {_thresholds(k)}"
+
+
 def _list(name: str, k: Criteria) -> str:
     return f",\n{name} AS (SELECT *, {_GROWTH} AS growth_percent FROM combined WHERE {_met(k)} ORDER BY dividend_yield_percent DESC NULLS LAST, growth_percent DESC NULLS LAST, roe_percent DESC NULLS LAST, security_code LIMIT {k.max_candidates})"
 
@@ -185,7 +189,7 @@ SQL = {
     "eligible_cache": _COMBINED + f" SELECT security_code, trading_date, {_rounded('dividend_yield_percent', 'roe_percent')}, dividend_cagr_5y_adjusted_percent FROM combined WHERE annual_financial_id IS NOT NULL AND close_price IS NOT NULL AND is_adjustment_coverage_complete AND is_progressive_dividend_5y_adjusted",
     "search_by_growth": _COMBINED + f""" SELECT security_code, dividend_cagr_5y_adjusted_percent, {_rounded('dividend_yield_percent', 'roe_percent')}, d.d1 AS latest_adjusted_dividend_yen
       FROM combined JOIN adjusted0 d USING (security_code) WHERE annual_financial_id IS NOT NULL AND close_price IS NOT NULL AND is_adjustment_coverage_complete AND is_progressive_dividend_5y_adjusted
-        AND combined.dividend_yield_percent >= 2.0 AND per_ratio > 0 AND per_ratio <= 30.0
+        AND {_thresholds(SEARCH).replace('dividend_yield_percent', 'combined.dividend_yield_percent', 1)}
       ORDER BY combined.dividend_cagr_5y_adjusted_percent DESC NULLS LAST, combined.dividend_yield_percent DESC NULLS LAST, combined.roe_percent DESC NULLS LAST, security_code LIMIT 21""",
     "candidate_changes": _COMBINED + _list("loose", LOOSE) + _list("tight", TIGHT)
     + """, moved AS (SELECT security_code, 'added' AS change FROM tight WHERE security_code NOT IN (SELECT security_code FROM loose) UNION ALL SELECT security_code, 'removed' FROM loose WHERE security_code NOT IN (SELECT security_code FROM tight)),
@@ -205,7 +209,9 @@ SQL = {
         CASE dividend_adjustment_status WHEN 'unsupported_corporate_action' THEN 'not_adjusted' WHEN 'adjustment_data_incomplete' THEN 'range_incomplete' WHEN 'complete' THEN 'adjusted' ELSE 'no_data' END AS adjustment_state
       FROM actions a JOIN securities s ON s.security_code = a.security_code AND s.is_active LEFT JOIN adjusted d ON d.security_code = a.security_code
       WHERE ex_right_type IS DISTINCT FROM '1' AND ex_right_type IS DISTINCT FROM '2' AND adjustment_factor <> 1""",
-    "indicator_report": _COMBINED + " SELECT security_code, company_name, trading_date, close_price, progressive_dividend_status_5y, " + ", ".join(f"round(CAST({c} AS DOUBLE) / 10000) / 100 AS {c.replace('_jpy', '_million_yen')}" for c in _MILLIONS) + ", " + ", ".join(f"round({c}, 2) + 0 AS {c}" for c in _SHORT) + " FROM combined WHERE annual_financial_id IS NOT NULL AND close_price IS NOT NULL",
+    "indicator_report": _COMBINED + " SELECT security_code, company_name, trading_date, close_price, progressive_dividend_status_5y, " + ", ".join(f"round(CAST({c} AS DOUBLE) / 10000) / 100 AS {c.replace('_jpy', '_million_yen')}" for c in _MILLIONS) + ", " + ", ".join(f"round({c}, 2) + 0 AS {c}" for c in _SHORT) 
+    + """, array_to_string(list_transform(list_zip(string_split(fiscal_periods_5y, ','), string_split(annual_dividends_yen_5y, ',')), lambda p: p[1] || ':' || CASE WHEN p[2] = 'null' THEN 'missing' ELSE p[2] || '.0' END), ' / ') AS dividend_history
+      FROM combined WHERE annual_financial_id IS NOT NULL AND close_price IS NOT NULL""",
     "price_matches": with_stand_ins("securities", "financials", "prices") + "," + _LATEST + " SELECT s.security_code, trading_date, close_price, CASE WHEN close_price IS NULL THEN 'no_price' ELSE 'matched' END AS status FROM securities s LEFT JOIN price USING (security_code) WHERE is_active",
     "fetch_range": with_stand_ins("securities", "financials")
     + """, ends AS (SELECT security_code, fiscal_period_end, row_number() OVER (PARTITION BY security_code ORDER BY fiscal_period_end DESC) AS k FROM (SELECT DISTINCT security_code, fiscal_period_end FROM financials)),

@@ -21,13 +21,16 @@ def filing_facts(spark: SparkSession, folder: str, encoding: str = "UTF-16") ->
     """Tab-separated facts of unpacked filings, audit files left out; headers are replaced by position. A file is named after its document."""
     raw = spark.read.option("sep", "\t").option("encoding", encoding).option("multiLine", True).option("header", True).csv(f"{folder}/*.csv")
     named = raw.toDF(*FACT_COLUMNS[: len(raw.columns)]) if len(raw.columns) <= len(FACT_COLUMNS) else raw
-    rows = named.select(*FACT_COLUMNS, F.col("_metadata.file_path").alias("source_file")) if "_metadata" in dir(raw) else named.withColumn("source_file", F.input_file_name())
+    rows = named.withColumn("source_file", F.input_file_name())
     rows = rows.filter(~F.element_at(F.split("source_file", "/"), -1).startswith("jpaud"))
     return rows.withColumns({"doc_id": F.regexp_extract("source_file", r"([^/]+?)(?:_[^/]*)?\.csv$", 1), "row_no": F.monotonically_increasing_id()})
 
 
 def pending_rights(spark: SparkSession, path: str) -> DataFrame:
-    """Pending rights from six-column text files in code page 932; a line of another width is an error, blank ones are skipped."""
+    """Pending rights from six-column text files in code page 932; a line of another width is an error, blank ones are skipped.
+
+    A code that a file names again with the same ratio counts once; another ratio is an error.
+    """
 
     @F.arrow_udf(StringType())
     def decoded(content: pa.Array) -> pa.Array:
@@ -37,7 +40,11 @@ def pending_rights(spark: SparkSession, path: str) -> DataFrame:
     cells = F.split("line", ",", -1)
     rows = lines.filter(F.regexp_replace("line", "[,\\s]", "") != "")
     rows = rows.withColumn("cells", F.when(F.size(cells) == 6, cells).otherwise(F.raise_error(F.lit("a line has not six columns")).cast("array<string>")))
-    return rows.select("path", security_code(F.col("cells")[1]).alias("security_code"), ratio_factor(F.col("cells")[3]).alias("adjustment_factor")).filter("security_code is not null")
+    read = rows.select("path", security_code(F.col("cells")[1]).alias("security_code"), ratio_factor(F.col("cells")[3]).alias("adjustment_factor")).filter("security_code is not null")
+    # a null and a number differ too
+    same = (F.max("adjustment_factor") == F.min("adjustment_factor")) & (F.count("adjustment_factor") == F.count(F.lit(1))) | (F.count("adjustment_factor") == 0)
+    one = F.when(same, F.max("adjustment_factor")).otherwise(F.raise_error(F.lit("a code has two ratios")).cast("decimal(20,10)"))
+    return read.groupBy("path", "security_code").agg(one.alias("adjustment_factor"))
 
 
 class _Links(HTMLParser):

@@ -62,11 +62,23 @@ def test_search(spark):
     rows = table(spark, *({"roe_percent": float(k)} for k in range(30)))
     got = search(rows, SearchRequest(sort="roe", limit=5)).collect()
     assert [r.roe_percent for r in got] == [29.0, 28.0, 27.0, 26.0, 25.0, 24.0] and got[0].latest_adjusted_dividend_yen == 2.0
-    for bad in ({"limit": 0}, {"limit": 21}, {"sort": "x"}, {"max_per_ratio": -1.0}, {"max_per_ratio": float("nan")}):
+    for bad in ({"limit": 0}, {"limit": 21}, {"sort": "x"}, {"max_per_ratio": -1.0}, {"max_per_ratio": float("nan")}, {"max_pbr_ratio": 0.0}, {"max_payout_ratio_percent": 0.0}, {"min_dividend_yield_percent": -1.0}, {"require_positive_free_cash_flow": 1}, {"limit": True}, {"min_roe_percent": None}):
         with pytest.raises(ValueError):
             SearchRequest(**bad)
 
 
+def test_search_has_the_screens_defaults(spark):
+    rows = table(spark, {}, {"free_cash_flow_jpy": 0.0}, {"pbr_ratio": 3.5}, {"roe_percent": 7.9}, {"per_undervaluation_years": 6.0}, {"investment_efficiency_10y": 1.6}, {"per_ratio": None})
+    assert [r.security_code for r in search(rows, SearchRequest()).collect()] == ["0"]
+
+
+def test_first_run_is_what_the_caller_says(spark):
+    rows = table(spark, {}, {})
+    none = rows.limit(0)
+    assert changes(rows, none, "v", first_run=False).count() == 2 and changes(rows, none, "v", first_run=True).count() == 0
+    assert changes(rows, none, "v").count() == 0
+
+
 def test_settings(spark):
     rows = lambda *r: spark.createDataFrame(list(r), "name string, value string")
     got = Criteria.from_settings(rows(("min_roe_percent", "9.5"), ("require_positive_free_cash_flow", "FALSE"), ("max_candidates", "10")))

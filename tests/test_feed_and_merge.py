@@ -72,3 +72,36 @@ def test_master_of_one_source_leaves_the_others_active(spark):
     listed = spark.createDataFrame([("1", "a"), ("9", "a")], "security_code string, origin string")
     got = {r.security_code: r.is_active for r in merge.upsert_master(old, listed, source="origin").collect()}
     assert got == {"1": True, "9": True, "2": False, "3": True, "4": False}
+
+
+def test_filings_and_their_preview(spark):
+    columns = "doc_id string, title string, submitted_at string"
+    old = spark.createDataFrame([("a", "old", "1"), (" ", "none", "9"), (None, "none", "9")], columns)
+    fetched = spark.createDataFrame([("a", "new", "5", 1), ("b", "x", "2", 1), ("b", "y", "3", 2), ("", "z", "9", 1)], columns + ", batch_no int")
+    got = sorted(tuple(r) for r in merge.merge_filings(old, fetched).collect())
+    assert got == [("a", "new", "5", False), ("b", "y", "3", True)]
+    many = spark.createDataFrame([(f"d{k:02}", "t", str(k // 4)) for k in range(11)] + [("n", "t", None)], columns)
+    shown = [(r.place, r.doc_id, r.n_more) for r in merge.preview(many).orderBy("place").collect()]
+    assert [d for _, d, _ in shown] == ["d08", "d09", "d10", "d04", "d05", "d06", "d07", "d00", None] and shown[-1] == (9, None, 4)
+    assert merge.preview(many.limit(8)).count() == 8 and merge.preview(many.limit(0)).count() == 0
+
+
+def test_unknown_codes_are_told(spark):
+    from steadyield.operators import adjust
+
+    actions = spark.createDataFrame([("1", "x"), ("2", "x"), ("2", "x"), ("3", "y"), ("1", None)], "security_code string, source string")
+    kept, lost = adjust.known_actions(adjust.of_source(actions, "x"), spark.createDataFrame([("1",), ("1",)], "security_code string"))
+    assert [r.security_code for r in kept.collect()] == ["1"] and [tuple(r) for r in lost.collect()] == [("2", 2)]
+
+
+def test_health_of_empty_tables(spark):
+    from steadyield.operators import quality
+
+    of = lambda ddl: spark.createDataFrame([], ddl)
+    row = quality.health_metrics(
+        of("security_code string, is_active boolean"), of("trading_date date"), of("trading_date date"), of("fiscal_period_end date"), of("submitted_at timestamp"), of("status string"),
+        of("security_code string, ex_right_type string, adjustment_factor double"),
+    )
+    got = row.first().asDict()
+    assert got["latest_trading_date"] is None and got["price_rows"] == got["open_analyses"] == got["unsupported_actions"] == 0
+    assert {r.name: r.verdict for r in quality.consistency(row).collect()} == {"cache": "warning", "analyses": "ok", "unsupported_actions": "ok"}

@@ -7,7 +7,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from steadyield.operators import facts as fact_ops
-from steadyield.sources import readers
+from steadyield.sources import readers, schemas
 
 
 def test_pending_rights(spark, tmp_path):
@@ -15,6 +15,13 @@ def test_pending_rights(spark, tmp_path):
     got = readers.pending_rights(spark, f"file://{tmp_path}/a.csv").collect()
     assert [(r.security_code, float(r.adjustment_factor)) for r in got] == [("2814", 0.5)]
     (tmp_path / "b.csv").write_bytes("x,2814,1\n".encode("cp932"))
+    (tmp_path / "c.csv").write_bytes("a,2814,1,1:2,x,x\na,2814,1,1:2,x,x\na,2815,1,,x,x\n".encode("cp932"))
+    got = readers.pending_rights(spark, f"file://{tmp_path}/c.csv").orderBy("security_code").collect()
+    assert [(r.security_code, r.adjustment_factor and float(r.adjustment_factor)) for r in got] == [("2814", 0.5), ("2815", None)]
+    for other in ("1:3", ""):
+        (tmp_path / "d.csv").write_bytes(f"a,2814,1,1:2,x,x\na,2814,1,{other},x,x\n".encode("cp932"))
+        with pytest.raises(Exception, match="two ratios"):
+            readers.pending_rights(spark, f"file://{tmp_path}/d.csv").collect()
     with pytest.raises(Exception, match="six columns"):
         readers.pending_rights(spark, f"file://{tmp_path}/b.csv").collect()
 
@@ -85,3 +92,20 @@ def test_overrides(spark):
     wrong = fit.withColumn("security_code", F.lit("7"))
     with pytest.raises(Exception, match="does not fit"):
         fact_ops.apply_overrides(rows, wrong, ("x",)).collect()
+
+
+@pytest.mark.parametrize("name", sorted(schemas.SCHEMAS))
+def test_declared_tables(spark, tmp_path, name):
+    """An old file that lacks columns, and one with more, read under the declared ones."""
+    first = schemas.schema(name)[0]
+    spark.sql(f"SELECT CAST(NULL AS {first.dataType.simpleString()}) AS {first.name}, 1 AS other").write.parquet(f"file://{tmp_path}/{name}")
+    got = schemas.read_table(spark, f"file://{tmp_path}", name)
+    assert [f.name for f in got.schema] == [f.name for f in schemas.schema(name)] and len(set(got.columns)) == len(got.columns) and got.count() == 1
+    rows = schemas.conform(spark.sql(f"SELECT 'x' AS other, CAST(NULL AS STRING) AS {first.name}"), name)
+    assert rows.schema.simpleString() == schemas.schema(name).simpleString() and rows.count() == 1
+    assert schemas.conform(rows.limit(0), name).count() == 0
+
+
+def test_values_that_cannot_be_cast(spark):
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        schemas.conform(spark.sql("SELECT 'soon' AS trading_date"), "prices").collect()
