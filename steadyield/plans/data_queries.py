@@ -130,7 +130,7 @@ def freshness_report(x: Inputs) -> DataFrame:
 def table_differences(x: Inputs) -> DataFrame:
     part = x.table("part")
     other = part.filter("p_partkey % 40 <> 0").withColumns({"p_retailprice": F.when(F.col("p_partkey") % 11 == 0, F.col("p_retailprice") + 1).otherwise(F.col("p_retailprice") + 0.001), "p_name": F.when(F.col("p_partkey") % 13 == 0, F.lit("renamed")).otherwise(F.col("p_name")), "p_size": F.when(F.col("p_partkey") % 17 == 0, None).otherwise(F.col("p_size"))})
-    return quality.compare_tables(part, other, "p_partkey").select("p_partkey", "column", F.when(F.col("column") == "p_retailprice", None).otherwise(F.col("left_value")).alias("left_value"), F.when(F.col("column") == "p_retailprice", None).otherwise(F.col("right_value")).alias("right_value"))
+    return quality.compare_tables(part, other, "p_partkey")
 
 
 def conflicting_lines(x: Inputs) -> DataFrame:
@@ -162,7 +162,7 @@ def _snapshot(x: Inputs, late: bool) -> DataFrame:
     """Customers as an old master and as a later batch of some of them with changes."""
     c = x.table("customer")
     rows = c.select(F.col("c_custkey").cast("string").alias("security_code"), F.col("c_name").alias("company_name"), F.when(F.col("c_custkey") % (4 if late else 6) != 0, F.col("c_mktsegment")).alias("industry"), F.when(F.col("c_custkey") % (5 if late else 9) != 0, F.col("c_nationkey").cast("long") + (100 if late else 0)).alias("value"))
-    return rows.filter("CAST(security_code AS BIGINT) % 3 <> 0" if late else "CAST(security_code AS BIGINT) % 7 <> 0")
+    return rows.filter("CAST(security_code AS BIGINT) % 3 <> 0" if late else "CAST(security_code AS BIGINT) % 7 <> 0 OR CAST(security_code AS BIGINT) % 3 = 0")
 
 
 def master_upsert(x: Inputs) -> DataFrame:
@@ -174,8 +174,8 @@ def coalescing_merge(x: Inputs) -> DataFrame:
 
 
 def latest_wins(x: Inputs) -> DataFrame:
-    old = x.sql("SELECT o_orderkey AS k, o_custkey AS v FROM orders WHERE o_orderkey % 3 <> 0")
-    batch = x.sql("SELECT l_orderkey AS k, l_partkey AS v, l_linenumber * 1000000 + l_partkey AS batch_no FROM lineitem WHERE l_orderkey % 2 = 0")
+    old = x.sql("SELECT o_orderkey AS k, o_custkey AS v FROM orders")
+    batch = x.sql("SELECT CASE WHEN l_orderkey % 2 = 0 THEN l_orderkey ELSE l_orderkey + 100000000 END AS k, l_partkey AS v, l_linenumber * 1000000 + l_partkey AS batch_no FROM lineitem")
     return merge.upsert(old, batch, "k")
 
 
@@ -193,7 +193,7 @@ def status_widening(x: Inputs) -> DataFrame:
 
 
 def attempt_counts(x: Inputs) -> DataFrame:
-    old = x.sql("SELECT event_id AS disclosure_id, event_type AS status, event_id % 4 AS attempts FROM events WHERE event_id % 3 <> 0")
+    old = x.sql("SELECT event_id AS disclosure_id, event_type AS status, event_id % 4 AS attempts FROM events WHERE event_id % 3 <> 0 OR event_id % 2 <> 0")
     new = x.sql("SELECT event_id AS disclosure_id, 'completed' AS status FROM events WHERE event_id % 2 = 0")
     return merge.record_attempts(old, new)
 
@@ -238,7 +238,7 @@ _LINES = "pages0 AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(
 _UPPER = tuple(w.upper() for w in WORDS.policy)
 _RECORD = "record AS (SELECT * FROM financials QUALIFY row_number() OVER (PARTITION BY security_code, fiscal_period_end ORDER BY submitted_at DESC NULLS LAST, extracted_at DESC NULLS LAST, annual_financial_id DESC) = 1)"
 _COMPLETED = f"WITH results AS ({RESULTS}), latest AS (SELECT * FROM results WHERE status = 'completed' QUALIFY row_number() OVER (PARTITION BY security_code ORDER BY published_date DESC, published_time DESC NULLS LAST, disclosure_id DESC) = 1)"
-_OLD = "SELECT CAST(c_custkey AS STRING) AS security_code, c_name AS company_name, CASE WHEN c_custkey % 6 <> 0 THEN c_mktsegment END AS industry, CASE WHEN c_custkey % 9 <> 0 THEN c_nationkey END AS value FROM customer WHERE c_custkey % 7 <> 0"
+_OLD = "SELECT CAST(c_custkey AS STRING) AS security_code, c_name AS company_name, CASE WHEN c_custkey % 6 <> 0 THEN c_mktsegment END AS industry, CASE WHEN c_custkey % 9 <> 0 THEN c_nationkey END AS value FROM customer WHERE c_custkey % 7 <> 0 OR c_custkey % 3 = 0"
 _NEW = "SELECT CAST(c_custkey AS STRING) AS security_code, c_name AS company_name, CASE WHEN c_custkey % 4 <> 0 THEN c_mktsegment END AS industry, CASE WHEN c_custkey % 5 <> 0 THEN c_nationkey + 100 END AS value FROM customer WHERE c_custkey % 3 <> 0"
 
 
@@ -304,10 +304,12 @@ SQL = {
     "freshness_report": with_stand_ins("financials", "prices")
     + f""", latest AS (SELECT 'prices' AS name, max(trading_date) AS latest_date, 5 AS most FROM prices UNION ALL SELECT 'financials', max(fiscal_period_end), 400 FROM financials UNION ALL SELECT 'filings', CAST(max(submitted_at) AS DATE), 4 FROM financials)
       SELECT name, latest_date, greatest(DATE '{AS_OF}' - latest_date, 0) AS age_days, CASE WHEN latest_date IS NULL OR DATE '{AS_OF}' - latest_date > most THEN 'warning' ELSE 'ok' END AS verdict FROM latest""",
-    "table_differences": """SELECT p_partkey, 'missing on the right' AS "column", NULL AS left_value, NULL AS right_value FROM part WHERE p_partkey % 40 = 0
-      UNION ALL SELECT p_partkey, 'p_retailprice', NULL, NULL FROM part WHERE p_partkey % 40 <> 0 AND p_partkey % 11 = 0
-      UNION ALL SELECT p_partkey, 'p_name', p_name, 'renamed' FROM part WHERE p_partkey % 40 <> 0 AND p_partkey % 13 = 0
-      UNION ALL SELECT p_partkey, 'p_size', CAST(p_size AS VARCHAR), NULL FROM part WHERE p_partkey % 40 <> 0 AND p_partkey % 17 = 0 AND p_size IS NOT NULL""",
+    "table_differences": """WITH other AS (SELECT * REPLACE (p_retailprice + CASE WHEN p_partkey % 11 = 0 THEN 1 ELSE 0.001::DOUBLE END AS p_retailprice, CASE WHEN p_partkey % 13 = 0 THEN 'renamed' ELSE p_name END AS p_name, CASE WHEN p_partkey % 17 <> 0 THEN p_size END AS p_size) FROM part WHERE p_partkey % 40 <> 0),
+      cells AS (SELECT coalesce(l.p_partkey, r.p_partkey) AS p_partkey, r.p_partkey IS NULL AS lost, l.p_partkey IS NULL AS extra, unnest(["""
+    + ", ".join(f"{{'c': '{c}', 'a': CAST(l.{c} AS VARCHAR), 'b': CAST(r.{c} AS VARCHAR), 'numeric': {str(n).lower()}}}" for c, n in (("p_name", False), ("p_brand", False), ("p_type", False), ("p_size", True), ("p_retailprice", True)))
+    + """], recursive := true) FROM part l FULL JOIN other r ON l.p_partkey = r.p_partkey)
+      SELECT DISTINCT p_partkey, 'missing on the right' AS "column", NULL AS left_value, NULL AS right_value FROM cells WHERE lost UNION ALL SELECT DISTINCT p_partkey, 'missing on the left', NULL, NULL FROM cells WHERE extra
+      UNION ALL SELECT p_partkey, c, a, b FROM cells WHERE NOT lost AND NOT extra AND (a IS NULL) <> (b IS NULL) OR NOT lost AND NOT extra AND CASE WHEN "numeric" THEN abs(CAST(a AS DOUBLE) - CAST(b AS DOUBLE)) > 0.01 ELSE a <> b END""",
     "conflicting_lines": "SELECT l_orderkey, l_linenumber, count(*) AS versions FROM (SELECT DISTINCT * FROM lineitem) GROUP BY 1, 2 HAVING count(*) > 1",
     "dividend_diagnosis": with_stand_ins("financials")
     + """, again AS (SELECT count(*) AS n FROM financials GROUP BY security_code, fiscal_period_end HAVING count(*) > 1), s AS (SELECT count(*) AS n_rows, count(DISTINCT security_code) AS n_securities, count(annual_dividend_yen) AS n_dividends, count(*) FILTER (annual_dividend_yen = 0) AS n_zero, count(*) FILTER (annual_dividend_yen < 0) AS n_negative,
@@ -321,14 +323,14 @@ SQL = {
     "observed_ranges": with_stand_ins("prices") + " SELECT security_code, min(trading_date) AS observed_from, max(trading_date) AS observed_to, count(*) AS n FROM prices GROUP BY security_code",
     "master_upsert": f"WITH o AS ({_OLD}), n AS ({_NEW}) SELECT security_code, CASE WHEN n.security_code IS NOT NULL THEN n.company_name ELSE o.company_name END AS company_name, CASE WHEN n.security_code IS NOT NULL THEN n.industry ELSE o.industry END AS industry, CASE WHEN n.security_code IS NOT NULL THEN n.value ELSE o.value END AS value, n.security_code IS NOT NULL AS is_active FROM o FULL JOIN n USING (security_code)",
     "coalescing_merge": f"WITH o AS ({_OLD}), n AS ({_NEW}) SELECT security_code, CASE WHEN n.security_code IS NOT NULL THEN n.company_name ELSE o.company_name END AS company_name, CASE WHEN n.security_code IS NOT NULL THEN n.industry ELSE o.industry END AS industry, coalesce(n.value, o.value) AS value FROM o FULL JOIN n USING (security_code)",
-    "latest_wins": """WITH n AS (SELECT l_orderkey AS k, l_partkey AS v FROM lineitem WHERE l_orderkey % 2 = 0 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber * 1000000 + l_partkey DESC) = 1)
-      SELECT * FROM n UNION ALL SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey NOT IN (SELECT k FROM n)""",
+    "latest_wins": """WITH n AS (SELECT CASE WHEN l_orderkey % 2 = 0 THEN l_orderkey ELSE l_orderkey + 100000000 END AS k, l_partkey AS v FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber * 1000000 + l_partkey DESC) = 1)
+      SELECT * FROM n UNION ALL SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT k FROM n)""",
     "range_replacement": """SELECT source, d, count(*) AS n FROM (SELECT o_orderstatus AS source, CAST(o_orderdate AS DATE) AS d FROM orders WHERE NOT coalesce(o_orderstatus = 'F' AND CAST(o_orderdate AS DATE) BETWEEN DATE '1998-01-01' AND DATE '1998-02-28', false)
       UNION ALL SELECT 'F', CAST(l_shipdate AS DATE) FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01' AND l_shipdate < TIMESTAMP '1998-03-01') GROUP BY source, d""",
     "status_widening": """WITH o AS (SELECT CAST(c_custkey AS STRING) AS security_code, DATE '1996-01-01' AS a, DATE '1998-12-31' AS z, DATE '1996-01-05' AS oa, DATE '1998-11-30' AS oz, 'complete' AS s FROM customer WHERE c_custkey % 4 <> 0),
       n AS (SELECT CAST(o_custkey AS STRING) AS security_code, min(CAST(o_orderdate AS DATE)) AS a, max(CAST(o_orderdate AS DATE)) AS z, CASE WHEN o_custkey % 5 = 0 THEN 'failed' ELSE 'complete' END AS s FROM orders GROUP BY o_custkey)
       SELECT security_code, CASE WHEN n.s = 'complete' THEN least(o.a, n.a) ELSE o.a END AS covered_from, CASE WHEN n.s = 'complete' THEN greatest(o.z, n.z) ELSE o.z END AS covered_to, least(o.oa, n.a) AS observed_from, greatest(o.oz, n.z) AS observed_to, coalesce(n.s, o.s) AS sync_status FROM o FULL JOIN n USING (security_code)""",
-    "attempt_counts": """WITH o AS (SELECT event_id, event_type, event_id % 4 AS a FROM events WHERE event_id % 3 <> 0), n AS (SELECT event_id FROM events WHERE event_id % 2 = 0)
+    "attempt_counts": """WITH o AS (SELECT event_id, event_type, event_id % 4 AS a FROM events WHERE event_id % 3 <> 0 OR event_id % 2 <> 0), n AS (SELECT event_id FROM events WHERE event_id % 2 = 0)
       SELECT coalesce(n.event_id, o.event_id) AS disclosure_id, CASE WHEN n.event_id IS NOT NULL THEN 'completed' ELSE event_type END AS status, CASE WHEN n.event_id IS NOT NULL THEN coalesce(a, 0) + 1 ELSE a END AS attempts FROM o FULL JOIN n ON o.event_id = n.event_id""",
     "append_only_new": "SELECT event_id AS k, CASE WHEN event_id % 3 = 0 THEN event_type ELSE 'new' END AS v FROM events",
     "day_quotations": f"""WITH cells AS ({CELLS}) SELECT doc_id, row_no, code AS security_code, coalesce({_number('am_open')}, {_number('pm_open')}) AS open_price, greatest({_number('am_high')}, {_number('pm_high')}) AS high_price, least({_number('am_low')}, {_number('pm_low')}) AS low_price,
