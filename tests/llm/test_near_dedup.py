@@ -71,3 +71,31 @@ def test_intersections():
     value, row = np.concatenate(sets), np.repeat(np.arange(9), [len(s) for s in sets])
     got = near_dedup.intersections(value, row, 4, 9, step=7)
     assert got.tolist() == [[len(np.intersect1d(sets[x], sets[y])) for y in range(4, 9)] for x in range(4)]
+
+
+def test_links_of_a_whole_table(spark):
+    """All documents of the second table, against shared shingles counted one by one."""
+    from collections import Counter, defaultdict
+
+    from helpers import shingle_set
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets = {i: shingle_set(t, 2) for i, t in docs.collect()}
+    parent, holders = {i: i for i in sets}, defaultdict(list)
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in sorted(sets):
+        shared = Counter(j for g in sets[i] for j in holders[g])
+        for j, n in shared.items():
+            if 100 * n >= 80 * (len(sets[i]) + len(sets[j]) - n):
+                x, y = root(i), root(j)
+                parent[max(x, y)] = min(x, y)
+        for g in sets[i]:
+            holders[g].append(i)
+    got = found(near_dedup.near_duplicates(docs, width=2))
+    assert {i: r.component_id for i, r in got.items()} == {i: root(i) for i in sets}
+    assert sum(not r.kept for r in got.values()) > 50
