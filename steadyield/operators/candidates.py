@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from steadyield.functions.expr import is_true
+from steadyield.operators.dividends import history_text
 
 
 @dataclass(frozen=True)
@@ -213,3 +214,27 @@ def candidate_report(listed: DataFrame) -> DataFrame:
     used = F.when(is_true(F.col("is_adjustment_coverage_complete")), "adjusted").otherwise("raw")
     shown = ["security_code", "company_name", "trading_date", "close_price", "dividend_yield_percent", "payout_ratio_percent", "per_ratio", "pbr_ratio", "roe_percent", "per_undervaluation_years", "investment_efficiency_10y", "free_cash_flow_jpy"]
     return ranked(listed).select("rank", *shown, growth().alias("growth_percent"), used.alias("record_used"))
+
+
+def full_report(rows: DataFrame, policies: DataFrame) -> DataFrame:
+    """Rows of with_evidence_only with both records, what their policy texts say, a note on the record and why each is there."""
+    c = F.col
+    adjusted = is_true(c("is_adjustment_coverage_complete"))
+    shown = rows.join(policies, "security_code", "left")
+    return shown.select(
+        "security_code", "company_name", "dividend_yield_percent", "part",
+        F.when(adjusted, "restated for splits").otherwise("not restated: check corporate actions").alias("note"),
+        F.when(adjusted, "adjusted").otherwise("raw").alias("record_used"),
+        "is_progressive_dividend_5y_raw", "progressive_dividend_status_5y", "dividend_adjustment_status", "is_adjustment_coverage_complete",
+        "latest_cumulative_adjustment_factor", "oldest_cumulative_adjustment_factor_5y", "dividend_cagr_5y_adjusted_percent", "is_progressive_dividend_5y_adjusted", "progressive_dividend_status_5y_adjusted",
+        history_text("adjusted_fiscal_periods_5y", "adjusted_annual_dividends_yen_5y").alias("adjusted_history"),
+        F.when(c("part") == 1, "meets the conditions").otherwise("policy text evidence").alias("added_reason"),
+        c("evidence_url").isNotNull().alias("has_text_evidence"),
+        *[name for name in policies.columns if name != "security_code"],
+    )
+
+
+def reasons_for(requested: DataFrame, reasons: DataFrame) -> DataFrame:
+    """The reasons of the asked-for securities; one that the table lacks has no data."""
+    asked = requested.select("security_code").distinct()
+    return asked.join(reasons, "security_code", "left").withColumn("reasons", F.coalesce("reasons", F.array(F.lit("no data"))))

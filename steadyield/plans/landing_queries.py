@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from steadyield.functions.text import filing_id, filing_url
 from steadyield.operators import adjust, candidates, facts, merge, policy, quality, screener
 from steadyield.plans.data_queries import HOLDERS, REPORTS, RESULTS
-from steadyield.plans.screener_queries import LOOSE, combined
-from steadyield.plans.screener_sql import _COMBINED, _list, _met
+from steadyield.plans.screener_queries import LOOSE, TIGHT, combined, rounded
+from steadyield.plans.screener_sql import _COMBINED, _list, _met, _reasons
 from steadyield.plans.standins import Inputs, with_stand_ins
 from steadyield.sources import readers, schemas
 
@@ -152,6 +152,21 @@ def evidence_candidates(x: Inputs) -> DataFrame:
     return candidates.with_evidence_only(candidates.candidates(both, few), both, proof, few).select("security_code", "part", "evidence_url", "is_confirmed")
 
 
+def candidate_sheet(x: Inputs) -> DataFrame:
+    """The candidates and those by evidence alone as the report shows them."""
+    both = combined(x)
+    few = candidates.Criteria(**{**LOOSE.__dict__, "max_candidates": 20, "max_evidence_only": 30})
+    proof = policy.evidence(x.sql(RESULTS), x.sql(REPORTS)).withColumnRenamed("url", "evidence_url")
+    rows = candidates.with_evidence_only(candidates.candidates(both, few), both, proof, few)
+    return rounded(candidates.full_report(rows, proven_candidates(x)), "dividend_yield_percent").drop("adjusted_history")
+
+
+def asked_reasons(x: Inputs) -> DataFrame:
+    """Suppliers' numbers as the codes that people ask for."""
+    asked = x.table("supplier").select((F.col("s_suppkey") * 7).cast("string").alias("security_code"))
+    return candidates.reasons_for(asked, candidates.exclusion_reasons(combined(x), TIGHT)).withColumn("reasons", F.array_join("reasons", "; "))
+
+
 def _health(x: Inputs) -> DataFrame:
     return quality.health_metrics(x.securities, x.prices, candidates.eligible(combined(x)), x.financials, x.sql(FILINGS), x.sql(RESULTS), x.actions)
 
@@ -168,7 +183,7 @@ def market_counts(x: Inputs) -> DataFrame:
     return quality.status_totals(x.securities, "market")
 
 
-FUNCTIONS = (bar_actions, rights_table, annual_filing_list, filings_to_extract, typed_rows, typed_financials, filing_links, submitted_financials, latest_annual_filings, known_actions, merged_filings, new_filing_preview, checked_filings, watchlist_months, disclosure_report, alerted_candidates, proven_candidates, evidence_candidates, health_metrics, health_checks, market_counts)
+FUNCTIONS = (bar_actions, rights_table, annual_filing_list, filings_to_extract, typed_rows, typed_financials, filing_links, submitted_financials, latest_annual_filings, known_actions, merged_filings, new_filing_preview, checked_filings, watchlist_months, disclosure_report, alerted_candidates, proven_candidates, evidence_candidates, candidate_sheet, asked_reasons, health_metrics, health_checks, market_counts)
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -186,6 +201,16 @@ _EVERY = f"""results AS ({RESULTS}), reports AS ({REPORTS}), every AS (
   proof AS (SELECT *, classification = 'confirmed' AS is_confirmed FROM every QUALIFY row_number() OVER (PARTITION BY security_code ORDER BY classification = 'confirmed' DESC, published_date DESC, document_id DESC) = 1)"""
 _NEWEST = """newest AS (SELECT * FROM results WHERE status = 'completed' QUALIFY row_number() OVER (PARTITION BY security_code ORDER BY published_date DESC, published_time DESC NULLS LAST, disclosure_id DESC) = 1),
   filed AS (SELECT * FROM reports WHERE status = 'completed' QUALIFY row_number() OVER (PARTITION BY security_code ORDER BY submitted_date DESC, doc_id DESC) = 1)"""
+_BY_EVIDENCE = (
+    _COMBINED
+    + _list("full_list", LOOSE)
+    + f""", {_EVERY}, listed AS (SELECT * FROM full_list ORDER BY dividend_yield_percent DESC NULLS LAST, growth_percent DESC NULLS LAST, roe_percent DESC NULLS LAST, security_code LIMIT 20),
+      more AS (SELECT c.security_code, p.url, p.is_confirmed FROM combined c JOIN proof p USING (security_code) WHERE {_met(LOOSE)} AND c.security_code NOT IN (SELECT security_code FROM listed) ORDER BY p.is_confirmed DESC, p.published_date DESC, c.security_code LIMIT 30),
+      both_parts AS (SELECT l.security_code, 1 AS part, p.url AS evidence_url, p.is_confirmed FROM listed l LEFT JOIN proof p USING (security_code) UNION ALL SELECT security_code, 2, url, is_confirmed FROM more)"""
+)
+_PROVEN = """proven AS (SELECT CAST(h.c_custkey AS STRING) AS security_code, CASE WHEN e.source = 'disclosure' THEN e.classification ELSE n.classification END AS classification, CASE WHEN e.source = 'disclosure' THEN e.document_id ELSE CAST(n.disclosure_id AS STRING) END AS document_id,
+        CASE WHEN e.source = 'report' THEN e.classification ELSE f.classification END AS report_classification, CASE WHEN e.source = 'report' THEN e.document_id ELSE CAST(f.doc_id AS STRING) END AS report_doc_id
+      FROM customer h LEFT JOIN proof e ON e.security_code = CAST(h.c_custkey AS STRING) LEFT JOIN newest n ON n.security_code = CAST(h.c_custkey AS STRING) LEFT JOIN filed f ON f.security_code = CAST(h.c_custkey AS STRING))"""
 _ELIGIBLE = "annual_financial_id IS NOT NULL AND close_price IS NOT NULL AND is_adjustment_coverage_complete AND is_progressive_dividend_5y_adjusted"
 _HEALTH = (
     _COMBINED
@@ -223,13 +248,13 @@ SQL = {
       a AS (SELECT * FROM alerts QUALIFY row_number() OVER (PARTITION BY security_code ORDER BY published_date DESC, published_time DESC NULLS LAST, row_no) = 1)
       SELECT CAST(c_custkey AS STRING) AS security_code, p.title AS policy_title, a.category AS alert_category, a.published_date AS alert_date, coalesce(a.category IN ('error', 'purchase'), false) AS is_warned
       FROM customer LEFT JOIN p ON p.security_code = CAST(c_custkey AS STRING) LEFT JOIN a ON a.security_code = CAST(c_custkey AS STRING)""",
-    "proven_candidates": f"""WITH {_EVERY}, {_NEWEST}, held AS (SELECT CAST(c_custkey AS STRING) AS code FROM customer)
-      SELECT h.code AS security_code, CASE WHEN e.source = 'disclosure' THEN e.classification ELSE n.classification END AS classification, CASE WHEN e.source = 'disclosure' THEN e.document_id ELSE CAST(n.disclosure_id AS STRING) END AS document_id,
-        CASE WHEN e.source = 'report' THEN e.classification ELSE f.classification END AS report_classification, CASE WHEN e.source = 'report' THEN e.document_id ELSE CAST(f.doc_id AS STRING) END AS report_doc_id
-      FROM held h LEFT JOIN proof e ON e.security_code = h.code LEFT JOIN newest n ON n.security_code = h.code LEFT JOIN filed f ON f.security_code = h.code""",
-    "evidence_candidates": _COMBINED + _list("full_list", LOOSE) + f""", {_EVERY}, listed AS (SELECT * FROM full_list ORDER BY dividend_yield_percent DESC NULLS LAST, growth_percent DESC NULLS LAST, roe_percent DESC NULLS LAST, security_code LIMIT 20),
-      more AS (SELECT c.security_code, p.url, p.is_confirmed FROM combined c JOIN proof p USING (security_code) WHERE {_met(LOOSE)} AND c.security_code NOT IN (SELECT security_code FROM listed) ORDER BY p.is_confirmed DESC, p.published_date DESC, c.security_code LIMIT 30)
-      SELECT l.security_code, 1 AS part, p.url AS evidence_url, p.is_confirmed FROM listed l LEFT JOIN proof p USING (security_code) UNION ALL SELECT security_code, 2, url, is_confirmed FROM more""",
+    "proven_candidates": f"WITH {_EVERY}, {_NEWEST}, {_PROVEN} SELECT * FROM proven",
+    "evidence_candidates": _BY_EVIDENCE + " SELECT * FROM both_parts",
+    "candidate_sheet": _BY_EVIDENCE + f""", {_NEWEST}, {_PROVEN} SELECT b.security_code, c.company_name, round(CAST(c.dividend_yield_percent AS DOUBLE), 6) AS dividend_yield_percent, b.part, 'restated for splits' AS note, 'adjusted' AS record_used,
+      c.is_progressive_dividend_5y_raw, c.progressive_dividend_status_5y, c.dividend_adjustment_status, c.is_adjustment_coverage_complete, c.latest_cumulative_adjustment_factor, c.oldest_cumulative_adjustment_factor_5y, c.dividend_cagr_5y_adjusted_percent,
+      c.is_progressive_dividend_5y_adjusted, c.progressive_dividend_status_5y_adjusted, CASE b.part WHEN 1 THEN 'meets the conditions' ELSE 'policy text evidence' END AS added_reason, b.evidence_url IS NOT NULL AS has_text_evidence,
+      p.classification, p.document_id, p.report_classification, p.report_doc_id FROM both_parts b JOIN combined c USING (security_code) LEFT JOIN proven p USING (security_code)""",
+    "asked_reasons": _COMBINED + _reasons(TIGHT) + " SELECT DISTINCT CAST(s_suppkey * 7 AS STRING) AS security_code, coalesce(array_to_string(r, '; '), 'no data') AS reasons FROM supplier LEFT JOIN reasons ON security_code = CAST(s_suppkey * 7 AS STRING)",
     "health_metrics": _HEALTH + " SELECT * FROM health",
     "health_checks": _HEALTH + " SELECT 'cache' AS name, CASE WHEN latest_trading_date IS NULL OR cache_trading_date IS NULL OR cache_trading_date - 1 < latest_trading_date THEN 'warning' ELSE 'ok' END AS verdict FROM health UNION ALL SELECT 'analyses', CASE WHEN open_analyses > 0 THEN 'warning' ELSE 'ok' END FROM health UNION ALL SELECT 'unsupported_actions', 'ok' FROM health",
     "market_counts": with_stand_ins("securities") + " SELECT market, count(*) AS n FROM securities GROUP BY market",

@@ -2,7 +2,7 @@
 
 import pytest
 
-from steadyield.operators.candidates import Criteria, SearchRequest, candidates, changes, exclusion_reasons, reason_breakdown, search, with_evidence_only
+from steadyield.operators.candidates import Criteria, SearchRequest, candidates, changes, exclusion_reasons, full_report, reason_breakdown, reasons_for, search, with_evidence_only
 
 COLUMNS = "security_code string, annual_financial_id long, close_price double, is_adjustment_coverage_complete boolean, is_progressive_dividend_5y_adjusted boolean, is_progressive_dividend_5y_raw boolean, progressive_dividend_status_5y_adjusted string, progressive_dividend_status_5y string, dividend_yield_percent double, payout_ratio_percent double, per_ratio double, pbr_ratio double, roe_percent double, per_undervaluation_years double, investment_efficiency_10y double, free_cash_flow_jpy double, dividend_cagr_5y_adjusted_percent double, dividend_cagr_5y_percent double, adjusted_annual_dividends_yen_5y array<double>"
 GOOD = {"annual_financial_id": 1, "close_price": 100.0, "is_adjustment_coverage_complete": True, "is_progressive_dividend_5y_adjusted": True, "is_progressive_dividend_5y_raw": True, "progressive_dividend_status_5y_adjusted": "progressive", "progressive_dividend_status_5y": "progressive", "dividend_yield_percent": 4.0, "payout_ratio_percent": 40.0, "per_ratio": 10.0, "pbr_ratio": 1.0, "roe_percent": 12.0, "per_undervaluation_years": 3.0, "investment_efficiency_10y": 2.0, "free_cash_flow_jpy": 5.0, "dividend_cagr_5y_adjusted_percent": 3.0, "dividend_cagr_5y_percent": 3.0, "adjusted_annual_dividends_yen_5y": [1.0, 2.0]}
@@ -102,3 +102,24 @@ def test_all_settings_are_read(spark):
         Criteria.from_settings(many)
     with pytest.raises(ValueError, match="twice"):
         Criteria.from_settings(spark.createDataFrame([("min_roe_percent", "9")] * 150, "name string, value string"))
+
+
+def test_asked_for_codes_without_data(spark):
+    asked = spark.createDataFrame([("0",), ("9",), ("9",)], "security_code string")
+    got = {r.security_code: list(r.reasons) for r in reasons_for(asked, exclusion_reasons(table(spark, {"roe_percent": 1.0}), Criteria())).collect()}
+    assert got == {"0": ["ROE too low (1.00%)"], "9": ["no data"]}
+
+
+def test_report_notes_the_record(spark):
+    from datetime import date
+
+    from pyspark.sql import functions as F
+
+    rows = table(spark, {}, {"is_adjustment_coverage_complete": False}).withColumns({"part": F.when(F.col("security_code") == "0", 1).otherwise(2), "evidence_url": F.when(F.col("security_code") == "1", "u")})
+    need = {"company_name": "string", "dividend_adjustment_status": "string", "latest_cumulative_adjustment_factor": "double", "oldest_cumulative_adjustment_factor_5y": "double"}
+    rows = rows.withColumns({c: F.lit(None).cast(t) for c, t in need.items() if c not in rows.columns})
+    rows = rows.withColumns({"adjusted_fiscal_periods_5y": F.array(F.lit(date(2024, 3, 31)), F.lit(date(2025, 3, 31))), "adjusted_annual_dividends_yen_5y": F.array(F.lit(None).cast("double"), F.lit(2.5))})
+    policies = spark.createDataFrame([("1", "confirmed")], "security_code string, classification string")
+    got = {r.security_code: (r.note, r.record_used, r.added_reason, r.has_text_evidence, r.classification, r.adjusted_history) for r in full_report(rows, policies).collect()}
+    history = "2024-03-31:missing / 2025-03-31:2.5"
+    assert got == {"0": ("restated for splits", "adjusted", "meets the conditions", False, None, history), "1": ("not restated: check corporate actions", "raw", "policy text evidence", True, "confirmed", history)}
