@@ -90,4 +90,38 @@ walk(i, half, n, p) AS (
   UNION ALL SELECT * FROM ({_PASS.format(rows="(SELECT i, half, n, p FROM walk WHERE p >= n)")}))
 SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(p % {SHARDS} AS INTEGER) AS shard, p // {SHARDS} AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM numbered JOIN (SELECT * FROM walk WHERE p < n) USING (i)"""
 
-SQL = {"op3_quality_rules": QUALITY, "op4_source_mix": MIX, "op5_warc": WARC, "op7_feistel_shards": SHARD_SQL, "op10_secret_scan": SECRETS}
+# each control string that is escaped gets one more character
+CHAT = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(len(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(len('<|turn|><|text|><|end|>') + len(role) + len(text) + len(regexp_extract_all(role, '{p}')) + len(regexp_extract_all(text, '{p}'))) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id""".replace("{p}", r"<\\*(?:\|turn\||\|text\||\|end\||\|endoftext\||/?s)>|\[\\*/?INST\]")
+
+# cheapest edits of all beginnings, by the state that they end in; texts ride along
+_I = "CASE WHEN {0} IS NOT NULL THEN {{'c': {0}.c + 3, 'e': {0}.e || 'I', 't': list_append({0}.t, '{1}:')}} END"
+_D = "CASE WHEN {0} IS NOT NULL THEN {{'c': {0}.c + 4, 'e': {0}.e || 'D', 't': {0}.t}} END"
+_R = "CASE WHEN {0} IS NOT NULL AND fault < 2 THEN {{'c': {0}.c + 3 + 3 * fault, 'e': {0}.e || 'R', 't': list_append({0}.t, '{1}:' || text)}} END"
+_K = "CASE WHEN {0} IS NOT NULL AND fault < 2 AND initial = '{1}' THEN {{'c': {0}.c + 3 * fault, 'e': {0}.e || 'K', 't': list_append({0}.t, role || ':' || text)}} END"
+_LEAST = lambda *offers: "list_min(list_filter([" + ", ".join(offers) + "], lambda x: x IS NOT NULL))"
+_INSERTED = f"(SELECT * REPLACE ({_LEAST('v3', _I.format('v2', 'assistant'))} AS v3) FROM (SELECT * REPLACE ({_LEAST('v2', *(_I.format(v, 'user') for v in ('v0', 'v1', 'v3')))} AS v2) FROM ROWS))"
+REPAIR = f"""
+WITH RECURSIVE code AS (SELECT list(c ORDER BY b) AS table_ FROM (SELECT b, list_reduce([CAST(b AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS b))),
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')) AS k FROM conversations),
+hit AS (SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, octet_length(k)), lambda j: CAST(('0x' || substr(hex(k), 2 * j + 1, 2)) AS BIGINT))), lambda c, x: xor(c >> 8, table_[(xor(c, x) & 255) + 1])), 4294967295) % 20 AS damage FROM keyed, code),
+d0 AS (SELECT conv_id, turn, CASE damage WHEN 4 THEN 'user' ELSE role END AS role, CASE damage WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE damage WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM hit WHERE damage <> 0),
+d1 AS (SELECT *, row_number() OVER w AS n, lag(role[1]) OVER w AS before, role[1] AS initial, regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS has, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth FROM d0 WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, copy)),
+d AS (SELECT *, CASE WHEN NOT has THEN 3 WHEN nth > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 1 ELSE 0 END AS fault FROM d1),
+figures AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 3) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 1) AS truncated, count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM d GROUP BY conv_id),
+nothing AS (SELECT CAST(NULL AS STRUCT(c BIGINT, e VARCHAR, t VARCHAR[])) AS v),
+paths AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS n, CAST({{'c': 0, 'e': '', 't': []}} AS STRUCT(c BIGINT, e VARCHAR, t VARCHAR[])) AS v0, v AS v1, v AS v2, v AS v3 FROM figures, nothing
+  UNION ALL
+  SELECT conv_id, n, {_D.format('v0')}, {_LEAST(_D.format('v1'), _K.format('v0', 's'))}, {_LEAST(_D.format('v2'), *(f.format(v, x) for v in ('v0', 'v1', 'v3') for f, x in ((_K, 'u'), (_R, 'user'))))}, {_LEAST(_D.format('v3'), _K.format('v2', 'a'), _R.format('v2', 'assistant'))}
+  FROM {_INSERTED.replace('ROWS', "(SELECT d.conv_id, d.n, d.role, d.text, d.initial, d.fault, v0, v1, v2, v3 FROM paths JOIN d ON d.conv_id IS NOT DISTINCT FROM paths.conv_id AND d.n = paths.n + 1)")}),
+ended AS (SELECT conv_id, {_LEAST('v0', 'v3')} AS v FROM {_INSERTED.replace('ROWS', "(SELECT paths.* FROM paths JOIN figures f ON f.conv_id IS NOT DISTINCT FROM paths.conv_id AND f.n = paths.n)")})
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(v.c, 0) AS cost, coalesce(v.e, '') AS audit, sha256(coalesce(array_to_string(v.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN figures f ON f.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM a.conv_id"""
+
+SQL = {"op12_chat_format": CHAT, "op13_conversation_repair": REPAIR, "op3_quality_rules": QUALITY, "op4_source_mix": MIX, "op5_warc": WARC, "op7_feistel_shards": SHARD_SQL, "op10_secret_scan": SECRETS}
