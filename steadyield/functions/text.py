@@ -56,6 +56,21 @@ def number(value: str | Column) -> Column:
     return F.when(raw.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), raw.try_cast("double")).otherwise(marked)
 
 
+def found_number(value: Column, quoted: bool = False) -> Column:
+    """The first number in a text. Triangles and wide signs are signs, grouping and units don't count; a dash alone means none.
+
+    A number in brackets is negative, unless it is quoted: quoted ones have no
+    exponents, may have blanks within and a mark of the exchange in front.
+    """
+    text = F.translate(F.translate(value, "０１２３４５６７８９＋▲△−－", "0123456789+----"), ",円株%", "")
+    if quoted:
+        text = F.regexp_replace(F.regexp_replace(text, r"\s+", ""), "^(-?)[カウ]", "$1")
+    number = F.regexp_extract(text, r"[-+]?[0-9]+(?:\.[0-9]+)?" + ("" if quoted else r"(?:[Ee][-+]?[0-9]+)?"), 0).try_cast("double")
+    found = number if quoted else F.when(text.startswith("(") & text.endswith(")"), -F.abs(number)).otherwise(number)
+    # most are plain and need none of the above
+    return F.when(value.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), value.try_cast("double")).otherwise(found)
+
+
 def whole_number(value: str | Column) -> Column:
     """A non-negative whole number, else null."""
     n = number(value)

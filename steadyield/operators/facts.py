@@ -1,10 +1,16 @@
 """From long filing facts to one wide row a filing: the best-scored fact of each metric.
 
 Facts have doc_id, row_no, element_id, label, context_id, relative_year,
-consolidated, unit and value, all text. A fact counts for a metric if its
-element or its label says so, if it is of the filing's accounting standard and
-scope, and if its value can be read. Of those the highest score wins, the
-first in the file among equals.
+consolidated, unit, value and perhaps unit_id and source_file, all text. A
+fact counts for a metric if its element or its label says so, if it is of the
+filing's accounting standard and scope, and if its value can be read. Of those
+the highest score wins, the first in the file among equals.
+
+What an element and a label mean to each metric is worked out once for each
+distinct pair of them and joined to the facts. The standard and the scope of a
+filing stand in its facts as well, so the facts are read once more only: the
+best of each metric is kept for every standard and scope, and a filing's own
+chooses among these few.
 """
 
 from __future__ import annotations
@@ -12,65 +18,101 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from steadyield.functions.text import compact, number
+from steadyield.functions.text import compact, found_number
 
 
 @dataclass(frozen=True)
 class Metric:
+    """elements and labels name it; required and excluded words widen and narrow the labels; kind is number or text; unit is none, per_share or shares."""
+
     name: str
     elements: tuple[str, ...]
     labels: tuple[str, ...]
+    kind: str = "number"
     unit: str | None = None
     needs_unit: bool = False
-    prefers_consolidated: bool = True
+    of_scope: bool = True
     required: tuple[str, ...] = ()
     excluded: tuple[str, ...] = ()
     dash_is_zero: bool = False
-    least: float | None = None
+    element_points: tuple[tuple[str, int], ...] = ()
+    undivided_context: bool = False
+
 
+# What some elements add to the score of every count of shares, whichever it is.
+SHARE_POINTS = (("NumberOfIssuedSharesAsOfFiscalYearEndIssuedSharesTotalNumberOfSharesEtc", 150), ("TotalNumberOfIssuedSharesSummaryOfBusinessResults", 100), ("TotalNumberOfSharesHeldTreasurySharesEtc", 150), ("NumberOfSharesHeldInOwnNameTreasurySharesEtc", -150), ("NumberOfSharesHeldInOthersNamesTreasurySharesEtc", -150))
 
-# The elements and labels that name each metric in filings.
+# The elements and labels that name each metric in filings, and what some elements add to the score.
 METRICS = (
-    Metric("revenue", ("NetSales", "Revenue", "RevenueIFRS", "NetSalesIFRS", "OperatingRevenue1", "OperatingRevenue2", "OperatingRevenue"), ("売上高", "売上収益", "営業収益", "営業収入", "完成工事高")),
-    Metric("operating_income", ("OperatingIncome", "OperatingIncomeLoss", "OperatingIncomeLossSummaryOfBusinessResults", "OperatingProfitLoss", "OperatingProfitLossIFRS", "OperatingProfitLossIFRSSummaryOfBusinessResults"), ("営業利益", "営業損失", "営業利益又は営業損失", "営業利益又は営業損失（△）", "営業利益（△損失）", "営業利益（△損失）（IFRS）")),
-    Metric("ordinary_income", ("OrdinaryIncome", "OrdinaryIncomeLoss", "OrdinaryIncomeLossSummaryOfBusinessResults"), ("経常利益", "経常損失", "経常利益又は経常損失", "経常利益又は経常損失（△）")),
+    Metric("accounting_standard", ("AccountingStandardsDEI",), ("会計基準、DEI", "会計基準"), kind="text", of_scope=False),
+    Metric("period_start", ("CurrentFiscalYearStartDateDEI", "CurrentPeriodStartDateDEI"), ("当会計期間開始日、DEI", "当事業年度開始日、DEI", "当会計期間開始日", "当事業年度開始日"), kind="text", of_scope=False),
+    Metric("period_end", ("CurrentFiscalYearEndDateDEI", "CurrentPeriodEndDateDEI"), ("当会計期間終了日、DEI", "当事業年度終了日、DEI", "当会計期間終了日", "当事業年度終了日"), kind="text", of_scope=False),
+    Metric("revenue", ("NetSales", "Revenue", "RevenueIFRS", "NetSalesIFRS", "OperatingRevenue1", "OperatingRevenue2", "OperatingRevenue", "RevenueIFRSSummaryOfBusinessResults", "OperatingRevenueIFRS", "OperatingRevenueIFRSSummaryOfBusinessResults", "RevenuesUSGAAPSummaryOfBusinessResults"), ("売上高", "売上収益", "営業収益", "営業収入", "完成工事高", "売上収益（IFRS）", "営業収益（IFRS）")),
+    Metric("operating_income", ("OperatingIncome", "OperatingIncomeLoss", "OperatingIncomeLossSummaryOfBusinessResults", "OperatingProfitLoss", "OperatingProfitLossIFRS", "OperatingProfitLossIFRSSummaryOfBusinessResults"), ("営業利益", "営業損失", "営業利益又は営業損失", "営業利益又は営業損失（△）", "営業利益（△損失）", "営業利益（△損失）（IFRS）", "営業利益（IFRS）", "営業損失（IFRS）")),
+    Metric("ordinary_income", ("OrdinaryIncome", "OrdinaryIncomeLoss", "OrdinaryIncomeLossSummaryOfBusinessResults", "ProfitLossBeforeTaxUSGAAPSummaryOfBusinessResults"), ("経常利益", "経常損失", "経常利益又は経常損失", "経常利益又は経常損失（△）")),
     Metric(
         "net_income",
-        ("ProfitLoss", "ProfitLossSummaryOfBusinessResults", "ProfitLossIFRS", "ProfitLossIFRSSummaryOfBusinessResults", "ProfitLossAttributableToOwnersOfParent", "ProfitLossAttributableToOwnersOfParentSummaryOfBusinessResults", "ProfitLossAttributableToOwnersOfParentIFRS", "ProfitLossAttributableToOwnersOfParentIFRSSummaryOfBusinessResults", "NetIncome", "NetIncomeLoss", "NetIncomeLossSummaryOfBusinessResults"),
-        ("当期純利益", "当期純損失", "当期純利益又は当期純損失", "当期純利益又は当期純損失（△）", "親会社株主に帰属する当期純利益", "親会社株主に帰属する当期純損失", "親会社株主に帰属する当期純利益又は親会社株主に帰属する当期純損失", "親会社株主に帰属する当期純利益又は親会社株主に帰属する当期純損失（△）", "親会社の所有者に帰属する当期利益", "親会社の所有者に帰属する当期損失", "親会社の所有者に帰属する当期利益（△損失）"),
+        ("ProfitLoss", "ProfitLossSummaryOfBusinessResults", "ProfitLossIFRS", "ProfitLossIFRSSummaryOfBusinessResults", "ProfitLossAttributableToOwnersOfParent", "ProfitLossAttributableToOwnersOfParentSummaryOfBusinessResults", "ProfitLossAttributableToOwnersOfParentIFRS", "ProfitLossAttributableToOwnersOfParentIFRSSummaryOfBusinessResults", "NetIncome", "NetIncomeLoss", "NetIncomeLossSummaryOfBusinessResults", "NetIncomeLossAttributableToOwnersOfParentUSGAAPSummaryOfBusinessResults"),
+        ("当期純利益", "当期純損失", "当期純利益又は当期純損失", "当期純利益又は当期純損失（△）", "親会社株主に帰属する当期純利益", "親会社株主に帰属する当期純損失", "親会社株主に帰属する当期純利益又は親会社株主に帰属する当期純損失", "親会社株主に帰属する当期純利益又は親会社株主に帰属する当期純損失（△）", "親会社の所有者に帰属する当期利益", "親会社の所有者に帰属する当期損失", "親会社の所有者に帰属する当期利益（△損失）", "親会社の所有者に帰属する当期利益（IFRS）", "親会社の所有者に帰属する当期損失（IFRS）", "親会社の所有者に帰属する当期利益（△損失）（IFRS）"),
         required=("当期純利益", "当期純損失", "親会社株主に帰属する当期純利益", "親会社株主に帰属する当期純損失", "親会社の所有者に帰属する当期利益", "親会社の所有者に帰属する当期損失"),
         excluded=("1株当たり", "１株当たり", "潜在株式調整後", "希薄化後", "包括利益", "四半期", "中間期", "セグメント"),
+        element_points=(("ProfitLossAttributableToOwnersOfParent", 500), ("ProfitLossAttributableToOwnersOfParentSummaryOfBusinessResults", 500), ("ProfitLossAttributableToOwnersOfParentIFRS", 500), ("ProfitLossAttributableToOwnersOfParentIFRSSummaryOfBusinessResults", 500), ("ProfitLoss", -100), ("ProfitLossSummaryOfBusinessResults", -100), ("ProfitLossIFRS", -100), ("ProfitLossIFRSSummaryOfBusinessResults", -100)),
+        undivided_context=True,
     ),
-    Metric("total_assets", ("Assets", "AssetsIFRS", "TotalAssetsSummaryOfBusinessResults", "TotalAssetsIFRSSummaryOfBusinessResults"), ("資産合計", "総資産額", "総資産")),
-    Metric("net_assets", ("NetAssets", "NetAssetsSummaryOfBusinessResults"), ("純資産合計", "純資産額", "純資産")),
-    Metric("equity", ("Equity", "EquityIFRS", "ShareholdersEquity", "EquityAttributableToOwnersOfParentIFRS", "EquityAttributableToOwnersOfParentIFRSSummaryOfBusinessResults"), ("自己資本", "株主資本", "親会社の所有者に帰属する持分")),
-    Metric("operating_cf", ("NetCashProvidedByUsedInOperatingActivities", "CashFlowsFromUsedInOperatingActivitiesIFRS"), ("営業活動によるキャッシュ・フロー", "営業活動によるキャッシュ・フロー（IFRS）")),
-    Metric("investing_cf", ("NetCashProvidedByUsedInInvestingActivities", "CashFlowsFromUsedInInvestingActivitiesIFRS"), ("投資活動によるキャッシュ・フロー", "投資活動によるキャッシュ・フロー（IFRS）")),
-    Metric("financing_cf", ("NetCashProvidedByUsedInFinancingActivities", "CashFlowsFromUsedInFinancingActivitiesIFRS"), ("財務活動によるキャッシュ・フロー", "財務活動によるキャッシュ・フロー（IFRS）")),
-    Metric("cash", ("CashAndCashEquivalents", "CashAndCashEquivalentsIFRS"), ("現金及び現金同等物の期末残高", "現金及び現金同等物")),
+    Metric("total_assets", ("Assets", "AssetsIFRS", "TotalAssetsSummaryOfBusinessResults", "TotalAssetsIFRSSummaryOfBusinessResults", "AssetsIFRSSummaryOfBusinessResults", "TotalAssetsIFRS", "TotalAssetsUSGAAPSummaryOfBusinessResults"), ("資産合計", "総資産額", "総資産", "資産合計（IFRS）", "総資産額（IFRS）")),
+    Metric("net_assets", ("NetAssets", "NetAssetsSummaryOfBusinessResults", "EquityIFRS", "EquityIFRSSummaryOfBusinessResults", "TotalEquityIFRS", "TotalEquityIFRSSummaryOfBusinessResults", "EquityIncludingPortionAttributableToNonControllingInterestUSGAAPSummaryOfBusinessResults"), ("純資産合計", "純資産額", "純資産", "資本合計", "資本合計（IFRS）")),
+    Metric("equity", ("Equity", "EquityIFRS", "ShareholdersEquity", "EquityAttributableToOwnersOfParentIFRS", "EquityAttributableToOwnersOfParentIFRSSummaryOfBusinessResults", "EquityAttributableToOwnersOfParentUSGAAPSummaryOfBusinessResults"), ("自己資本", "株主資本", "親会社の所有者に帰属する持分", "親会社の所有者に帰属する持分（IFRS）", "親会社所有者帰属持分")),
+    Metric("operating_cf", ("NetCashProvidedByUsedInOperatingActivities", "CashFlowsFromUsedInOperatingActivitiesIFRS", "CashFlowsFromUsedInOperatingActivitiesUSGAAPSummaryOfBusinessResults"), ("営業活動によるキャッシュ・フロー", "営業活動によるキャッシュ・フロー（IFRS）")),
+    Metric("investing_cf", ("NetCashProvidedByUsedInInvestingActivities", "CashFlowsFromUsedInInvestingActivitiesIFRS", "CashFlowsFromUsedInInvestingActivitiesUSGAAPSummaryOfBusinessResults"), ("投資活動によるキャッシュ・フロー", "投資活動によるキャッシュ・フロー（IFRS）")),
+    Metric("financing_cf", ("NetCashProvidedByUsedInFinancingActivities", "CashFlowsFromUsedInFinancingActivitiesIFRS", "CashFlowsFromUsedInFinancingActivitiesUSGAAPSummaryOfBusinessResults"), ("財務活動によるキャッシュ・フロー", "財務活動によるキャッシュ・フロー（IFRS）")),
+    Metric("cash", ("CashAndCashEquivalents", "CashAndCashEquivalentsIFRS", "CashAndCashEquivalentsUSGAAPSummaryOfBusinessResults"), ("現金及び現金同等物の期末残高", "現金及び現金同等物")),
     Metric(
         "eps",
-        ("BasicEarningsLossPerShare", "BasicEarningsPerShare", "BasicEarningsLossPerShareIFRS", "BasicEarningsPerShareIFRS", "BasicEarningsLossPerShareSummaryOfBusinessResults", "BasicEarningsPerShareSummaryOfBusinessResults", "BasicEarningsLossPerShareIFRSSummaryOfBusinessResults", "BasicEarningsPerShareIFRSSummaryOfBusinessResults"),
-        ("1株当たり当期純利益", "１株当たり当期純利益", "1株当たり当期純損失", "１株当たり当期純損失", "1株当たり当期純利益又は1株当たり当期純損失", "１株当たり当期純利益又は１株当たり当期純損失", "1株当たり当期純利益又は1株当たり当期純損失（△）", "１株当たり当期純利益又は１株当たり当期純損失（△）", "基本的1株当たり当期利益", "基本的１株当たり当期利益", "基本的1株当たり当期利益（△損失）", "基本的１株当たり当期利益（△損失）"),
+        ("BasicEarningsLossPerShare", "BasicEarningsPerShare", "BasicEarningsLossPerShareIFRS", "BasicEarningsPerShareIFRS", "BasicEarningsLossPerShareSummaryOfBusinessResults", "BasicEarningsPerShareSummaryOfBusinessResults", "BasicEarningsLossPerShareIFRSSummaryOfBusinessResults", "BasicEarningsPerShareIFRSSummaryOfBusinessResults", "BasicEarningsLossPerShareUSGAAPSummaryOfBusinessResults"),
+        ("1株当たり当期純利益", "１株当たり当期純利益", "1株当たり当期純損失", "１株当たり当期純損失", "1株当たり当期純利益又は1株当たり当期純損失", "１株当たり当期純利益又は１株当たり当期純損失", "1株当たり当期純利益又は1株当たり当期純損失（△）", "１株当たり当期純利益又は１株当たり当期純損失（△）", "基本的1株当たり当期利益", "基本的１株当たり当期利益", "基本的1株当たり当期利益（△損失）", "基本的１株当たり当期利益（△損失）", "基本的1株当たり当期利益（IFRS）", "基本的１株当たり当期利益（IFRS）", "基本的1株当たり当期利益（△損失）（IFRS）", "基本的１株当たり当期利益（△損失）（IFRS）"),
+        unit="per_share",
         required=("1株当たり当期純利益", "１株当たり当期純利益", "1株当たり当期純損失", "１株当たり当期純損失", "基本的1株当たり当期利益", "基本的１株当たり当期利益"),
         excluded=("潜在株式調整後", "希薄化後", "四半期", "中間期"),
     ),
-    Metric("bps", ("NetAssetsPerShare", "NetAssetsPerShareSummaryOfBusinessResults", "EquityAttributableToOwnersOfParentPerShareIFRS", "EquityAttributableToOwnersOfParentPerShareIFRSSummaryOfBusinessResults"), ("1株当たり純資産額", "１株当たり純資産額", "1株当たり親会社所有者帰属持分", "１株当たり親会社所有者帰属持分")),
-    Metric("shares_issued", ("NumberOfIssuedSharesAsOfFiscalYearEndIssuedSharesTotalNumberOfSharesEtc", "TotalNumberOfIssuedSharesSummaryOfBusinessResults", "TotalNumberOfIssuedShares", "NumberOfIssuedShares"), ("発行済株式総数", "期末発行済株式数", "事業年度末現在発行数", "発行済株式数"), unit="shares", prefers_consolidated=False, required=("発行済株式総数", "期末発行済株式数", "事業年度末現在発行数"), excluded=("提出日現在", "潜在株式", "自己株式", "新株予約権")),
-    Metric("current_assets", ("CurrentAssets", "CurrentAssetsIFRS"), ("流動資産", "流動資産合計", "流動資産計")),
-    Metric("investment_securities", ("InvestmentSecurities", "InvestmentSecuritiesIFRS"), ("投資有価証券",)),
+    Metric("bps", ("NetAssetsPerShare", "NetAssetsPerShareSummaryOfBusinessResults", "EquityAttributableToOwnersOfParentPerShareIFRS", "EquityAttributableToOwnersOfParentPerShareIFRSSummaryOfBusinessResults", "EquityPerShareAttributableToOwnersOfParentIFRS", "EquityPerShareAttributableToOwnersOfParentIFRSSummaryOfBusinessResults", "EquityAttributableToOwnersOfParentPerShareUSGAAPSummaryOfBusinessResults"), ("1株当たり純資産額", "１株当たり純資産額", "1株当たり親会社所有者帰属持分", "１株当たり親会社所有者帰属持分", "1株当たり親会社所有者帰属持分（IFRS）", "１株当たり親会社所有者帰属持分（IFRS）"), unit="per_share"),
+    Metric("dividend_per_share", ("DividendPaidPerShareSummaryOfBusinessResults", "AnnualDividendPerShare", "DividendsPerShare"), ("1株当たり配当額", "１株当たり配当額", "年間配当金", "年間配当額"), unit="per_share", of_scope=False, dash_is_zero=True),
+    Metric(
+        "shares_issued",
+        ("NumberOfIssuedSharesAsOfFiscalYearEndIssuedSharesTotalNumberOfSharesEtc", "TotalNumberOfIssuedSharesSummaryOfBusinessResults", "TotalNumberOfIssuedShares", "NumberOfIssuedShares"),
+        ("発行済株式総数", "期末発行済株式数", "事業年度末現在発行数", "発行済株式数"),
+        unit="shares", of_scope=False,
+        required=("発行済株式総数", "期末発行済株式数", "事業年度末現在発行数"),
+        excluded=("提出日現在", "潜在株式", "自己株式", "新株予約権"),
+        element_points=SHARE_POINTS,
+    ),
+    Metric("current_assets", ("CurrentAssets", "CurrentAssetsIFRS"), ("流動資産", "流動資産合計", "流動資産計"), excluded=("純流動資産",)),
+    Metric("investment_securities", ("InvestmentSecurities", "InvestmentSecuritiesIFRS"), ("投資有価証券",), excluded=("売買目的", "純資産")),
     Metric("liabilities", ("Liabilities", "LiabilitiesIFRS"), ("負債合計", "負債の合計")),
-    Metric("treasury_shares", ("TotalNumberOfSharesHeldTreasurySharesEtc",), ("所有株式数の合計",), unit="shares", needs_unit=True, prefers_consolidated=False, least=0),
-    Metric("dividend_per_share", ("DividendPaidPerShareSummaryOfBusinessResults",), ("1株当たり配当額",), prefers_consolidated=False, dash_is_zero=True, least=0),
-)
+    Metric(
+        "treasury_shares",
+        ("TotalNumberOfSharesHeldTreasurySharesEtc", "NumberOfSharesHeldInOwnNameTreasurySharesEtc", "NumberOfSharesHeldInOthersNamesTreasurySharesEtc", "NumberOfTreasuryStockAsOfFiscalYearEnd", "NumberOfTreasuryStockAtTheEndOfFiscalYear", "TreasuryStockNumberOfSharesAtTheEndOfFiscalYear"),
+        ("所有株式数の合計（株）、自己株式等", "自己株式", "自己株式数"),
+        unit="shares", needs_unit=True, of_scope=False,
+        excluded=("潜在株式", "新株予約権", "提出日現在", "平均", "議決権"),
+        element_points=SHARE_POINTS,
+    ),
+)
 
-# What each circumstance adds to a fact's score.
+# Words of years, contexts, units and labels, and what each circumstance adds to a fact's score.
 CURRENT_YEAR = ("当期", "当年", "当連結会計年度", "当事業年度", "提出者")
 PAST_YEAR = ("前期", "前連結会計年度", "前事業年度", "過年度")
 DASHES = ("-", "－", "―", "—", "–")
+OTHER_SHARES = ("PreferredStockMember", "ClassA", "ClassB", "StockAcquisitionRights")
+PER_SHARE_UNITS = ("jpyper", "jpypershare", "jpypershares", "jpy_per_share", "jpy_per_shares", "円/株", "円・銭", "円銭")
+SHARE_UNITS = ("shares", "share", "株")
+LABEL_ENDINGS = ("、経営指標等", "、主要な経営指標等の推移", "、連結経営指標等", "、提出会社の経営指標等")
+CONSOLIDATED = Metric("is_consolidated", ("WhetherConsolidatedFinancialStatementsArePreparedDEI",), ("連結決算の有無、DEI", "連結決算の有無"), kind="flag", of_scope=False)
+STANDARD = Metric("standard", ("AccountingStandardsDEI",), ("会計基準、DEI", "会計基準"), kind="standard", of_scope=False)
+YES, NO = ("true", "1", "yes", "有", "あり"), ("false", "0", "no", "無", "なし")
+MOST_PER_SHARE = 10_000_000
 
 
 def any_of(text: Column, words: tuple[str, ...]) -> Column:
@@ -81,84 +123,110 @@ def points(*scored: tuple[Column, int]) -> Column:
     return reduce(lambda a, b: a + b, [F.when(condition, n).otherwise(0) for condition, n in scored])
 
 
+def cell(c: str) -> Column:
+    """A cell's text without marks of byte order and white space around it; none is blank."""
+    return F.regexp_replace(F.translate(F.coalesce(c, F.lit("")), "\u3000\ufeff", " "), r"^\s+|\s+$", "")
+
+
+def plain_label(text: Column) -> Column:
+    """A label for comparison: without blanks, with narrow digits, brackets and slashes."""
+    return F.translate(text, "０１２３４５６７８９（）／ \t", "0123456789()/")
+
+
 def standard_of(value: Column) -> Column:
     """The accounting standard that a text names."""
-    text = F.lower(compact(F.coalesce(value, F.lit(""))))
+    text = F.lower(plain_label(value))
     return F.when(any_of(text, ("ifrs", "国際財務報告基準", "国際会計基準")), "IFRS").when(any_of(text, ("japanesegaap", "japangaap", "日本基準", "企業会計基準")), "Japan GAAP").when(any_of(text, ("usgaap", "米国基準")), "US GAAP").when(text != "", value)
 
 
-def scope_of(element: Column, label: Column) -> Column:
+def scope_of(element: Column, label: Column, source: Column) -> Column:
     """The standard that a fact belongs to, or neutral; a business summary that names none is of Japan's."""
-    low, space = F.lower(element), F.lower(F.split_part(element, F.lit(":"), F.lit(1)))
-    marked = F.upper(compact(F.concat_ws(" ", element, label)))
-    return F.when(marked.contains("USGAAP"), "US GAAP").when(low.contains("ifrs") | space.contains("jpigp"), "IFRS").when(space.contains("jppfs") | low.contains("summaryofbusinessresults"), "Japan GAAP").otherwise("neutral")
-
-
-def filing_traits(facts: DataFrame) -> DataFrame:
-    """Accounting standard and whether the filing is consolidated, by the first fact that says so."""
-    suffix = F.element_at(F.split("element_id", ":"), -1)
-    told = facts.withColumn("suffix", suffix).filter(F.col("suffix").isin("AccountingStandardsDEI", "WhetherConsolidatedFinancialStatementsArePreparedDEI"))
-    standard = F.when(F.col("suffix") == "AccountingStandardsDEI", standard_of(F.col("value")))
-    flag = F.lower(F.trim("value"))
-    consolidated = F.when(F.col("suffix") != "AccountingStandardsDEI", F.when(flag.isin("true", "1", "yes"), True).when(flag.isin("false", "0", "no"), False))
-    first = lambda c: F.min_by(c, F.when(c.isNotNull(), F.col("row_no").cast("long")))
-    return told.groupBy("doc_id").agg(first(standard).alias("standard"), first(consolidated).alias("is_consolidated"))
-
-
-def prepared(facts: DataFrame) -> DataFrame:
-    """The facts with their filing's traits and what all metrics look at: parts of the names, amount, scope and common points."""
-    text = {"suffix": F.element_at(F.split("element_id", ":"), -1), **{c: F.coalesce(c, F.lit("")) for c in ("label", "context_id", "relative_year", "consolidated", "unit")}}
-    known = facts.join(filing_traits(facts), "doc_id", "left").withColumns(text | {"amount": number("value"), "is_dash": F.trim("value").isin(*DASHES), "at": F.col("row_no").cast("long")})
-    context, year = F.col("context_id"), F.col("relative_year")
-    known = known.withColumn("scope", scope_of(F.col("element_id"), F.col("label")))
-    common = points(
-        (any_of(year, CURRENT_YEAR), 60), (any_of(year, PAST_YEAR), -200),
-        (context.contains("CurrentYear"), 50), (context.contains("Current"), 15), (context.contains("Prior") | context.contains("Previous"), -200), (context.contains("Segment"), -80),
-        (context.contains("CurrentYearDuration"), 80), (context.contains("CurrentYearInstant"), 80), (F.col("suffix").contains("SummaryOfBusinessResults"), 70), (context.contains("Quarter"), -300), (context.contains("Interim"), -300),
-        (F.col("standard").isin("IFRS", "Japan GAAP") & (F.col("scope") == F.col("standard")), 250),
-    )
-    side = points((F.col("consolidated") == "連結", 45), (F.col("consolidated") == "個別", -20), (context.contains("ConsolidatedMember"), 20), (context.contains("NonConsolidatedMember"), -15))
-    fits = F.col("standard").isNull() | (F.col("scope") == "neutral") | (F.col("standard").isin("IFRS", "Japan GAAP", "US GAAP") & (F.col("scope") == F.col("standard")))
-    fits &= ~(F.coalesce(F.col("is_consolidated"), F.lit(False)) & (F.col("consolidated") == "個別"))
-    return known.withColumns({"common": common, "side": side, "fits": fits})
+    low, space = F.lower(element), F.when(element.contains(":"), F.lower(F.split_part(element, F.lit(":"), F.lit(1)))).otherwise("")
+    marked = F.upper(compact(F.concat(element, label)))
+    return F.when(marked.contains("USGAAP"), "US GAAP").when(low.contains("ifrs") | space.contains("jpigp") | source.contains("jpigp"), "IFRS").when(space.contains("jppfs") | source.contains("jppfs") | low.contains("summaryofbusinessresults"), "Japan GAAP").otherwise("neutral")
 
 
 def definitions(metrics: tuple[Metric, ...]) -> Column:
     """The metrics as an array of structs."""
     words = lambda ws: F.array(*map(F.lit, ws)) if ws else F.array().cast("array<string>")
+    plain = lambda ws: tuple(w.translate(str.maketrans("０１２３４５６７８９（）／", "0123456789()/")) for w in ws)
     return F.array(*(
         F.struct(
-            F.lit(m.name).alias("name"), words(m.elements).alias("elements"), words(m.labels).alias("labels"), words(m.required).alias("required"), words(m.excluded).alias("excluded"), F.lit(m.unit or "円").alias("unit"),
-            F.lit(m.needs_unit).alias("needs_unit"), F.lit(m.prefers_consolidated).alias("prefers"), F.lit(m.dash_is_zero).alias("dash_is_zero"), F.lit(m.least).cast("double").alias("least"),
+            F.lit(m.name).alias("metric"), F.lit(m.kind).alias("kind"), F.lit(m.unit or "").alias("unit_kind"), F.lit(m.needs_unit).alias("needs_unit"), F.lit(m.of_scope).alias("of_scope"), F.lit(m.dash_is_zero).alias("dash_is_zero"), F.lit(m.undivided_context).alias("undivided"),
+            words(m.elements).alias("elements"), words(m.labels).alias("labels"), words(plain(m.labels)).alias("plain_labels"), words(plain(m.required)).alias("required"), words(plain(m.excluded)).alias("excluded"),
+            words(plain(tuple(a + b for a in m.labels for b in LABEL_ENDINGS)) if not m.required else ()).alias("ended_labels"),
+            F.create_map(*(F.lit(x) for pair in (*m.element_points, ("", 0)) for x in pair)).alias("element_points"),
         )
         for m in metrics
     ))
 
 
-def entry(m: Column) -> Column:
-    """What a prepared fact offers a metric, as a struct of metric, amount, score and element, or null."""
-    label, unit_fits = F.col("label"), F.col("unit") == m.unit
-    among = lambda words: F.exists(words, lambda w: label.contains(w))
-    exact, exact_label = F.array_contains(m.elements, F.col("suffix")), F.array_contains(m.labels, label)
-    named = exact | exact_label | (among(m.required) & ~among(m.excluded))
-    # such figures depend on the accounting standard and the scope
-    named &= (~m.prefers | F.col("fits")) & (~m.needs_unit | unit_fits)
-    amount = F.coalesce("amount", F.when(m.dash_is_zero & F.col("is_dash"), 0.0))
-    named &= amount.isNotNull() & (m.least.isNull() | (amount >= m.least))
-    score = points((exact, 200 + 500), (exact_label, 140), (~exact_label & among(m.labels), 80), (unit_fits, 20)) + F.col("common")
-    score += F.when(m.prefers, F.col("side")).otherwise(points((F.col("consolidated") == "個別", 15)))
-    return F.when(named, F.struct(m["name"].alias("metric"), amount.alias("amount"), score.alias("score"), F.col("element_id").alias("element")))
+def meanings(facts: DataFrame, metrics: tuple[Metric, ...]) -> DataFrame:
+    """What each distinct pair of element and label offers to which metrics: (suffix, label, offers)."""
+    label, plain = F.col("label"), plain_label(F.col("label"))
+
+    def offer(m: Column) -> Column:
+        among = lambda words, text: F.exists(words, lambda w: text.contains(w))
+        exact, exact_label = F.array_contains(m.elements, F.col("suffix")), F.array_contains(m.labels, label)
+        named = exact | F.array_contains(m.plain_labels, plain) | (~among(m.excluded, plain) & (among(m.required, plain) | F.array_contains(m.ended_labels, plain)))
+        score = points((exact, 200 + 500), (exact_label, 140), (~exact_label & among(m.labels, label), 80)) + F.coalesce(F.element_at(m.element_points, F.col("suffix")), F.lit(0))
+        return F.when(named, F.struct(*(m[c].alias(c) for c in ("metric", "kind", "unit_kind", "needs_unit", "of_scope", "dash_is_zero", "undivided")), score.alias("name_score")))
+
+    pairs = facts.select("suffix", "label").distinct()
+    return pairs.select("suffix", "label", F.array_compact(F.transform(definitions(metrics), offer)).alias("offers")).filter(F.size("offers") > 0)
+
+
+def offered(facts: DataFrame, metrics: tuple[Metric, ...]) -> DataFrame:
+    """Every fact with each metric that it may be the value of, its score, scope and side; a fact of no metric once, with none."""
+    texts = {c: cell(c) for c in ("element_id", "label", "context_id", "relative_year", "consolidated", "unit", "value")}
+    file = F.lower(F.element_at(F.split("source_file", "/"), -1)) if "source_file" in facts.columns else F.lit("")
+    read = facts.withColumns(texts | {"unit_id": cell("unit_id") if "unit_id" in facts.columns else F.lit(""), "file": file, "at": F.col("row_no").cast("long")})
+    read = read.withColumn("suffix", F.element_at(F.split("element_id", ":"), -1))
+    known = read.join(meanings(read, metrics), ["suffix", "label"], "left").withColumn("m", F.explode_outer("offers")).select("*", "m.*")
+    element, context, year, side_text = F.col("element_id"), F.col("context_id"), F.col("relative_year"), F.col("consolidated")
+    unit = F.lower(plain_label(F.concat_ws(" ", "unit_id", "unit")))
+    small = F.lower("suffix")
+    per_share, shares = small.contains("pershare") | any_of(unit, PER_SHARE_UNITS), any_of(small, ("numberofissuedshares",)) | any_of(unit, SHARE_UNITS)
+    is_shares = F.col("unit_kind") == "shares"
+    unit_fits = F.when(F.col("unit_kind") == "per_share", per_share).when(is_shares, shares).otherwise(True)
+    undivided = F.when(F.col("undivided"), F.when(context == "CurrentYearDuration", 100).when(context.startswith("CurrentYearDuration_"), -200).otherwise(0)).otherwise(0)
+    score = F.col("name_score") + undivided + points(
+        (any_of(year, CURRENT_YEAR), 60), (any_of(year, PAST_YEAR), -200),
+        (context.contains("CurrentYear"), 50), (context.contains("Current"), 15), (context.contains("Prior") | context.contains("Previous"), -200), (context.contains("Segment"), -80),
+        (context.contains("CurrentYearDuration"), 80), (context.contains("CurrentYearInstant"), 80), (F.col("suffix").contains("SummaryOfBusinessResults"), 70), (context.contains("Quarter"), -300), (context.contains("Interim"), -300),
+        (unit_fits, 20), (is_shares & context.contains("CommonStockMember"), 200), (is_shares & any_of(context, OTHER_SHARES), -400),
+        (F.col("of_scope") & (side_text == "連結"), 45), (F.col("of_scope") & (side_text == "個別"), -20), (F.col("of_scope") & context.contains("ConsolidatedMember"), 20), (F.col("of_scope") & context.contains("NonConsolidatedMember"), -15), (~F.col("of_scope") & (side_text == "個別"), 15),
+    )
+    flag = F.lower("value")
+    kind, amount = F.col("kind"), F.coalesce(found_number(F.col("value")), F.when(F.col("dash_is_zero") & F.col("value").isin(*DASHES), 0.0))
+    amount = F.when(kind == "number", F.when(F.col("unit_kind") == "per_share", F.when(F.abs(amount) <= MOST_PER_SHARE, amount)).when(is_shares, F.when(amount >= 0, amount)).otherwise(amount))
+    text = F.when(kind == "text", F.nullif("value", F.lit(""))).when(kind == "standard", standard_of(F.col("value"))).when(kind == "flag", F.when(flag.isin(*YES), "true").when(flag.isin(*NO), "false"))
+    # a filing's traits have scores of their own
+    score = F.when(kind == "flag", 0).when(kind == "standard", points((F.col("suffix") == STANDARD.elements[0], 200), (context.contains("FilingDateInstant"), 50))).otherwise(score)
+    side = F.when(context.contains("NonConsolidatedMember") | plain_label(side_text).isin("個別", "非連結"), "alone").when(context.contains("ConsolidatedMember") | (plain_label(side_text) == "連結"), "group").otherwise("")
+    out = known.withColumns({"score": score, "amount": amount, "text": text, "scope": scope_of(element, F.col("label"), F.col("file")), "side": side})
+    counts = (F.col("amount").isNotNull() | F.col("text").isNotNull()) & (~F.col("needs_unit") | unit_fits)
+    return out.withColumn("metric", F.when(counts, F.col("metric"))).select("doc_id", "metric", F.when(kind.isin("number", "text"), F.col("scope")).alias("scope"), F.when(F.col("of_scope"), F.col("side")).alias("side"), "of_scope", "score", "at", "amount", "text", "element_id")
 
 
 def extract_metrics(facts: DataFrame, metrics: tuple[Metric, ...] = METRICS) -> DataFrame:
-    """One row for each filing: every metric, the element it came from, and how many were found. Facts are read once for all metrics."""
-    offers = prepared(facts).select("doc_id", F.col("at").alias("row_no"), F.explode(F.array_compact(F.transform(definitions(metrics), entry))).alias("o"))
-    # highest score, then first in the file
-    best = offers.groupBy("doc_id", "o.metric").agg(F.max_by("o", F.struct(F.col("o.score"), -F.col("row_no"))).alias("best"))
-    of = lambda n, field: F.max(F.when(F.col("metric") == n, F.col(f"best.{field}")))
-    names = [m.name for m in metrics]
-    wide = best.groupBy("doc_id").agg(*(of(n, "amount").alias(n) for n in names), *(of(n, "element").alias(f"{n}_element") for n in names), F.count(F.lit(1)).alias("n_found"))
-    return facts.select("doc_id").distinct().join(wide, "doc_id", "left").withColumn("n_found", F.coalesce("n_found", F.lit(0)))
+    """One row for each filing: every metric, the element it came from, how many were found, and the filing's standard and whether it is consolidated."""
+    offers = offered(facts, (*metrics, STANDARD, CONSOLIDATED))
+    best = lambda value: F.max_by(value, F.struct("score", -F.col("at")))
+    # few rows a filing: metrics by scope and side
+    few = offers.groupBy("doc_id", "metric", "scope", "side", "of_scope").agg(*(best(c).alias(c) for c in ("amount", "text", "element_id", "score", "at")))
+    of_filing = Window.partitionBy("doc_id")
+    trait = lambda m: F.max(F.when(F.col("metric") == m.name, F.col("text"))).over(of_filing)
+    few = few.withColumns({"standard": trait(STANDARD), "is_consolidated": trait(CONSOLIDATED) == "true"})
+    standard, scope = F.col("standard"), F.col("scope")
+    fits = standard.isNull() | (scope == "neutral") | (standard.isin("IFRS", "Japan GAAP", "US GAAP") & (scope == standard))
+    fits &= F.coalesce(F.when(F.col("is_consolidated"), F.col("side") != "alone").otherwise(F.col("side") != "group"), F.lit(True)) | F.col("is_consolidated").isNull()
+    # scores of the filing's own standard are higher, whether or not the metric depends on it
+    own = few.filter(F.col("metric").isNull() | ~F.col("of_scope") | fits).withColumn("score", F.col("score") + F.when(standard.isin("IFRS", "Japan GAAP") & (scope == standard), 250).otherwise(0))
+    final = own.groupBy("doc_id", "metric").agg(F.max("standard").alias("standard"), F.max("is_consolidated").alias("is_consolidated"), *(best(c).alias(c) for c in ("amount", "text", "element_id")))
+    of = lambda m, c: F.max(F.when(F.col("metric") == m.name, F.col(c)))
+    values = [of(m, "amount" if m.kind == "number" else "text").alias(m.name) for m in metrics]
+    return final.groupBy("doc_id").agg(*values, *(of(m, "element_id").alias(f"{m.name}_element") for m in metrics), F.max("standard").alias("standard"), F.max("is_consolidated").alias("is_consolidated"), F.count_if(F.col("metric").isin(*(m.name for m in metrics))).alias("n_found"))
 
 
 def apply_overrides(rows: DataFrame, overrides: DataFrame, columns: tuple[str, ...]) -> DataFrame:

@@ -41,25 +41,36 @@ SELECT CAST(c_custkey AS STRING) AS security_code, CASE WHEN c_custkey % 3 = 0 T
        CAST(NULL AS DATE) AS published_date, 'own' AS title
 FROM customer
 """
-# facts of an order's lines, in the shape of filings
-FACTS = """
-SELECT CAST(l_orderkey AS STRING) AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate, l_discount, l_tax) AS BIGINT) AS row_no,
-       CASE l_partkey % 23 WHEN 0 THEN 'jppfs_cor:NetSales' WHEN 1 THEN 'jpcrp_cor:RevenueIFRS' WHEN 2 THEN 'jppfs_cor:Assets'
-         WHEN 3 THEN 'jpcrp_cor:NetAssetsSummaryOfBusinessResults' WHEN 4 THEN 'jpcrp_cor:TotalNumberOfSharesHeldTreasurySharesEtc' WHEN 5 THEN 'jpdei_cor:AccountingStandardsDEI'
-         WHEN 6 THEN 'jpcrp_cor:DividendPaidPerShareSummaryOfBusinessResults' WHEN 7 THEN 'jppfs_cor:OperatingIncome' WHEN 8 THEN 'jppfs_cor:OrdinaryIncome'
-         WHEN 9 THEN 'jpcrp_cor:ProfitLossIFRSSummaryOfBusinessResults' WHEN 10 THEN 'jpcrp_cor:NetIncomeLossSummaryOfBusinessResults' WHEN 11 THEN 'jpigp_cor:EquityIFRS'
-         WHEN 12 THEN 'jppfs_cor:NetCashProvidedByUsedInOperatingActivities' WHEN 13 THEN 'jppfs_cor:NetCashProvidedByUsedInInvestingActivities' WHEN 14 THEN 'jppfs_cor:NetCashProvidedByUsedInFinancingActivities'
-         WHEN 15 THEN 'jppfs_cor:CashAndCashEquivalents' WHEN 16 THEN 'jpcrp_cor:BasicEarningsLossPerShareSummaryOfBusinessResults' WHEN 17 THEN 'jpcrp_cor:NetAssetsPerShareSummaryOfBusinessResults'
-         WHEN 18 THEN 'jpcrp_cor:TotalNumberOfIssuedSharesSummaryOfBusinessResults' WHEN 19 THEN 'jppfs_cor:CurrentAssets' WHEN 20 THEN 'jppfs_cor:InvestmentSecurities'
-         WHEN 21 THEN 'jppfs_cor:Liabilities'
-         ELSE 'jpdei_cor:WhetherConsolidatedFinancialStatementsArePreparedDEI' END AS element_id,
-       CASE l_partkey % 5 WHEN 0 THEN '売上高' WHEN 1 THEN '資産合計' ELSE 'other' END AS label,
-       CASE l_suppkey % 4 WHEN 0 THEN 'CurrentYearDuration' WHEN 1 THEN 'Prior1YearDuration' WHEN 2 THEN 'CurrentYearInstant' ELSE 'CurrentQuarterInstant' END AS context_id,
-       CASE l_suppkey % 3 WHEN 0 THEN '当期' WHEN 1 THEN '前期' ELSE '' END AS relative_year,
-       CASE l_linenumber % 3 WHEN 0 THEN '連結' WHEN 1 THEN '個別' ELSE '' END AS consolidated,
-       CASE WHEN l_partkey % 23 IN (4, 18) AND l_suppkey % 2 = 0 THEN 'shares' ELSE '円' END AS unit,
-       CASE WHEN l_partkey % 23 = 5 THEN (CASE WHEN l_orderkey % 2 = 0 THEN 'IFRS' ELSE 'Japan GAAP' END) WHEN l_partkey % 23 = 22 THEN (CASE WHEN l_orderkey % 3 = 0 THEN 'false' ELSE 'true' END) WHEN l_suppkey % 11 = 0 THEN '－' ELSE CAST(CAST(floor(l_extendedprice) AS BIGINT) AS STRING) END AS value
-FROM lineitem
+
+def _one_of(number: str, values: tuple[str, ...]) -> str:
+    """SQL that picks by a number's remainder."""
+    return f"CASE ({number}) % {len(values)} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(values)) + " END"
+
+
+# Elements, labels, contexts and values of the stand-in filings, rivals among them.
+_ELEMENTS = (
+    "jppfs_cor:NetSales", "jpcrp_cor:RevenueIFRSSummaryOfBusinessResults", "jpcrp_cor:RevenuesUSGAAPSummaryOfBusinessResults", "jppfs_cor:OperatingIncome", "jpigp_cor:OperatingProfitLossIFRS", "jppfs_cor:OrdinaryIncome",
+    "jppfs_cor:ProfitLoss", "jppfs_cor:ProfitLossAttributableToOwnersOfParent", "jpigp_cor:ProfitLossIFRS", "jpigp_cor:ProfitLossAttributableToOwnersOfParentIFRS", "jpcrp_cor:NetIncomeLossSummaryOfBusinessResults",
+    "jppfs_cor:Assets", "jpcrp_cor:TotalAssetsIFRSSummaryOfBusinessResults", "jppfs_cor:NetAssets", "jpigp_cor:EquityIFRS", "jppfs_cor:ShareholdersEquity", "jppfs_cor:NetCashProvidedByUsedInOperatingActivities", "jppfs_cor:NetCashProvidedByUsedInInvestingActivities",
+    "jppfs_cor:NetCashProvidedByUsedInFinancingActivities", "jppfs_cor:CashAndCashEquivalents", "jpcrp_cor:BasicEarningsLossPerShareSummaryOfBusinessResults", "jpcrp_cor:NetAssetsPerShareSummaryOfBusinessResults", "jpcrp_cor:DividendPaidPerShareSummaryOfBusinessResults",
+    "jpcrp_cor:TotalNumberOfIssuedSharesSummaryOfBusinessResults", "jpcrp_cor:NumberOfIssuedSharesAsOfFiscalYearEndIssuedSharesTotalNumberOfSharesEtc", "jpcrp_cor:TotalNumberOfSharesHeldTreasurySharesEtc", "jpcrp_cor:NumberOfSharesHeldInOwnNameTreasurySharesEtc",
+    "jppfs_cor:CurrentAssets", "jppfs_cor:InvestmentSecurities", "jppfs_cor:Liabilities", "jpdei_cor:CurrentFiscalYearStartDateDEI", "jpdei_cor:CurrentPeriodEndDateDEI", "jpdei_cor:AccountingStandardsDEI", "jpdei_cor:WhetherConsolidatedFinancialStatementsArePreparedDEI", "own_cor:Other", "Bare",
+)
+_LABELS = (
+    "売上高", "売上高、経営指標等", "売上収益(IFRS)", "1株当たり当期純利益", "１株当たり 当期純利益", "親会社株主に帰属する当期純利益の内訳", "当期純利益（希薄化後）", "親会社株主に帰属する包括利益", "資本合計（IFRS）", "発行済株式総数（株）", "提出日現在発行済株式総数", "自己株式", "自己株式の平均",
+    "流動資産計、連結経営指標等", "会計基準、DEI", "連結決算の有無", "当事業年度終了日", "USGAAP の項目", "other", "", "other", "other", "other",
+)
+_CONTEXTS = ("CurrentYearDuration", "CurrentYearDuration_NonConsolidatedMember", "Prior1YearDuration", "CurrentYearInstant", "CurrentYearInstant_CommonStockMember", "CurrentYearInstant_PreferredStockMember", "CurrentQuarterInstant", "FilingDateInstant", "CurrentYearDuration_ConsolidatedMember", "InterimDuration_SegmentMember", "")
+_NUMBER = "CAST(CAST(floor(l_extendedprice) AS BIGINT) AS STRING)"
+# sixteen orders make one filing, a line is a fact
+FACTS = f"""
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate, l_discount, l_tax) AS BIGINT) AS row_no, element_id, {_one_of('l_partkey', _LABELS)} AS label,
+       {_one_of('l_suppkey + l_linenumber', _CONTEXTS)} AS context_id, {_one_of('l_linenumber + l_partkey', ('当期', '前期', '提出者の当期', ''))} AS relative_year, {_one_of('l_linenumber + l_suppkey', ('連結', '個別', '', '', '非連結'))} AS consolidated,
+       {_one_of('l_suppkey + l_partkey', ('JPY', 'JPYPerShares', 'shares', ''))} AS unit_id, {_one_of('l_suppkey', ('円', '株', '円／株', ''))} AS unit,
+       CASE WHEN element_id LIKE '%AccountingStandardsDEI' THEN {_one_of('l_orderkey', ('IFRS', '日本基準', 'US GAAP', 'Japan GAAP', '国際 会計基準'))} WHEN element_id LIKE '%WhetherConsolidated%' THEN {_one_of('l_orderkey', ('true', '無', 'FALSE', 'x', '有'))}
+         WHEN element_id LIKE '%Date%' THEN CAST(CAST(l_shipdate AS DATE) AS STRING)
+         WHEN l_partkey % 13 = 0 THEN {_one_of('l_suppkey', ('－', '', 'n/a', '　'))} WHEN l_partkey % 13 = 1 THEN concat('△', {_NUMBER}) WHEN l_partkey % 13 = 2 THEN concat('(', {_NUMBER}, ')') WHEN l_partkey % 13 = 3 THEN concat(' ', {_NUMBER}, ',000円 ') WHEN l_partkey % 13 = 4 THEN '１２３株' WHEN l_partkey % 13 = 5 THEN concat({_NUMBER}, '000') ELSE {_NUMBER} END AS value
+FROM (SELECT *, CAST(CAST(floor(l_orderkey / 16) AS BIGINT) AS STRING) AS doc_id, {_one_of('l_partkey + 7 * l_linenumber', _ELEMENTS)} AS element_id FROM lineitem) lines
 """
 CELLS = """
 SELECT l_orderkey AS doc_id, l_linenumber AS row_no, CAST(1000 + l_partkey % 9000 AS STRING) AS code, CAST(l_suppkey AS STRING) AS c1,
@@ -204,8 +215,7 @@ def append_only_new(x: Inputs) -> DataFrame:
 
 
 def filing_metrics(x: Inputs) -> DataFrame:
-    names = [m.name for m in fact_ops.METRICS]
-    return fact_ops.extract_metrics(x.sql(FACTS)).select("doc_id", *names, *(f"{n}_element" for n in names), "n_found")
+    return fact_ops.extract_metrics(x.sql(FACTS))
 
 
 def page_links(x: Inputs) -> DataFrame:
@@ -246,34 +256,73 @@ def _number(c: str) -> str:
     return f"TRY_CAST(replace(replace({c}, '△', '-'), ',', '') AS DOUBLE)"
 
 
+_WIDE = ("０１２３４５６７８９（）／", "0123456789()/")
+
+
+def _quoted(words: tuple[str, ...], plain: bool = False) -> str:
+    return "(" + ", ".join("'" + (w.translate(str.maketrans(*_WIDE)) if plain else w) + "'" for w in words) + ")"
+
+
+def _has(column: str, words: tuple[str, ...], plain: bool = False) -> str:
+    """Does the column contain one of the words?"""
+    return "(" + (" OR ".join(f"contains({column}, '{w.translate(str.maketrans(*_WIDE)) if plain else w}')" for w in words) or "false") + ")"
+
+
+_OWN_UNIT = {
+    None: "true",
+    "per_share": f"(contains(lower(suffix), 'pershare') OR {_has('unit_text', fact_ops.PER_SHARE_UNITS)})",
+    "shares": f"(contains(lower(suffix), 'numberofissuedshares') OR {_has('unit_text', fact_ops.SHARE_UNITS)})",
+}
+
+
 def _offer(m: fact_ops.Metric) -> str:
-    """A fact's offer to one metric."""
-    among = lambda c, words: f"{c} IN ({', '.join(repr(w) for w in words)})" if words else "false"
-    exact, label = among("suffix", m.elements), among("label", m.labels)
-    wider = f"({_like('label', m.required)} AND NOT {_like('label', m.excluded)})" if m.required else "false"
-    own = "((standard IS NULL OR scope = 'neutral' OR scope = standard) AND NOT (coalesce(is_consolidated, false) AND consolidated = '個別'))" if m.prefers_consolidated else "true"
-    unit = f"unit = '{m.unit or '円'}'"
-    amount = "coalesce(amount, CASE WHEN value = '－' THEN 0 END)" if m.dash_is_zero else "amount"
-    least = f"AND {amount} >= {m.least}" if m.least is not None else ""
-    side = "CASE consolidated WHEN '連結' THEN 45 WHEN '個別' THEN -20 ELSE 0 END" if m.prefers_consolidated else "CASE consolidated WHEN '個別' THEN 15 ELSE 0 END"
-    return f"""SELECT doc_id, row_no, '{m.name}' AS metric, {amount} AS amount, element_id,
-      CASE WHEN {exact} THEN 700 ELSE 0 END + CASE WHEN {label} THEN 140 WHEN {_like('label', m.labels)} THEN 80 ELSE 0 END + common + CASE WHEN {unit} THEN 20 ELSE 0 END + {side} AS score
-    FROM known WHERE ({exact} OR {label} OR {wider}) AND {own} AND {amount} IS NOT NULL {least} {'AND ' + unit if m.needs_unit else ''}"""
-
-
-_METRIC_NAMES = tuple(m.name for m in fact_ops.METRICS)
+    """A fact's offer to one metric: does it match, may it be used, can it be read, what is it worth?"""
+    exact = f"suffix IN {_quoted(m.elements)}"
+    ended = tuple(a + b for a in m.labels for b in fact_ops.LABEL_ENDINGS)
+    loose = _has("plain", m.required, True) if m.required else f"plain IN {_quoted(ended, True)}"
+    matches = f"({exact} OR plain IN {_quoted(m.labels, True)} OR (NOT {_has('plain', m.excluded, True)} AND {loose}))"
+    standard = "(standard IS NULL OR scope = 'neutral' OR (standard IN ('IFRS', 'Japan GAAP', 'US GAAP') AND scope = standard))" if m.of_scope else "true"
+    scope = "(is_consolidated IS NULL OR side <> CASE WHEN is_consolidated THEN 'alone' ELSE 'group' END)" if m.of_scope else "true"
+    needs = _OWN_UNIT[m.unit] if m.needs_unit else "true"
+    amount = f"CASE WHEN value IN {_quoted(fact_ops.DASHES)} THEN 0 ELSE amount END" if m.dash_is_zero else "amount"
+    sane = {None: "true", "per_share": f"abs({amount}) <= 10000000", "shares": f"{amount} >= 0"}[m.unit]
+    read = "value <> ''" if m.kind == "text" else f"{amount} IS NOT NULL AND {sane}"
+    parts = [
+        f"CASE WHEN {exact} THEN 200 ELSE 0 END", f"CASE WHEN label IN {_quoted(m.labels)} THEN 140 WHEN {_has('label', m.labels)} THEN 80 ELSE 0 END", "common", f"CASE WHEN {exact} THEN 500 ELSE 0 END",
+        "CASE WHEN standard IN ('IFRS', 'Japan GAAP') AND scope = standard THEN 250 ELSE 0 END", f"CASE WHEN {_OWN_UNIT[m.unit]} THEN 20 ELSE 0 END",
+        "CASE consolidated WHEN '連結' THEN 45 WHEN '個別' THEN -20 ELSE 0 END + CASE WHEN contains(context_id, 'ConsolidatedMember') THEN 20 ELSE 0 END - CASE WHEN contains(context_id, 'NonConsolidatedMember') THEN 15 ELSE 0 END" if m.of_scope else "CASE consolidated WHEN '個別' THEN 15 ELSE 0 END",
+    ]
+    if m.name == "net_income":
+        parts += ["CASE WHEN suffix LIKE 'ProfitLossAttributableToOwnersOfParent%' THEN 500 WHEN suffix LIKE 'ProfitLoss%' THEN -100 ELSE 0 END", "CASE WHEN context_id = 'CurrentYearDuration' THEN 100 WHEN starts_with(context_id, 'CurrentYearDuration_') THEN -200 ELSE 0 END"]
+    if m.unit == "shares":
+        parts += ["CASE WHEN contains(context_id, 'CommonStockMember') THEN 200 ELSE 0 END", "CASE WHEN contains(context_id, 'PreferredStockMember') THEN -400 ELSE 0 END", "CASE suffix WHEN 'NumberOfIssuedSharesAsOfFiscalYearEndIssuedSharesTotalNumberOfSharesEtc' THEN 150 WHEN 'TotalNumberOfIssuedSharesSummaryOfBusinessResults' THEN 100 WHEN 'TotalNumberOfSharesHeldTreasurySharesEtc' THEN 150 WHEN 'NumberOfSharesHeldInOwnNameTreasurySharesEtc' THEN -150 ELSE 0 END"]
+    return f"""SELECT doc_id, row_no, '{m.name}' AS metric, CASE WHEN {str(m.kind == 'number').lower()} THEN {amount} END AS amount, value, element_id, {' + '.join(parts)} AS score
+    FROM known WHERE {matches} AND {standard} AND {scope} AND {needs} AND {read}"""
+
+
+_METRIC_SQL = f"""WITH facts AS ({FACTS}),
+  clean AS (SELECT * REPLACE (trim(value, ' ' || '　') AS value), split_part(element_id, ':', -1) AS suffix, translate(replace(label, ' ', ''), '{_WIDE[0]}', '{_WIDE[1]}') AS plain, lower(translate(replace(unit_id || ' ' || unit, ' ', ''), '{_WIDE[0]}', '{_WIDE[1]}')) AS unit_text FROM facts),
+  number AS (SELECT *, TRY_CAST(nullif(regexp_extract(translate(replace(replace(replace(value, ',', ''), '円', ''), '株', ''), '０１２３４５６７８９△', '0123456789-'), '[-+]?[0-9]+(\\.[0-9]+)?'), '') AS DOUBLE) AS found FROM clean),
+  parted AS (SELECT *, CASE WHEN starts_with(value, '(') AND ends_with(value, ')') THEN -abs(found) ELSE found END AS amount FROM number),
+  told AS (SELECT doc_id, row_no, CASE suffix WHEN 'AccountingStandardsDEI' THEN 200 ELSE 0 END + CASE context_id WHEN 'FilingDateInstant' THEN 50 ELSE 0 END AS score,
+      CASE WHEN contains(lower(v), 'ifrs') OR contains(v, '国際会計基準') THEN 'IFRS' WHEN contains(lower(v), 'japangaap') OR contains(v, '日本基準') THEN 'Japan GAAP' WHEN contains(lower(v), 'usgaap') THEN 'US GAAP' ELSE value END AS standard
+    FROM (SELECT *, replace(value, ' ', '') AS v FROM parted) WHERE (suffix = 'AccountingStandardsDEI' OR plain IN ('会計基準、DEI', '会計基準')) AND value <> ''),
+  standards AS (SELECT doc_id, standard FROM told QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, row_no) = 1),
+  flags AS (SELECT doc_id, lower(value) IN ('true', '1', 'yes', '有', 'あり') AS is_consolidated FROM parted WHERE (suffix = 'WhetherConsolidatedFinancialStatementsArePreparedDEI' OR plain IN ('連結決算の有無、DEI', '連結決算の有無')) AND lower(value) IN ('true', '1', 'yes', '有', 'あり', 'false', '0', 'no', '無', 'なし') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY row_no) = 1),
+  known AS (SELECT p.*, standard, is_consolidated,
+      CASE WHEN contains(upper(replace(element_id || label, ' ', '')), 'USGAAP') THEN 'US GAAP' WHEN contains(lower(element_id), 'ifrs') OR starts_with(element_id, 'jpigp') THEN 'IFRS' WHEN starts_with(element_id, 'jppfs') OR contains(suffix, 'SummaryOfBusinessResults') THEN 'Japan GAAP' ELSE 'neutral' END AS scope,
+      CASE WHEN contains(context_id, 'NonConsolidatedMember') OR consolidated IN ('個別', '非連結') THEN 'alone' WHEN contains(context_id, 'ConsolidatedMember') OR consolidated = '連結' THEN 'group' ELSE 'unknown' END AS side,
+      CASE WHEN contains(relative_year, '当期') OR contains(relative_year, '提出者') THEN 60 ELSE 0 END - CASE WHEN contains(relative_year, '前期') THEN 200 ELSE 0 END
+      + CASE WHEN contains(context_id, 'CurrentYear') THEN 50 ELSE 0 END + CASE WHEN contains(context_id, 'Current') THEN 15 ELSE 0 END - CASE WHEN contains(context_id, 'Prior') THEN 200 ELSE 0 END - CASE WHEN contains(context_id, 'Segment') THEN 80 ELSE 0 END
+      + CASE WHEN contains(context_id, 'CurrentYearDuration') THEN 80 ELSE 0 END + CASE WHEN contains(context_id, 'CurrentYearInstant') THEN 80 ELSE 0 END + CASE WHEN contains(suffix, 'SummaryOfBusinessResults') THEN 70 ELSE 0 END - CASE WHEN contains(context_id, 'Quarter') THEN 300 ELSE 0 END - CASE WHEN contains(context_id, 'Interim') THEN 300 ELSE 0 END AS common
+    FROM parted p LEFT JOIN standards USING (doc_id) LEFT JOIN flags USING (doc_id)),
+  offers AS ({' UNION ALL '.join(_offer(m) for m in fact_ops.METRICS)}),
+  best AS (SELECT * FROM offers QUALIFY row_number() OVER (PARTITION BY doc_id, metric ORDER BY score DESC, row_no) = 1)
+  SELECT d.doc_id, {', '.join(f"max({'amount' if m.kind == 'number' else 'value'}) FILTER (metric = '{m.name}') AS {m.name}, max(element_id) FILTER (metric = '{m.name}') AS {m.name}_element" for m in fact_ops.METRICS)}, any_value(s.standard) AS standard, any_value(f.is_consolidated) AS is_consolidated, count(metric) AS n_found
+  FROM (SELECT DISTINCT doc_id FROM facts) d LEFT JOIN best b USING (doc_id) LEFT JOIN standards s USING (doc_id) LEFT JOIN flags f USING (doc_id) GROUP BY d.doc_id"""
 
 SQL = {
-    "filing_metrics": f"""WITH facts AS ({FACTS}), parted AS (SELECT *, split_part(element_id, ':', 2) AS suffix, TRY_CAST(value AS DOUBLE) AS amount FROM facts),
-      traits AS (SELECT doc_id, min_by(value, row_no) FILTER (suffix = 'AccountingStandardsDEI') AS standard, min_by(value = 'true', row_no) FILTER (suffix = 'WhetherConsolidatedFinancialStatementsArePreparedDEI') AS is_consolidated FROM parted WHERE suffix LIKE '%DEI' GROUP BY doc_id),
-      scoped AS (SELECT p.*, t.standard, t.is_consolidated, CASE WHEN contains(lower(element_id), 'ifrs') OR contains(element_id, 'jpigp') THEN 'IFRS' WHEN contains(element_id, 'jppfs') OR contains(element_id, 'SummaryOfBusinessResults') THEN 'Japan GAAP' ELSE 'neutral' END AS scope FROM parted p LEFT JOIN traits t USING (doc_id)),
-      known AS (SELECT *, CASE relative_year WHEN '当期' THEN 60 WHEN '前期' THEN -200 ELSE 0 END
-        + CASE context_id WHEN 'CurrentYearDuration' THEN 145 WHEN 'CurrentYearInstant' THEN 145 WHEN 'Prior1YearDuration' THEN -200 WHEN 'CurrentQuarterInstant' THEN -285 ELSE 0 END
-        + CASE WHEN suffix LIKE '%SummaryOfBusinessResults%' THEN 70 ELSE 0 END + CASE WHEN scope = standard THEN 250 ELSE 0 END AS common FROM scoped),
-      offers AS ({' UNION ALL '.join(_offer(m) for m in fact_ops.METRICS)}),
-      best AS (SELECT * FROM offers QUALIFY row_number() OVER (PARTITION BY doc_id, metric ORDER BY score DESC, row_no) = 1)
-      SELECT d.doc_id, {', '.join(f"max(amount) FILTER (metric = '{n}') AS {n}, max(element_id) FILTER (metric = '{n}') AS {n}_element" for n in _METRIC_NAMES)}, count(metric) AS n_found
-      FROM (SELECT DISTINCT doc_id FROM facts) d LEFT JOIN best b ON b.doc_id = d.doc_id GROUP BY d.doc_id""",
+    "filing_metrics": _METRIC_SQL,
     "disclosure_titles": f"""WITH {_LINES}
       SELECT doc_id, page_no, CASE WHEN {_like('upper(text)', _UPPER)} THEN 'policy' WHEN {_like('text', WORDS.cut)} THEN 'cut' WHEN {_like('text', WORDS.rise)} THEN 'rise' WHEN {_like('text', WORDS.forecast)} THEN 'forecast' WHEN {_like('text', WORDS.plan)} THEN 'plan' WHEN {_like('text', WORDS.briefing)} THEN 'briefing' ELSE 'other' END AS category,
         {_like('upper(text)', _UPPER)} OR {_like('text', WORDS.plan)} OR {_like('text', WORDS.briefing)} AS is_policy_candidate,

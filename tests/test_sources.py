@@ -70,8 +70,13 @@ def fact(row_no, element, value, **more):
     return Row(**{"doc_id": "d", "row_no": row_no, "element_id": element, "label": "", "context_id": "CurrentYearInstant", "relative_year": "当期", "consolidated": "", "unit": "円", "value": value, **more})
 
 
+def metrics_of(spark, *rows):
+    return fact_ops.extract_metrics(spark.createDataFrame(list(rows))).first()
+
+
 def test_metrics(spark):
-    rows = [
+    got = metrics_of(
+        spark,
         fact(1, "x:TotalNumberOfSharesHeldTreasurySharesEtc", "500", unit="円"),
         fact(2, "x:TotalNumberOfSharesHeldTreasurySharesEtc", "300", unit="shares"),
         fact(3, "x:NetSales", "10", context_id="Prior1YearDuration", relative_year="前期"),
@@ -80,9 +85,35 @@ def test_metrics(spark):
         fact(6, "x:DividendPaidPerShareSummaryOfBusinessResults", "－"),
         fact(7, "x:Assets", "－"),
         fact(8, "x:AccountingStandardsDEI", "IFRS"),
-    ]
-    got = fact_ops.extract_metrics(spark.createDataFrame(rows)).first()
-    assert (got.treasury_shares, got.revenue, got.dividend_per_share, got.total_assets, got.n_found) == (300.0, 20.0, 0.0, None, 3)
+    )
+    assert (got.treasury_shares, got.revenue, got.dividend_per_share, got.total_assets, got.standard, got.n_found) == (300.0, 20.0, 0.0, None, "IFRS", 4)
+
+
+def test_rivals(spark):
+    """The owners' profit, common shares and the year's own context win."""
+    got = metrics_of(spark, fact(1, "x:ProfitLoss", "900"), fact(2, "x:ProfitLossAttributableToOwnersOfParent", "700"))
+    assert got.net_income == 700.0
+    got = metrics_of(spark, fact(1, "x:NetIncome", "1", context_id="CurrentYearDuration_NonConsolidatedMember"), fact(2, "x:NetIncome", "2", context_id="CurrentYearDuration"))
+    assert got.net_income == 2.0
+    issued = "x:TotalNumberOfIssuedSharesSummaryOfBusinessResults"
+    got = metrics_of(spark, fact(1, issued, "5", context_id="CurrentYearInstant_PreferredStockMember"), fact(2, issued, "1000", context_id="CurrentYearInstant_CommonStockMember"))
+    assert got.shares_issued == 1000.0
+    got = metrics_of(spark, fact(1, "x:NumberOfSharesHeldInOwnNameTreasurySharesEtc", "4", unit="株"), fact(2, "x:TotalNumberOfSharesHeldTreasurySharesEtc", "9", unit="株"), fact(3, "x:TreasuryStock", "1", label="自己株式"))
+    assert got.treasury_shares == 9.0
+
+
+def test_standard_scope_and_periods(spark):
+    rows = [
+        fact(1, "x:Other", "日本基準", label="会計基準"), fact(2, "x:AccountingStandardsDEI", "IFRS", context_id=""), fact(3, "x:AccountingStandardsDEI", "Japan GAAP", context_id="FilingDateInstant"),
+        fact(4, "jpigp_cor:Assets", "1"), fact(5, "jppfs_cor:Assets", "2", context_id="Prior1YearInstant"), fact(6, "x:CurrentFiscalYearStartDateDEI", "2023-04-01"), fact(7, "x:Some", "2024-03-31", label="当事業年度終了日、DEI"),
+        fact(8, "x:Some", "なし", label="連結決算の有無"), fact(9, "x:Liabilities", "3", consolidated="連結"), fact(10, "x:Liabilities", "4", consolidated="個別"), fact(11, "x:Own", "6", label="流動資産計、 連結経営指標等"),
+    ]
+    got = metrics_of(spark, *rows)
+    assert (got.standard, got.is_consolidated, got.total_assets, got.period_start, got.period_end, got.liabilities, got.current_assets) == ("Japan GAAP", False, 2.0, "2023-04-01", "2024-03-31", 4.0, 6.0)
+    assert metrics_of(spark, fact(1, "x:Some", "y")).n_found == 0
+    assert fact_ops.extract_metrics(spark.createDataFrame(rows).limit(0)).count() == 0
+    by_file = metrics_of(spark, fact(1, "x:AccountingStandardsDEI", "IFRS", source_file="f/x.csv"), fact(2, "Assets", "1", source_file="f/jppfs_1.csv"), fact(3, "Assets", "2", source_file="f/jpigp_1.csv"))
+    assert by_file.total_assets == 2.0
 
 
 def test_overrides(spark):

@@ -63,3 +63,9 @@ def test_filing_addresses(spark):
 def test_signed_numbers(spark):
     got = spark.createDataFrame([(v,) for v in ("+5", "-5", "5.", " 7 ", "(3)", "12", "1.50", "+", "１２")], "v string").select(text.number("v").alias("n")).collect()
     assert [r.n for r in got] == [5, -5, 5, 7, -3, 12, 1.5, None, 12]
+
+
+def test_found_numbers(spark):
+    rows = spark.createDataFrame([(v,) for v in ("1,234円", "(45)", "△1,5", "－", "n/a", "１２株", "1.5E3", "", None, "カ1,234", "ウ12", "/", "▲ 7", "12 34", "-8")], "v string")
+    got = [tuple(r) for r in rows.select(text.found_number(F.col("v")), text.found_number(F.col("v"), quoted=True)).collect()]
+    assert got == [(1234.0, 1234.0), (-45.0, 45.0), (-15.0, -15.0), (None, None), (None, None), (12.0, 12.0), (1500.0, 1.5), (None, None), (None, None), (1234.0, 1234.0), (12.0, 12.0), (None, None), (7.0, -7.0), (12.0, 1234.0), (-8.0, -8.0)]
