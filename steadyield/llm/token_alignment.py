@@ -37,6 +37,7 @@ A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 SPACE_PIECE = "▁"
 BUCKETS = 256  # of B ids; a bucket can hold all A ids for each of its B ids and no more
 FAN = 32  # vectors added up in one task
+SLICE = 1 << 20  # bytes of text worked on at once
 CACHED = 300_000  # pieces that a task remembers
 # Fixed value: how the first tokenizer cuts texts before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -45,6 +46,7 @@ HOT_SHARE = 1000  # pairs that more than one in so many links hold, fewer than t
 
 _GAP = re.compile(r"(?<=\S)(?= )")
 _SPACED = re.compile(r"\s ")
+_BLANK_END = re.compile(r"(?:^|\s) ")
 
 
 def pieces_of(text: str) -> list[str]:
@@ -68,7 +70,7 @@ def read_tokenizers(folder: str = FOLDER) -> tuple[bytes, bytes]:
 class Aligner:
     """Encodes and aligns pieces and remembers them: an entry number for each, and arrays of figures and links by entry."""
 
-    def __init__(self, a_file: bytes, b_file: bytes, names: bool = True):
+    def __init__(self, a_file: bytes, b_file: bytes):
         import sentencepiece
 
         a, value = json.loads(a_file), byte_values()
@@ -82,7 +84,7 @@ class Aligner:
         self.b_bytes = [bytes([int(t[3:5], 16)]) if self.b.is_byte(i) else t.replace(SPACE_PIECE, " ").encode() for i, t in enumerate(pieces)]
         self.lone_space = self.b.piece_to_id(SPACE_PIECE)
         self.sizes = [np.array(list(map(len, x)), dtype=np.int64) for x in (self.a_bytes, self.b_bytes)]
-        self.with_names = names
+        self.with_names = True
         # an id and what follows it: within its side of a group, or at the end of its side
         self.tokens = [[np.array([f"{i}{c}" for i in range(len(x))], dtype=object) for c in ends] for x, ends in ((self.a_bytes, ",|"), (self.b_bytes, ",;"))]
         self.token_sizes = [np.array([len(str(i)) + 1 for i in range(len(x))], dtype=np.int64) for x in (self.a_bytes, self.b_bytes)]
@@ -104,13 +106,12 @@ class Aligner:
     def learn(self, pieces: set[str]) -> None:
         """Encodes and aligns those of the pieces that are not known: most as one text, which is cut between them."""
         new = [p for p in pieces if p not in self.at]
-        joined = [p for p in new if p and not p[-1].isspace()]
+        apart = [p for p in new if not p or p[-1].isspace()] if _BLANK_END.search(" ".join(new) + " ") else []
+        joined = [p for p in new if p and not p[-1].isspace()] if apart else new
         if joined and not self.add(joined):
-            for p in joined:
-                self.add([p], alone=True)
-        for p in new:
-            if not p or p[-1].isspace():
-                self.add([p], alone=True)
+            apart += joined
+        for p in apart:
+            self.add([p], alone=True)
         self.figures = np.concatenate([self.figures, *self.new_figures])
         self.fits = np.concatenate([self.fits, np.array(self.new_fits, dtype=bool)])
         self.new_figures, self.new_fits = [], []
@@ -164,6 +165,21 @@ class Aligner:
         return len(self.fits) > CACHED
 
 
+_MADE: dict[tuple[bytes, bytes], Aligner] = {}
+
+
+def aligner_of(files: tuple[bytes, bytes], names: bool) -> Aligner:
+    """This process's aligner, with nothing in its memory."""
+    key = tuple(hashlib.sha256(f).digest() for f in files)
+    if key not in _MADE:
+        _MADE.clear()
+        _MADE[key] = Aligner(*files)
+    made = _MADE[key]
+    made.clear()
+    made.with_names = names
+    return made
+
+
 def _by_id(vocab: dict[bytes, int]) -> list[bytes]:
     out = [b""] * (max(vocab.values()) + 1)
     for t, i in vocab.items():
@@ -173,13 +189,15 @@ def _by_id(vocab: dict[bytes, int]) -> list[bytes]:
 
 def _byte_bpe(a_file: bytes, a: dict, vocab: dict[bytes, int]):
     """Encodes with the first file's vocabulary: by ranks where ids follow the order of merges, which is faster, else by the file's own library."""
-    from tokenizers import Tokenizer
-
-    slow = Tokenizer.from_str(a_file.decode())
-    slow.encode_special_tokens = True
+    slow = []
 
     def plain(text: str) -> list[int]:
-        return slow.encode(text, add_special_tokens=False).ids
+        if not slow:
+            from tokenizers import Tokenizer
+
+            slow.append(Tokenizer.from_str(a_file.decode()))
+            slow[0].encode_special_tokens = True
+        return slow[0].encode(text, add_special_tokens=False).ids
 
     names, merges = a["model"]["vocab"], [m if isinstance(m, list) else m.split(" ") for m in a["model"]["merges"]]
     split = a["pre_tokenizer"]
@@ -210,7 +228,7 @@ def pair_counts(docs: DataFrame, text_col: str, files: tuple[bytes, bytes]) -> D
     held = docs.sparkSession.sparkContext.broadcast(files)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, seen, task, flushed = Aligner(*held.value, names=False), np.zeros(0, np.int64), TaskContext.get().partitionId(), 0
+        aligner, seen, task, flushed = aligner_of(held.value, names=False), np.zeros(0, np.int64), TaskContext.get().partitionId(), 0
 
         def gathered() -> pa.RecordBatch:
             times = np.repeat(seen, aligner.figures[:, 3])
@@ -226,7 +244,7 @@ def pair_counts(docs: DataFrame, text_col: str, files: tuple[bytes, bytes]) -> D
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(names), task << 32 | flushed), pa.int64()), pa.array(names, pa.int32()), *lists], names=["part", "bucket", "keys", "counts"])
 
         for batch in batches:
-            for piece in slices(batch, text_col):
+            for piece in slices(batch, text_col, SLICE):
                 if aligner.is_full():
                     if seen.any():
                         yield gathered()
@@ -318,12 +336,13 @@ class Counts:
 
     def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Count of each pair and whether it is its B id's best."""
+        keys, which = np.unique(keys, return_inverse=True)
         count, best, bucket = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool), bucket_of(keys)
         for b in np.unique(bucket):
             at, (by, placed, counts, tops) = np.flatnonzero(bucket == b), self.of[int(b)]
             slot = verified(by, placed, keys[at])
             count[at], best[at] = counts[slot], tops[slot]
-        return count, best
+        return count[which], best[which]
 
 
 _FIGURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
@@ -346,10 +365,10 @@ def _documents(docs: DataFrame, id_col: str, text_col: str, files: tuple[bytes,
     held, table = spark.sparkContext.broadcast(files), None if rows is None else spark.sparkContext.broadcast(rows)
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, counts = Aligner(*held.value), None if table is None else Counts(table.value)
+        aligner, counts = aligner_of(held.value, names=True), None if table is None else Counts(table.value)
         figures = np.zeros((0, 6), np.int64)
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, SLICE):
                 if aligner.is_full():
                     aligner.clear()
                     figures = figures[:0]
