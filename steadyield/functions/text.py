@@ -24,6 +24,12 @@ def nfkc(text: str | Column) -> Column:
     return fold(text)
 
 
+def folded(text: str | Column) -> Column:
+    """Compatibility form; text of ASCII alone is its own and is not sent through Python."""
+    raw = F.col(text) if isinstance(text, str) else text
+    return F.coalesce(nfkc(F.when(raw.rlike(r"[^\x00-\x7F]"), raw)), raw)
+
+
 def collapsed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 

@@ -23,9 +23,11 @@ def unsupported(kind: Column, factor: Column) -> Column:
     return ~kind.eqNullSafe("1") & ~kind.eqNullSafe("2") & (factor != 1)
 
 
-def of_source(actions: DataFrame, source: str) -> DataFrame:
-    """Actions of one source; the same action may stand in another source's table with other values."""
-    return actions.filter(F.col("source") == source)
+def of_source(actions: DataFrame, source: str | None) -> DataFrame:
+    """Actions of one source; the same action may stand in another source's rows with other values, so a table that tells sources needs one named."""
+    if source is None and "source" in actions.columns:
+        raise ValueError("actions of several sources: name the one that counts")
+    return actions if source is None else actions.filter(F.col("source") == source)
 
 
 def known_actions(actions: DataFrame, securities: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -68,7 +70,7 @@ def pending_is_bridged(bounds: DataFrame, snapshots: DataFrame, watchlist: DataF
     return bounds.crossJoin(F.broadcast(verdict)).withColumn("pending_ok", F.col("covered_to").isNotNull() & (F.col("bad_months") == 0)).drop("bad_months")
 
 
-def adjustment_coverage(metrics: DataFrame, actions: DataFrame, sources: DataFrame, snapshots: DataFrame, watchlist: DataFrame, prices: DataFrame) -> DataFrame:
+def adjustment_coverage(metrics: DataFrame, actions: DataFrame, sources: DataFrame, snapshots: DataFrame, watchlist: DataFrame, prices: DataFrame, source: str | None = None) -> DataFrame:
     """For each security whether its span is covered and how many actions in it cannot be adjusted for."""
     market = prices.filter("close_price is not null").agg(F.max("trading_date").alias("latest_trading_date"))
     status = pending_is_bridged(coverage_bounds(sources).crossJoin(F.broadcast(market)), snapshots, watchlist)
@@ -78,16 +80,16 @@ def adjustment_coverage(metrics: DataFrame, actions: DataFrame, sources: DataFra
     base = metrics.select("security_code", "oldest_fiscal_period_end_5y").crossJoin(one).join(listed, "security_code", "left")
     reached = (F.col("covered_to") >= F.col("latest_trading_date")) | (F.col("pending_ok") & F.col("is_listed").isNull())
     complete = is_true(F.col("months_are_continuous")) & (F.col("covered_from") <= F.col("oldest_fiscal_period_end_5y")) & F.col("latest_trading_date").isNotNull() & reached
-    hits = actions.select(F.col("security_code").alias("__code"), "effective_date", "adjustment_factor", "ex_right_type")
+    hits = of_source(actions, source).select(F.col("security_code").alias("__code"), "effective_date", "adjustment_factor", "ex_right_type")
     within = (F.col("security_code") == F.col("__code")) & (F.col("effective_date") > F.col("oldest_fiscal_period_end_5y")) & (F.col("effective_date") <= F.col("covered_to"))
     joined = base.withColumn("range_is_complete", complete).join(hits, within, "left")
     return joined.groupBy("security_code", "covered_from", "covered_to", "range_is_complete").agg(count_where(unsupported(F.col("ex_right_type"), F.col("adjustment_factor"))).alias("unsupported_action_count"))
 
 
-def adjusted_periods(periods: DataFrame, coverage: DataFrame, actions: DataFrame) -> DataFrame:
+def adjusted_periods(periods: DataFrame, coverage: DataFrame, actions: DataFrame, source: str | None = None) -> DataFrame:
     """Each period's cumulative factor and adjusted dividend; an action applies to periods that end before it takes effect."""
     p = periods.join(coverage, "security_code", "left")
-    usable = actions.filter(F.col("ex_right_type").isin(*ADJUSTING_TYPES) & (F.col("adjustment_factor") > 0)).select(F.col("security_code").alias("__code"), "effective_date", "adjustment_factor")
+    usable = of_source(actions, source).filter(F.col("ex_right_type").isin(*ADJUSTING_TYPES) & (F.col("adjustment_factor") > 0)).select(F.col("security_code").alias("__code"), "effective_date", "adjustment_factor")
     later = (F.col("security_code") == F.col("__code")) & (F.col("effective_date") > F.col("fiscal_period_end")) & (F.col("effective_date") <= F.col("covered_to"))
     keys = ["security_code", "annual_financial_id", "fiscal_period_end", "annual_dividend_yen", "recent_period_rank", "previous_fiscal_period_end", "covered_from", "covered_to", "range_is_complete", "unsupported_action_count"]
     factor = F.coalesce(F.product(F.col("adjustment_factor").cast("double")), F.lit(1.0))
@@ -96,11 +98,11 @@ def adjusted_periods(periods: DataFrame, coverage: DataFrame, actions: DataFrame
     return out.withColumns({"cumulative_adjustment_factor": F.when(sure, F.round("__factor", 10)), "adjusted_annual_dividend_yen": F.when(sure, F.round(F.col("annual_dividend_yen") * F.col("__factor"), 6))}).drop("__factor")
 
 
-def adjusted_metrics(securities: DataFrame, financials: DataFrame, coverage: DataFrame, actions: DataFrame) -> DataFrame:
+def adjusted_metrics(securities: DataFrame, financials: DataFrame, coverage: DataFrame, actions: DataFrame, source: str | None = None) -> DataFrame:
     """The five-period record after adjustment; without coverage there is no verdict."""
     newest_first = Window.partitionBy("security_code").orderBy(F.desc("fiscal_period_end"), F.desc("annual_financial_id"))
     value, before, rank = "adjusted_annual_dividend_yen", "previous_adjusted_dividend_yen", F.col("recent_period_rank")
-    periods = adjusted_periods(recent_periods(financials), coverage, actions).withColumn(before, F.lead(value).over(newest_first))
+    periods = adjusted_periods(recent_periods(financials), coverage, actions, source).withColumn(before, F.lead(value).over(newest_first))
     steps = _steps(value, before)
     m = periods.groupBy("security_code").agg(
         F.max("covered_from").alias("adjustment_covered_from"),

@@ -143,18 +143,24 @@ def search(table: DataFrame, request: SearchRequest) -> DataFrame:
     return table.filter(request.condition()).withColumn("latest_adjusted_dividend_yen", latest).orderBy(*(c.desc_nulls_last() for c in order), "security_code").limit(request.limit + 1)
 
 
+MOST_LISTED = 10_000  # the most candidates and evidence-only rows that settings allow
+
+
 def changes(current: DataFrame, previous: DataFrame, version: str, first_run: bool | None = None) -> DataFrame:
-    """Securities that joined or left the list; a first run reports none. The id follows from both lists.
+    """Securities that joined or left the list; a first run reports none. The id follows from the previous list's version and both lists.
 
-    Where first_run is not said, an empty previous list counts as one.
+    Where first_run is not said, an empty previous list counts as one. A list
+    of more than MOST_LISTED securities is an error.
     """
     now, before = current.select("security_code").distinct(), previous.select("security_code").distinct()
     moved = now.join(before, "security_code", "left_anti").withColumn("change", F.lit("added")).unionByName(before.join(now, "security_code", "left_anti").withColumn("change", F.lit("removed")))
-    codes = now.agg(F.array_join(F.array_sort(F.collect_list("security_code")), ",").alias("codes"))  # a capped list
+    told = F.when(F.count(F.lit(1)) > MOST_LISTED, F.raise_error(F.lit("more securities than a list can have")).cast("string")).otherwise(F.array_join(F.array_sort(F.collect_list("security_code")), ","))
     empty = F.count(F.lit(1)) == 0
-    first = before.agg((empty if first_run is None else F.coalesce(F.lit(first_run), empty)).alias("is_first"))
-    stamp = F.substring(F.sha2(F.concat_ws("|", F.lit(version), F.col("codes")), 256), 1, 20)
-    return moved.crossJoin(F.broadcast(codes)).crossJoin(F.broadcast(first)).filter("not is_first").select(F.concat_ws(":", stamp, "change", "security_code").alias("event_id"), "security_code", "change")
+    after = now.agg(told.alias("codes"))
+    first = before.agg(told.alias("old_codes"), (empty if first_run is None else F.coalesce(F.lit(first_run), empty)).alias("is_first"))
+    compared = F.concat_ws("\n", F.lit(f"previous_version={version}"), F.concat(F.lit("previous="), "old_codes"), F.concat(F.lit("current="), "codes"))
+    stamp = F.substring(F.sha2(compared, 256), 1, 20)
+    return moved.crossJoin(F.broadcast(after)).crossJoin(F.broadcast(first)).filter("not is_first").select(F.concat_ws(":", stamp, "change", "security_code").alias("event_id"), "security_code", "change")
 
 
 def _judged(value: str, name: str, too_far: Column, label: str, unit: str, needs_positive: bool = False) -> Column:

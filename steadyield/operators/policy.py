@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from steadyield.functions.text import compact
+from steadyield.functions.text import collapsed, compact, folded
 from steadyield.operators.screener import latest_per
 
 EVIDENCE_CHARS = 500
@@ -51,7 +51,8 @@ def has_any(text: Column, words: tuple[str, ...]) -> Column:
 
 
 def classify_titles(disclosures: DataFrame, words: TitleWords = TitleWords(), title: str = "title") -> DataFrame:
-    """Adds category, is_policy_candidate and matched keywords; titles without a keyword go."""
+    """Adds category, is_policy_candidate and matched keywords; titles without a keyword go. Titles are folded to their compatibility form with single blanks."""
+    disclosures = disclosures.withColumn(title, collapsed(folded(title)))
     text, upper = F.col(title), F.upper(title)
     keywords = tuple(dict.fromkeys(words.policy + words.dividend))
     matched = F.array_compact(F.array(*(F.when(upper.contains(k.upper()), F.lit(k)) for k in words.policy + words.dividend)))
@@ -62,7 +63,8 @@ def classify_titles(disclosures: DataFrame, words: TitleWords = TitleWords(), ti
 
 
 def sentences(pages: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row for each sentence of a page: it ends with its mark or at a line's end."""
+    """One row for each sentence of a page: it ends with its mark or at a line's end. Pages are folded to their compatibility form first."""
+    pages = pages.withColumn("text", folded("text"))
     parts = F.regexp_extract_all("text", F.lit(r"([^。！？!?\r\n]*[。！？!?]|[^。！？!?\r\n]+)"), 1)
     rows = pages.select(key, "page_no", F.posexplode(parts).alias("sentence_no", "raw"))
     return rows.withColumn("sentence", F.trim(F.regexp_replace("raw", r"\s+", " "))).filter("sentence <> ''").drop("raw")

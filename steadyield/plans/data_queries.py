@@ -72,16 +72,17 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY l_orderkey,
          WHEN l_partkey % 13 = 0 THEN {_one_of('l_suppkey', ('－', '', 'n/a', '　'))} WHEN l_partkey % 13 = 1 THEN concat('△', {_NUMBER}) WHEN l_partkey % 13 = 2 THEN concat('(', {_NUMBER}, ')') WHEN l_partkey % 13 = 3 THEN concat(' ', {_NUMBER}, ',000円 ') WHEN l_partkey % 13 = 4 THEN '１２３株' WHEN l_partkey % 13 = 5 THEN concat({_NUMBER}, '000') ELSE {_NUMBER} END AS value
 FROM (SELECT *, CAST(CAST(floor(l_orderkey / 16) AS BIGINT) AS STRING) AS doc_id, {_one_of('l_partkey + 7 * l_linenumber', _ELEMENTS)} AS element_id FROM lineitem) lines
 """
-CELLS = """
-SELECT l_orderkey AS doc_id, l_linenumber AS row_no, CAST(1000 + l_partkey % 9000 AS STRING) AS code, CAST(l_suppkey AS STRING) AS c1,
-       CASE WHEN l_linenumber % 3 = 0 THEN '-' ELSE CAST(100 + l_partkey % 50 AS STRING) END AS am_open, CAST(150 + l_partkey % 40 AS STRING) AS am_high, CAST(90 + l_partkey % 30 AS STRING) AS am_low,
+# How a quotation table writes numbers.
+_AM_OPEN, _CHANGE, _FINAL = "CASE WHEN l_linenumber % 3 = 0 THEN '-' ELSE CAST(100 + l_partkey % 50 AS STRING) END", "CASE WHEN l_suppkey % 2 = 0 THEN concat('△', CAST(l_partkey % 9 AS STRING)) ELSE concat('＋', CAST(l_partkey % 9 AS STRING)) END", "CASE l_suppkey % 4 WHEN 0 THEN 'カ1,234' WHEN 1 THEN concat('ウ', CAST(l_partkey AS STRING), '.5') WHEN 2 THEN '/' ELSE '1 020' END"
+CELLS = f"""
+SELECT l_orderkey AS doc_id, l_linenumber AS row_no, concat(CAST(1000 + l_partkey % 9000 AS STRING), CASE WHEN l_linenumber % 2 = 0 THEN '0' ELSE '' END) AS code, CASE WHEN l_suppkey % 7 = 0 THEN '' ELSE '100' END AS unit, concat('name ', CAST(l_partkey AS STRING)) AS name,
+       {_AM_OPEN} AS am_open, CAST(150 + l_partkey % 40 AS STRING) AS am_high, CAST(90 + l_partkey % 30 AS STRING) AS am_low,
        CAST(120 + l_partkey % 20 AS STRING) AS am_close, CAST(110 + l_partkey % 60 AS STRING) AS pm_open, CASE WHEN l_linenumber % 4 = 0 THEN '' ELSE CAST(160 + l_partkey % 45 AS STRING) END AS pm_high,
-       CAST(95 + l_partkey % 35 AS STRING) AS pm_low, CASE WHEN l_linenumber % 5 = 0 THEN '-' ELSE CAST(130 + l_partkey % 25 AS STRING) END AS pm_close,
-       CASE WHEN l_suppkey % 2 = 0 THEN concat('△', CAST(l_partkey % 9 AS STRING)) ELSE CAST(l_partkey % 9 AS STRING) END AS change,
-       CAST(l_partkey AS STRING) AS vwap, '1,234' AS volume, '5,678' AS turnover
+       CAST(95 + l_partkey % 35 AS STRING) AS pm_low, CASE WHEN l_linenumber % 5 = 0 THEN '－' ELSE CAST(l_partkey % 25 AS STRING) END AS pm_close,
+       {_FINAL} AS final_quote, {_CHANGE} AS change, CAST(l_partkey AS STRING) AS vwap, '1,234' AS volume, '5,678.25' AS turnover
 FROM lineitem
 """
-_CELL_ORDER = ("code", "c1", "am_open", "am_high", "am_low", "am_close", "pm_open", "pm_high", "pm_low", "pm_close", "change", "vwap", "volume", "turnover")
+_CELL_ORDER = ("code", "unit", "name", "am_open", "am_high", "am_low", "am_close", "pm_open", "pm_high", "pm_low", "pm_close", "final_quote", "change", "vwap", "volume", "turnover")
 
 
 def lines(x: Inputs) -> DataFrame:
@@ -224,12 +225,12 @@ def page_links(x: Inputs) -> DataFrame:
 
 def day_quotations(x: Inputs) -> DataFrame:
     cells = x.sql(CELLS)
-    rows = cells.select("doc_id", "row_no", F.array(*_CELL_ORDER, F.lit(""), F.lit("")).alias("cells"))
-    return readers.quotations(rows).select("doc_id", "row_no", "security_code", "open_price", "high_price", "low_price", "close_price", "previous_close", "vwap", "volume", "turnover")
+    rows = cells.select("doc_id", "row_no", F.array(*_CELL_ORDER).alias("cells"))
+    return readers.quotations(rows).withColumn("change_percent", F.round("change_percent", 6))
 
 
 def listed_master(x: Inputs) -> DataFrame:
-    rows = x.sql("SELECT CAST(1000 + c_custkey % 9000 AS STRING) AS code5, CAST(NULL AS STRING) AS code, c_name AS name, CASE n_regionkey WHEN 0 THEN 'プライム（内国株式）' WHEN 1 THEN 'スタンダード（内国株式）' WHEN 2 THEN 'グロース（内国株式）' ELSE 'ETF' END AS market_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
+    rows = x.sql("SELECT CAST(1000 + c_custkey % 9000 AS STRING) AS code5, CAST(NULL AS STRING) AS code, c_name AS name, CASE n_regionkey WHEN 0 THEN 'プライム（内国株式）' WHEN 1 THEN 'スタンダード（内国株式）' WHEN 2 THEN 'グロース（内国株式）' WHEN 3 THEN 'プライム（外国株式）' ELSE 'ETF' END AS market_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
     return readers.listed_securities(rows, {"security_code": ("code", "code5"), "company_name": ("name",), "market": ("market_name", "segment")})
 
 
@@ -253,7 +254,8 @@ _NEW = "SELECT CAST(c_custkey AS STRING) AS security_code, c_name AS company_nam
 
 
 def _number(c: str) -> str:
-    return f"TRY_CAST(replace(replace({c}, '△', '-'), ',', '') AS DOUBLE)"
+    marked = f"regexp_replace(replace(replace(replace({c}, '△', '-'), ',', ''), ' ', ''), '^(-?)[カウ]', '\\1')"
+    return f"TRY_CAST(nullif(regexp_extract({marked}, '[-+]?[0-9]+(\\.[0-9]+)?'), '') AS DOUBLE)"
 
 
 _WIDE = ("０１２３４５６７８９（）／", "0123456789()/")
@@ -382,7 +384,8 @@ SQL = {
     "attempt_counts": """WITH o AS (SELECT event_id, event_type, event_id % 4 AS a FROM events WHERE event_id % 3 <> 0 OR event_id % 2 <> 0), n AS (SELECT event_id FROM events WHERE event_id % 2 = 0)
       SELECT coalesce(n.event_id, o.event_id) AS disclosure_id, CASE WHEN n.event_id IS NOT NULL THEN 'completed' ELSE event_type END AS status, CASE WHEN n.event_id IS NOT NULL THEN coalesce(a, 0) + 1 ELSE a END AS attempts FROM o FULL JOIN n ON o.event_id = n.event_id""",
     "append_only_new": "SELECT event_id AS k, CASE WHEN event_id % 3 = 0 THEN event_type ELSE 'new' END AS v FROM events",
-    "day_quotations": f"""WITH cells AS ({CELLS}) SELECT doc_id, row_no, code AS security_code, coalesce({_number('am_open')}, {_number('pm_open')}) AS open_price, greatest({_number('am_high')}, {_number('pm_high')}) AS high_price, least({_number('am_low')}, {_number('pm_low')}) AS low_price,
-      coalesce({_number('pm_close')}, {_number('am_close')}) AS close_price, coalesce({_number('pm_close')}, {_number('am_close')}) - {_number('change')} AS previous_close, {_number('vwap')} AS vwap, {_number('volume')} AS volume, {_number('turnover')} AS turnover FROM cells""",
+    "day_quotations": f"""WITH cells AS ({CELLS}), n AS (SELECT doc_id, row_no, substr(code, 1, 4) AS security_code, name AS quoted_name, {', '.join(f"{_number(c)} AS {c}" for c in _CELL_ORDER if c not in ('code', 'name'))} FROM cells WHERE unit <> ''),
+      p AS (SELECT doc_id, row_no, security_code, quoted_name, unit AS trading_unit, coalesce(am_open, pm_open) AS open_price, greatest(am_high, pm_high) AS high_price, least(am_low, pm_low) AS low_price, coalesce(pm_close, am_close) AS close_price, final_quote, change, coalesce(pm_close, am_close) - change AS previous_close, vwap, volume, turnover FROM n)
+      SELECT *, CASE WHEN previous_close <> 0 THEN round(change / previous_close * 100, 6) + 0 END AS change_percent FROM p""",
     "listed_master": "SELECT CAST(1000 + c_custkey % 9000 AS STRING) AS security_code, c_name AS company_name, CASE n_regionkey WHEN 0 THEN 'prime' WHEN 1 THEN 'standard' ELSE 'growth' END AS market FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey IN (0, 1, 2)",
 }

@@ -31,12 +31,17 @@ def base(x: Inputs) -> DataFrame:
     return screener.screener_base(x.securities, x.prices, x.financials)
 
 
+def sourced_actions(x: Inputs) -> DataFrame:
+    """The actions, and another source's rows of them with factors of its own."""
+    return x.actions.withColumn("source", F.lit("exchange")).unionByName(x.actions.withColumns({"source": F.lit("vendor"), "adjustment_factor": F.lit(0.1)}))
+
+
 def coverage(x: Inputs) -> DataFrame:
-    return adjust.adjustment_coverage(dividends.raw_metrics(x.securities, x.financials), x.actions, x.sources, x.snapshots, x.watchlist, x.prices)
+    return adjust.adjustment_coverage(dividends.raw_metrics(x.securities, x.financials), sourced_actions(x), x.sources, x.snapshots, x.watchlist, x.prices, source="exchange")
 
 
 def adjusted(x: Inputs) -> DataFrame:
-    return adjust.adjusted_metrics(x.securities, x.financials, coverage(x), x.actions)
+    return adjust.adjusted_metrics(x.securities, x.financials, coverage(x), sourced_actions(x), source="exchange")
 
 
 def combined(x: Inputs) -> DataFrame:

@@ -193,7 +193,8 @@ SQL = {
       ORDER BY combined.dividend_cagr_5y_adjusted_percent DESC NULLS LAST, combined.dividend_yield_percent DESC NULLS LAST, combined.roe_percent DESC NULLS LAST, security_code LIMIT 21""",
     "candidate_changes": _COMBINED + _list("loose", LOOSE) + _list("tight", TIGHT)
     + """, moved AS (SELECT security_code, 'added' AS change FROM tight WHERE security_code NOT IN (SELECT security_code FROM loose) UNION ALL SELECT security_code, 'removed' FROM loose WHERE security_code NOT IN (SELECT security_code FROM tight)),
-      stamp AS (SELECT substr(sha256('v1|' || coalesce(string_agg(security_code, ',' ORDER BY security_code), '')), 1, 20) AS s FROM tight)
+      old AS (SELECT coalesce(string_agg(security_code, ',' ORDER BY security_code), '') AS codes FROM loose), new AS (SELECT coalesce(string_agg(security_code, ',' ORDER BY security_code), '') AS codes FROM tight),
+      stamp AS (SELECT substr(sha256('previous_version=v1' || chr(10) || 'previous=' || old.codes || chr(10) || 'current=' || new.codes), 1, 20) AS s FROM old, new)
       SELECT s || ':' || change || ':' || security_code AS event_id, security_code, change FROM moved, stamp WHERE (SELECT count(*) FROM loose) > 0""",
     "exclusion_reasons": _COMBINED + _reasons(TIGHT) + " SELECT security_code, len(r) AS n_reasons, array_to_string(r, '; ') AS reasons FROM reasons",
     "reason_breakdown": _COMBINED + _reasons(TIGHT)

@@ -7,45 +7,10 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
-
-from steadyield.functions.text import action, day, number, ratio_factor, security_code
-
-FACT_COLUMNS = ("element_id", "label", "context_id", "relative_year", "consolidated", "period_type", "unit_id", "unit", "value")
-
-
-def filing_facts(spark: SparkSession, folder: str, encoding: str = "UTF-16") -> DataFrame:
-    """Tab-separated facts of unpacked filings, audit files left out; headers are replaced by position. A file is named after its document."""
-    raw = spark.read.option("sep", "\t").option("encoding", encoding).option("multiLine", True).option("header", True).csv(f"{folder}/*.csv")
-    named = raw.toDF(*FACT_COLUMNS[: len(raw.columns)]) if len(raw.columns) <= len(FACT_COLUMNS) else raw
-    rows = named.withColumn("source_file", F.input_file_name())
-    rows = rows.filter(~F.element_at(F.split("source_file", "/"), -1).startswith("jpaud"))
-    return rows.withColumns({"doc_id": F.regexp_extract("source_file", r"([^/]+?)(?:_[^/]*)?\.csv$", 1), "row_no": F.monotonically_increasing_id()})
-
-
-def pending_rights(spark: SparkSession, path: str) -> DataFrame:
-    """Pending rights from six-column text files in code page 932; a line of another width is an error, blank ones are skipped.
-
-    A code that a file names again with the same ratio counts once; another ratio is an error.
-    """
-
-    @F.arrow_udf(StringType())
-    def decoded(content: pa.Array) -> pa.Array:
-        return pa.array([c.decode("cp932") for c in content.to_pylist()], pa.string())
-
-    lines = spark.read.format("binaryFile").load(path).select("path", F.explode(F.split(decoded("content"), "\r\n|\n")).alias("line"))
-    cells = F.split("line", ",", -1)
-    rows = lines.filter(F.regexp_replace("line", "[,\\s]", "") != "")
-    rows = rows.withColumn("cells", F.when(F.size(cells) == 6, cells).otherwise(F.raise_error(F.lit("a line has not six columns")).cast("array<string>")))
-    read = rows.select("path", security_code(F.col("cells")[1]).alias("security_code"), ratio_factor(F.col("cells")[3]).alias("adjustment_factor")).filter("security_code is not null")
-    # a null and a number differ too
-    same = (F.max("adjustment_factor") == F.min("adjustment_factor")) & (F.count("adjustment_factor") == F.count(F.lit(1))) | (F.count("adjustment_factor") == 0)
-    one = F.when(same, F.max("adjustment_factor")).otherwise(F.raise_error(F.lit("a code has two ratios")).cast("decimal(20,10)"))
-    return read.groupBy("path", "security_code").agg(one.alias("adjustment_factor"))
 
+from steadyield.functions.text import action, day, found_number, number, security_code
 
 class _Links(HTMLParser):
     """Collects rows of link address and text."""
@@ -86,34 +51,40 @@ def listed_links(pages: DataFrame) -> DataFrame:
     return links.withColumn("link_id", F.regexp_extract("link_url", r"([^/?#]*?)(?:\.[^./?#]*)?(?:[?#].*)?$", 1))
 
 
+DOMESTIC = "内国株式"
 MARKETS = (("プライム", "prime"), ("スタンダード", "standard"), ("グロース", "growth"))
 
 
 def listed_securities(rows: DataFrame, aliases: dict[str, tuple[str, ...]]) -> DataFrame:
-    """The master list: columns by any of their names, domestic shares on the three markets, ordered by market and code."""
+    """The master list: columns by any of their names, domestic shares on the three markets, ordered by market and code. Foreign shares on these markets aren't listed."""
     found = {name: F.coalesce(*(F.col(f"`{c}`") for c in names if c in rows.columns)) for name, names in aliases.items()}
     named = rows.select(*(c.alias(n) for n, c in found.items()))
     market, rank = F.lit(None).cast("string"), F.lit(None).cast("int")
     for k, (word, short) in reversed(list(enumerate(MARKETS))):
-        market = F.when(F.col("market").contains(word) | (F.col("market") == short), short).otherwise(market)
-        rank = F.when(F.col("market").contains(word) | (F.col("market") == short), k).otherwise(rank)
-    kept = named.withColumn("__rank", rank).withColumns({"market": market, "security_code": security_code("security_code")}).filter("__rank is not null and security_code is not null")
+        market = F.when(F.col("market").contains(word), short).otherwise(market)
+        rank = F.when(F.col("market").contains(word), k).otherwise(rank)
+    kept = named.filter(F.col("market").contains(DOMESTIC)).withColumn("__rank", rank).withColumns({"market": market, "security_code": security_code("security_code")}).filter("__rank is not null and security_code is not null")
     return kept.orderBy("__rank", "security_code").drop("__rank")
 
 
+QUOTED = ("trading_unit", "am_open", "am_high", "am_low", "am_close", "pm_open", "pm_high", "pm_low", "pm_close", "final_quote", "change", "vwap", "volume", "turnover")
+
+
 def quotations(rows: DataFrame) -> DataFrame:
-    """Day's prices from rows of 16 cells: morning and afternoon open, high, low and close, then change, average, volume and turnover."""
+    """Day's prices from rows of 16 cells: code, trading unit, name, morning and afternoon open, high, low and close, final quote, change, average, volume and turnover.
+
+    A row of another width, without a code or without a trading unit is none.
+    """
     kept = [c for c in rows.columns if c != "cells"]
-    # numbers are read once, into an array that is used many times and so is not spelled out again in each column
-    read = rows.filter(F.size("cells") == 16).select(*kept, security_code(F.get("cells", F.lit(0))).alias("security_code"), F.transform(F.slice("cells", 3, 12), number).alias("__n"))
-    cell = lambda k: F.get("__n", F.lit(k - 2))
-    first = lambda a, b: F.coalesce(cell(a), cell(b))
-    prices = read.filter("security_code is not null").select(
-        *kept, "security_code",
-        first(2, 6).alias("open_price"), F.greatest(cell(3), cell(7)).alias("high_price"), F.least(cell(4), cell(8)).alias("low_price"), first(9, 5).alias("close_price"),
-        (first(9, 5) - cell(10)).alias("previous_close"), cell(11).alias("vwap"), cell(12).alias("volume"), cell(13).alias("turnover"),
+    at = lambda k: F.regexp_replace(F.get("cells", F.lit(k)), "\r", "")
+    places = {name: k if k == 1 else k + 1 for k, name in enumerate(QUOTED, 1)}
+    read = rows.filter(F.size("cells") == 16).select(*kept, security_code(at(0)).alias("security_code"), F.trim(F.regexp_replace(at(2), "\n", " ")).alias("quoted_name"), *(found_number(at(k), quoted=True).alias(n) for n, k in places.items()))
+    prices = read.filter("security_code is not null and trading_unit is not null").select(
+        *kept, "security_code", "quoted_name", "trading_unit",
+        F.coalesce("am_open", "pm_open").alias("open_price"), F.greatest("am_high", "pm_high").alias("high_price"), F.least("am_low", "pm_low").alias("low_price"), F.coalesce("pm_close", "am_close").alias("close_price"),
+        "final_quote", "change", (F.coalesce("pm_close", "am_close") - F.col("change")).alias("previous_close"), "vwap", "volume", "turnover",
     )
-    return prices.withColumn("change_percent", F.when(F.col("previous_close") > 0, (F.col("close_price") / F.col("previous_close") - 1) * 100))
+    return prices.withColumn("change_percent", F.when(F.col("previous_close") != 0, F.col("change") / F.col("previous_close") * 100))
 
 
 def bar_actions(bars: DataFrame) -> DataFrame:

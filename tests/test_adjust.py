@@ -71,3 +71,12 @@ def test_pending_months_are_bridged(spark):
 def test_gaps_and_no_pending_months(spark):
     assert coverage(spark, snapshots=SOUND, skip=("2023-05",))["1"] is False
     assert coverage(spark, snapshots=[], latest="2026-08-20")["1"] is True
+
+
+def test_actions_of_several_sources(spark):
+    periods = spark.createDataFrame([("1", 1, day("2021-03-31"), 100.0, 1, None)], "security_code string, annual_financial_id long, fiscal_period_end date, annual_dividend_yen double, recent_period_rank int, previous_fiscal_period_end date")
+    coverage = spark.createDataFrame([("1", day("2020-01-01"), day("2026-01-01"), True, 0)], "security_code string, covered_from date, covered_to date, range_is_complete boolean, unsupported_action_count long")
+    actions = spark.createDataFrame([("1", day("2023-10-01"), 0.5, "1", s) for s in ("exchange", "vendor")], ACTION + ", source string")
+    assert adjust.adjusted_periods(periods, coverage, actions, source="exchange").first().adjusted_annual_dividend_yen == 50.0
+    with pytest.raises(ValueError):
+        adjust.adjusted_periods(periods, coverage, actions)

@@ -1,5 +1,7 @@
 """The screen, its reasons, changes and requests."""
 
+import hashlib
+
 import pytest
 
 from steadyield.operators.candidates import Criteria, SearchRequest, candidates, changes, exclusion_reasons, full_report, reason_breakdown, reasons_for, search, with_evidence_only
@@ -52,6 +54,14 @@ def test_ranking_and_changes(spark):
     assert changes(now, before.limit(0), "v").count() == 0
 
 
+def test_ids_follow_from_both_lists(spark):
+    rows = table(spark, {}, {}, {}, {})
+    now, before = rows.filter("security_code in ('2', '1')"), rows.filter("security_code in ('1', '3')")
+    stamp = lambda n, b, v="v": {r.event_id.split(":")[0] for r in changes(n, b, v).collect()}
+    assert stamp(now, before) == {hashlib.sha256(b"previous_version=v\nprevious=1,3\ncurrent=1,2").hexdigest()[:20]}
+    assert len(stamp(now, before) | stamp(now, before.limit(1)) | stamp(now, before, "w") | stamp(rows, before)) == 4
+
+
 def test_breakdown(spark):
     rows = table(spark, {"roe_percent": 1.0}, {"roe_percent": 2.0}, {"per_ratio": 30.0})
     got = [(r.reason, r.n) for r in reason_breakdown(exclusion_reasons(rows, Criteria())).orderBy("place").collect()]

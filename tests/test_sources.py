@@ -10,31 +10,6 @@ from steadyield.operators import facts as fact_ops
 from steadyield.sources import readers, schemas
 
 
-def test_pending_rights(spark, tmp_path):
-    (tmp_path / "a.csv").write_bytes("佐藤食品工業（株）,2814,100,1:2,2,2分の1\r\n,,,,,\r\n".encode("cp932"))
-    got = readers.pending_rights(spark, f"file://{tmp_path}/a.csv").collect()
-    assert [(r.security_code, float(r.adjustment_factor)) for r in got] == [("2814", 0.5)]
-    (tmp_path / "b.csv").write_bytes("x,2814,1\n".encode("cp932"))
-    (tmp_path / "c.csv").write_bytes("a,2814,1,1:2,x,x\na,2814,1,1:2,x,x\na,2815,1,,x,x\n".encode("cp932"))
-    got = readers.pending_rights(spark, f"file://{tmp_path}/c.csv").orderBy("security_code").collect()
-    assert [(r.security_code, r.adjustment_factor and float(r.adjustment_factor)) for r in got] == [("2814", 0.5), ("2815", None)]
-    for other in ("1:3", ""):
-        (tmp_path / "d.csv").write_bytes(f"a,2814,1,1:2,x,x\na,2814,1,{other},x,x\n".encode("cp932"))
-        with pytest.raises(Exception, match="two ratios"):
-            readers.pending_rights(spark, f"file://{tmp_path}/d.csv").collect()
-    with pytest.raises(Exception, match="six columns"):
-        readers.pending_rights(spark, f"file://{tmp_path}/b.csv").collect()
-
-
-def test_filing_facts(spark, tmp_path):
-    head = "要素ID\t項目名\tコンテキストID\t相対年度\t連結・個別\t期間・時点\tユニットID\t単位\t値\n"
-    line = '"jppfs_cor:NetSales"\t"売上高"\t"CurrentYearDuration"\t"当期"\t"連結"\t"期間"\t"JPY"\t"円"\t"1,000"\n'
-    for name in ("S100AAAA_1.csv", "jpaud_x.csv"):
-        (tmp_path / name).write_bytes((head + line).encode("utf-16"))
-    got = readers.filing_facts(spark, f"file://{tmp_path}").collect()
-    assert [(r.doc_id, r.element_id, r.label, r.value) for r in got] == [("S100AAAA", "jppfs_cor:NetSales", "売上高", "1,000")]
-
-
 def test_bar_and_rights_rows(spark):
     bars = spark.createDataFrame([("13320", date(2024, 1, 1), 1.0, None), ("13320", date(2024, 1, 2), 0.5, "1"), ("13320", date(2024, 1, 3), 1.0, "9")], "code string, effective_date date, adjustment_factor double, ex_right_type string")
     assert [(r.security_code, r.is_quarantined) for r in readers.bar_actions(bars).orderBy("effective_date").collect()] == [("1332", False), ("1332", True)]
@@ -140,3 +115,22 @@ def test_declared_tables(spark, tmp_path, name):
 def test_values_that_cannot_be_cast(spark):
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         schemas.conform(spark.sql("SELECT 'soon' AS trading_date"), "prices").collect()
+
+
+def test_quotations(spark):
+    """The shapes of the exchange's table: blank sessions, marks, signs, a row without a unit."""
+    full = ["72030", "100", "トヨタ\n自動車", "4,000", "4,050", "3,990", "4,035.5", "4,040", "4,060", "4,010", "4,055", "カ4,054", "△35", "4,035.5", "12.3", "50.1"]
+    late = ["130A", "1", "x", "－", "－", "－", "－", "10", "12", "9", "10", "/", "＋10", "", "", ""]
+    rows = [(1, full), (2, late), (3, ["7203", "", *full[2:]]), (4, full[:15]), (5, ["コード", *full[1:]]), (6, None)]
+    got = {r.n: r for r in readers.quotations(spark.createDataFrame(rows, "n int, cells array<string>")).collect()}
+    assert sorted(got) == [1, 2]
+    one, two = got[1], got[2]
+    assert (one.security_code, one.quoted_name, one.trading_unit, one.open_price, one.high_price, one.low_price, one.close_price) == ("7203", "トヨタ 自動車", 100.0, 4000.0, 4060.0, 3990.0, 4055.0)
+    assert (one.final_quote, one.change, one.previous_close, one.vwap, one.volume, one.turnover) == (4054.0, -35.0, 4090.0, 4035.5, 12.3, 50.1) and abs(one.change_percent + 3500 / 4090) < 1e-9
+    assert (two.open_price, two.high_price, two.low_price, two.close_price, two.final_quote, two.previous_close, two.change_percent) == (10.0, 12.0, 9.0, 10.0, None, 0.0, None)
+
+
+def test_only_domestic_shares_are_listed(spark):
+    rows = spark.createDataFrame([("7203", "プライム（内国株式）"), ("1301", "スタンダード（内国株式）"), ("9999", "プライム（外国株式）"), ("1306", "ETF・ETN"), ("5000", "prime"), ("6000", None)], "code string, segment string")
+    got = readers.listed_securities(rows, {"security_code": ("code",), "market": ("segment",)}).collect()
+    assert [(r.security_code, r.market) for r in got] == [("7203", "prime"), ("1301", "standard")]
