@@ -125,12 +125,12 @@ def points(*scored: tuple[Column, int]) -> Column:
 
 def cell(c: str) -> Column:
     """A cell's text without marks of byte order and white space around it; none is blank."""
-    return F.regexp_replace(F.translate(F.coalesce(c, F.lit("")), "\u3000\ufeff", " "), r"^\s+|\s+$", "")
+    return F.btrim(F.coalesce(c, F.lit("")), F.lit(" \t\n\r\v\f\u3000\ufeff"))
 
 
 def plain_label(text: Column) -> Column:
     """A label for comparison: without blanks, with narrow digits, brackets and slashes."""
-    return F.translate(text, "０１２３４５６７８９（）／ \t", "0123456789()/")
+    return F.translate(text, "０１２３４５６７８９（）／ \t\u3000", "0123456789()/")
 
 
 def standard_of(value: Column) -> Column:
@@ -163,7 +163,7 @@ def definitions(metrics: tuple[Metric, ...]) -> Column:
 
 def meanings(facts: DataFrame, metrics: tuple[Metric, ...]) -> DataFrame:
     """What each distinct pair of element and label offers to which metrics: (suffix, label, offers)."""
-    label, plain = F.col("label"), plain_label(F.col("label"))
+    label, plain = F.col("label"), F.col("plain")
 
     def offer(m: Column) -> Column:
         among = lambda words, text: F.exists(words, lambda w: text.contains(w))
@@ -173,7 +173,8 @@ def meanings(facts: DataFrame, metrics: tuple[Metric, ...]) -> DataFrame:
         return F.when(named, F.struct(*(m[c].alias(c) for c in ("metric", "kind", "unit_kind", "needs_unit", "of_scope", "dash_is_zero", "undivided")), score.alias("name_score")))
 
     pairs = facts.select("suffix", "label").distinct()
-    return pairs.select("suffix", "label", F.array_compact(F.transform(definitions(metrics), offer)).alias("offers")).filter(F.size("offers") > 0)
+    # no filter of pairs without offers: it would be moved in front of the distinct, to every fact
+    return pairs.withColumn("plain", plain_label(label)).select("suffix", "label", F.array_compact(F.transform(definitions(metrics), offer)).alias("offers"))
 
 
 def offered(facts: DataFrame, metrics: tuple[Metric, ...]) -> DataFrame:
@@ -182,31 +183,35 @@ def offered(facts: DataFrame, metrics: tuple[Metric, ...]) -> DataFrame:
     file = F.lower(F.element_at(F.split("source_file", "/"), -1)) if "source_file" in facts.columns else F.lit("")
     read = facts.withColumns(texts | {"unit_id": cell("unit_id") if "unit_id" in facts.columns else F.lit(""), "file": file, "at": F.col("row_no").cast("long")})
     read = read.withColumn("suffix", F.element_at(F.split("element_id", ":"), -1))
-    known = read.join(meanings(read, metrics), ["suffix", "label"], "left").withColumn("m", F.explode_outer("offers")).select("*", "m.*")
-    element, context, year, side_text = F.col("element_id"), F.col("context_id"), F.col("relative_year"), F.col("consolidated")
-    unit = F.lower(plain_label(F.concat_ws(" ", "unit_id", "unit")))
-    small = F.lower("suffix")
-    per_share, shares = small.contains("pershare") | any_of(unit, PER_SHARE_UNITS), any_of(small, ("numberofissuedshares",)) | any_of(unit, SHARE_UNITS)
-    is_shares = F.col("unit_kind") == "shares"
-    unit_fits = F.when(F.col("unit_kind") == "per_share", per_share).when(is_shares, shares).otherwise(True)
-    undivided = F.when(F.col("undivided"), F.when(context == "CurrentYearDuration", 100).when(context.startswith("CurrentYearDuration_"), -200).otherwise(0)).otherwise(0)
-    score = F.col("name_score") + undivided + points(
+    known = read.join(meanings(read, metrics), ["suffix", "label"], "left")
+    # worked out within a lambda, for matching facts alone; spelled out as columns the code would be too long to be compiled
+    return known.select("doc_id", "at", "element_id", F.explode_outer(F.transform("offers", _worth)).alias("o")).select("doc_id", "at", "element_id", "o.*")
+
+
+def _worth(m: Column) -> Column:
+    """What a fact with these columns is worth to a metric: its value, score, standard and side; without a metric if it can't be used."""
+    element, context, year, side_text, suffix, value = (F.col(c) for c in ("element_id", "context_id", "relative_year", "consolidated", "suffix", "value"))
+    unit, small = F.lower(plain_label(F.concat_ws(" ", "unit_id", "unit"))), F.lower(suffix)
+    is_shares, is_per_share, scoped = m.unit_kind == "shares", m.unit_kind == "per_share", m.of_scope
+    unit_fits = F.when(is_per_share, small.contains("pershare") | any_of(unit, PER_SHARE_UNITS)).when(is_shares, small.contains("numberofissuedshares") | any_of(unit, SHARE_UNITS)).otherwise(True)
+    undivided = F.when(m.undivided, F.when(context == "CurrentYearDuration", 100).when(context.startswith("CurrentYearDuration_"), -200).otherwise(0)).otherwise(0)
+    score = m.name_score + undivided + points(
         (any_of(year, CURRENT_YEAR), 60), (any_of(year, PAST_YEAR), -200),
         (context.contains("CurrentYear"), 50), (context.contains("Current"), 15), (context.contains("Prior") | context.contains("Previous"), -200), (context.contains("Segment"), -80),
-        (context.contains("CurrentYearDuration"), 80), (context.contains("CurrentYearInstant"), 80), (F.col("suffix").contains("SummaryOfBusinessResults"), 70), (context.contains("Quarter"), -300), (context.contains("Interim"), -300),
+        (context.contains("CurrentYearDuration"), 80), (context.contains("CurrentYearInstant"), 80), (suffix.contains("SummaryOfBusinessResults"), 70), (context.contains("Quarter"), -300), (context.contains("Interim"), -300),
         (unit_fits, 20), (is_shares & context.contains("CommonStockMember"), 200), (is_shares & any_of(context, OTHER_SHARES), -400),
-        (F.col("of_scope") & (side_text == "連結"), 45), (F.col("of_scope") & (side_text == "個別"), -20), (F.col("of_scope") & context.contains("ConsolidatedMember"), 20), (F.col("of_scope") & context.contains("NonConsolidatedMember"), -15), (~F.col("of_scope") & (side_text == "個別"), 15),
+        (scoped & (side_text == "連結"), 45), (scoped & (side_text == "個別"), -20), (scoped & context.contains("ConsolidatedMember"), 20), (scoped & context.contains("NonConsolidatedMember"), -15), (~scoped & (side_text == "個別"), 15),
     )
-    flag = F.lower("value")
-    kind, amount = F.col("kind"), F.coalesce(found_number(F.col("value")), F.when(F.col("dash_is_zero") & F.col("value").isin(*DASHES), 0.0))
-    amount = F.when(kind == "number", F.when(F.col("unit_kind") == "per_share", F.when(F.abs(amount) <= MOST_PER_SHARE, amount)).when(is_shares, F.when(amount >= 0, amount)).otherwise(amount))
-    text = F.when(kind == "text", F.nullif("value", F.lit(""))).when(kind == "standard", standard_of(F.col("value"))).when(kind == "flag", F.when(flag.isin(*YES), "true").when(flag.isin(*NO), "false"))
     # a filing's traits have scores of their own
-    score = F.when(kind == "flag", 0).when(kind == "standard", points((F.col("suffix") == STANDARD.elements[0], 200), (context.contains("FilingDateInstant"), 50))).otherwise(score)
+    score = F.when(m.kind == "flag", 0).when(m.kind == "standard", points((suffix == STANDARD.elements[0], 200), (context.contains("FilingDateInstant"), 50))).otherwise(score)
+    amount = F.when(m.kind == "number", F.coalesce(found_number(value), F.when(m.dash_is_zero & value.isin(*DASHES), 0.0)))
+    flag = F.lower(value)
+    text = F.when(m.kind == "text", F.nullif(value, F.lit(""))).when(m.kind == "standard", standard_of(value)).when(m.kind == "flag", F.when(flag.isin(*YES), "true").when(flag.isin(*NO), "false"))
     side = F.when(context.contains("NonConsolidatedMember") | plain_label(side_text).isin("個別", "非連結"), "alone").when(context.contains("ConsolidatedMember") | (plain_label(side_text) == "連結"), "group").otherwise("")
-    out = known.withColumns({"score": score, "amount": amount, "text": text, "scope": scope_of(element, F.col("label"), F.col("file")), "side": side})
-    counts = (F.col("amount").isNotNull() | F.col("text").isNotNull()) & (~F.col("needs_unit") | unit_fits)
-    return out.withColumn("metric", F.when(counts, F.col("metric"))).select("doc_id", "metric", F.when(kind.isin("number", "text"), F.col("scope")).alias("scope"), F.when(F.col("of_scope"), F.col("side")).alias("side"), "of_scope", "score", "at", "amount", "text", "element_id")
+    made = F.struct(m.metric.alias("metric"), m.of_scope.alias("of_scope"), F.when(m.kind.isin("number", "text"), scope_of(element, F.col("label"), F.col("file"))).alias("scope"), F.when(scoped, side).alias("side"), score.alias("score"), amount.alias("amount"), text.alias("text"))
+    sane = F.when(m.kind != "number", True).when(is_per_share, F.abs(made["amount"]) <= MOST_PER_SHARE).when(is_shares, made["amount"] >= 0).otherwise(True)
+    counts = F.coalesce((made["amount"].isNotNull() | made["text"].isNotNull()) & sane & (~m.needs_unit | unit_fits), F.lit(False))
+    return F.when(counts, made)
 
 
 def extract_metrics(facts: DataFrame, metrics: tuple[Metric, ...] = METRICS) -> DataFrame:

@@ -76,10 +76,13 @@ def quotations(rows: DataFrame) -> DataFrame:
     A row of another width, without a code or without a trading unit is none.
     """
     kept = [c for c in rows.columns if c != "cells"]
-    at = lambda k: F.regexp_replace(F.get("cells", F.lit(k)), "\r", "")
-    places = {name: k if k == 1 else k + 1 for k, name in enumerate(QUOTED, 1)}
-    read = rows.filter(F.size("cells") == 16).select(*kept, security_code(at(0)).alias("security_code"), F.trim(F.regexp_replace(at(2), "\n", " ")).alias("quoted_name"), *(found_number(at(k), quoted=True).alias(n) for n, k in places.items()))
-    prices = read.filter("security_code is not null and trading_unit is not null").select(
+    # numbers are read once, into an array: spelled out for each cell, the code would be too long to be compiled
+    numbers = F.transform(F.concat(F.slice("cells", 2, 1), F.slice("cells", 4, 13)), lambda c: found_number(c, quoted=True))
+    # a text without a digit holds no number
+    is_row = (F.size("cells") == 16) & F.get("cells", F.lit(1)).rlike("[0-9０-９]") & security_code(F.get("cells", F.lit(0))).isNotNull()
+    read = rows.filter(is_row).select(*kept, security_code(F.get("cells", F.lit(0))).alias("security_code"), F.trim(F.translate(F.get("cells", F.lit(2)), "\n\r", " ")).alias("quoted_name"), numbers.alias("__n"))
+    read = read.select(*kept, "security_code", "quoted_name", *(F.get("__n", F.lit(k)).alias(n) for k, n in enumerate(QUOTED)))
+    prices = read.select(
         *kept, "security_code", "quoted_name", "trading_unit",
         F.coalesce("am_open", "pm_open").alias("open_price"), F.greatest("am_high", "pm_high").alias("high_price"), F.least("am_low", "pm_low").alias("low_price"), F.coalesce("pm_close", "am_close").alias("close_price"),
         "final_quote", "change", (F.coalesce("pm_close", "am_close") - F.col("change")).alias("previous_close"), "vwap", "volume", "turnover",
