@@ -20,8 +20,8 @@ def rule_violations(df: DataFrame, table: str, rules: dict[str, Column]) -> Data
 
 
 def repeated_keys(df: DataFrame, table: str, *keys: str) -> DataFrame:
-    """How many keys occur more than once."""
-    again = df.groupBy(*keys).count().filter("count > 1").agg(F.count(F.lit(1)).alias("violations"))
+    """How many keys occur more than once; one with a null in it is none."""
+    again = df.dropna(subset=list(keys)).groupBy(*keys).count().filter("count > 1").agg(F.count(F.lit(1)).alias("violations"))
     return again.select(F.lit("unique " + ", ".join(keys)).alias("rule"), "violations", F.lit(table).alias("table"))
 
 

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from steadyield.plans import data_queries, file_queries, landing_queries, screener_queries, screener_sql
+from steadyield.plans import audit_queries, data_queries, file_queries, landing_queries, screener_queries, screener_sql
 
-MODULES = (screener_queries, data_queries, landing_queries, file_queries)
-TEXTS = (screener_sql, data_queries, landing_queries, file_queries)
+MODULES = (screener_queries, data_queries, landing_queries, file_queries, audit_queries)
+TEXTS = (screener_sql, data_queries, landing_queries, file_queries, audit_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
