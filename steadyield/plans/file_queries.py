@@ -15,6 +15,7 @@ from steadyield.operators import merge, publish
 from steadyield.plans.data_queries import _ELEMENTS, _LABELS, WORDS, _like, _one_of
 from steadyield.plans.standins import Inputs
 from steadyield.sources import files
+from steadyield.streaming import feed
 
 _NTH = "CAST(row_number() OVER (PARTITION BY doc_id ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate, l_discount, l_tax) AS BIGINT)"
 # many orders make one filing, a line is a fact
@@ -144,7 +145,18 @@ def bar_answers(x: Inputs) -> DataFrame:
     return good.unionByName(kept_back.groupBy("problem").agg(F.count(F.lit(1)).alias("n")), allowMissingColumns=True)
 
 
-FUNCTIONS = (landed_facts, pending_right_files, published_months, audited_upsert, daily_disclosures, bar_answers)
+def replayed_feed(x: Inputs) -> DataFrame:
+    """Two overlapping landings and a replay of both go through the feed; the store keeps each disclosure once, by day."""
+    folder, columns = files.shared_path(x.spark, "feed"), "disclosure_id long, security_code string, published_date date, title string"
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page") % 300).cast("int"))
+    rows = x.sql(LISTED).select(F.col("event_id").alias("disclosure_id"), F.col("code").alias("security_code"), F.when(F.col("event_id") % 17 != 0, day).alias("published_date"), "title")
+    for k, kept in enumerate(("disclosure_id % 3 <> 0", "disclosure_id % 3 <> 1", "true")):
+        rows.filter(kept).write.parquet(f"{folder}/landed/{k}")
+        feed.disclosure_feed(x.spark, f"{folder}/landed/*", rows.schema, f"{folder}/store", f"{folder}/checkpoint", WORDS, x.sql(ACTIVE), "published_date").awaitTermination()
+    return x.spark.read.schema(columns + ", category string").parquet(f"{folder}/store")
+
+
+FUNCTIONS = (landed_facts, pending_right_files, published_months, audited_upsert, daily_disclosures, bar_answers, replayed_feed)
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -172,6 +184,10 @@ SQL = {
         array_to_string(list_filter([{', '.join(f"CASE WHEN contains(upper(title), '{w.upper()}') THEN '{w}' END" for w in WORDS.policy + WORDS.dividend)}], lambda w: w IS NOT NULL), ',') AS matched_keywords,
         'https://lists.example/inbs/' || file AS pdf_url, '東' AS exchange
       FROM listed WHERE is_whole AND code IN (SELECT security_code FROM active) AND {_like('upper(title)', tuple(w.upper() for w in WORDS.policy + WORDS.dividend))}""",
+    "replayed_feed": f"""WITH listed AS ({LISTED}), active AS ({ACTIVE})
+      SELECT event_id AS disclosure_id, code AS security_code, CASE WHEN event_id % 17 <> 0 THEN DATE '2024-01-01' + CAST(page % 300 AS INTEGER) END AS published_date, title,
+        CASE WHEN {_like('upper(title)', _UPPER)} THEN 'policy' WHEN {_like('title', WORDS.cut)} THEN 'cut' WHEN {_like('title', WORDS.rise)} THEN 'rise' WHEN {_like('title', WORDS.forecast)} THEN 'forecast' WHEN {_like('title', WORDS.plan)} THEN 'plan' WHEN {_like('title', WORDS.briefing)} THEN 'briefing' ELSE 'other' END AS category
+      FROM listed WHERE code IN (SELECT security_code FROM active) AND {_like('upper(title)', tuple(w.upper() for w in WORDS.policy + WORDS.dividend))}""",
     "bar_answers": f"""WITH bars AS ({BAR_LINES}), sound AS (SELECT * FROM bars WHERE NOT no_list AND NOT cut_off)
       SELECT code, CAST(on_day AS DATE) AS effective_date, CASE kind WHEN 'split' THEN 0.5 ELSE 5.0 END AS adjustment_factor, CASE kind WHEN 'split' THEN '1' ELSE '2' END AS ex_right_type, NULL AS problem, count(*) AS n FROM sound WHERE kind IN ('split', 'join') GROUP BY ALL
       UNION ALL SELECT NULL, NULL, NULL, NULL, CASE kind WHEN 'no code' THEN 'no code' WHEN 'bad date' THEN 'no date' WHEN 'kind 9' THEN 'unknown kind' ELSE 'no positive factor' END AS problem, count(*) FROM sound WHERE kind IN ('no code', 'bad date', 'kind 9', 'zero', 'null factor') GROUP BY problem

@@ -25,6 +25,17 @@ def test_feed_appends_each_disclosure_once(spark, tmp_path):
     assert got == [(1, "増配・復配"), (4, "配当予想")]
 
 
+def test_a_store_by_day_reads_its_days_only(spark, tmp_path):
+    schema = "k long, d date, v string"
+    write = feed.append_batch(f"{tmp_path}/s", "k", "d")
+    one, two = date(2024, 1, 1), date(2024, 1, 2)
+    for rows in ([(1, one, "a"), (1, one, "a"), (2, None, "b")], [(1, one, "a"), (3, two, "c"), (2, None, "b")], []):
+        write(spark.createDataFrame(rows, schema), 0)
+    got = spark.read.schema(schema).parquet(f"{tmp_path}/s")
+    assert sorted((r.k, r.d) for r in got.collect()) == [(1, one), (2, None), (3, two)]
+    assert "PartitionFilters: [isnotnull(d" in got.filter(got.d == one)._jdf.queryExecution().toString()
+
+
 def test_analyses_of_a_batch(spark):
     targets = spark.createDataFrame([(1, date(2024, 1, 1)), (2, date(2024, 1, 2))], "disclosure_id long, published_date date")
     none = spark.createDataFrame([], "disclosure_id long, status string, analyzer_version string, attempts long")
