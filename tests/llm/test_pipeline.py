@@ -1,4 +1,5 @@
 from helpers import groups, rows, words
+from pyspark.sql import functions as F
 from steadyield.llm import stages
 from test_source_mix import targets
 
@@ -42,3 +43,23 @@ def test_columns_and_odd_rows(spark, sf):
         assert stage(spark, docs.limit(0), sf).count() == 0, name
     assert sorted(str(r.doc_id) for r in stages.keep_one_of_each_group(spark, docs, sf).collect()) == ["1", "2", "None", "None"]
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == len(data)
+
+
+def test_columns_named_like_what_stages_add(spark, sf):
+    text = " ".join(f"word{k} other{k * k}" for k in range(90))
+    own = ("__nth", "__h", "__g", "__turns", "__finish", "__tie", "__NTH_")
+    docs = rows(spark, [(1, text), (2, text + " more"), (2, text + " more")])
+    for n, c in enumerate(own):
+        docs = docs.withColumn(c, F.lit(n))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        assert [c for c in out.columns if c not in ("shard", "slot")] == [c for c in docs.columns if c not in ("shard", "slot")] or name == "shard", name
+        got = out.collect()
+        assert got and all(r[c] == n for r in got for n, c in enumerate(own)), name
+
+
+def test_of_repeated_ids_the_same_row_stays(spark, sf):
+    text = " ".join(f"word{k}" for k in range(80))
+    docs = rows(spark, [(5, text)] * 6, sources=("a", "b", "c", "d", "e", "f"))
+    kept = {stages.keep_one_of_each_group(spark, docs.repartition(n), sf).collect()[0].source for n in (1, 2, 3, 5)}
+    assert len(kept) == 1
