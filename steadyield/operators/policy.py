@@ -165,6 +165,13 @@ def analysis_batch(states: DataFrame, limit: int = 100) -> DataFrame:
     return states.filter(F.col("state").isin("new", "version_changed", "retry")).orderBy(F.desc("published_date"), "disclosure_id").limit(limit)
 
 
+def run_counts(states: DataFrame, limit: int = 100) -> DataFrame:
+    """One row: how many targets a run takes, defers beyond its limit, skips as done and gives up on."""
+    open_ = F.count_if(F.col("state").isin("new", "version_changed", "retry"))
+    counted = states.agg(open_.alias("open"), *(F.count_if(F.col("state") == s).alias(name) for s, name in (("done", "skipped"), ("exhausted", "exhausted"))))
+    return counted.select(F.least("open", F.lit(limit).cast("long")).alias("taken"), F.greatest(F.col("open") - limit, F.lit(0).cast("long")).alias("deferred"), "skipped", "exhausted")
+
+
 def status_counts(results: DataFrame) -> DataFrame:
     return results.groupBy("status").pivot("classification", ["confirmed", "manual_review", "not_confirmed"]).count().na.fill(0)
 

@@ -149,6 +149,18 @@ def status_totals(df: DataFrame, by: str) -> DataFrame:
     return df.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
 
 
+def attribute_counts(securities: DataFrame, prices: DataFrame, filings: DataFrame) -> DataFrame:
+    """Rows (attribute, value, n): securities active, inactive and in all, days with and without a close, filings by type. An activity that is null counts in all only."""
+    counted = lambda df, attribute, **values: df.agg(*(c.alias(name) for name, c in values.items())).unpivot([], list(values), "value", "n").withColumn("attribute", F.lit(attribute))
+    close, n = F.col("close_price"), F.count(F.lit(1))
+    parts = [
+        counted(securities, "securities", active=F.count_if("is_active"), inactive=F.count_if(~F.col("is_active")), total=n),
+        counted(prices, "close", present=F.count(close), missing=F.count_if(close.isNull())),
+        status_totals(filings, "type_code").select(F.col("type_code").alias("value"), "n", F.lit("filing type").alias("attribute")),
+    ]
+    return reduce(DataFrame.unionByName, parts).select("attribute", "value", "n")
+
+
 def observed_ranges(bars: DataFrame) -> DataFrame:
     """First and last day and number of bars of each security."""
     return bars.groupBy("security_code").agg(F.min("trading_date").alias("observed_from"), F.max("trading_date").alias("observed_to"), F.count(F.lit(1)).alias("n"))

@@ -183,7 +183,17 @@ def market_counts(x: Inputs) -> DataFrame:
     return quality.status_totals(x.securities, "market")
 
 
-FUNCTIONS = (bar_actions, rights_table, annual_filing_list, filings_to_extract, typed_rows, typed_financials, filing_links, submitted_financials, latest_annual_filings, known_actions, merged_filings, new_filing_preview, checked_filings, watchlist_months, disclosure_report, alerted_candidates, proven_candidates, evidence_candidates, candidate_sheet, asked_reasons, health_metrics, health_checks, market_counts)
+def attribute_counts(x: Inputs) -> DataFrame:
+    return quality.attribute_counts(x.securities, x.prices, x.sql(LISTING))
+
+
+def analysis_run(x: Inputs) -> DataFrame:
+    """What a run of analyses takes and leaves, of disclosures of all states and as many new ones as orders."""
+    targets = x.sql(RESULTS).select("disclosure_id", "published_date").unionByName(x.table("orders").select((F.col("o_orderkey") + 10_000_000).alias("disclosure_id"), F.col("o_orderdate").cast("date").alias("published_date")))
+    return policy.run_counts(policy.analysis_state(targets, x.sql(RESULTS), "v2"))
+
+
+FUNCTIONS = (attribute_counts, analysis_run, bar_actions, rights_table, annual_filing_list, filings_to_extract, typed_rows, typed_financials, filing_links, submitted_financials, latest_annual_filings, known_actions, merged_filings, new_filing_preview, checked_filings, watchlist_months, disclosure_report, alerted_candidates, proven_candidates, evidence_candidates, candidate_sheet, asked_reasons, health_metrics, health_checks, market_counts)
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -257,5 +267,10 @@ SQL = {
     "asked_reasons": _COMBINED + _reasons(TIGHT) + " SELECT DISTINCT CAST(s_suppkey * 7 AS STRING) AS security_code, coalesce(array_to_string(r, '; '), 'no data') AS reasons FROM supplier LEFT JOIN reasons ON security_code = CAST(s_suppkey * 7 AS STRING)",
     "health_metrics": _HEALTH + " SELECT * FROM health",
     "health_checks": _HEALTH + " SELECT 'cache' AS name, CASE WHEN latest_trading_date IS NULL OR cache_trading_date IS NULL OR cache_trading_date - 1 < latest_trading_date THEN 'warning' ELSE 'ok' END AS verdict FROM health UNION ALL SELECT 'analyses', CASE WHEN open_analyses > 0 THEN 'warning' ELSE 'ok' END FROM health UNION ALL SELECT 'unsupported_actions', 'ok' FROM health",
+    "attribute_counts": with_stand_ins("securities", "prices")
+    + f""", listing AS ({LISTING}) SELECT 'securities' AS attribute, 'active' AS value, count(*) AS n FROM securities WHERE is_active UNION ALL SELECT 'securities', 'inactive', count(*) FROM securities WHERE NOT is_active UNION ALL SELECT 'securities', 'total', count(*) FROM securities
+      UNION ALL SELECT 'close', 'present', count(*) FROM prices WHERE close_price IS NOT NULL UNION ALL SELECT 'close', 'missing', count(*) FROM prices WHERE close_price IS NULL UNION ALL SELECT 'filing type', type_code, count(*) FROM listing GROUP BY type_code""",
+    "analysis_run": f"""WITH results AS ({RESULTS}), states AS (SELECT CASE WHEN analyzer_version <> 'v2' THEN 'open' WHEN status <> 'completed' AND attempts < 3 THEN 'open' WHEN status <> 'completed' THEN 'exhausted' ELSE 'done' END AS state FROM results UNION ALL SELECT 'open' FROM orders),
+      n AS (SELECT count(*) FILTER (state = 'open') AS o, count(*) FILTER (state = 'done') AS d, count(*) FILTER (state = 'exhausted') AS e FROM states) SELECT least(o, 100) AS taken, greatest(o - 100, 0) AS deferred, d AS skipped, e AS exhausted FROM n""",
     "market_counts": with_stand_ins("securities") + " SELECT market, count(*) AS n FROM securities GROUP BY market",
 }

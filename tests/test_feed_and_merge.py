@@ -4,7 +4,7 @@ from datetime import date
 
 import pytest
 
-from steadyield.operators import merge, quality
+from steadyield.operators import merge, policy, quality
 from steadyield.streaming import feed
 
 DISCLOSURE = "disclosure_id long, security_code string, published_date date, title string"
@@ -44,6 +44,13 @@ def test_analyses_of_a_batch(spark):
     assert got == {1: ("completed", "confirmed"), 2: ("text_extraction_failed", None)}
 
 
+def test_counts_of_a_run(spark):
+    states = spark.createDataFrame([(s,) for s in ["new"] * 3 + ["retry", "version_changed", "done", "exhausted", "exhausted"]], "state string")
+    assert tuple(policy.run_counts(states, 4).first()) == (4, 1, 1, 2)
+    assert tuple(policy.run_counts(states, 9).first()) == (5, 0, 1, 2)
+    assert tuple(policy.run_counts(states.limit(0)).first()) == (0, 0, 0, 0)
+
+
 def test_months_are_replaced_even_if_empty(spark):
     s = "coverage_month string, security_code string"
     old = spark.createDataFrame([("2024-01", "1"), ("2024-02", "2")], s)
