@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping
 from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,18 @@ from steadyield.functions.expr import is_true
 from steadyield.operators.dividends import history_text
 
 
+# Variables that aren't called like their criterion.
+ENVIRONMENT = {"max_candidates": "CANDIDATE_MAX_ROWS", "max_evidence_only": "CANDIDATE_MAX_POLICY_TEXT_ROWS"}
+
+
+def _parsed(name: str, value: str) -> bool | int | float:
+    """A criterion's value from text."""
+    kind, text = {f.name: f.type for f in fields(Criteria)}[name], value.strip().lower()
+    if kind == "bool" and text not in ("true", "false"):
+        raise ValueError(f"setting {name} must be true or false")
+    return text == "true" if kind == "bool" else int(text) if kind == "int" else float(text)
+
+
 @dataclass(frozen=True)
 class Criteria:
     """Thresholds of the screen; max_candidates and max_evidence_only cap the list, not the search."""
@@ -34,6 +47,8 @@ class Criteria:
                 continue
             if not math.isfinite(value) or value < 0:
                 raise ValueError(f"{f.name} must be a finite number from 0 on, not {value}")
+        if not min(self.max_payout_ratio_percent, self.max_per_ratio, self.max_pbr_ratio) > 0:
+            raise ValueError("the largest payout, PER and PBR must be above 0")
         if not 1 <= self.max_candidates <= 5000 or self.max_evidence_only > 5000:
             raise ValueError("the list holds 1 to 5000 candidates")
 
@@ -49,12 +64,22 @@ class Criteria:
         for name, _, value in given.collect():  # a row for each known name at most
             if value is None or not value.strip():
                 raise ValueError(f"setting {name} is blank")
-            text = value.strip().lower()
-            if known[name] == "bool" and text not in ("true", "false"):
-                raise ValueError(f"setting {name} must be true or false")
-            values[name] = text == "true" if known[name] == "bool" else int(text) if known[name] == "int" else float(text)
+            values[name] = _parsed(name, value)
         return Criteria(**values)
 
+    @staticmethod
+    def from_environment(given: Mapping[str, str]) -> Criteria:
+        """From variables like CANDIDATE_MIN_ROE_PERCENT; what is missing or blank keeps its default, other variables are left aside."""
+        told = {f.name: given.get(ENVIRONMENT.get(f.name, f"CANDIDATE_{f.name.upper()}"), "") for f in fields(Criteria)}
+        return Criteria(**{name: _parsed(name, value) for name, value in told.items() if value.strip()})
+
+    @staticmethod
+    def completed(settings: DataFrame) -> DataFrame:
+        """The settings and, for names that they lack, rows with the defaults."""
+        shown = lambda v: str(v).lower() if isinstance(v, bool) else f"{v:g}"
+        defaults = settings.sparkSession.createDataFrame([(f.name, shown(f.default)) for f in fields(Criteria)], "name string, value string")
+        return settings.select("name", "value").unionByName(defaults.join(settings.select("name"), "name", "left_anti"))
+
     def describe(self) -> str:
         """One line for people."""
         cash = ", positive free cash flow" if self.require_positive_free_cash_flow else ""

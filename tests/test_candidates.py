@@ -133,3 +133,15 @@ def test_report_notes_the_record(spark):
     got = {r.security_code: (r.note, r.record_used, r.added_reason, r.has_text_evidence, r.classification, r.adjusted_history) for r in full_report(rows, policies).collect()}
     history = "2024-03-31:missing / 2025-03-31:2.5"
     assert got == {"0": ("restated for splits", "adjusted", "meets the conditions", False, None, history), "1": ("not restated: check corporate actions", "raw", "policy text evidence", True, "confirmed", history)}
+
+
+def test_criteria_from_variables_and_defaults(spark):
+    got = Criteria.from_environment({"CANDIDATE_MIN_ROE_PERCENT": " 9.5 ", "CANDIDATE_MAX_ROWS": "20", "CANDIDATE_MAX_POLICY_TEXT_ROWS": "0", "CANDIDATE_REQUIRE_POSITIVE_FREE_CASH_FLOW": "False", "CANDIDATE_MAX_PER_RATIO": " ", "OTHER": "x"})
+    assert got == Criteria(min_roe_percent=9.5, max_candidates=20, max_evidence_only=0, require_positive_free_cash_flow=False)
+    for bad in ({"CANDIDATE_MAX_PER_RATIO": "0"}, {"CANDIDATE_MAX_ROWS": "5001"}, {"CANDIDATE_MAX_ROWS": "1.5"}, {"CANDIDATE_MIN_ROE_PERCENT": "nan"}, {"CANDIDATE_REQUIRE_POSITIVE_FREE_CASH_FLOW": "yes"}):
+        with pytest.raises(ValueError):
+            Criteria.from_environment(bad)
+    settings = spark.createDataFrame([("max_per_ratio", "20")], "name string, value string")
+    whole = Criteria.completed(settings)
+    assert whole.count() == 10 and Criteria.from_settings(whole) == Criteria(max_per_ratio=20.0)
+    assert "PER <= 20" in Criteria.from_settings(whole).describe()
