@@ -182,3 +182,16 @@ def report_rows(disclosures: DataFrame, results: DataFrame) -> DataFrame:
     shown = lambda c: F.when(~F.col("is_policy_candidate"), "not_applicable").when(F.col("status").isNull(), "not_analysed").when(F.col("status") != "completed", F.col("status")).otherwise(F.col(c))
     return disclosures.join(r, "disclosure_id", "left").withColumns({"analysis": shown("classification"), "analysis_evidence": F.when((F.col("status") == "completed") & F.col("is_policy_candidate"), F.col("evidence"))}).drop("status", "classification", "evidence")
 
+
+def policy_report_rows(disclosures: DataFrame, results: DataFrame, updated_at: str, note: str) -> DataFrame:
+    """The latest policy disclosure of each security, by date, time and id as text, with its analysis in five cells.
+
+    Cells: state, classification, phrase, evidence and its page. The state is
+    not_analysed without a result; the other cells are filled for completed
+    results only. Securities without a policy disclosure have no row.
+    """
+    newest = latest_per(disclosures.filter("is_policy_candidate"), "security_code", F.desc("published_date"), F.desc_nulls_last("published_time"), F.desc(F.col("disclosure_id").cast("string")))
+    found = {"classification": "body_classification", "matched_phrase": "body_phrase", "evidence": "body_evidence", "page_no": "body_page"}
+    r = results.select("disclosure_id", "status", *(F.when(F.col("status") == "completed", F.col(c)).alias(name) for c, name in found.items()))
+    out = newest.drop("is_policy_candidate", "status", *found.values()).join(r, "disclosure_id", "left")
+    return out.withColumns({"body_state": F.coalesce("status", F.lit("not_analysed")), "updated_at": F.lit(updated_at), "note": F.lit(note)}).drop("status")

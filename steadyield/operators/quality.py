@@ -103,7 +103,7 @@ def collapse_duplicates(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def month_completeness(found: DataFrame, expected_from: str, expected_to: str, month: str = "month_start") -> DataFrame:
-    """Months that are missing from, or not expected in, a list of months."""
+    """Months that are missing from, or not expected in, a list of months; a null month is unexpected."""
     span = found.sparkSession.sql(f"SELECT explode(sequence(DATE '{expected_from}', DATE '{expected_to}', INTERVAL 1 MONTH)) AS {month}").withColumn("expected", F.lit(True))
     have = found.select(month).distinct().withColumn("found", F.lit(True))
     both = span.join(have, month, "full_outer")
@@ -111,7 +111,38 @@ def month_completeness(found: DataFrame, expected_from: str, expected_to: str, m
 
 
 def outside_their_month(actions: DataFrame, month: str = "file_month", when: str = "effective_date") -> DataFrame:
-    return actions.filter(F.trunc(when, "MM") != F.col(month))
+    """Rows that do not take effect in their file's month; a row without a day or month is outside too."""
+    return actions.filter(~F.trunc(when, "MM").eqNullSafe(F.col(month)) | F.col(when).isNull())
+
+
+def month_source_problems(listed: DataFrame, parsed: DataFrame, expected_from: str, expected_to: str) -> DataFrame:
+    """Rows (month_start, problem) for monthly files: what is listed against what was parsed.
+
+    listed has month_start and source_url, parsed month_start, source_url and
+    sha256, one row a file. A month of the range without a listed file is
+    missing; two addresses for one are ambiguous; a listed month that was not
+    parsed is unparsed, one parsed without being listed in the range is
+    unexpected; a file parsed from another address, or one month parsed with
+    several checksums, differs. A month that is not the first of a month is
+    not_first_day. Equal files listed twice are one.
+    """
+    at = F.col("month_start")
+    first_day = lambda df: df.filter(at.isNotNull() & (at == F.trunc(at, "MM")))
+    expected = listed.sparkSession.sql(f"SELECT explode(sequence(trunc(DATE '{expected_from}', 'MM'), trunc(DATE '{expected_to}', 'MM'), INTERVAL 1 MONTH)) AS month_start").withColumn("expected", F.lit(True))
+    by_list = first_day(listed).groupBy("month_start").agg(F.count_distinct("source_url").alias("n_listed"), F.min("source_url").alias("listed_url"))
+    by_file = first_day(parsed).groupBy("month_start").agg(F.count_distinct("sha256").alias("n_sums"), F.count_distinct("source_url").alias("n_urls"), F.min("source_url").alias("parsed_url"))
+    both = expected.join(by_list, "month_start", "left").join(by_file, "month_start", "full_outer")
+    here, n, wanted = F.col("parsed_url").isNotNull(), F.col("n_listed"), F.col("expected").isNotNull()
+    kinds = {
+        "missing": wanted & n.isNull(),
+        "ambiguous": wanted & (n > 1),
+        "unparsed": wanted & n.isNotNull() & ~here,
+        "unexpected": ~wanted & here,
+        "differs": wanted & here & ((F.col("n_sums") > 1) | (F.col("n_urls") > 1) | (F.col("parsed_url") != F.col("listed_url"))),
+    }
+    told = both.select("month_start", F.explode(F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in kinds.items())))).alias("problem"))
+    odd = listed.select("month_start").unionByName(parsed.select("month_start")).filter(at != F.trunc(at, "MM")).distinct().withColumn("problem", F.lit("not_first_day"))
+    return told.unionByName(odd)
 
 
 def dividend_summary(financials: DataFrame) -> DataFrame:

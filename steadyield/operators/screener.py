@@ -110,3 +110,8 @@ def match_prices(securities: DataFrame, prices: DataFrame, least: float = 0.8) -
     if (rate := match_rate(matched)) < least:
         raise ValueError(f"only {rate:.1%} of the securities have a price")
     return matched
+
+
+def combined_view(base: DataFrame, raw: DataFrame, adjusted: DataFrame) -> DataFrame:
+    """Ratios, raw record and adjusted record of each security of the base; a security without a record has nulls."""
+    return base.join(raw, "security_code", "left").join(adjusted, "security_code", "left")

@@ -57,6 +57,18 @@ NEW_FILINGS = f"SELECT CAST(l_orderkey AS STRING) AS doc_id, CAST(l_partkey AS S
 ALERTS = "SELECT CAST(user_id AS STRING) AS security_code, CAST(ts AS DATE) AS published_date, CASE WHEN event_id % 6 = 0 THEN NULL ELSE CAST(1000 + event_id % 900 AS STRING) END AS published_time, event_type AS category, event_id AS row_no FROM events"
 MONTHS = "SELECT DISTINCT CAST(date_trunc('month', l_shipdate) AS DATE) AS coverage_month FROM lineitem WHERE l_shipdate >= CAST('1998-01-01' AS TIMESTAMP) AND l_shipdate < CAST('1999-01-01' AS TIMESTAMP)"
 MONTH_ROWS = "SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS coverage_month, CAST(l_partkey AS STRING) AS security_code FROM lineitem WHERE l_shipdate >= CAST('1998-01-01' AS TIMESTAMP) AND l_shipdate < CAST('1998-11-01' AS TIMESTAMP)"
+# a month's list of files: some months twice, with two addresses, or not on their first day
+LISTED_FILES = """
+SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS month_start, concat('file-', CAST(year(o_orderdate) * 100 + month(o_orderdate) AS STRING), CASE WHEN month(o_orderdate) = 3 AND o_orderkey % 2 = 0 THEN '-b' ELSE '' END) AS source_url
+FROM orders WHERE month(o_orderdate) <> 5
+UNION ALL SELECT DISTINCT CAST(o_orderdate AS DATE), 'stray' FROM orders WHERE day(o_orderdate) = 7
+"""
+PARSED_FILES = """
+SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS month_start, concat('file-', CAST(year(l_shipdate) * 100 + month(l_shipdate) AS STRING), CASE WHEN month(l_shipdate) = 11 THEN '-old' ELSE '' END) AS source_url,
+       CASE WHEN month(l_shipdate) = 8 THEN l_returnflag ELSE 'sum' END AS sha256
+FROM lineitem WHERE month(l_shipdate) <> 2
+"""
+FILED_ACTIONS = "SELECT l_orderkey, l_linenumber, CAST(date_trunc('month', o_orderdate) AS DATE) AS file_month, CASE WHEN l_linenumber % 6 <> 0 THEN CAST(l_shipdate AS DATE) END AS effective_date FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
 STORED_MONTHS = "SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS coverage_month, CAST(o_custkey AS STRING) AS security_code FROM orders"
 
 
@@ -131,6 +143,23 @@ def disclosure_report(x: Inputs) -> DataFrame:
     return policy.report_rows(listed, x.sql(RESULTS))
 
 
+def policy_report(x: Inputs) -> DataFrame:
+    """Analysed disclosures, and orders as such without analysis; every fifth is no policy disclosure."""
+    found = x.sql(RESULTS).withColumns({"matched_phrase": F.concat(F.lit("phrase "), F.col("disclosure_id") % 7), "page_no": (F.col("disclosure_id") % 9 + 1).cast("int")})
+    kept = ("disclosure_id", "security_code", "published_date", "published_time", "title")
+    listed = found.select(*kept, (F.col("disclosure_id") % 5 != 0).alias("is_policy_candidate"))
+    orders = x.table("orders").select((F.col("o_orderkey") + 100_000_000).alias("disclosure_id"), F.col("o_custkey").cast("string").alias("security_code"), F.col("o_orderdate").cast("date").alias("published_date"), F.lit("1500").alias("published_time"), F.lit("order").alias("title"), (F.col("o_orderkey") % 5 != 0).alias("is_policy_candidate"))
+    return policy.policy_report_rows(listed.unionByName(orders), found, "2024-01-01 00:00:00", "machine verdict")
+
+
+def month_sources(x: Inputs) -> DataFrame:
+    return quality.month_source_problems(x.sql(LISTED_FILES), x.sql(PARSED_FILES), "1994-01-01", "1999-12-01")
+
+
+def misfiled_actions(x: Inputs) -> DataFrame:
+    return quality.outside_their_month(x.sql(FILED_ACTIONS))
+
+
 def alerted_candidates(x: Inputs) -> DataFrame:
     return policy.attach_alerts(x.sql(HOLDERS).select("security_code"), x.sql(RESULTS), x.sql(ALERTS), ("error", "purchase"))
 
@@ -193,7 +222,7 @@ def analysis_run(x: Inputs) -> DataFrame:
     return policy.run_counts(policy.analysis_state(targets, x.sql(RESULTS), "v2"))
 
 
-FUNCTIONS = (attribute_counts, analysis_run, bar_actions, rights_table, annual_filing_list, filings_to_extract, typed_rows, typed_financials, filing_links, submitted_financials, latest_annual_filings, known_actions, merged_filings, new_filing_preview, checked_filings, watchlist_months, disclosure_report, alerted_candidates, proven_candidates, evidence_candidates, candidate_sheet, asked_reasons, health_metrics, health_checks, market_counts)
+FUNCTIONS = (policy_report, month_sources, misfiled_actions, attribute_counts, analysis_run, bar_actions, rights_table, annual_filing_list, filings_to_extract, typed_rows, typed_financials, filing_links, submitted_financials, latest_annual_filings, known_actions, merged_filings, new_filing_preview, checked_filings, watchlist_months, disclosure_report, alerted_candidates, proven_candidates, evidence_candidates, candidate_sheet, asked_reasons, health_metrics, health_checks, market_counts)
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -254,6 +283,21 @@ SQL = {
     "watchlist_months": f"WITH after AS (SELECT * FROM ({STORED_MONTHS}) WHERE coverage_month NOT IN (SELECT coverage_month FROM ({MONTHS})) UNION ALL SELECT * FROM ({MONTH_ROWS})) SELECT coverage_month, count(*) AS n, count(DISTINCT security_code) AS n_securities FROM after GROUP BY coverage_month",
     "disclosure_report": f"""WITH results AS ({RESULTS}) SELECT disclosure_id, disclosure_id % 5 <> 0 AS is_policy_candidate, CASE WHEN disclosure_id % 5 = 0 THEN 'not_applicable' WHEN status <> 'completed' THEN status ELSE classification END AS analysis,
       CASE WHEN disclosure_id % 5 <> 0 AND status = 'completed' THEN evidence END AS analysis_evidence FROM results UNION ALL SELECT o_orderkey + 100000000, true, 'not_analysed', NULL FROM orders""",
+    "policy_report": f"""WITH results AS ({RESULTS}), listed AS (SELECT disclosure_id, security_code, published_date, published_time, title FROM results WHERE disclosure_id % 5 <> 0
+        UNION ALL SELECT o_orderkey + 100000000, CAST(o_custkey AS STRING), CAST(o_orderdate AS DATE), '1500', 'order' FROM orders WHERE o_orderkey % 5 <> 0),
+      newest AS (SELECT * FROM listed QUALIFY row_number() OVER (PARTITION BY security_code ORDER BY published_date DESC, published_time DESC NULLS LAST, CAST(disclosure_id AS STRING) DESC) = 1)
+      SELECT n.*, coalesce(r.status, 'not_analysed') AS body_state, CASE WHEN status = 'completed' THEN classification END AS body_classification, CASE WHEN status = 'completed' THEN 'phrase ' || (r.disclosure_id % 7) END AS body_phrase,
+        CASE WHEN status = 'completed' THEN evidence END AS body_evidence, CASE WHEN status = 'completed' THEN r.disclosure_id % 9 + 1 END AS body_page, '2024-01-01 00:00:00' AS updated_at, 'machine verdict' AS note
+      FROM newest n LEFT JOIN results r ON r.disclosure_id = n.disclosure_id""",
+    "month_sources": f"""WITH l AS ({LISTED_FILES}), p AS ({PARSED_FILES}), span AS (SELECT CAST(unnest(generate_series(DATE '1994-01-01', DATE '1999-12-01', INTERVAL 1 MONTH)) AS DATE) AS month_start),
+      by_list AS (SELECT month_start, count(DISTINCT source_url) AS n, min(source_url) AS url FROM l WHERE day(month_start) = 1 GROUP BY 1), by_file AS (SELECT month_start, count(DISTINCT sha256) AS sums, count(DISTINCT source_url) AS urls, min(source_url) AS url FROM p GROUP BY 1)
+      SELECT month_start, 'missing' AS problem FROM span WHERE month_start NOT IN (SELECT month_start FROM by_list)
+      UNION ALL SELECT month_start, 'ambiguous' FROM span JOIN by_list USING (month_start) WHERE n > 1
+      UNION ALL SELECT month_start, 'unparsed' FROM span JOIN by_list USING (month_start) WHERE month_start NOT IN (SELECT month_start FROM by_file)
+      UNION ALL SELECT month_start, 'unexpected' FROM by_file WHERE month_start NOT IN (SELECT month_start FROM span)
+      UNION ALL SELECT month_start, 'differs' FROM span JOIN by_file f USING (month_start) LEFT JOIN by_list l USING (month_start) WHERE sums > 1 OR urls > 1 OR f.url <> l.url
+      UNION ALL SELECT DISTINCT month_start, 'not_first_day' FROM l WHERE day(month_start) <> 1""",
+    "misfiled_actions": f"SELECT * FROM ({FILED_ACTIONS}) WHERE effective_date IS NULL OR date_trunc('month', effective_date) <> file_month",
     "alerted_candidates": f"""WITH results AS ({RESULTS}), alerts AS ({ALERTS}), p AS (SELECT * FROM results QUALIFY row_number() OVER (PARTITION BY security_code ORDER BY published_date DESC, published_time DESC NULLS LAST, disclosure_id DESC) = 1),
       a AS (SELECT * FROM alerts QUALIFY row_number() OVER (PARTITION BY security_code ORDER BY published_date DESC, published_time DESC NULLS LAST, row_no) = 1)
       SELECT CAST(c_custkey AS STRING) AS security_code, p.title AS policy_title, a.category AS alert_category, a.published_date AS alert_date, coalesce(a.category IN ('error', 'purchase'), false) AS is_warned

@@ -45,8 +45,7 @@ def adjusted(x: Inputs) -> DataFrame:
 
 
 def combined(x: Inputs) -> DataFrame:
-    """Ratios, raw record and adjusted record of each active security."""
-    return base(x).join(dividends.raw_metrics(x.securities, x.financials), "security_code", "left").join(adjusted(x), "security_code", "left")
+    return screener.combined_view(base(x), dividends.raw_metrics(x.securities, x.financials), adjusted(x))
 
 
 def screener_base(x: Inputs) -> DataFrame:
