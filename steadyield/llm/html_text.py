@@ -1,12 +1,17 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines, one for each block of the page. Lines of
-navigation, notices, adverts and other marked surroundings are left out. Where
-the page marks its article, the lines inside it are the text, linked ones too.
-Elsewhere text inside links weighs nothing. The weights are summed over a
-window that slides down the lines: text surges where the sum rises over a
-threshold and dives where it falls to nothing. All lines between a surge and
-its dive are kept, those of every surge.
+navigation, notices, adverts and other marked surroundings are left out. A
+line weighs its text, but text inside links only in an article or main
+element. The weights are summed over a window that slides down the lines: text
+surges where the sum rises over a threshold and dives where it falls to
+nothing. All lines between a surge and its dive are kept, those of every surge.
+
+Where lines so kept lie in article or main elements, the others go: of the
+main element and the articles outside it whichever holds more text stays, and
+of what stays its articles alone if they hold half of it. Of several articles
+those stay that have the same parent as the one with most text, or a quarter
+of its text.
 
 Defined results: a null or empty page, or one without text, gives the empty
 string; cut-off pages and unclosed tags are read as far as they go; equal
@@ -17,8 +22,11 @@ from long pages.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -66,8 +74,29 @@ def _closings(tags: list[tuple[bool, str, str]]) -> list[int]:
     return ends
 
 
-def lines_of(html: str, by_name: bool = True) -> tuple[list[tuple[str, int]], bool]:
-    """The page's lines outside its marked surroundings, text and weight, and whether they are those of marked articles.
+class Line(NamedTuple):
+    text: str
+    bare: int  # characters outside links
+    weight: int
+    main: int  # the outermost main element and article that the line is in, by their places in the page, or -1
+    article: int
+
+
+def _parents(ends: list[int], of: list[int]) -> dict[int, int]:
+    """Of each of some opening tags, in order, the innermost closed element around it, or -1."""
+    wanted, parents, open_ = set(of), {}, []
+    for k, end in enumerate(ends):
+        while open_ and ends[open_[-1]] <= k:
+            open_.pop()
+        if k in wanted:
+            parents[k] = open_[-1] if open_ else -1
+        if end > k:
+            open_.append(k)
+    return parents
+
+
+def lines_of(html: str, by_name: bool = True) -> tuple[list[Line], dict[int, int]]:
+    """The page's lines outside its marked surroundings, and the parents of its articles.
 
     An article, a main element and what encloses all of the page's are not dropped by their names.
     """
@@ -76,52 +105,60 @@ def lines_of(html: str, by_name: bool = True) -> tuple[list[tuple[str, int]], bo
     ends = _closings(tags)
     hidden = [not closing and bool(a) and bool(_HIDDEN.search(a)) for closing, _, a in tags]
     around = [not closing and ends[k] > k and name not in _VOID and name not in ("html", "body", "article", "main") and (name in _AROUND or (by_name and bool(a) and _named(a))) for k, (closing, name, a) in enumerate(tags)]
-    found_articles = [(k, ends[k] if ends[k] >= 0 else len(tags)) for k, (closing, name, _) in enumerate(tags) if name in ("article", "main") and not closing and not hidden[k]]
-    away = [(k, ends[k]) for k, x in enumerate(around) if x]
-    free = [x for x in found_articles if not any(k < x[0] < end for k, end in away)]
-    articles = free or found_articles
-    if any(tags[k][1] == "article" for k, _ in articles):
-        articles = [x for x in articles if tags[x[0]][1] == "article"]
+    marked = [k for k, (closing, name, _) in enumerate(tags) if name in ("article", "main") and not closing and not hidden[k]]
+    free, furthest, at = [], -1, 0
+    for k in marked:
+        furthest = max([furthest, *(ends[x] for x in range(at, k) if around[x])])
+        at = k
+        if furthest < k:
+            free.append(k)
     if not free:
-        for k, end in away:
-            if any(k < x[0] < end for x in articles):
-                around[k] = False
-    lines: list[tuple[str, int]] = []
+        for k, x in enumerate(around):
+            around[k] = x and bisect_right(marked, ends[k]) == bisect_right(marked, k)
+    regions = free or marked
+    opens, closes = set(regions), {ends[k] for k in regions if ends[k] >= 0}
+    depth, first = Counter(), {"main": -1, "article": -1}
+    lines: list[Line] = []
     parts: list[str] = []
-    weight = links = at = k = 0
+    bare = weight = links = at = 0
     until = -1  # the closing tag of the surroundings that we are in
-    inside = not articles
-    bounds = {x for a in articles for x in a}
-    depth = 0
 
     def end_line() -> None:
-        nonlocal weight
+        nonlocal bare, weight
         text = _SPACE.sub(" ", "".join(parts)).strip()
         if text:
-            lines.append((text, weight))
+            lines.append(Line(text, bare, weight, first["main"], first["article"]))
         parts.clear()
-        weight = 0
+        bare = weight = 0
+
+    def add(text: str) -> None:
+        nonlocal bare, weight
+        parts.append(text)
+        n = len(text.strip())
+        bare += 0 if links else n
+        weight += n if depth.total() or not links else 0
 
     for k, m in enumerate(found):
         if until < 0 and m.start() > at:
-            text = unescape(html[at : m.start()])
-            parts.append(text)
-            if inside and (articles or not links):
-                weight += len(text.strip())
+            add(unescape(html[at : m.start()]))
         at = m.end()
         closing, name, attributes = tags[k]
-        if k in bounds:
-            depth += -1 if closing else 1
+        if k in opens or k in closes:
             if until < 0:
                 end_line()
-            inside = depth > 0
+            if k in opens:
+                first[name] = first[name] if depth[name] else k
+                depth[name] += 1
+            else:
+                depth[name] -= 1
+                first[name] = first[name] if depth[name] else -1
         if until >= 0:
             if k >= until:
                 until = -1
             continue
         if not name:
             continue
-        if (hidden[k] and ends[k] > k and name not in _VOID and name not in ("html", "body")) or (around[k] and not (name == "header" and articles and inside and not _named(attributes))):
+        if (hidden[k] and ends[k] > k and name not in _VOID and name not in ("html", "body")) or (around[k] and not (name == "header" and depth.total() and not _named(attributes))):
             end_line()
             until = ends[k]
             continue
@@ -131,24 +168,14 @@ def lines_of(html: str, by_name: bool = True) -> tuple[list[tuple[str, int]], bo
             links = 0
             end_line()
     if until < 0 and at < len(html):
-        text = unescape(html[at:])
-        parts.append(text)
-        if inside and (articles or not links):
-            weight += len(text.strip())
+        add(unescape(html[at:]))
     end_line()
-    if articles and any(w for _, w in lines):
-        return [x for x in lines if x[1]], True
-    return lines, False
+    return lines, _parents(ends, [k for k in regions if tags[k][1] == "article"])
 
 
-def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
-    """The lines of the marked articles, or else those between each surge and its dive, joined by spaces."""
-    lines, marked = lines_of(html or "")
-    if not any(w for _, w in lines):  # names would leave the page without text
-        lines, marked = lines_of(html or "", by_name=False)
-    if marked:
-        return " ".join(text for text, _ in lines)
-    weights = [w for _, w in lines]
+def surging(lines: list[Line], window: int = WINDOW, surge: int = SURGE) -> list[Line]:
+    """The lines between each surge and its dive."""
+    weights = [x.weight for x in lines]
     n = len(lines)
     sums = [0] * n
     running = 0
@@ -156,7 +183,7 @@ def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str
         running += weights[i] - (weights[i + window] if i + window < n else 0)
         sums[i] = running
     least = min(surge, max(sums, default=0) // 4)
-    kept: list[str] = []
+    kept: list[Line] = []
     done = i = 0
     while i < n:
         if sums[i] <= least:
@@ -170,9 +197,37 @@ def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str
         end = i
         while end < n and sums[end]:
             end += 1
-        kept += [text for text, _ in lines[start:end]]
+        kept += lines[start:end]
         done = i = max(end, i + 1)
-    return " ".join(kept)
+    return kept
+
+
+def _size(lines: list[Line]) -> tuple[int, int]:
+    return sum(x.bare for x in lines), sum(x.weight for x in lines)
+
+
+def restricted(lines: list[Line], parents: dict[int, int]) -> list[Line]:
+    """Of the kept lines those in the marked regions with most text; all if none is in one."""
+    main, outside = [x for x in lines if x.main >= 0], [x for x in lines if x.main < 0 <= x.article]
+    pool = main if main and _size(main) >= _size(outside) else outside
+    if not pool:
+        return lines
+    inner = [x for x in pool if x.article >= 0]
+    if not inner or 2 * _size(inner)[0] < _size(pool)[0]:
+        return pool
+    bare: Counter[int] = Counter()
+    for x in inner:
+        bare[x.article] += x.bare
+    most = max(bare, key=lambda k: (bare[k], -k))
+    return [x for x in inner if parents[x.article] == parents[most] or 4 * bare[x.article] >= bare[most]]
+
+
+def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
+    """The lines between each surge and its dive, as far as the marked regions have them, joined by spaces."""
+    lines, parents = lines_of(html or "")
+    if not any(x.weight for x in lines):  # names would leave the page without text
+        lines, parents = lines_of(html or "", by_name=False)
+    return " ".join(x.text for x in restricted(surging(lines, window, surge), parents))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
