@@ -8,13 +8,15 @@ item's m - q + 1 q-grams, for budget k, and they lie on neighbouring diagonals
 (position in the text less position in the item) that differ by k at most.
 Shared q-grams are counted in overlapping bands of diagonals of that width, so
 no such stretch is missed, and each band with enough of them is verified by
-aligning the item within it. Lengths and edits are in bytes of UTF-8.
+aligning the item within it. q is 8, but 5 for the few lengths (10 to 15, 20 to
+23, 30 and 31) at which the budget could spoil all q-grams of 8. Lengths and
+edits are in bytes of UTF-8.
 
 The benchmark is the stated query set. It meets all documents in blocks of
 bounded size, each sent to all tasks.
 
 Defined results: a null or empty text holds nothing; an item without letters
-or digits is held by no text; an item shorter than q must occur as it is,
+or digits is held by no text; an item shorter than 8 must occur as it is,
 between blanks; equal texts and equal items match alike; an empty table on
 either side gives an empty result; texts are searched whole.
 """
@@ -33,6 +35,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from steadyield.llm.textops import U64, Texts, slices, texts_of
 
 Q = 8  # a q-gram of bytes is then one 64-bit number
+SHORT_Q = 5  # at a tenth as budget no item of 8 bytes or more loses all its q-grams of this size
 EDIT_SHARE = 0.1
 BLOCK_BYTES = 8 << 20
 _FILTER_BITS = 22
@@ -61,19 +64,32 @@ def plain_form(texts: Texts) -> tuple[Texts, np.ndarray]:
     return Texts(data[keep], total[offsets]), source[keep]
 
 
-def grams(data: np.ndarray) -> np.ndarray:
-    """The q-gram that starts at each byte but the last few."""
-    if len(data) < Q:
+def grams(data: np.ndarray, q: int = Q) -> np.ndarray:
+    """The q-gram that starts at each byte but the last few, q from 4 to 8."""
+    if len(data) < q:
         return np.zeros(0, U64)
     two = data[:-1].astype(np.uint16) | (data[1:].astype(np.uint16) << 8)
     four = two[:-2].astype(np.uint32) | (two[2:].astype(np.uint32) << 16)
-    return four[:-4].astype(U64) | (four[4:].astype(U64) << U64(32))
+    n = len(data) - q + 1
+    return four[:n].astype(U64) | (four[q - 4 : q - 4 + n].astype(U64) << U64(8 * (q - 4)))
 
 
 def _slot(codes: np.ndarray) -> np.ndarray:
     return ((codes * U64(0x9E3779B97F4A7C15)) >> U64(64 - _FILTER_BITS)).astype(np.int64)
 
 
+@dataclass
+class Postings:
+    """Where the q-grams of some items stand, for one q."""
+
+    q: int
+    codes: np.ndarray
+    first: np.ndarray
+    item: np.ndarray
+    place: np.ndarray
+    seen: np.ndarray
+
+
 @dataclass
 class Index:
     """A block of the benchmark: items in plain form and the postings of their q-grams."""
@@ -82,51 +98,56 @@ class Index:
     items: list[bytes]
     budget: np.ndarray
     least: np.ndarray  # shared q-grams that a stretch within budget must have
-    codes: np.ndarray
-    first: np.ndarray
-    item: np.ndarray
-    place: np.ndarray
-    seen: np.ndarray
+    postings: list[Postings]
     short: list[int]
     kind: pa.DataType
 
 
-def build_index(ids: list, texts: list[str | None], edit_share: float = EDIT_SHARE, kind: pa.DataType | None = None) -> Index:
-    plain, _ = plain_form(texts_of(pa.array([t or "" for t in texts], pa.large_string())))
-    items = [plain.data[a:b].tobytes().strip(b" ") for a, b in zip(plain.offsets[:-1], plain.offsets[1:], strict=True)]
-    size = np.array([len(x) for x in items], dtype=np.int64)
-    budget = np.maximum(0, np.minimum((edit_share * size).astype(np.int64), (size - Q) // Q))
-    codes = [grams(np.frombuffer(x, np.uint8)) for x in items]
-    item = np.repeat(np.arange(len(items)), [len(c) for c in codes])
-    place = np.concatenate([np.arange(len(c)) for c in codes]) if codes else np.zeros(0, np.int64)
-    flat = np.concatenate(codes) if codes else np.zeros(0, U64)
+def _postings(items: list[bytes], of: np.ndarray, q: int) -> Postings:
+    codes = [grams(np.frombuffer(items[k], np.uint8), q) for k in of]
+    item = np.repeat(of, [len(c) for c in codes])
+    place = np.concatenate([np.arange(len(c)) for c in codes])
+    flat = np.concatenate(codes)
     order = np.argsort(flat, kind="stable")
     unique, first = np.unique(flat[order], return_index=True)
     seen = np.zeros(1 << _FILTER_BITS, dtype=bool)
     seen[_slot(unique)] = True
-    return Index(ids, items, budget, size - Q + 1 - budget * Q, unique, np.append(first, len(flat)), item[order], place[order], seen, [k for k, s in enumerate(size) if 0 < s < Q], kind or (pa.array(ids).type if ids else pa.int64()))
+    return Postings(q, unique, np.append(first, len(flat)), item[order], place[order], seen)
+
+
+def build_index(ids: list, texts: list[str | None], edit_share: float = EDIT_SHARE, kind: pa.DataType | None = None) -> Index:
+    plain, _ = plain_form(texts_of(pa.array([t or "" for t in texts], pa.large_string())))
+    items = [plain.data[a:b].tobytes().strip(b" ") for a, b in zip(plain.offsets[:-1], plain.offsets[1:], strict=True)]
+    size = np.array([len(x) for x in items], dtype=np.int64)
+    budget = (edit_share * size).astype(np.int64)
+    long = size >= Q
+    q = np.where((budget + 1) * Q <= size, Q, SHORT_Q)
+    if (long & ((budget + 1) * q > size)).any():
+        raise ValueError(f"edit_share {edit_share} leaves an item without a whole q-gram of {SHORT_Q} bytes")
+    postings = [_postings(items, of, k) for k in (Q, SHORT_Q) if len(of := np.flatnonzero(long & (q == k)))]
+    return Index(ids, items, budget, size - q + 1 - budget * q, postings, np.flatnonzero((size > 0) & ~long).tolist(), kind or (pa.array(ids).type if ids else pa.int64()))
 
 
-def candidates(texts: Texts, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def candidates(texts: Texts, index: Index, p: Postings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document, item and lowest diagonal of each band that holds enough shared q-grams."""
     none = np.zeros(0, np.int64)
-    codes = grams(texts.data)
-    at = np.flatnonzero(index.seen[_slot(codes)])
-    if not len(at) or not len(index.codes):
+    codes = grams(texts.data, p.q)
+    at = np.flatnonzero(p.seen[_slot(codes)])
+    if not len(at):
         return none, none, none
-    which = np.minimum(np.searchsorted(index.codes, codes[at]), len(index.codes) - 1)
-    good = index.codes[which] == codes[at]
+    which = np.minimum(np.searchsorted(p.codes, codes[at]), len(p.codes) - 1)
+    good = p.codes[which] == codes[at]
     at, which = at[good], which[good]
     doc = np.searchsorted(texts.offsets, at, side="right") - 1
-    inside = at + Q <= texts.offsets[doc + 1]
+    inside = at + p.q <= texts.offsets[doc + 1]
     at, which, doc = at[inside], which[inside], doc[inside]
-    n = index.first[which + 1] - index.first[which]
+    n = p.first[which + 1] - p.first[which]
     if not n.sum():
         return none, none, none
-    begin = np.repeat(index.first[which] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+    begin = np.repeat(p.first[which] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
     posting = begin + np.arange(n.sum())
-    item = index.item[posting]
-    diagonal = np.repeat(at - texts.offsets[doc], n) - index.place[posting]
+    item = p.item[posting]
+    diagonal = np.repeat(at - texts.offsets[doc], n) - p.place[posting]
     doc = np.repeat(doc, n)
     # half a band is budget + 1 diagonals; a band is two neighbouring halves
     half = np.floor_divide(diagonal, index.budget[item] + 1)
@@ -188,7 +209,8 @@ def align(texts: Texts, index: Index, doc: np.ndarray, item: np.ndarray, low: np
 def find(texts: Texts, index: Index) -> list[tuple[int, int, int, int, int]]:
     """Document, item, edits and the stretch as bytes of the document, for every item that a document holds."""
     plain, source = plain_form(texts)
-    doc, item, low = candidates(plain, index)
+    none = np.zeros(0, np.int64)
+    doc, item, low = (np.concatenate(x) for x in zip((none, none, none), *(candidates(plain, index, p) for p in index.postings)))
     out: dict[tuple[int, int], tuple[int, int, int]] = {}
     if len(doc):
         edits, end = align(plain, index, doc, item, low)

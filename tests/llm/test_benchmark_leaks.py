@@ -61,12 +61,29 @@ def test_equals_plain_edit_distances(spark):
             chars[at] = rng.choice(("", "z", chars[at] + "y"))
         texts.append((k, " ".join(prose(rng, rng.randrange(12))) + " " + "".join(chars) + "! " + " ".join(prose(rng, rng.randrange(12)))))
     size = [len(plain(b).strip(b" ")) for b in bench]
-    budget = [max(0, min(int(0.1 * n), (n - 8) // 8)) for n in size]
+    budget = [int(0.1 * n) for n in size]
     want = {(k, i) for k, t in texts for i, b in enumerate(bench) if least_edits(plain(b).strip(b" "), plain(t)) <= budget[i]}
     got = benchmark_leaks.benchmark_leaks(rows(spark, texts), items(spark, bench)).collect()
     assert {(r.doc_id, r.item_id) for r in got} == want and 10 < len(want) < 200
 
 
+def test_short_items_have_their_whole_budget(spark):
+    """Items of every length from 8 to 41 bytes, with as many edits as a tenth allows spread out, one more, and shared among documents."""
+    rng = random.Random(31)
+    bench = ["".join(rng.choice("abcdefghij") for _ in range(n)) for n in range(8, 42)]
+    texts = []
+    for item in bench:
+        for edits in range(int(0.1 * len(item)) + 2):
+            chars = list(item)
+            for e in range(edits):
+                at = (e + 1) * len(item) // (edits + 1)
+                chars[min(at, len(chars) - 1)] = rng.choice(("", "z", "yz"))
+            texts.append((len(texts), "k " * rng.randrange(5) + "".join(chars) + " k" * rng.randrange(5)))
+    want = {(k, i) for k, t in texts for i, b in enumerate(bench) if least_edits(b.encode(), plain(t)) <= int(0.1 * len(b))}
+    got = benchmark_leaks.benchmark_leaks(rows(spark, texts), items(spark, bench)).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(want) > 80
+
+
 def test_ids_of_other_types_and_a_long_item(spark):
     rng = random.Random(3)
     long = " ".join(prose(rng, 1500))
