@@ -9,7 +9,8 @@ Archives are written by the tasks into one shared folder under names that
 follow from the partition, and moved to their names when complete: a task that
 runs again writes its rows in the same order and replaces its own archives.
 Those that the index of the committed tasks names are read back with Spark's binary
-file reader, so any file system that Spark knows can hold them.
+file reader, so any file system that Spark knows can hold them. Page ids of
+any type that text can be cast back to stand in the records as escaped text.
 
 Defined results: a null payload is the empty one; a null URL is written as an
 empty target; copies below 1000 bytes are all responses; rows repeated with
@@ -24,6 +25,7 @@ import hashlib
 import io
 import struct
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -42,18 +44,19 @@ SKIPPABLE_MAGIC = 0x184D2A5D
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-RECORD_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, archive string"
+RECORD_SCHEMA = "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary, archive string"
+_NO_ID = "<urn:nopage>"
 
 
-def _id(page_id: int | None) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}>"
+def _id(page_id: str | int | None) -> str:
+    return _NO_ID if page_id is None else f"<urn:page:{quote(str(page_id), safe='')}>"
 
 
-def _page(urn: str) -> int | None:
-    return int(urn[len("<urn:page:") : -1]) if urn and urn != "<urn:page:>" else None
+def _page(urn: str) -> str | None:
+    return unquote(urn[len("<urn:page:") : -1]) if urn and urn != _NO_ID else None
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, n_bytes: int, digest: str, refers_to: int | None) -> bytes:
+def record(page_id: str | int | None, url: str | None, payload: bytes, n_bytes: int, digest: str, refers_to: str | int | None) -> bytes:
     """One WARC record: a response, or a revisit if it refers to another page."""
     body = b"" if refers_to is not None else payload
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n_bytes}\r\n\r\n".encode()
@@ -134,7 +137,7 @@ def write_archives(typed: DataFrame, folder: str, archive_size: int = ARCHIVE_BY
         part = TaskContext.get().partitionId()
         files, root = pafs.FileSystem.from_uri(folder)
         files.create_dir(root, recursive=True)
-        pending: list[tuple[int | None, bytes]] = []
+        pending: list[tuple[str | None, bytes]] = []
         n = size = 0
 
         def flush() -> pa.RecordBatch:
@@ -144,7 +147,7 @@ def write_archives(typed: DataFrame, folder: str, archive_size: int = ARCHIVE_BY
             with files.open_output_stream(temporary) as out:
                 out.write(archive_bytes([r for _, r in pending]))
             files.move(temporary, f"{root}/{name}")
-            index = pa.RecordBatch.from_arrays([pa.array([p for p, _ in pending], pa.int64()), pa.array([name] * len(pending), pa.string()), pa.array(range(len(pending)), pa.int64())], names=["page_id", "archive", "record"])
+            index = pa.RecordBatch.from_arrays([pa.array([p for p, _ in pending], pa.string()), pa.array([name] * len(pending), pa.string()), pa.array(range(len(pending)), pa.int64())], names=["page_id", "archive", "record"])
             pending.clear()
             n, size = n + 1, 0
             return index
@@ -161,14 +164,15 @@ def write_archives(typed: DataFrame, folder: str, archive_size: int = ARCHIVE_BY
 
     lean = typed.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(b"")))
     # in a fixed order, so that a task that runs again writes the same archives
-    lean = lean.select("page_id", "url", "payload", "n_bytes", "digest", "refers_to").sortWithinPartitions("digest", "page_id", "url")
-    index = lean.mapInArrow(write, "page_id long, archive string, record long")
+    lean = lean.select(F.col("page_id").cast("string"), "url", "payload", "n_bytes", "digest", F.col("refers_to").cast("string")).sortWithinPartitions("digest", "page_id", "url")
+    kind = typed.schema["page_id"].dataType
+    index = lean.mapInArrow(write, "page_id string, archive string, record long").withColumn("page_id", F.col("page_id").cast(kind))
     index.write.mode("overwrite").parquet(f"{folder}/_index")
     return typed.sparkSession.read.schema(index.schema).parquet(f"{folder}/_index")
 
 
-def read_archives(spark: SparkSession, folder: str, with_payload: bool = True) -> DataFrame:
-    """Every record of the archives that a folder's index names; payloads of responses are checked against their digests."""
+def read_archives(spark: SparkSession, folder: str, with_payload: bool = True, id_type: str = "long") -> DataFrame:
+    """Every record of the archives that a folder's index names, its ids cast to their type; payloads of responses are checked against their digests."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,12 +185,12 @@ def read_archives(spark: SparkSession, folder: str, with_payload: bool = True) -
                     if fields["WARC-Type"] == "response" and (len(body) != n_bytes or hashlib.sha1(body).hexdigest() != digest):
                         raise ValueError(f"{path}: a payload differs from its digest")
                     rows.append((_page(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], n_bytes, digest, fields["WARC-Type"], _page(fields.get("WARC-Refers-To", "")), body if with_payload else None, path.as_py()))
-                kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string()]
+                kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in RECORD_SCHEMA.split(", ")])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).withColumn("archive", F.element_at(F.split("path", "/"), -1))
-    index = spark.read.schema("page_id long, archive string, record long").parquet(f"{folder}/_index")
+    index = spark.read.schema("archive string").parquet(f"{folder}/_index")
     stray = [r.archive for r in files.select("archive").join(index, "archive", "left_anti").collect()]  # of tasks that were lost, a few at most
     if stray:
         files = files.filter(~F.col("archive").isin(stray))
-    return files.select("path", "content").mapInArrow(read, RECORD_SCHEMA)
+    return files.select("path", "content").mapInArrow(read, RECORD_SCHEMA).withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})

@@ -59,3 +59,16 @@ def test_repeated_rows_and_empty_table(spark, tmp_path):
     pages = spark.createDataFrame([], PAGES)
     assert warc.write_archives(warc.with_record_types(pages), f"file://{tmp_path}/e").count() == 0
     assert warc.read_archives(spark, f"file://{tmp_path}/e").count() == 0
+
+
+@pytest.mark.parametrize("kind", ["string", "int", "decimal(20,0)", "date"])
+def test_ids_of_other_types(spark, tmp_path, kind):
+    texts = {"string": ["a b", "", ">\r\nX: é%", None], "date": ["2024-01-31", "2023-12-01", "2024-02-01", None]}.get(kind, ["5", "-7", "30", None])
+    pages = spark.createDataFrame([(t, "u", "<p>" + "long text " * 200) for t in texts], "page_id string, url string, html string").selectExpr(f"cast(page_id as {kind}) as page_id", "url", "html")
+    folder = f"file://{tmp_path}/t"
+    index = warc.write_archives(warc.with_record_types(pages), folder)
+    got = warc.read_archives(spark, folder, id_type=kind)
+    assert index.schema["page_id"].dataType == got.schema["page_id"].dataType == pages.schema["page_id"].dataType
+    ids = [r.page_id for r in pages.collect()]
+    newest = max(x for x in ids if x is not None)
+    assert sorted((str(r.page_id), r.record_type, r.refers_to) for r in got.collect()) == sorted((str(x), "response", None) if x == newest else (str(x), "revisit", newest) for x in ids)
