@@ -79,8 +79,8 @@ def scan_new_blobs(docs: DataFrame, ledger: DataFrame | None = None, text_col: s
         todo = blobs.groupBy("blob").agg(F.first("t").alias("t")).withColumn("missing", keys)
     else:
         seen = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_set("done"))).alias("seen"))
-        todo = blobs.join(seen, "blob", "left").withColumn("missing", F.array_except(keys, F.coalesce("seen", F.array().cast("array<string>"))))
-        todo = todo.filter(F.size("missing") > 0).groupBy("blob").agg(F.first("t").alias("t"), F.first("missing").alias("missing"))
+        once = blobs.groupBy("blob").agg(F.first("t").alias("t"))
+        todo = once.join(seen, "blob", "left").withColumn("missing", F.array_except(keys, F.coalesce("seen", F.array().cast("array<string>")))).filter(F.size("missing") > 0)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finders = [(k, r.kind, r.key, r.finder()) for k, r in enumerate(rules)]
@@ -100,7 +100,9 @@ def update_ledger(docs: DataFrame, folder: str, text_col: str = "text", rules: t
     spark = docs.sparkSession
     try:
         ledger = spark.read.parquet(folder)
-    except AnalysisException:  # no ledger yet
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":  # a ledger that can't be read is not scanned anew
+            raise
         ledger = None
     scan_new_blobs(docs, ledger, text_col, rules).write.mode("append").parquet(folder)
     return spark.read.schema(LEDGER_SCHEMA).parquet(folder)

@@ -1,5 +1,6 @@
 import re
 
+import pytest
 from helpers import odd_texts, rows
 from steadyield.llm import secret_scan
 from steadyield.llm.secret_scan import RULES, SecretRule, find_secrets, joined, scan_new_blobs
@@ -53,6 +54,14 @@ def test_ledger_is_kept_and_old_rule_versions_are_left_out(spark, tmp_path):
     assert spans(find_secrets(docs, ledger, rules=(new,))) == [(1, ""), (2, "pin:13:19")]
 
 
+def test_a_broken_ledger_is_an_error(spark, tmp_path):
+    (tmp_path / "ledger").mkdir()
+    (tmp_path / "ledger" / "part-0.parquet").write_bytes(b"no parquet")
+    with pytest.raises(Exception):
+        secret_scan.update_ledger(rows(spark, [(1, TEXTS[0])]), f"file://{tmp_path}/ledger")
+    assert len(list((tmp_path / "ledger").iterdir())) == 1
+
+
 def test_blobs_that_many_hold(spark):
     docs = rows(spark, [(k, TEXTS[1]) for k in range(300)] + [(1000 + k, f"{TEXTS[0]} {k}") for k in range(30)])
     got = find_secrets(docs, scan_new_blobs(docs))
