@@ -190,7 +190,8 @@ def changes(current: DataFrame, previous: DataFrame, version: str, first_run: bo
 
 def _judged(value: str, name: str, too_far: Column, label: str, unit: str, needs_positive: bool = False) -> Column:
     absent = F.col(value).isNull() | (F.col(value) <= 0) if needs_positive else F.col(value).isNull()
-    shown = F.concat(F.lit(f"{label} ("), F.format_string("%.2f", F.col(value).cast("double")), F.lit(f"{unit})"))
+    # rounds what the number is, ties to even, as printf does; format_string rounds its shortest digits, ties up
+    shown = F.concat(F.lit(f"{label} ("), F.call_function("format_number", F.col(value).cast("double"), F.lit("0.00")), F.lit(f"{unit})"))
     return F.when(absent, f"{name} unknown").when(too_far, shown)
 
 
