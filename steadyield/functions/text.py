@@ -6,6 +6,7 @@ What cannot be read is null; callers decide whether that is an error.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 import pyarrow as pa
@@ -14,6 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What use makes of a value that is worked out once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def nfkc(text: str | Column) -> Column:
     """Compatibility form, which SQL has no function for."""
 
@@ -44,11 +50,17 @@ def narrow(text: Column) -> Column:
     return F.translate(text, wide, "".join(chr(c) for c in range(0x21, 0x7F)) + " ")
 
 
+def _narrowed(text: Column) -> Column:
+    """narrow for a text that has yet to be worked out; one of ASCII alone is its own."""
+    return let(text, lambda t: F.when(F.length(t) == F.octet_length(t), t).otherwise(narrow(t)))
+
+
 def security_code(value: str | Column) -> Column:
     """Four characters; a fifth that is 0 and a numeric reader's .0 fall away."""
-    text = F.upper(F.trim(narrow(F.col(value) if isinstance(value, str) else value)))
-    text = F.regexp_replace(F.regexp_replace(text, r"\.0$", ""), r"^(.{4})0$", "$1")
-    return F.when(text.rlike("^[0-9A-Z]{4}$"), text)
+    text = F.upper(F.trim(_narrowed(F.col(value) if isinstance(value, str) else value)))
+    short = lambda t: F.regexp_replace(F.regexp_replace(t, r"\.0$", ""), r"^(.{4})0$", "$1")
+    # most texts fail the first pattern and are not worked on further
+    return let(text, lambda t: F.when(t.rlike(r"^[0-9A-Z]{4}0?(\.0)?$"), let(short(t), lambda u: F.when(u.rlike("^[0-9A-Z]{4}$"), u))))
 
 
 def number(value: str | Column) -> Column:
@@ -85,8 +97,7 @@ def whole_number(value: str | Column) -> Column:
 
 def day(value: str | Column) -> Column:
     """Dates written with dots, dashes or slashes."""
-    text = F.regexp_replace(narrow(F.trim(value)), "[./]", "-")
-    return F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_date(text, "y-M-d"))
+    return let(_narrowed(F.trim(value)), lambda t: F.when(t.rlike(r"^\d{4}[-./]\d{1,2}[-./]\d{1,2}$"), F.try_to_date(F.regexp_replace(t, "[./]", "-"), "y-M-d")))
 
 
 RATIO = r"(\d+(?:\.\d+)?)\s*[:：対]\s*(\d+(?:\.\d+)?)"
@@ -94,8 +105,16 @@ RATIO = r"(\d+(?:\.\d+)?)\s*[:：対]\s*(\d+(?:\.\d+)?)"
 
 def ratio_factor(text: Column, added: bool = False) -> Column:
     """before / after of a ratio "before:after", half up to ten places; with added the second number comes on top of the first."""
-    plain = narrow(text)
-    before, after = (F.regexp_extract(plain, RATIO, k).try_cast("decimal(20,10)") for k in (1, 2))
+    return let(_ratio_in(narrow(text)), lambda r: _divided(r, added))
+
+
+def _ratio_in(plain: Column) -> Column:
+    """The two numbers of a ratio in narrow text."""
+    return F.struct(*(F.regexp_extract(plain, RATIO, k).try_cast("decimal(20,10)").alias(name) for k, name in ((1, "before"), (2, "after"))))
+
+
+def _divided(r: Column, added: bool) -> Column:
+    before, after = r["before"], r["after"]
     below = before + after if added else after
     return F.when((before > 0) & (after > 0), F.round((before / below).cast("decimal(38,18)"), 10).cast("decimal(20,10)"))
 
@@ -107,8 +126,12 @@ def action(description: str | Column) -> Column:
     order of the tests matters: later words occur within earlier ones.
     """
     text = collapsed(narrow(F.col(description) if isinstance(description, str) else description))
+    return let(text, lambda t: let(F.struct(t.alias("text"), _ratio_in(t).alias("ratio")), lambda x: _action_of(x["text"], x["ratio"])))
+
+
+def _action_of(text: Column, ratio: Column) -> Column:
     has = lambda *words: reduce(lambda a, b: a | b, [text.contains(w) for w in words])
-    factor, topped = ratio_factor(text), ratio_factor(text, added=True)
+    factor, topped = _divided(ratio, False), _divided(ratio, True)
 
     def made(value: Column | None, kind: str | None) -> Column:
         return F.struct((F.lit(None).cast("decimal(20,10)") if value is None else value.cast("decimal(20,10)")).alias("factor"), F.lit(kind).cast("string").alias("kind"), (F.lit(False) if value is None else value.isNull()).alias("unreadable"))
@@ -116,7 +139,7 @@ def action(description: str | Column) -> Column:
     one = F.lit(1)
     return (
         F.when(text.isNull() | (text == "") | has("受益権分割", "投資口分割"), made(None, None))
-        .when(factor.isNull() & has("分割比率") & has("割当率") & ~has("株式分割", "株式併合"), made(None, None))
+        .when(has("分割比率") & has("割当率") & ~has("株式分割", "株式併合") & factor.isNull(), made(None, None))
         .when(has("株式併合"), made(factor, "2"))
         .when(has("分割"), made(factor, "1"))
         .when(has("新株予約権"), made(one, "3"))
