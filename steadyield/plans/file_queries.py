@@ -52,13 +52,17 @@ SELECT concat('Company "', CAST(l_partkey AS STRING), '", Ltd') AS company_name,
        last_day(CAST(l_shipdate AS DATE)) AS allocation_date
 FROM lineitem
 """
+LINES_A_FILE = 100_000
 _RIGHTS = "coverage_month date, allocation_date date, security_code string, adjustment_factor decimal(20,10), source_file string"
 
 
 def _pending(x: Inputs) -> DataFrame:
     folder, rows = files.shared_path(x.spark, "rights"), x.sql(PENDING).withColumn("on", F.date_format("allocation_date", "yyyyMMdd")).drop("allocation_date")
-    blank = rows.groupBy("on").count().select("on")
-    rows.unionByName(blank, allowMissingColumns=True).repartition("on").write.partitionBy("on").option("escape", '"').csv(folder)
+    dates = rows.groupBy("on").count()
+    # a date has as many files as it needs, each with all lines of its codes
+    n_files = 1 + (dates.agg(F.max("count")).first()[0] or 0) // LINES_A_FILE
+    filed = rows.withColumn("file", F.pmod(F.hash(F.substring("code", 1, 4)), F.lit(n_files))).unionByName(dates.select("on", F.lit(0).alias("file")), allowMissingColumns=True)
+    filed.repartition("on", "file").write.partitionBy("on", "file").option("escape", '"').csv(folder)
     return files.rights_files(x.spark, folder, r"on=(\d{8})/")
 
 
