@@ -72,7 +72,9 @@ def pending_right_files(x: Inputs) -> DataFrame:
 
 def published_months(x: Inputs) -> DataFrame:
     """Months of pending rights, of which a second run replaces some with fewer rows and empties others."""
-    folder, rights = files.shared_path(x.spark, "rights-months"), _pending(x)
+    folder, landed = files.shared_path(x.spark, "rights-months"), files.shared_path(x.spark, "rights-read")
+    _pending(x).write.parquet(landed)  # the files are read once
+    rights = x.spark.read.schema(_RIGHTS).parquet(landed)
     checks = {"month of the date": F.col("coverage_month") == F.trunc("allocation_date", "MM"), "factor": F.col("adjustment_factor") > 0}
     months = rights.select("coverage_month").distinct()
     publish.publish_months(rights, months, folder, checks)
