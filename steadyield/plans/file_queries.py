@@ -41,9 +41,8 @@ def landed_facts(x: Inputs) -> DataFrame:
     for k, (headers, encoding) in enumerate(((_HEADERS, "UTF-16"), (_SHUFFLED, "UTF-8"), (_PARTLY_NAMED, "UTF-16LE"))):
         _written(rows.filter(F.col("doc_id") % 3 == k), f"{folder}/{k}", headers, encoding)
     x.table("region").select((-F.col("r_regionkey") - 1).alias("doc_id"), "r_name").write.partitionBy("doc_id").csv(f"{folder}/bare")
-    facts, problems = files.fact_files(x.spark, folder, r"doc_id=([^/]+)/")
-    rejected = problems.select(F.regexp_extract("source_file", r"doc_id=([^/]+)/", 1).alias("doc_id"), F.col("line").alias("row_no"), "problem")
-    return facts.drop("source_file").unionByName(rejected, allowMissingColumns=True)
+    rows, sound = files.fact_rows(x.spark, folder, r"doc_id=([^/]+)/"), F.col("problem").isNull()
+    return rows.select("doc_id", F.when(sound, F.col("row_no")).otherwise(F.col("line")).alias("row_no"), *files.FACT_HEADERS, "problem")
 
 
 # a line is a right to come in its month; a code has one ratio

@@ -118,20 +118,25 @@ def _facts_of(path: str, content: bytes) -> Iterator[tuple]:
     for k, header in enumerate(next(lines, [])):
         if (column := header_column(header)) is not None:
             places[column] = k  # of columns with one name the last counts
-    n = 0
+    n, width = 0, max([len(FACT_HEADERS) - 1, *places.values()]) + 1
+    # a column that no header names, or that is blank in the named place, stands in its usual place
+    order = [(places.get(c, k), k) for k, c in enumerate(FACT_HEADERS)]
+    plain = str.strip if "\ufeff" not in text and "\u3000" not in text else _clean
     try:
         for n, cells in enumerate((line for line in lines if line), 1):
-            # a column that no header names, or that is blank in the named place, stands in its usual place
-            told = [_clean(cells[places[c]]) if c in places and places[c] < len(cells) else "" for c in FACT_HEADERS]
-            yield (path, n, *(t or (_clean(cells[k]) if k < len(cells) else "") for k, t in enumerate(told)), None)
+            told = [*map(plain, cells), *[""] * (width - len(cells))]
+            yield (path, n, *[told[a] or told[k] for a, k in order], None)
     except csv.Error as error:
         yield (path, n + 1, *nothing, str(error))
     if n == 0:
         yield (path, 0, *nothing, "no rows")
 
 
-def fact_files(spark: SparkSession, folder: str, doc_pattern: str = r"([^/]+?)(?:_[^/]*)?\.csv$") -> tuple[DataFrame, DataFrame]:
-    """Facts of the tab-separated files below a folder, and the files and lines that cannot be read with their problem.
+DOC_PATTERN = r"([^/]+?)(?:_[^/]*)?\.csv$"
+
+
+def fact_rows(spark: SparkSession, folder: str, doc_pattern: str = DOC_PATTERN) -> DataFrame:
+    """Facts of the tab-separated files below a folder, and in rows with a problem, which facts have none, the files and lines that cannot be read.
 
     Each file has its own encoding and order of columns: columns go by the
     names in its header, and by position where a name is missing; further
@@ -143,11 +148,16 @@ def fact_files(spark: SparkSession, folder: str, doc_pattern: str = r"([^/]+?)(?
     files = binary_files(spark, folder, "*.csv").filter(~F.lower(F.element_at(F.split("path", "/"), -1)).contains("jpaud"))
     rows = records(files, "path string, line long, " + ", ".join(f"{c} string" for c in FACT_HEADERS) + ", problem string", _facts_of)
     doc = F.regexp_extract("path", doc_pattern, 1)
-    # contents are not read for the order of the files
+    # contents are not read for the order of the files, whose names the driver holds already as it lists them
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("path"))
     order = files.select("path", doc.alias("doc_id")).withColumn("nth", nth)
-    facts = rows.filter("problem is null").drop("problem").join(order, "path").select("doc_id", (F.col("nth").cast("long") * (1 << 40) + F.col("line")).alias("row_no"), *FACT_HEADERS, F.col("path").alias("source_file"))
-    return facts, rows.filter("problem is not null").select(F.col("path").alias("source_file"), "line", "problem")
+    return rows.join(F.broadcast(order), "path").select("doc_id", (F.col("nth").cast("long") * (1 << 40) + F.col("line")).alias("row_no"), *FACT_HEADERS, F.col("path").alias("source_file"), "line", "problem")
+
+
+def fact_files(spark: SparkSession, folder: str, doc_pattern: str = DOC_PATTERN) -> tuple[DataFrame, DataFrame]:
+    """The facts of fact_rows, and the files and lines that cannot be read with their problem; who wants both reads fact_rows, which cuts each file once."""
+    rows = fact_rows(spark, folder, doc_pattern)
+    return rows.filter("problem is null").drop("line", "problem"), rows.filter("problem is not null").select("source_file", "line", "problem")
 
 
 def folded(text: str | None) -> str:
