@@ -145,9 +145,9 @@ def bar_answers(x: Inputs) -> DataFrame:
     answer = F.when(F.col("cut_off"), F.concat(F.lit('{"data": ['), "bars")).when(F.col("no_list"), F.concat(F.lit('{"rows": ['), "bars", F.lit("]}"))).otherwise(F.concat(F.lit('{"data": ['), "bars", F.lit('], "pagination_key": "p"}')))
     folder = files.shared_path(x.spark, "bars")
     answers.select(answer.alias("value")).write.text(folder)
-    actions, kept_back = files.bar_payloads(x.spark, folder)
-    good = actions.groupBy("code", "effective_date", "adjustment_factor", "ex_right_type").agg(F.count(F.lit(1)).alias("n"))
-    return good.unionByName(kept_back.groupBy("problem").agg(F.count(F.lit(1)).alias("n")), allowMissingColumns=True)
+    rows, sound = files.bar_records(x.spark, folder), F.col("problem").isNull()
+    told = [F.when(sound, F.col(c)).alias(c) for c in ("code", "effective_date", "adjustment_factor", "ex_right_type")]
+    return rows.groupBy(*told, "problem").agg(F.count(F.lit(1)).alias("n"))
 
 
 def replayed_feed(x: Inputs) -> DataFrame:

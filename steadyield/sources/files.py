@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from steadyield.functions.text import RATIO, day, ratio_factor, security_code
+from steadyield.functions.text import RATIO, day, let, ratio_factor, security_code
 from steadyield.operators.policy import TitleWords, classify_titles
 
 BATCH_ROWS = 5000
@@ -280,8 +280,8 @@ def rights_files(spark: SparkSession, folder: str, date_pattern: str = r"(\d{8})
 EX_RIGHT_TYPES = ("1", "2", "3")
 
 
-def bar_payloads(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Corporate actions in daily bars, and what is kept back with its problem: rows (source_file, code, effective_date, adjustment_factor, ex_right_type) and (source_file, record, problem).
+def bar_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Daily bars that are corporate actions, without a problem, and what is kept back with its problem: (source_file, record, code, effective_date, adjustment_factor, ex_right_type, problem).
 
     A line of a file is one answer, an object whose data is a list of objects.
     A bar needs a code, a date and a positive factor (1 where it names none);
@@ -289,19 +289,36 @@ def bar_payloads(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
     actions. Repeated bars stay. An empty folder gives no rows.
     """
     raw = spark.read.schema("data string, pagination_key string, broken string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "broken").json(folder).withColumn("source_file", F.input_file_name())
-    items = F.from_json("data", "array<string>")
-    answers = raw.select("source_file", "data", "broken", F.when(F.col("data").startswith("["), items).alias("items"))
-    wrong = answers.filter("broken is not null or items is null").select("source_file", F.coalesce("broken", "data").alias("record"), F.lit("no list of data").alias("problem"))
-    bars = answers.filter("broken is null").select("source_file", F.explode("items").alias("record"))
-    bar = F.from_json("record", "Code string, Date string, AdjFactor string, ExRT string")
-    read = bars.select("source_file", "record", F.col("record").startswith("{").alias("is_object"), bar.alias("b"), F.array_contains(F.json_object_keys("record"), "AdjFactor").alias("has_factor"))
-    factor = F.when(F.coalesce("has_factor", F.lit(False)), F.trim("b.AdjFactor").try_cast("double")).otherwise(1.0)
-    read = read.select("source_file", "record", "is_object", F.nullif(F.trim("b.Code"), F.lit("")).alias("given"), security_code("b.Code").alias("code"), day("b.Date").alias("effective_date"), factor.alias("adjustment_factor"), F.nullif(F.trim("b.ExRT"), F.lit("")).alias("ex_right_type"))
-    problem = (
-        F.when(~F.coalesce("is_object", F.lit(False)), "not an object").when(F.col("given").isNull() | F.col("code").isNull(), "no code").when(F.col("effective_date").isNull(), "no date")
-        .when(F.col("adjustment_factor").isNull() | ~(F.col("adjustment_factor") > 0) | F.col("adjustment_factor").isin(float("inf"), float("nan")), "no positive factor").when(~F.col("ex_right_type").isin(*EX_RIGHT_TYPES), "unknown kind")
-    )
-    checked = read.withColumn("problem", problem)
-    actions = checked.filter("problem is null").filter((F.col("adjustment_factor") != 1) | F.col("ex_right_type").isNotNull())
-    kept_back = wrong.unionByName(checked.filter("problem is not null").select("source_file", "record", "problem"))
-    return actions.select("source_file", "code", "effective_date", "adjustment_factor", "ex_right_type"), kept_back
+    items = F.from_json(F.when(F.col("broken").isNull() & F.col("data").startswith("["), F.col("data")), "array<string>")
+    whole = F.array(F.struct(F.coalesce("broken", "data").alias("record"), F.lit(True).alias("is_answer")))
+    parts = F.coalesce(F.transform(items, lambda r: F.struct(r.alias("record"), F.lit(False).alias("is_answer"))), whole)
+    bars = raw.select("source_file", F.explode_outer(parts).alias("x")).filter("x is not null")
+    # made rows, for a filter of columns would be pushed in front and have them worked out twice
+    return bars.select("source_file", F.explode_outer(F.array(let(F.col("x"), _bar))).alias("x")).filter("x is not null").select("source_file", "x.*")
+
+
+def _bar(x: Column) -> Column:
+    """A record read and judged; none if it is no action."""
+    bar = F.from_json(F.when(~x["is_answer"], x["record"]), "Code string, Date string, AdjFactor string, ExRT string")
+    read = F.struct(bar.alias("b"), F.array_contains(F.json_object_keys(x["record"]), "AdjFactor").alias("has_factor"), (x["record"].startswith("{")).alias("is_object"))
+
+    def cells(r: Column) -> Column:
+        factor = F.when(F.coalesce(r["has_factor"], F.lit(False)), F.trim(r["b"]["AdjFactor"]).try_cast("double")).otherwise(1.0)
+        return F.struct(r["is_object"].alias("is_object"), F.nullif(F.trim(r["b"]["Code"]), F.lit("")).alias("given"), security_code(r["b"]["Code"]).alias("code"), day(r["b"]["Date"]).alias("effective_date"), factor.alias("adjustment_factor"), F.nullif(F.trim(r["b"]["ExRT"]), F.lit("")).alias("ex_right_type"))
+
+    def judged(r: Column) -> Column:
+        factor, kind = r["adjustment_factor"], r["ex_right_type"]
+        problem = (
+            F.when(x["is_answer"], "no list of data").when(~F.coalesce(r["is_object"], F.lit(False)), "not an object").when(r["given"].isNull() | r["code"].isNull(), "no code").when(r["effective_date"].isNull(), "no date")
+            .when(factor.isNull() | ~(factor > 0) | factor.isin(float("inf"), float("nan")), "no positive factor").when(~kind.isin(*EX_RIGHT_TYPES), "unknown kind")
+        )
+        made = F.struct(x["record"].alias("record"), r["code"].alias("code"), r["effective_date"].alias("effective_date"), factor.alias("adjustment_factor"), kind.alias("ex_right_type"), problem.alias("problem"))
+        return let(made, lambda m: F.when(m["problem"].isNotNull() | (factor != 1) | kind.isNotNull(), m))
+
+    return let(let(read, cells), judged)
+
+
+def bar_payloads(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The actions of bar_records (source_file, code, effective_date, adjustment_factor, ex_right_type) and what is kept back (source_file, record, problem); who wants both reads bar_records, which reads each answer once."""
+    rows = bar_records(spark, folder)
+    return rows.filter("problem is null").drop("record", "problem"), rows.filter("problem is not null").select("source_file", "record", "problem")
