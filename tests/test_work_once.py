@@ -65,3 +65,7 @@ def test_landed_files_are_read_once(spark, sf):
 
 def test_a_right_is_read_once(spark, sf):
     assert plan(QUERIES["rights_table"](spark, sf), "optimizedPlan").count("regexp_extract(") == 2
+
+
+def test_a_sentence_is_read_once(spark, sf):
+    assert plan(QUERIES["policy_pages"](spark, sf), "optimizedPlan").count("regexp_replace(") == 2
