@@ -69,3 +69,8 @@ def test_a_right_is_read_once(spark, sf):
 
 def test_a_sentence_is_read_once(spark, sf):
     assert plan(QUERIES["policy_pages"](spark, sf), "optimizedPlan").count("regexp_replace(") == 2
+
+
+def test_filings_are_sorted_by_document_once(spark, sf):
+    for name in ("annual_filing_list", "filings_to_extract"):
+        assert plan(QUERIES[name](spark, sf)).count("Sort [doc_id") == 1
