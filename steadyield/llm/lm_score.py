@@ -9,10 +9,11 @@ before. How often and with what odds, in coarse steps,
 is a state, and each state has its own log odds, learned from all decisions of
 the training texts, each left out of the counts that it meets. The odds are
 summed with weights that a gate selects by the states of the longer contexts.
-Weights are first learned on a share of the training texts, each seen with its
-own counts taken out; then they are refined within every text after each of its
-stretches, so a text's score depends on the model and the text alone. The bits
-of all decisions are the bits of the text.
+Weights are first learned from all decisions of the training texts, each left
+out of its own counts: every block says which states met before which bit and
+how often, which is all that Newton's method needs. Then they are refined
+within every text after each of its stretches, so a text's score depends on the
+model and the text alone. The bits of all decisions are the bits of the text.
 
 Counts come from all training texts, whole. A context is known by a hash whose
 bits grow with the corpus, 32 to 64 slots for each of its bytes (up to 48 bits). What is counted is
@@ -57,7 +58,6 @@ BLOCK_BYTES = 4 << 20
 PIECE_BYTES = 1 << 18
 PART_BYTES = 16 << 20  # of texts, for each part of the contexts
 SLOT_BITS = 5  # slots for each byte of the corpus, as a power of 2
-LEARN_SHARE = 0.01  # of the training rows teach weights
 NEWTON = 4
 ENTRIES = 600_000  # of a part that are added up at once
 SEEN = (1, 2, 3, 5, 10, 31, 201, 2001, 20_001, 200_001, 2_000_001, 20_000_001)  # where the coarse steps of how often a decision was seen begin
@@ -73,6 +73,7 @@ _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32, END]] = True
 _CODE = mix(np.arange(5000, 5256, dtype=U64)) | U64(1)
 _SALT = mix(np.arange(9001, 9006, dtype=U64))
+_TRIES = mix(np.arange(7001, 7005, dtype=U64)) | U64(1)
 END_WORD = U64(0x5E0FD0C5E0FD0C5)
 # how many bits stand before the last set bit of 16
 _LENGTH = np.array([0] + [LEVELS - ((x & -x).bit_length() - 1) for x in range(1, 1 << 16)], dtype=np.uint8)
@@ -129,24 +130,30 @@ class Numbered:
 
 
 def numbered(key: np.ndarray) -> tuple[Numbered, np.ndarray]:
-    """The keys by number and a position of each distinct one. Sorts hashes with positions in their last bits, which is faster than sorting positions."""
-    width = U64(max(1, len(key).bit_length()))
-    packed = np.sort(key * U64(0x9E3779B97F4A7C15) >> width << width | np.arange(len(key), dtype=U64))
-    at = (packed & ((U64(1) << width) - U64(1))).astype(np.int64)
-    packed >>= width
-    new, found = np.ones(len(key), dtype=bool), key.take(at)
-    new[1:] = packed[1:] != packed[:-1]
-    if ((found[1:] != found[:-1]) & ~new[1:]).any():  # two keys with one hash
-        at = np.argsort(key, kind="stable")
-        found = key.take(at)
-        new[1:] = found[1:] != found[:-1]
-    distinct = found[new]
+    """The keys by number and a position of each distinct one. Equal keys meet in a slot by their hash; those that found another key there try again by the next hash, and what is left is sorted."""
+    n = len(key)
+    width = U64(63 - n.bit_length())
+    table, found = np.empty(1 << (n.bit_length() + 1), dtype=np.int32), np.empty(n, dtype=np.int32)
+    at, left = np.arange(n, dtype=np.int32), key
+    for salt in _TRIES:
+        slot = (left * salt >> width).view(np.int64)
+        table[slot] = at
+        met = table.take(slot)
+        found[at] = met
+        at = at.take(np.flatnonzero(key.take(met) != left))
+        left = key.take(at)
+        if not len(at):
+            break
+    order = np.argsort(left, kind="stable")
+    if len(order):
+        begin = np.append(True, np.diff(left[order]) != 0)
+        found[at[order]] = at[order][begin][np.cumsum(begin) - 1]
+    first = np.flatnonzero(found == np.arange(n, dtype=np.int32))
+    distinct = key.take(first)
     order = np.argsort(distinct)
-    rank = np.empty(len(order), dtype=np.int32)
-    rank[order] = np.arange(len(order), dtype=np.int32)
-    number = np.empty(len(key), dtype=np.int32)
-    number[at] = rank.take(np.cumsum(new) - 1)
-    return Numbered(distinct[order], number), at[new][order]
+    number = np.empty(n, dtype=np.int32)
+    number[first[order]] = np.arange(len(order), dtype=np.int32)
+    return Numbered(distinct[order], number.take(found)), first[order]
 
 
 @dataclass
@@ -243,9 +250,8 @@ def pieces(texts: Texts) -> Iterator[tuple[int, int, Texts]]:
 
 def joined(keys: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
     """The distinct keys, rising, and for each list given the positions of its keys there."""
-    key = np.sort(np.concatenate(keys))
-    key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
-    return key, [np.searchsorted(key, mine) for mine in keys]
+    held, _ = numbered(np.concatenate(keys))
+    return held.key, np.split(held.number, np.cumsum([len(k) for k in keys])[:-1])
 
 
 def added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -321,6 +327,22 @@ _KIND = (np.arange(STATES) // BINS).astype(np.int16)
 _START = (np.arange(STATES) % BINS + 0.5 - BINS / 2) * 16 / BINS * (_KIND > 0)
 
 
+def left_out() -> np.ndarray:
+    """For each bit and state the state that such a decision leaves behind when it is left out of its own counts: that of most decisions, contexts seen n times being as frequent as 1 / n^2."""
+    zero, one = (x.ravel() for x in np.indices((_MANY, _MANY)))
+    out = np.tile(np.arange(STATES, dtype=np.uint16), (2, 1))
+    for bit, own in ((0, zero), (1, one)):
+        some = np.flatnonzero(own)
+        to = computed_states(zero[some] - (bit == 0), one[some] - (bit == 1))
+        often = np.bincount(_FEW[some] * np.intp(STATES) + to, own[some] / (zero + one)[some] ** 2.0, minlength=STATES * STATES).reshape(STATES, STATES)
+        out[bit, often.any(axis=1)] = often.argmax(axis=1)[often.any(axis=1)]
+    return out
+
+
+_LEFT = left_out().ravel()
+_KEPT = np.tile(np.arange(STATES, dtype=np.uint16), 2)
+
+
 def decisions(group: np.ndarray, code: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
     """Level by level the pairs that decide there, their bits, how often the decision fell that way and the other, and the first pair of each way.
 
@@ -430,13 +452,39 @@ def odds_of(sums: np.ndarray) -> np.ndarray:
     return np.append(np.clip(np.log(chance / (1 - chance)), -8, 8), np.zeros((CONTEXTS, 1)), axis=1).astype(np.float32)
 
 
-def newton_sums(seen: np.ndarray, bits: np.ndarray, model: Model) -> np.ndarray:
+def meetings(states: list[np.ndarray], places: list[np.ndarray], code: np.ndarray, times: np.ndarray, left: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """What meets in the decisions of some bytes, as numbers of the predictors' states and the bit, and how often; places: where the states of each byte begin, of two predictors or three; left: the state that counts, by bit and state."""
+    out, length, at = [], _LENGTH[code], np.arange(len(code))
+    for level in range(LEVELS):
+        at = at.take(np.flatnonzero(length.take(at) > level))
+        if not len(at):
+            break
+        bit = (code.take(at) >> np.uint16(LEVELS - level)) & np.uint16(1)
+        of_bit = bit * np.intp(STATES)
+        met = [left.take(of_bit + s.take(place.take(at) + level)).astype(np.uint32) for s, place in zip(states, places)]
+        met += [np.uint32(STATES)] * (CONTEXTS - len(met))
+        out.append((((met[0] * np.uint32(STATES) + met[1]) * np.uint32(STATES + 1) + met[2]) * np.uint32(2) + bit, times.take(at)))
+    return out
+
+
+def summed_up(met: list[tuple[np.ndarray, np.ndarray]]) -> bytes:
+    """The distinct meetings and how often each came."""
+    both = np.sort(np.concatenate([n.astype(U64) << U64(32) | times.astype(U64) for n, times in met] or [np.zeros(0, U64)]))
+    number = (both >> U64(32)).astype(np.uint32)
+    begin = np.flatnonzero(np.append(True, number[1:] != number[:-1])[: len(number)])
+    return squeeze(number[begin], np.add.reduceat((both & U64(0xFFFFFFFF)).astype(np.int64), begin) if len(begin) else np.zeros(0, np.int64))
+
+
+def newton_sums(number: np.ndarray, times: np.ndarray, model: Model) -> np.ndarray:
     """For each gate the slope and the curvature of the bits' log chance in its weights."""
+    bits, rest = (number & 1).astype(np.float64), number >> 1
+    rest, third = np.divmod(rest, np.uint32(STATES + 1))
+    seen = np.stack([*np.divmod(rest, np.uint32(STATES)), third], axis=1).astype(np.intp)
     kind = [_KIND.take(np.minimum(seen[:, c], STATES - 1)) for c in range(CONTEXTS)]
     gate = np.where(seen[:, 2] == STATES, gate_of(kind[0], kind[1], False), gate_of(kind[1], kind[2], True))
     x = np.stack([model.odds[c].take(seen[:, c]) for c in range(CONTEXTS)], axis=1).astype(np.float64)
     chance = 1 / (1 + np.exp(-(x * model.weights[gate]).sum(axis=1)))
-    miss, spread = bits - chance, chance * (1 - chance)
+    miss, spread = (bits - chance) * times, chance * (1 - chance) * times
     sums = [np.bincount(gate, miss * x[:, i], minlength=GATES) for i in range(CONTEXTS)]
     sums += [np.bincount(gate, spread * x[:, i] * x[:, j], minlength=GATES) for i in range(CONTEXTS) for j in range(CONTEXTS)]
     return np.stack(sums, axis=1)
@@ -731,8 +779,44 @@ def with_replies(blocks: DataFrame, replies: DataFrame, column: str):
     return blocks.groupBy("block").cogroup(sent.groupBy("block"))
 
 
-def learn(blocks: DataFrame, replies: DataFrame, codes: np.ndarray, bits: int, share: float) -> Model:
-    """Odds of states from all decisions of the training texts, and weights from those of the teaching texts."""
+@dataclass
+class Held:
+    """A block's streams; of each predictor its distinct pairs and where those of each stream are among them; of each pair of the longer context that of the shorter one."""
+
+    streams: list[tuple[int, int, Stream]]
+    keys: tuple[np.ndarray, ...]
+    mine: tuple[list[np.ndarray], ...]
+    short: np.ndarray
+
+
+def held_in(texts: Texts, codes: np.ndarray, bits: int) -> Held:
+    streams = [(at, to, stream_of(piece, codes, bits)) for at, to, piece in pieces(texts)]
+    keys, mine = zip(*(joined([s.keys[c] for _, _, s in streams]) for c in range(CONTEXTS)), strict=True)
+    short = np.empty(len(keys[1]), dtype=np.int64)
+    for k, (_, _, s) in enumerate(streams):
+        short[mine[1][k]] = mine[0][k].take(s.short.number)
+    return Held(streams, keys, mine, short)
+
+
+def met_in(held: Held, states: list[np.ndarray], train: np.ndarray) -> bytes:
+    """What meets in all decisions of a block's training texts, each left out of its own counts."""
+    code = [key.astype(np.uint16) for key in held.keys]
+    begin = [places_of(c) for c in code]
+    within, out = np.zeros(len(code[1]), dtype=np.int64), []
+    for k, (at, to, s) in enumerate(held.streams):
+        taught = train[at:to][s.doc]
+        of = np.flatnonzero(taught[s.start])
+        start = s.long.number.take(s.start[of])
+        # whether a word may begin is known from the last byte of the longer context
+        within[held.mine[1][k]] += np.bincount(s.long.number[taught], minlength=len(s.long.key)) - np.bincount(start, minlength=len(s.long.key))
+        long, words = held.mine[1][k].take(start), held.mine[2][k].take(s.words.number.take(of))
+        out += meetings(states, [begin[0].take(held.short.take(long)), begin[1].take(long), begin[2].take(words)], code[1].take(long), np.ones(len(of), dtype=np.int64), _LEFT)
+    long = np.flatnonzero(within)
+    return summed_up(out + meetings(states, [begin[0].take(held.short.take(long)), begin[1].take(long)], code[1].take(long), within.take(long), _LEFT))
+
+
+def learn(blocks: DataFrame, replies: DataFrame, codes: np.ndarray, bits: int, share: float | None = None) -> Model:
+    """Odds of states and weights from all decisions of the training texts, each left out of its own counts. With a share, weights come from that share of the texts, each seen with all its own counts taken out."""
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, texts in unpacked(batches):
@@ -743,34 +827,35 @@ def learn(blocks: DataFrame, replies: DataFrame, codes: np.ndarray, bits: int, s
     def look(block: pa.Table, sent: pa.Table) -> pa.Table:
         lessons = Teaching(texts_in({c: block.column(c)[0] for c in block.column_names}), codes, bits)
         states = together(sent, *[np.uint16] * CONTEXTS)
-        begins = [places_of(key.astype(np.uint16)) for key in lessons.key]
-        seen, fell = [], []
+        begins, met = [places_of(key.astype(np.uint16)) for key in lessons.key], []
         for k, s in enumerate(lessons.streams):
             short, long, words = (begin[rank[k]] for begin, rank in zip(begins, lessons.rank, strict=True))
-            at_start = np.full(len(s.code), -1)
-            at_start[s.start] = words[s.words.number]
-            where, length = [short[s.short.number][s.long.number], long[s.long.number]], _LENGTH[s.code]
-            for level in range(LEVELS):
-                on = np.flatnonzero(length > level)
-                if not len(on):
-                    break
-                third = np.where(at_start[on] < 0, STATES, states[2].take(np.maximum(at_start[on], 0) + level, mode="clip"))
-                seen.append(np.stack([*(x[w[on] + level] for x, w in zip(states, where)), third.astype(np.uint16)], axis=1))
-                fell.append((s.code[on] >> np.uint16(LEVELS - level)) & 1)
-        return pa.table([pa.array([squeeze(np.concatenate(seen).ravel(), np.concatenate(fell).astype(np.uint8))], pa.binary())], names=["seen"])
-
-    chosen = blocks.select("block", "ids", "offsets", "texts").mapInArrow(choose, "block long, offsets array<long>, texts binary")
-    lessons = cut(with_replies(chosen, replies, "lesson").applyInArrow(look, "seen binary"), "lm-lessons")
+            places, once = [short[s.short.number][s.long.number], long[s.long.number]], np.ones(len(s.code), dtype=np.int64)
+            inside = np.delete(np.arange(len(s.code)), s.start)
+            met += meetings(states, [p[inside] for p in places], s.code[inside], once[inside], _KEPT)
+            met += meetings(states, [*(p[s.start] for p in places), words[s.words.number]], s.code[s.start], once[s.start], _KEPT)
+        return pa.table([pa.array([summed_up(met)], pa.binary())], names=["seen"])
+
+    def look_at_all(block: pa.Table, sent: pa.Table) -> pa.Table:
+        row = {c: block.column(c)[0] for c in block.column_names}
+        *states, _ = together(sent, *[np.uint16] * CONTEXTS, np.int64)
+        return pa.table([pa.array([met_in(held_in(texts_in(row), codes, bits), states, trained(row))], pa.binary())], names=["seen"])
+
+    texts = blocks.select("block", "ids", "offsets", "texts")
+    if share is None:
+        lessons = with_replies(texts, replies, "states").applyInArrow(look_at_all, "seen binary")
+    else:
+        lessons = with_replies(texts.mapInArrow(choose, "block long, offsets array<long>, texts binary"), replies, "lesson").applyInArrow(look, "seen binary")
+    lessons = cut(lessons, "lm-lessons")
 
     def summed(model: Model) -> np.ndarray:
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = 0
             for batch in batches:
                 for packed in batch.column("seen").to_pylist():
-                    seen, fell = unsqueeze(packed, np.uint16, np.uint8)
-                    seen = seen.reshape(-1, CONTEXTS)
-                    for at in range(0, len(fell), 1 << 18):
-                        total = total + newton_sums(seen[at : at + (1 << 18)], fell[at : at + (1 << 18)], model)
+                    number, times = unsqueeze(packed, np.uint32, np.int64)
+                    for at in range(0, len(number), 1 << 18):
+                        total = total + newton_sums(number[at : at + (1 << 18)], times[at : at + (1 << 18)], model)
             if not np.isscalar(total):
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["k", "v"])
 
@@ -788,8 +873,8 @@ def learn(blocks: DataFrame, replies: DataFrame, codes: np.ndarray, bits: int, s
     return model
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = LEARN_SHARE) -> DataFrame:
-    """Each document's id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits per byte."""
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float | None = None) -> DataFrame:
+    """Each document's id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits per byte; share: see learn."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     blocks = pack(docs, id_col, text_col)
@@ -800,7 +885,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n_bytes = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     bits = min(48, (n_bytes | 1 << 16).bit_length() + SLOT_BITS)
     n_parts = max(1, math.ceil(n_bytes / PART_BYTES))
-    replies = answered(ask(blocks, codes, bits, n_parts, share), bits)
+    replies = answered(ask(blocks, codes, bits, n_parts, share or 0.0), bits)
     distinct, total = (x or 0 for x in replies.agg(F.sum("n_words"), F.sum("n_tokens")).first())
     model = learn(blocks, replies, codes, bits, share)
     known = spark.sparkContext.broadcast((codes, model))
@@ -811,21 +896,17 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         texts = texts_in(row)
         n = len(texts)
         *states, seen = together(sent, *[np.uint16] * CONTEXTS, np.int64)
-        streams = [(at, to, stream_of(piece, codes, bits)) for at, to, piece in pieces(texts)]
-        keys, mine = zip(*(joined([s.keys[c] for _, _, s in streams]) for c in range(CONTEXTS)), strict=True)
-        short = np.empty(len(keys[1]), dtype=np.int64)
-        for k, (_, _, s) in enumerate(streams):
-            short[mine[1][k]] = mine[0][k].take(s.short.number)
-        inputs = Inputs(keys, short, states, model)
-        word, tokens_at = joined([np.array([END_WORD]), *(s.token for _, _, s in streams)])
+        held = held_in(texts, codes, bits)
+        inputs = Inputs(held.keys, held.short, states, model)
+        word, tokens_at = joined([np.array([END_WORD]), *(s.token for _, _, s in held.streams)])
         end_count = int(seen[tokens_at[0][0]])
         tokens, met, base, bit_sums = np.zeros((4, n))
-        for k, (at, to, s) in enumerate(streams):
+        for k, (at, to, s) in enumerate(held.streams):
             m, count = to - at, seen[tokens_at[k + 1]]
             tokens[at:to] = np.bincount(s.token_doc, minlength=m) + 1
             met[at:to] = np.bincount(s.token_doc[count > 0], minlength=m) + (end_count > 0)
             base[at:to] = np.bincount(s.token_doc, np.log10(count + 0.1), minlength=m) + math.log10(end_count + 0.1)
-            bit_sums[at:to] = text_bits(s, mine[1][k], mine[2][k], inputs, model, m)
+            bit_sums[at:to] = text_bits(s, held.mine[1][k], held.mine[2][k], inputs, model, m)
         values = [(~trained(row), pa.bool_()), (tokens.astype(np.int64), pa.int64()), (met.astype(np.int64), pa.int64()), (base, pa.float64()), (-bit_sums * math.log10(2), pa.float64()), (bit_sums / (np.diff(texts.offsets) + 1), pa.float64())]
         return pa.table([row["ids"].values, *(pa.array(v, t) for v, t in values)], names=["id", "held_out", "n_tokens", "n_known", "base_score", "score", "bits_per_byte"])
 
