@@ -7,7 +7,9 @@ filing's accounting standard and scope, and if its value can be read. Of those
 the highest score wins, the first in the file among equals.
 
 What an element and a label mean to each metric is worked out once for each
-distinct pair of them and joined to the facts. The standard and the scope of a
+distinct pair of them, written to the shared folder and joined to the facts, so
+that its size is known when the join is planned and facts needn't be shuffled by
+pairs where these are few. The standard and the scope of a
 filing stand in its facts as well, so the facts are read once more only: the
 best of each metric is kept for every standard and scope, and a filing's own
 chooses among these few.
@@ -22,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from steadyield.functions.text import compact, found_number
+from steadyield.llm.lineage import cut
 
 
 @dataclass(frozen=True)
@@ -177,15 +180,20 @@ def meanings(facts: DataFrame, metrics: tuple[Metric, ...]) -> DataFrame:
     return pairs.withColumn("plain", plain_label(label)).select("suffix", "label", F.array_compact(F.transform(definitions(metrics), offer)).alias("offers"))
 
 
-def offered(facts: DataFrame, metrics: tuple[Metric, ...]) -> DataFrame:
-    """Every fact with each metric that it may be the value of, its score, scope and side; a fact of no metric once, with none."""
+def cleaned(facts: DataFrame) -> DataFrame:
+    """Facts with clean cells, the name of their file, their place and the last part of their element."""
     texts = {c: cell(c) for c in ("element_id", "label", "context_id", "relative_year", "consolidated", "unit", "value")}
     file = F.lower(F.element_at(F.split("source_file", "/"), -1)) if "source_file" in facts.columns else F.lit("")
     read = facts.withColumns(texts | {"unit_id": cell("unit_id") if "unit_id" in facts.columns else F.lit(""), "file": file, "at": F.col("row_no").cast("long")})
-    read = read.withColumn("suffix", F.element_at(F.split("element_id", ":"), -1))
-    known = read.join(meanings(read, metrics), ["suffix", "label"], "left")
+    return read.withColumn("suffix", F.element_at(F.split("element_id", ":"), -1))
+
+
+def offered(facts: DataFrame, metrics: tuple[Metric, ...], listed: DataFrame | None = None) -> DataFrame:
+    """Every fact with each metric that it may be the value of, its score, scope and side; a fact of no metric once, with its filing alone."""
+    pairs = cut(meanings(cleaned(facts if listed is None else listed), metrics), "fact-meanings")
+    known = cleaned(facts).join(pairs, ["suffix", "label"], "left")
     # worked out within a lambda, for matching facts alone; spelled out as columns the code would be too long to be compiled
-    return known.select("doc_id", "at", "element_id", F.explode_outer(F.transform("offers", _worth)).alias("o")).select("doc_id", "at", "element_id", "o.*")
+    return known.select("doc_id", F.explode_outer(F.array_compact(F.transform("offers", _worth))).alias("o")).select("doc_id", "o.*")
 
 
 def _worth(m: Column) -> Column:
@@ -208,15 +216,19 @@ def _worth(m: Column) -> Column:
     flag = F.lower(value)
     text = F.when(m.kind == "text", F.nullif(value, F.lit(""))).when(m.kind == "standard", standard_of(value)).when(m.kind == "flag", F.when(flag.isin(*YES), "true").when(flag.isin(*NO), "false"))
     side = F.when(context.contains("NonConsolidatedMember") | plain_label(side_text).isin("個別", "非連結"), "alone").when(context.contains("ConsolidatedMember") | (plain_label(side_text) == "連結"), "group").otherwise("")
-    made = F.struct(m.metric.alias("metric"), m.of_scope.alias("of_scope"), F.when(m.kind.isin("number", "text"), scope_of(element, F.col("label"), F.col("file"))).alias("scope"), F.when(scoped, side).alias("side"), score.alias("score"), amount.alias("amount"), text.alias("text"))
+    made = F.struct(m.metric.alias("metric"), m.of_scope.alias("of_scope"), F.when(m.kind.isin("number", "text"), scope_of(element, F.col("label"), F.col("file"))).alias("scope"), F.when(scoped, side).alias("side"), score.alias("score"), amount.alias("amount"), text.alias("text"), element.alias("element_id"), F.col("at").alias("at"))
     sane = F.when(m.kind != "number", True).when(is_per_share, F.abs(made["amount"]) <= MOST_PER_SHARE).when(is_shares, made["amount"] >= 0).otherwise(True)
     counts = F.coalesce((made["amount"].isNotNull() | made["text"].isNotNull()) & sane & (~m.needs_unit | unit_fits), F.lit(False))
     return F.when(counts, made)
 
 
-def extract_metrics(facts: DataFrame, metrics: tuple[Metric, ...] = METRICS) -> DataFrame:
-    """One row for each filing: every metric, the element it came from, how many were found, and the filing's standard and whether it is consolidated."""
-    offers = offered(facts, (*metrics, STANDARD, CONSOLIDATED))
+def extract_metrics(facts: DataFrame, metrics: tuple[Metric, ...] = METRICS, listed: DataFrame | None = None) -> DataFrame:
+    """One row for each filing: every metric, the element it came from, how many were found, and the filing's standard and whether it is consolidated.
+
+    listed: the same facts, where these cost less to read for their elements and
+    labels alone. Facts dealt by filing already are not shuffled again.
+    """
+    offers = offered(facts, (*metrics, STANDARD, CONSOLIDATED), listed)
     best = lambda value: F.max_by(value, F.struct("score", -F.col("at")))
     # few rows a filing: metrics by scope and side
     few = offers.groupBy("doc_id", "metric", "scope", "side", "of_scope").agg(*(best(c).alias(c) for c in ("amount", "text", "element_id", "score", "at")))

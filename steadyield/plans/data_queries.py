@@ -62,6 +62,8 @@ _LABELS = (
 )
 _CONTEXTS = ("CurrentYearDuration", "CurrentYearDuration_NonConsolidatedMember", "Prior1YearDuration", "CurrentYearInstant", "CurrentYearInstant_CommonStockMember", "CurrentYearInstant_PreferredStockMember", "CurrentQuarterInstant", "FilingDateInstant", "CurrentYearDuration_ConsolidatedMember", "InterimDuration_SegmentMember", "")
 _NUMBER = "CAST(CAST(floor(l_extendedprice) AS BIGINT) AS STRING)"
+LINES_A_PART = 100_000
+FILING = "CAST(CAST(floor(l_orderkey / 16) AS BIGINT) AS STRING)"
 # sixteen orders make one filing, a line is a fact
 FACTS = f"""
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate, l_discount, l_tax) AS BIGINT) AS row_no, element_id, {_one_of('l_partkey', _LABELS)} AS label,
@@ -70,7 +72,7 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY l_orderkey,
        CASE WHEN element_id LIKE '%AccountingStandardsDEI' THEN {_one_of('l_orderkey', ('IFRS', '日本基準', 'US GAAP', 'Japan GAAP', '国際 会計基準'))} WHEN element_id LIKE '%WhetherConsolidated%' THEN {_one_of('l_orderkey', ('true', '無', 'FALSE', 'x', '有'))}
          WHEN element_id LIKE '%Date%' THEN CAST(CAST(l_shipdate AS DATE) AS STRING)
          WHEN l_partkey % 13 = 0 THEN {_one_of('l_suppkey', ('－', '', 'n/a', '　'))} WHEN l_partkey % 13 = 1 THEN concat('△', {_NUMBER}) WHEN l_partkey % 13 = 2 THEN concat('(', {_NUMBER}, ')') WHEN l_partkey % 13 = 3 THEN concat(' ', {_NUMBER}, ',000円 ') WHEN l_partkey % 13 = 4 THEN '１２３株' WHEN l_partkey % 13 = 5 THEN concat({_NUMBER}, '000') ELSE {_NUMBER} END AS value
-FROM (SELECT *, CAST(CAST(floor(l_orderkey / 16) AS BIGINT) AS STRING) AS doc_id, {_one_of('l_partkey + 7 * l_linenumber', _ELEMENTS)} AS element_id FROM lineitem) lines
+FROM (SELECT *, {FILING} AS doc_id, {_one_of('l_partkey + 7 * l_linenumber', _ELEMENTS)} AS element_id FROM lineitem) lines
 """
 # How a quotation table writes numbers.
 _AM_OPEN, _CHANGE, _FINAL = "CASE WHEN l_linenumber % 3 = 0 THEN '-' ELSE CAST(100 + l_partkey % 50 AS STRING) END", "CASE WHEN l_suppkey % 2 = 0 THEN concat('△', CAST(l_partkey % 9 AS STRING)) ELSE concat('＋', CAST(l_partkey % 9 AS STRING)) END", "CASE l_suppkey % 4 WHEN 0 THEN 'カ1,234' WHEN 1 THEN concat('ウ', CAST(l_partkey AS STRING), '.5') WHEN 2 THEN '/' ELSE '1 020' END"
@@ -216,7 +218,10 @@ def append_only_new(x: Inputs) -> DataFrame:
 
 
 def filing_metrics(x: Inputs) -> DataFrame:
-    return fact_ops.extract_metrics(x.sql(FACTS))
+    # as many parts as keep the sorts of each in memory, dealt by filing before lines are numbered
+    lines = x.table("lineitem")
+    parts = lines.repartition(1 + lines.count() // LINES_A_PART, F.expr(FILING))
+    return fact_ops.extract_metrics(x.sql(FACTS, lineitem=parts), listed=x.sql(FACTS))
 
 
 def page_links(x: Inputs) -> DataFrame:

@@ -74,3 +74,18 @@ def test_a_sentence_is_read_once(spark, sf):
 def test_filings_are_sorted_by_document_once(spark, sf):
     for name in ("annual_filing_list", "filings_to_extract"):
         assert plan(QUERIES[name](spark, sf)).count("Sort [doc_id") == 1
+
+
+def test_facts_are_dealt_by_filing_once_in_parts_by_their_number(spark, sf, monkeypatch):
+    """Whatever the session's number of partitions; pairs of elements and labels are read from where they were written, so that facts stay where they are."""
+    from steadyield.plans import data_queries
+
+    wanted = sorted(map(str, QUERIES["filing_metrics"](spark, sf).collect()))
+    monkeypatch.setattr(data_queries, "LINES_A_PART", 500)
+    dealt = QUERIES["filing_metrics"](spark, sf)
+    assert sorted(map(str, dealt.collect())) == wanted
+    shown, n_lines = plan(dealt), spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    # the final plan stands above the first one
+    final = shown.split("== Initial Plan ==")[0]
+    assert final.count("Exchange hashpartitioning") == 1 and f", {1 + n_lines // 500}), REPARTITION_BY_NUM" in final
+    assert "SortMergeJoin" not in final and final.count("FileScan parquet") == 2
