@@ -50,9 +50,10 @@ def has_any(text: Column, words: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
 
 
-def classify_titles(disclosures: DataFrame, words: TitleWords = TitleWords(), title: str = "title") -> DataFrame:
-    """Adds category, is_policy_candidate and matched keywords; titles without a keyword go. Titles are folded to their compatibility form with single blanks."""
-    disclosures = disclosures.withColumn(title, collapsed(folded(title)))
+def classify_titles(disclosures: DataFrame, words: TitleWords = TitleWords(), title: str = "title", as_given: bool = False) -> DataFrame:
+    """Adds category, is_policy_candidate and matched keywords; titles without a keyword go. Titles are folded to their compatibility form with single blanks, unless as_given says that they are."""
+    if not as_given:
+        disclosures = disclosures.withColumn(title, collapsed(folded(title)))
     text, upper = F.col(title), F.upper(title)
     keywords = tuple(dict.fromkeys(words.policy + words.dividend))
     matched = F.array_compact(F.array(*(F.when(upper.contains(k.upper()), F.lit(k)) for k in words.policy + words.dividend)))

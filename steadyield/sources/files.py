@@ -13,6 +13,7 @@ import re
 import unicodedata
 import uuid
 from collections.abc import Callable, Iterator
+from html import unescape
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -161,8 +162,9 @@ def fact_files(spark: SparkSession, folder: str, doc_pattern: str = DOC_PATTERN)
 
 
 def folded(text: str | None) -> str:
-    """Compatibility form with single blanks."""
-    return " ".join(unicodedata.normalize("NFKC", text or "").split())
+    """Compatibility form with single blanks; text of ASCII alone is its own."""
+    text = text or ""
+    return " ".join((text if text.isascii() else unicodedata.normalize("NFKC", text)).split())
 
 
 # The table and the cells of a day's list.
@@ -219,13 +221,40 @@ class _ListRows(HTMLParser):
         self.row, self.cell, self.in_link = None, None, False
 
 
+_PLAIN_TAGS = "a|b|br|div|em|i|p|small|span|strong|table|tbody|td|th|thead|tr"
+_TOKEN = re.compile(rf'([^<]+)|<(?:/({_PLAIN_TAGS})|({_PLAIN_TAGS})((?: [a-z]+="[^"<>&]*")*)) *>')
+_ATTRIBUTE = re.compile(r' ([a-z]+)="([^"]*)"')
+_FILE_NAME = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]*(?:\?[A-Za-z0-9=._-]+)?")
+
+
+def _plain_rows(html: str) -> _ListRows | None:
+    """The rows of a page of plain tags, quoted attributes and text alone, which one pattern cuts as the parser does; of any other none."""
+    page, at = _ListRows(), 0
+    for token in _TOKEN.finditer(html):
+        if token.start() != at:
+            return None
+        at = token.end()
+        text, closed, opened, attributes = token.groups()
+        if text:
+            # the parser takes character references for text in the same way
+            page.handle_data(unescape(text) if "&" in text else text)
+        elif closed:
+            page.handle_endtag(closed)
+        else:
+            page.handle_starttag(opened, _ATTRIBUTE.findall(attributes))
+    return page if at == len(html) else None
+
+
 def _listed(url: str | None, html: str | None) -> Iterator[tuple]:
-    page = _ListRows()
-    page.feed(html or "")
-    page.close()
+    if (page := _plain_rows(html or "")) is None:
+        page = _ListRows()
+        page.feed(html or "")
+        page.close()
     page.close_row()
+    beside = urljoin(url or "", "x")[:-1]  # names of files stand behind this, whatever they are
     for k, row in enumerate(page.found):
-        yield (url, k, *(folded(row.get(c)) for c in LIST_CELLS.values()), urljoin(url or "", row["href"].strip()))
+        href = row["href"].strip()
+        yield (url, k, *(folded(row.get(c)) for c in LIST_CELLS.values()), beside + href if _FILE_NAME.fullmatch(href) else urljoin(url or "", href))
 
 
 def listed_disclosures(pages: DataFrame, active: DataFrame, words: TitleWords = TitleWords()) -> DataFrame:
@@ -241,7 +270,7 @@ def listed_disclosures(pages: DataFrame, active: DataFrame, words: TitleWords =
     rows = records(pages.select("url", "html"), "url string, row_no long, " + ", ".join(f"{c} string" for c in LIST_CELLS.values()) + ", pdf_url string", _listed)
     told = rows.withColumns({"published_date": known, "security_code": security_code("code"), "disclosure_id": F.regexp_replace(F.element_at(F.split("pdf_url", "/"), -1), r"(?i)\.pdf(?:\?.*)?$", "")})
     concerned = told.filter("disclosure_id <> ''").join(active.select("security_code").distinct(), "security_code", "left_semi")
-    return classify_titles(concerned, words).select("disclosure_id", "published_date", "published_time", "security_code", "company_name", "title", "category", "is_policy_candidate", "matched_keywords", "pdf_url", "exchange", "url", "row_no")
+    return classify_titles(concerned, words, as_given=True).select("disclosure_id", "published_date", "published_time", "security_code", "company_name", "title", "category", "is_policy_candidate", "matched_keywords", "pdf_url", "exchange", "url", "row_no")
 
 
 RIGHTS_CELLS = ("company_name", "code", "unit", "ratio", "quantity", "text")
