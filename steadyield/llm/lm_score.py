@@ -55,7 +55,8 @@ PAD = 4
 CONTEXTS = 3
 LEVELS = 15  # decisions of a byte at most
 BLOCK_BYTES = 4 << 20
-PIECE_BYTES = 1 << 18
+PIECE_BYTES = 1 << 19
+SORTED_BYTES = 1 << 20  # of texts whose pairs are sorted at once
 PART_BYTES = 16 << 20  # of texts, for each part of the contexts
 SLOT_BITS = 5  # slots for each byte of the corpus, as a power of 2
 NEWTON = 4
@@ -123,23 +124,26 @@ def codes_of(histogram: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Numbered:
-    """Distinct keys, rising, and of each key given its number."""
+    """Keys, distinct unless said otherwise, and of each key given its number."""
 
     key: np.ndarray
     number: np.ndarray
 
 
-def numbered(key: np.ndarray) -> tuple[Numbered, np.ndarray]:
-    """The keys by number and a position of each distinct one. Equal keys meet in a slot by their hash; those that found another key there try again by the next hash, and what is left is sorted."""
+def met_first(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The positions that stand for the distinct keys, rising, and for each key that of its own. Equal keys meet in a slot by their hash; those that found another key there try again by the next hash, and what is left is sorted."""
     n = len(key)
     width = U64(63 - n.bit_length())
-    table, found = np.empty(1 << (n.bit_length() + 1), dtype=np.int32), np.empty(n, dtype=np.int32)
-    at, left = np.arange(n, dtype=np.int32), key
+    table, every = np.empty(1 << (n.bit_length() + 1), dtype=np.int32), np.arange(n, dtype=np.int32)
+    found, at, left = None, every, key
     for salt in _TRIES:
         slot = (left * salt >> width).view(np.int64)
         table[slot] = at
         met = table.take(slot)
-        found[at] = met
+        if found is None:
+            found = met
+        else:
+            found[at] = met
         at = at.take(np.flatnonzero(key.take(met) != left))
         left = key.take(at)
         if not len(at):
@@ -148,20 +152,48 @@ def numbered(key: np.ndarray) -> tuple[Numbered, np.ndarray]:
     if len(order):
         begin = np.append(True, np.diff(left[order]) != 0)
         found[at[order]] = at[order][begin][np.cumsum(begin) - 1]
-    first = np.flatnonzero(found == np.arange(n, dtype=np.int32))
+    return np.flatnonzero(found == every), found
+
+
+def numbered(key: np.ndarray) -> tuple[Numbered, np.ndarray]:
+    """The keys by number, rising, and a position of each distinct one."""
+    first, found = met_first(key)
     distinct = key.take(first)
     order = np.argsort(distinct)
-    number = np.empty(n, dtype=np.int32)
+    number = np.empty(len(key), dtype=np.int32)
     number[first[order]] = np.arange(len(order), dtype=np.int32)
     return Numbered(distinct[order], number.take(found)), first[order]
 
 
+def numbered_as_met(key: np.ndarray) -> tuple[Numbered, np.ndarray]:
+    """As numbered, but in the order of the positions, which spares a sort."""
+    first, found = met_first(key)
+    number = np.empty(len(key), dtype=np.int32)
+    number[first] = np.arange(len(first), dtype=np.int32)
+    return Numbered(key.take(first), number.take(found)), first
+
+
+@dataclass
+class Spelled:
+    """Bytes of some texts, ends included: how many each text has, their code words and the PAD bytes before; where words may begin and the keys of the pairs of words there; tokens and their texts. A pair's key is the hash of its context, and the code word in the last bits."""
+
+    sizes: np.ndarray
+    code: np.ndarray
+    before: np.ndarray
+    start: np.ndarray
+    word: np.ndarray
+    token: np.ndarray
+    token_doc: np.ndarray
+
+    @property
+    def pair(self) -> np.ndarray:
+        """The bytes before each byte and its code word as one number, which no two pairs share."""
+        return self.before << U64(16) | self.code
+
+
 @dataclass
 class Stream:
-    """Bytes of some texts, ends included: how many each text has and their code words; the pairs of the longer context, of these
-    those of the shorter one, where words begin and the pairs of words there; tokens and their texts. A pair's key is the hash
-    of its context, and the code word in the last bits.
-    """
+    """Spelled texts with their pairs numbered: those of the longer context, of these those of the shorter one, and the pairs of words where words begin."""
 
     sizes: np.ndarray
     code: np.ndarray
@@ -192,7 +224,20 @@ class Stream:
         return [short, long, np.bincount(self.words.number[taught[self.start]], minlength=len(self.words.key))]
 
 
-def stream_of(texts: Texts, codes: np.ndarray, bits: int) -> Stream:
+def keyed(context: np.ndarray, code: np.ndarray, bits: int) -> np.ndarray:
+    low = U64(64 - bits)
+    return (mix(context) >> low << low) | code
+
+
+def long_keys(before: np.ndarray, code: np.ndarray, bits: int) -> np.ndarray:
+    return keyed(before + _SALT[1], code, bits)
+
+
+def short_keys(before: np.ndarray, code: np.ndarray, bits: int) -> np.ndarray:
+    return keyed((before & U64(0xFFFF)) + _SALT[0], code, bits)
+
+
+def spelled(texts: Texts, codes: np.ndarray, bits: int) -> Spelled:
     n, sizes = len(texts), np.diff(texts.offsets)
     first = np.concatenate([[0], np.cumsum(sizes + PAD + 1)])
     data = np.full(first[-1], END, dtype=np.uint8)
@@ -204,17 +249,8 @@ def stream_of(texts: Texts, codes: np.ndarray, bits: int) -> Stream:
     data[body] = texts.data
     code = np.ones(len(data), dtype=np.uint16)
     code[1:] = codes.ravel().take(data[:-1].astype(np.int32) << 8 | data[1:])
-    low = U64(64 - bits)
-    keyed = lambda context, code: (mix(context) >> low << low) | code
-
-    wide = data.astype(U64)
-    four = np.zeros(len(data), dtype=U64)
-    for k in range(PAD):
-        four[k + 1 :] |= wide[: len(wide) - k - 1] << U64(8 * k)
-    four, own = four[live], code[live]
-    long, at = numbered(keyed(four + _SALT[1], own))
-    short, _ = numbered(keyed((four[at] & U64(0xFFFF)) + _SALT[0], own[at]))
-    del four
+    before = np.zeros(len(data), dtype=U64)
+    before[PAD:] = np.ndarray(max(0, len(data) - PAD), ">u4", data, strides=1)  # four bytes from each place on, the last one lowest
 
     solid = ~_IS_SPACE[data]
     after = np.append(False, solid[:-1])  # a byte of a word stands before
@@ -226,9 +262,24 @@ def stream_of(texts: Texts, codes: np.ndarray, bits: int) -> Stream:
     head = np.repeat(first[:-1], np.diff(np.searchsorted(outer, first)))
     held, where = np.concatenate([[U64(0), U64(1)], token]), np.concatenate([[-1, -1], ends])
     one, two = (np.where(where[last + k] > head, held[last + k], U64(k)) for k in (1, 0))
-    words, _ = numbered(keyed(one * U64(3) + mix(two + _SALT[4]) + wide[outer - 1], code[outer]))
+    word = keyed(one * U64(3) + mix(two + _SALT[4]) + data[outer - 1], code[outer], bits)
     token_doc = (np.searchsorted(first, starts, side="right") - 1).astype(np.int32)
-    return Stream(sizes + 1, own, long, short, np.flatnonzero(~after[live]).astype(np.int32), words, token, token_doc)
+    return Spelled(sizes + 1, code[live], before[live], np.flatnonzero(~after[live]).astype(np.int32), word, token, token_doc)
+
+
+def stream_of(texts: Texts, codes: np.ndarray, bits: int, rising: bool = True) -> Stream:
+    """The texts with numbered pairs, distinct and rising by key. If they need not be, pairs of the shorter and longer context are numbered as they come, those of contexts with one hash apart, and pairs of words are not looked for twice."""
+    s = spelled(texts, codes, bits)
+    if rising:
+        long, at = numbered(long_keys(s.before, s.code, bits))
+        short, _ = numbered(short_keys(s.before[at], s.code[at], bits))
+        words, _ = numbered(s.word)
+    else:
+        exact, at = numbered_as_met(s.pair)
+        long = Numbered(long_keys(s.before[at], s.code[at], bits), exact.number)
+        short, _ = numbered_as_met(short_keys(s.before[at], s.code[at], bits))
+        words = Numbered(s.word, np.arange(len(s.word), dtype=np.int32))
+    return Stream(s.sizes, s.code, long, short, s.start, words, s.token, s.token_doc)
 
 
 def span_hashes_between(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -239,11 +290,11 @@ def span_hashes_between(data: np.ndarray, starts: np.ndarray, ends: np.ndarray)
     return (total[ends] - total[starts]) * inverse[starts]
 
 
-def pieces(texts: Texts) -> Iterator[tuple[int, int, Texts]]:
-    """Runs of whole texts of about PIECE_BYTES, which fit a processor's cache."""
+def pieces(texts: Texts, n_bytes: int) -> Iterator[tuple[int, int, Texts]]:
+    """Runs of whole texts of about so many bytes, which fit a processor's cache."""
     at, n = 0, len(texts)
     while at < n:
-        to = max(at + 1, int(np.searchsorted(texts.offsets, texts.offsets[at] + PIECE_BYTES, side="right")) - 1)
+        to = max(at + 1, int(np.searchsorted(texts.offsets, texts.offsets[at] + n_bytes, side="right")) - 1)
         yield at, to, Texts(texts.data[texts.offsets[at] : texts.offsets[to]], texts.offsets[at : to + 1] - texts.offsets[at])
         at = to
 
@@ -254,6 +305,11 @@ def joined(keys: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
     return held.key, np.split(held.number, np.cumsum([len(k) for k in keys])[:-1])
 
 
+def begins_of(key: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins."""
+    return np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+
+
 def added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys, rising, with the sums of their counts."""
     key = np.concatenate(keys)
@@ -261,10 +317,43 @@ def added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray,
         return key, np.zeros(0, np.int64)
     order = np.argsort(key, kind="stable")  # merges lists that rise
     key = key[order]
-    begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    begin = begins_of(key)
     return key[begin], np.add.reduceat(np.concatenate(counts)[order], begin)
 
 
+def counted(key: np.ndarray, taught: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, rising, and how often each is flagged."""
+    some, rest = np.sort(key[taught]), np.sort(key[~taught])
+    begin, others = begins_of(some), rest[begins_of(rest)]
+    return added([some[begin], others], [np.diff(np.append(begin, len(some))), np.zeros(len(others), np.int64)])
+
+
+def pairs_in(texts: Texts, train: np.ndarray, codes: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The distinct pairs of each predictor and the distinct words of some texts, rising, with how often the training texts hold each."""
+    held, word, token, of_word, of_token = ([] for _ in range(5))
+    for at, to, piece in pieces(texts, SORTED_BYTES):
+        s, mine = spelled(piece, codes, bits), train[at:to]
+        taught = np.repeat(mine, s.sizes)
+        both = np.sort(s.pair << U64(1) | taught)
+        pair = both >> U64(1)
+        begin = begins_of(pair)
+        held.append((pair[begin], np.add.reduceat(both & U64(1), begin).astype(np.int64)))
+        word.append(s.word)
+        token.append(s.token)
+        of_word.append(taught[s.start])
+        of_token.append(mine[s.token_doc])
+    pair, count = added(*zip(*held, strict=True))
+    before, code = pair >> U64(16), pair.astype(np.uint16)
+    end, n_ends = np.array([END_WORD]), np.array([np.count_nonzero(train)])
+    words, often = counted(np.concatenate(token), np.concatenate(of_token))
+    return [
+        added([short_keys(before, code, bits)], [count]),
+        added([long_keys(before, code, bits)], [count]),
+        counted(np.concatenate(word), np.concatenate(of_word)),
+        added([words, end], [often, n_ends]),
+    ]
+
+
 def bounds_of(key: np.ndarray, n_parts: int) -> np.ndarray:
     """Where the keys of each part begin and end; parts are equal ranges of hashes."""
     edges = np.array([-(-(p << 32) // n_parts) << 32 for p in range(1, n_parts)], dtype=U64)
@@ -445,6 +534,8 @@ _GRID = np.arange(-_REACH * _STEP, _REACH * _STEP + 1) / _STEP
 # what a decision costs and how far its chance was from 1, by the log odds for what it was
 _COST = np.log2(1 + np.exp(-_GRID)).astype(np.float32)
 _MISS = (1 / (1 + np.exp(_GRID))).astype(np.float32)
+# what the slopes of two weights, nothing and the curvature take of it, read as one number
+_SAYS = np.stack([_MISS, _MISS, 0 * _MISS, _MISS - _MISS * _MISS], axis=1).view(np.complex128).ravel()
 
 
 def odds_of(sums: np.ndarray) -> np.ndarray:
@@ -452,8 +543,8 @@ def odds_of(sums: np.ndarray) -> np.ndarray:
     return np.append(np.clip(np.log(chance / (1 - chance)), -8, 8), np.zeros((CONTEXTS, 1)), axis=1).astype(np.float32)
 
 
-def meetings(states: list[np.ndarray], places: list[np.ndarray], code: np.ndarray, times: np.ndarray, left: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """What meets in the decisions of some bytes, as numbers of the predictors' states and the bit, and how often; places: where the states of each byte begin, of two predictors or three; left: the state that counts, by bit and state."""
+def meetings(states: list[np.ndarray], places: list[np.ndarray], code: np.ndarray, times: np.ndarray | None, left: np.ndarray) -> list[tuple[np.ndarray, np.ndarray | None]]:
+    """What meets in the decisions of some bytes, as numbers of the predictors' states and the bit, and how often (None: once); places: where the states of each byte begin, of two predictors or three; left: the state that counts, by bit and state."""
     out, length, at = [], _LENGTH[code], np.arange(len(code))
     for level in range(LEVELS):
         at = at.take(np.flatnonzero(length.take(at) > level))
@@ -463,16 +554,22 @@ def meetings(states: list[np.ndarray], places: list[np.ndarray], code: np.ndarra
         of_bit = bit * np.intp(STATES)
         met = [left.take(of_bit + s.take(place.take(at) + level)).astype(np.uint32) for s, place in zip(states, places)]
         met += [np.uint32(STATES)] * (CONTEXTS - len(met))
-        out.append((((met[0] * np.uint32(STATES) + met[1]) * np.uint32(STATES + 1) + met[2]) * np.uint32(2) + bit, times.take(at)))
+        out.append((((met[0] * np.uint32(STATES) + met[1]) * np.uint32(STATES + 1) + met[2]) * np.uint32(2) + bit, None if times is None else times.take(at)))
     return out
 
 
-def summed_up(met: list[tuple[np.ndarray, np.ndarray]]) -> bytes:
+def summed_up(met: list[tuple[np.ndarray, np.ndarray | None]]) -> bytes:
     """The distinct meetings and how often each came."""
-    both = np.sort(np.concatenate([n.astype(U64) << U64(32) | times.astype(U64) for n, times in met] or [np.zeros(0, U64)]))
-    number = (both >> U64(32)).astype(np.uint32)
-    begin = np.flatnonzero(np.append(True, number[1:] != number[:-1])[: len(number)])
-    return squeeze(number[begin], np.add.reduceat((both & U64(0xFFFFFFFF)).astype(np.int64), begin) if len(begin) else np.zeros(0, np.int64))
+    once = np.sort(np.concatenate([np.zeros(0, np.uint32), *(n for n, times in met if times is None)]))
+    begin = begins_of(once)
+    number, times = [once[begin]], [np.diff(np.append(begin, len(once)))]
+    both = np.sort(np.concatenate([np.zeros(0, U64), *(n.astype(U64) << U64(32) | times.astype(U64) for n, times in met if times is not None)]))
+    if len(both):
+        more = (both >> U64(32)).astype(np.uint32)
+        begin = begins_of(more)
+        number.append(more[begin])
+        times.append(np.add.reduceat((both & U64(0xFFFFFFFF)).astype(np.int64), begin))
+    return squeeze(*added(number, times))
 
 
 def newton_sums(number: np.ndarray, times: np.ndarray, model: Model) -> np.ndarray:
@@ -518,8 +615,9 @@ class Inputs:
     """What the decisions of some pairs say, pair by pair, signed by how they fell.
 
     within: of the pairs of the longer context both predictors' log odds, their
-    weighted sum and the sum of their squares; seen: the gate's share. begins:
-    of the pairs of words their log odds and the gate's share. short: of each pair of the longer context, the
+    weighted sum and the sum of their squares; seen: the gate's share. words:
+    the states of the pairs of words, which few bytes share, and odds: the signed
+    log odds by bit and state. short: of each pair of the longer context, the
     pair of the shorter one that follows from it.
     """
 
@@ -536,19 +634,22 @@ class Inputs:
         self.within[:, 0], self.within[:, 1], self.within[:, 3] = x, y, x * x + y * y
         self.within[:, 2] = x * weights[:, 0].take(gate) + y * weights[:, 1].take(gate)
         self.seen = kind
-        self.begins = np.stack([model.odds[2].take(states[2]) * signs_of(codes[2], _LENGTH[codes[2]].astype(np.int64)), _KIND.take(states[2]).astype(np.float32)], axis=1)
+        self.words, self.odds = states[2], np.concatenate([-model.odds[2, :STATES], model.odds[2, :STATES]])
 
     def at(self, level: int, place: np.ndarray) -> np.ndarray:
         return self.within.view(np.complex128).ravel()[level:].take(place).view(np.float32).reshape(-1, 4)
 
-    def at_start(self, level: int, place: np.ndarray) -> np.ndarray:
-        return self.begins.view(np.complex64).ravel()[level:].take(place).view(np.float32).reshape(-1, 2)
+    def at_start(self, level: int, pair: np.ndarray, word: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The log odds of pairs of words, and the gates."""
+        state = self.words[level:].take(word)
+        gate = gate_of(self.seen[level:].take(pair), _KIND.take(state), True)
+        return self.odds.take(state + (code >> np.uint16(LEVELS - level) & np.uint16(1)) * np.uint16(STATES)), gate
 
 
 def text_bits(s: Stream, long: np.ndarray, words: np.ndarray, inputs: Inputs, model: Model, n: int) -> np.ndarray:
     """The bits of each text of a piece, its end included; long, words: the numbers of its pairs in the inputs."""
     total, shift = np.zeros(n), np.zeros((n, CONTEXTS), dtype=np.float32)
-    weights = [np.ascontiguousarray(model.weights[:, c], dtype=np.float32) for c in range(CONTEXTS)]
+    weights = np.append(model.weights, np.zeros((GATES, 1)), axis=1).astype(np.float32).view(np.complex128).ravel()
     doc, place = s.doc, s.place
     # stretches of a text double in length up to 16,384 bytes
     stretch = _STRETCH.take(place >> 8, mode="clip")
@@ -559,7 +660,7 @@ def text_bits(s: Stream, long: np.ndarray, words: np.ndarray, inputs: Inputs, mo
     length = _LENGTH.take(s.code)
     key = (stretch * 2 + inside) * 16 + (LEVELS - length)
     order = np.argsort(key.astype(np.int16) if key.max() < 1 << 15 else key, kind="stable")
-    doc, length = doc.take(order), length.take(order)
+    doc, length, code = doc.take(order), length.take(order), s.code.take(order)
     pair = inputs.within_at.take(long).take(s.long.number.take(order))
     word = np.zeros(len(place), dtype=np.int64)
     word[s.start] = inputs.begins_at.take(words).take(s.words.number)
@@ -568,7 +669,7 @@ def text_bits(s: Stream, long: np.ndarray, words: np.ndarray, inputs: Inputs, mo
         turn = np.zeros((CONTEXTS + 1, n))
         a, b, c = edges[k : k + 3]
         if a < b:
-            score_run(inputs, doc[a:b], length[a:b], pair[a:b], word.take(order[a:b]), weights, shift, total, turn)
+            score_run(inputs, doc[a:b], length[a:b], pair[a:b], (word.take(order[a:b]), code[a:b]), weights, shift, total, turn)
         if b < c:
             score_run(inputs, doc[b:c], length[b:c], pair[b:c], None, weights, shift, total, turn)
         shift += (RATE * turn[:-1] / (turn[-1] + 100)).astype(np.float32).T
@@ -580,44 +681,41 @@ _DOUBLED = 256 * 127
 _STRETCH = np.repeat(np.arange(7), 2 ** np.arange(7))  # by 256 bytes
 
 
-def score_run(inputs: Inputs, doc: np.ndarray, length: np.ndarray, pair: np.ndarray, word: np.ndarray | None, weights: list[np.ndarray], shift: np.ndarray, total: np.ndarray, turn: np.ndarray) -> None:
-    """Adds the bits of some bytes of each text, by falling code length, to total, and to turn what they say on the texts' own weights."""
-    m = 2 if word is None else 3
-    own = [shift[:, c].take(doc) for c in range(m)]
-    sums = np.zeros((m + 2, len(doc)), np.float32)  # slopes, curvature and bits
+def score_run(inputs: Inputs, doc: np.ndarray, length: np.ndarray, pair: np.ndarray, word: tuple[np.ndarray, np.ndarray] | None, weights: np.ndarray, shift: np.ndarray, total: np.ndarray, turn: np.ndarray) -> None:
+    """Adds the bits of some bytes of each text, by falling code length, to total, and to turn what they say on the texts' own weights. word: where words may begin, their pairs of words and code words."""
+    own = [shift[:, c].take(doc) for c in range(2 if word is None else 3)]
+    # of each byte the slopes of the first two weights and, last, the curvature; the third slope; bits
+    sums, third, bits = np.zeros((len(doc), 4), np.float32), np.zeros(len(doc), np.float32), np.zeros(len(doc), np.float32)
     deciding = (len(doc) - np.cumsum(np.bincount(length, minlength=LEVELS + 1))).tolist()
     for level in range(LEVELS):
         n = deciding[level]
         if not n:
             break
         got = inputs.at(level, pair[:n])
-        x = [got[:, 0], got[:, 1]]
         if word is None:
-            z = got[:, 2] + own[0][:n] * x[0]
-            z += own[1][:n] * x[1]
+            z = got[:, 2] + own[0][:n] * got[:, 0]
+            z += own[1][:n] * got[:, 1]
         else:
-            more = inputs.at_start(level, word[:n])
-            x.append(more[:, 0])
-            gate = gate_of(inputs.seen[level:].take(pair[:n]), more[:, 1].astype(np.int16), True)
-            z = np.zeros(n, np.float32)
-            for c in range(m):
-                z += (weights[c].take(gate) + own[c][:n]) * x[c]
+            odds, gate = inputs.at_start(level, pair[:n], word[0][:n], word[1][:n])
+            of = weights.take(gate).view(np.float32).reshape(-1, 4)
+            z = (of[:, 0] + own[0][:n]) * got[:, 0]
+            z += (of[:, 1] + own[1][:n]) * got[:, 1]
+            z += (of[:, 2] + own[2][:n]) * odds
+            got[:, 3] += odds * odds
         z *= np.float32(_STEP)
         z += np.float32(_REACH * _STEP + 0.5)
         at = np.clip(z, 0, 2 * _REACH * _STEP, out=z).astype(np.intp)
-        sums[m + 1, :n] += _COST.take(at)
-        miss = _MISS.take(at)
-        square = got[:, 3] if word is None else got[:, 3] + x[2] * x[2]
-        sums[m, :n] += (miss - miss * miss) * square
-        for c in range(m):
-            sums[c, :n] += miss * x[c]
+        bits[:n] += _COST.take(at)
+        says = _SAYS.take(at).view(np.float32).reshape(-1, 4)
+        got *= says
+        sums[:n] += got
+        if word is not None:
+            third[:n] += says[:, 0] * odds
     # texts stand together within each code length
     begin = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-    of, sums = doc[begin], np.add.reduceat(sums, begin, axis=1)
-    total += np.bincount(of, sums[-1], minlength=len(total))
-    for c in range(m):
-        turn[c] += np.bincount(of, sums[c], minlength=len(total))
-    turn[-1] += np.bincount(of, sums[m], minlength=len(total))
+    of = doc[begin]
+    for to, what in ((total, bits), (turn[0], sums[:, 0]), (turn[1], sums[:, 1]), (turn[-1], sums[:, 3]), *([] if word is None else [(turn[2], third)])):
+        to += np.bincount(of, np.add.reduceat(np.ascontiguousarray(what), begin), minlength=len(total))
 
 
 def pack(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -667,14 +765,6 @@ def trained(row: dict) -> np.ndarray:
     return np.array([fold_of(i) != 0 for i in row["ids"].as_py()], dtype=bool)
 
 
-def token_counts(s: Stream, taught: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct words of a stream, the end among them, and how often the flagged texts hold each."""
-    words, _ = numbered(np.append(s.token, END_WORD))
-    count = np.bincount(words.number[:-1][taught[s.token_doc]], minlength=len(words.key))
-    count[words.number[-1]] += np.count_nonzero(taught)
-    return words.key, count
-
-
 def teaching(row: dict, texts: Texts, share: float) -> np.ndarray:
     """Which texts of a block teach."""
     return np.array([k for k, i in enumerate(row["ids"].as_py()) if fold_of(i) and teaches(i, texts.data[texts.offsets[k] : texts.offsets[k + 1]].tobytes(), share)], dtype=np.int64)
@@ -706,16 +796,7 @@ def ask(blocks: DataFrame, codes: np.ndarray, bits: int, n_parts: int, share: fl
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, texts in unpacked(batches):
-            train = trained(row)
-            held = [([], []) for _ in range(CONTEXTS + 1)]
-            for at, to, piece in pieces(texts):
-                s = stream_of(piece, codes, bits)
-                mine = train[at:to]
-                found = [*zip(s.keys, s.counts(mine[s.doc]), strict=True), token_counts(s, mine)]
-                for (keys, counts), (key, count) in zip(held, found, strict=True):
-                    keys.append(key)
-                    counts.append(count)
-            lists = [(*added(*x), None) for x in held]
+            lists = [(*x, None) for x in pairs_in(texts, trained(row), codes, bits)]
             lessons = Teaching(texts.take(teaching(row, texts, share)), codes, bits)
             lists += zip(lessons.key, lessons.count, lessons.text, strict=True)
             edges = [bounds_of(key, n_parts) for key, _, _ in lists]
@@ -790,7 +871,7 @@ class Held:
 
 
 def held_in(texts: Texts, codes: np.ndarray, bits: int) -> Held:
-    streams = [(at, to, stream_of(piece, codes, bits)) for at, to, piece in pieces(texts)]
+    streams = [(at, to, stream_of(piece, codes, bits, rising=False)) for at, to, piece in pieces(texts, PIECE_BYTES)]
     keys, mine = zip(*(joined([s.keys[c] for _, _, s in streams]) for c in range(CONTEXTS)), strict=True)
     short = np.empty(len(keys[1]), dtype=np.int64)
     for k, (_, _, s) in enumerate(streams):
@@ -808,9 +889,9 @@ def met_in(held: Held, states: list[np.ndarray], train: np.ndarray) -> bytes:
         of = np.flatnonzero(taught[s.start])
         start = s.long.number.take(s.start[of])
         # whether a word may begin is known from the last byte of the longer context
-        within[held.mine[1][k]] += np.bincount(s.long.number[taught], minlength=len(s.long.key)) - np.bincount(start, minlength=len(s.long.key))
+        np.add.at(within, held.mine[1][k], np.bincount(s.long.number[taught], minlength=len(s.long.key)) - np.bincount(start, minlength=len(s.long.key)))
         long, words = held.mine[1][k].take(start), held.mine[2][k].take(s.words.number.take(of))
-        out += meetings(states, [begin[0].take(held.short.take(long)), begin[1].take(long), begin[2].take(words)], code[1].take(long), np.ones(len(of), dtype=np.int64), _LEFT)
+        out += meetings(states, [begin[0].take(held.short.take(long)), begin[1].take(long), begin[2].take(words)], code[1].take(long), None, _LEFT)
     long = np.flatnonzero(within)
     return summed_up(out + meetings(states, [begin[0].take(held.short.take(long)), begin[1].take(long)], code[1].take(long), within.take(long), _LEFT))
 
@@ -830,10 +911,10 @@ def learn(blocks: DataFrame, replies: DataFrame, codes: np.ndarray, bits: int, s
         begins, met = [places_of(key.astype(np.uint16)) for key in lessons.key], []
         for k, s in enumerate(lessons.streams):
             short, long, words = (begin[rank[k]] for begin, rank in zip(begins, lessons.rank, strict=True))
-            places, once = [short[s.short.number][s.long.number], long[s.long.number]], np.ones(len(s.code), dtype=np.int64)
+            places = [short[s.short.number][s.long.number], long[s.long.number]]
             inside = np.delete(np.arange(len(s.code)), s.start)
-            met += meetings(states, [p[inside] for p in places], s.code[inside], once[inside], _KEPT)
-            met += meetings(states, [*(p[s.start] for p in places), words[s.words.number]], s.code[s.start], once[s.start], _KEPT)
+            met += meetings(states, [p[inside] for p in places], s.code[inside], None, _KEPT)
+            met += meetings(states, [*(p[s.start] for p in places), words[s.words.number]], s.code[s.start], None, _KEPT)
         return pa.table([pa.array([summed_up(met)], pa.binary())], names=["seen"])
 
     def look_at_all(block: pa.Table, sent: pa.Table) -> pa.Table:
