@@ -2,7 +2,8 @@
 
 Plain files have no MERGE, so a merge is a join and the caller writes the
 result to a new place before it takes the old one's. Batches carry batch_no;
-of rows with one key the highest wins.
+of rows with one key the highest wins, of equal ones the row whose other
+columns, in their order, hold the higher values.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 
 
 def last_of_batch(batch: DataFrame, *keys: str, order: str = "batch_no") -> DataFrame:
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
+    others = [c for c in batch.columns if c not in (*keys, order)]
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order), *map(F.desc, others)))
     return batch.withColumn("__nth", nth).filter("__nth = 1").drop("__nth")
 
 

@@ -104,6 +104,15 @@ def test_filings_and_their_preview(spark):
     assert merge.preview(many.limit(8)).count() == 8 and merge.preview(many.limit(0)).count() == 0
 
 
+def test_equal_numbers_of_a_batch_are_decided_by_the_other_columns(spark):
+    old = spark.createDataFrame([(1, "old", None), (9, "old", None)], "k int, v string, w int")
+    tied = [(1, "a", 7, 5), (1, "b", 1, 5), (1, "b", 2, 5), (1, "z", 9, 4), (2, None, 3, 5), (2, "c", None, 5)]
+    for rows in (tied, tied[::-1]):
+        batch = spark.createDataFrame(rows, "k int, v string, w int, batch_no int").coalesce(1)
+        assert sorted(tuple(r) for r in merge.upsert(old, batch, "k").collect()) == [(1, "b", 2), (2, "c", None), (9, "old", None)]
+        assert sorted(tuple(r) for r in merge.coalescing_upsert(old, batch, "k").collect()) == [(1, "b", 2), (2, "c", None), (9, "old", None)]
+
+
 def test_unknown_codes_are_told(spark):
     from steadyield.operators import adjust
 

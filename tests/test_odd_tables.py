@@ -46,3 +46,20 @@ def test_values_in_reasons_are_rounded_as_printf_does(spark, value, shown):
         9.0D AS dividend_yield_percent, 50.0D AS payout_ratio_percent, 9.0D AS per_ratio, 1.0D AS pbr_ratio, {value}D AS roe_percent, 1.0D AS per_undervaluation_years, 9.0D AS investment_efficiency_10y, 1.0D AS free_cash_flow_jpy""")
     assert list(exclusion_reasons(row, Criteria()).first().reasons) == [f"ROE too low ({shown}%)"]
     assert duckdb.sql(f"SELECT printf('%.2f', CAST({value} AS DOUBLE))").fetchall() == [(shown,)]
+
+
+@pytest.mark.parametrize("name", ["latest_wins", "audited_upsert"])
+def test_lines_with_equal_numbers_give_one_result(spark, sf, tmp_path, name):
+    """Line 8 of a part and line 7 of the part 1,000,000 above it have one number, so the SQL leaves open which wins."""
+    got = []
+    for way in ("", " DESC"):
+        folder = tmp_path / f"lines{len(got)}"
+        folder.mkdir()
+        (folder / "orders.parquet").symlink_to(f"{sf}/orders.parquet")
+        last = f"SELECT DISTINCT ON (l_orderkey) * FROM '{sf}/lineitem.parquet'"
+        tied = f"SELECT * REPLACE (8 AS l_linenumber, 5 AS l_partkey) FROM ({last}) UNION ALL SELECT * REPLACE (7 AS l_linenumber, 1000005 AS l_partkey) FROM ({last})"
+        duckdb.sql(f"COPY (SELECT * FROM (SELECT * FROM '{sf}/lineitem.parquet' UNION ALL {tied}) ORDER BY l_linenumber{way}, l_partkey) TO '{folder}/lineitem.parquet'")
+        df = QUERIES[name](spark, str(folder))
+        got.append(rows(df.columns, df.collect()))
+    lines = duckdb.sql(f"SELECT count(DISTINCT l_orderkey) FROM '{sf}/lineitem.parquet'").fetchall()[0][0]
+    assert got[0] == got[1] and sum("1e+06" in r for r in got[0]) == lines
